@@ -6,7 +6,7 @@ import html as _html
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from stratadoc import fixed_values as fv
 from stratadoc.functions.text import col, strip
@@ -46,7 +46,7 @@ def _numeric_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(_html.unescape, na_action="ignore")
 
@@ -169,7 +169,7 @@ def _nested_article(page: str) -> str | None:
     return "".join(out) + page[at:end]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nested_articles(pages: pd.Series) -> pd.Series:
     return pages.map(_nested_article, na_action="ignore")
 

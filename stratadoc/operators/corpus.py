@@ -14,6 +14,7 @@ from stratadoc.functions.html import (
 )
 from stratadoc.functions.text import col, section, slug, strip, title_rule, url_path
 from stratadoc.operators.numbering import dense_index
+from stratadoc.session import durable
 
 
 def clean_url(url) -> Column:
@@ -128,6 +129,8 @@ def select_by_quota(
 
 def attempts(picked: DataFrame, urls: DataFrame) -> DataFrame:
     """``seq, url``: the picked URLs, then all others by position, to be tried until enough succeed."""
+    # A selection has at most its n rows; written once, it is not worked out again by every step.
+    picked = durable(picked)
     tried = picked.select(F.col("place").cast("long").alias("seq"), "url")
     n = picked.count()
     others = urls.join(F.broadcast(picked.select("url")), "url", "left_anti")

@@ -7,7 +7,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 TILE = 256
-SLACK = 1e-9
 
 
 def _ids(array) -> np.ndarray:
@@ -70,14 +69,27 @@ class _Best:
         self.floor[q[full]] = score[full]
 
 
+def _best_columns(scores: np.ndarray, k: int, digits: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the best k cells of each row; of equal scores the earlier columns win."""
+    rows, width = scores.shape
+    if width <= k:
+        cols = np.broadcast_to(np.arange(width), (rows, width))
+    else:
+        # Integer rank key, different for every column of a row.
+        key = np.rint(np.maximum(scores, -2.0) * digits).astype(np.int64) * width + np.arange(width - 1, -1, -1)
+        cols = np.argpartition(key, width - k, axis=1)[:, -k:]
+    return np.repeat(np.arange(rows), cols.shape[1]), cols.ravel()
+
+
 class CosineKernel:
-    """Exact cosine top-k.
+    """Exact cosine top-k by matrix products.
 
-    A matrix product proposes candidates within a small slack of the k-th best; their scores are then
-    added up again in index order, so a pair's score is the same in whatever block it is met. Of the
-    copies of one vector only the smallest ids can reach the result; the others leave early.
+    Scores are rounded to nine decimals before ranking, so a pair has the same score in whatever block
+    it is met and copies of one vector tie. Items are taken in id order, so ties go to smaller ids.
     """
 
+    DIGITS = 1e9
+
     def __init__(self, table, *, question_id, item_id, vector, k, threshold, skip_same, match_on):
         self.qids = _ids(table[question_id])
         self.q = _unit(_matrix(table[vector]))
@@ -86,56 +98,39 @@ class CosineKernel:
         self.k, self.threshold, self.skip_same = k, threshold, skip_same
         self.top = _Best(len(self.qids), k)
 
-    def _thin_copies(self, v, ids, match):
-        order = np.argsort(ids, kind="stable")
-        v, ids = v[order], ids[order]
-        match = match[order] if match is not None else None
-        _, group = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))), return_inverse=True)
-        group = group.ravel()
-        if match is not None:
-            _, code = np.unique(match.astype(str), return_inverse=True)
-            group = group * (code.max() + 1) + code
-        if len(np.unique(group)) == len(group):
-            return v, ids, match
-        by_group = np.argsort(group, kind="stable")
-        sorted_group = group[by_group]
-        first = np.r_[True, sorted_group[1:] != sorted_group[:-1]]
-        place = np.arange(len(group)) - np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
-        keep = np.sort(by_group[place <= self.k])
-        return v[keep], ids[keep], match[keep] if match is not None else None
-
     def update(self, batch) -> None:
         item_id, vector, match_on = self.names
         if not batch.num_rows or not len(self.qids):
             return
-        v = np.ascontiguousarray(_unit(_matrix(batch.column(vector))))
+        v = _unit(_matrix(batch.column(vector)))
         if v.shape[1] != self.q.shape[1]:
             raise ValueError("questions and items have different vector dimensions")
-        match = _ids(batch.column(match_on)) if match_on else None
-        v, ids, match = self._thin_copies(v, _ids(batch.column(item_id)), match)
+        ids = _ids(batch.column(item_id))
+        order = np.argsort(ids, kind="stable")
+        v, ids = v[order], ids[order]
+        match = _ids(batch.column(match_on))[order] if match_on else None
         for start in range(0, len(self.qids), TILE):
-            stop = min(start + TILE, len(self.qids))
-            approx = self.q[start:stop] @ v.T
-            if self.skip_same:
-                approx[self.qids[start:stop, None] == ids[None, :]] = -np.inf
-            if match is not None:
-                wanted = self.qmatch[start:stop]
-                free = np.array([w is None or w != w for w in wanted])
-                approx[~free[:, None] & (wanted[:, None] != match[None, :])] = -np.inf
-            cut = self.top.floor[start:stop].copy()
-            if approx.shape[1] > self.k:
-                kth = np.partition(approx, approx.shape[1] - self.k, axis=1)[:, -self.k]
-                cut = np.maximum(cut, kth)
-            if self.threshold is not None:
-                cut = np.maximum(cut, self.threshold)
-            rows, cols = np.nonzero((approx >= cut[:, None] - SLACK) & (approx > -np.inf))
-            score = np.zeros(len(rows))
-            for d in range(v.shape[1]):
-                score += self.q[start + rows, d] * v[cols, d]
-            if self.threshold is not None:
-                kept = score >= self.threshold
-                rows, cols, score = rows[kept], cols[kept], score[kept]
-            self.top.merge(start + rows, score, ids[cols])
+            self._tile(slice(start, min(start + TILE, len(self.qids))), v, ids, match)
+
+    def _tile(self, span: slice, v, ids, match) -> None:
+        scores = self.q[span] @ v.T
+        if self.skip_same:
+            scores[self.qids[span, None] == ids[None, :]] = -np.inf
+        if match is not None:
+            wanted = self.qmatch[span]
+            free = np.array([w is None or w != w for w in wanted])
+            scores[~free[:, None] & (wanted[:, None] != match[None, :])] = -np.inf
+        floor = self.top.floor[span]
+        if self.threshold is not None:
+            floor = np.maximum(floor, self.threshold)
+        # Once k good items are known few cells reach the floor; else the tile's own best k do.
+        rows, cols = np.nonzero(scores >= floor[:, None] - 1 / self.DIGITS) if floor.min() > -2 else ((), ())
+        if floor.min() <= -2 or len(rows) > 8 * self.k * len(floor):
+            rows, cols = _best_columns(scores, self.k, self.DIGITS)
+        score = scores[rows, cols]
+        score = np.floor(score * self.DIGITS + 0.5) / self.DIGITS
+        keep = (score >= floor[rows]) & (score > -np.inf)
+        self.top.merge(span.start + rows[keep], score[keep], ids[cols[keep]])
 
     def best(self):
         ids = self.top.ids if self.top.ids is not None else np.empty(0, dtype=object)
@@ -209,14 +204,7 @@ class Bm25Kernel:
             scores[cells] += self.idf[span, None] * weight[None, lo:hi]
         scores = np.floor(scores * 1e6 + 0.5) / 1e6
         scores = scores.reshape(questions, width)
-        # Integer rank key: higher score first, then the earlier name; all keys differ.
-        key = np.rint(scores * 1e6).astype(np.int64) * width + (width - 1 - np.arange(width))
-        if width > self.k:
-            cols = np.argpartition(key, width - self.k, axis=1)[:, -self.k :]
-        else:
-            cols = np.broadcast_to(np.arange(width), (questions, width))
-        rows = np.repeat(np.arange(questions), cols.shape[1])
-        cols = cols.ravel()
+        rows, cols = _best_columns(scores, self.k, 1e6)
         picked = scores[rows, cols]
         keep = (picked > 0) & (picked >= self.top.floor[rows])
         self.top.merge(rows[keep], picked[keep], names[cols[keep]])
