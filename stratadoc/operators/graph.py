@@ -10,14 +10,13 @@ from stratadoc.operators.fulltext import entity_lookup
 from stratadoc.schemas import EXTRACTION
 
 
-def parse_extraction(payload) -> Column:
-    """Struct of ``nodes`` and ``edges`` from JSON; missing lists and broken JSON give empty lists."""
-    parsed = F.from_json(col(payload), EXTRACTION)
+def parse_extraction(df: DataFrame, payload: str = "payload", name: str = "extraction") -> DataFrame:
+    """Add a struct of ``nodes`` and ``edges`` from JSON; missing lists and broken JSON give empty lists."""
     empty = F.from_json(F.lit('{"nodes":[],"edges":[]}'), EXTRACTION)
-    return F.struct(
-        F.coalesce(parsed["nodes"], empty["nodes"]).alias("nodes"),
-        F.coalesce(parsed["edges"], empty["edges"]).alias("edges"),
-    )
+    # Two steps, so that each text is parsed once for both fields.
+    lists = [F.coalesce(F.col("_x")[f], empty[f]).alias(f) for f in ("nodes", "edges")]
+    parsed = df.withColumn("_x", F.from_json(col(payload), EXTRACTION))
+    return parsed.withColumn(name, F.struct(*lists)).drop("_x")
 
 
 def explode_nodes(df: DataFrame, order: list[str], extraction: str = "extraction") -> DataFrame:

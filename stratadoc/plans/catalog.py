@@ -169,18 +169,18 @@ def answer_prompts(spark, folder) -> DataFrame:
 
 
 def html_text(spark, folder) -> DataFrame:
-    return table(spark, folder, "pages").select(
+    return table(spark, folder, "pages", "page_id", "html").select(
         "page_id", page_title("html").alias("title"), clean_text("html").alias("text")
     )
 
 
 def article_text(spark, folder) -> DataFrame:
-    pages = corpus.extract_articles(table(spark, folder, "pages"))
+    pages = corpus.extract_articles(table(spark, folder, "pages", "page_id", "url", "html"))
     return pages.select("page_id", "title", "article")
 
 
 def plain_page_text(spark, folder) -> DataFrame:
-    pages = corpus.extract_articles(table(spark, folder, "pages"))
+    pages = corpus.extract_articles(table(spark, folder, "pages", "page_id", "url", "html"))
     return pages.select("page_id", plain_text("article").alias("text"))
 
 
@@ -203,12 +203,12 @@ def element_flatten(spark, folder) -> DataFrame:
 
 
 def chunk_fixed(spark, folder) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents", "doc_id", "text")
     return chunking.chunk(docs, chunking.fixed_windows("text"))
 
 
 def chunk_recursive(spark, folder) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents", "doc_id", "text")
     return chunking.chunk(docs, chunking.recursive_chunks("text"))
 
 
@@ -232,11 +232,11 @@ def chunk_enrich(spark, folder) -> DataFrame:
 
 
 def dedupe_exact(spark, folder) -> DataFrame:
-    return chunking.first_copies(table(spark, folder, "documents"), "doc_id")
+    return chunking.first_copies(table(spark, folder, "documents", "doc_id", "text"), "doc_id")
 
 
 def embed_hashed_terms(spark, folder) -> DataFrame:
-    docs = embed_hashed(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = embed_hashed(table(spark, folder, "documents", "doc_id", "text"))
     weights = docs.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
     return weights.where(F.col("weight") > 0)
 
@@ -470,7 +470,7 @@ def manifest(spark, folder) -> DataFrame:
 
 
 def render_text(spark, folder) -> DataFrame:
-    pages = corpus.extract_articles(table(spark, folder, "pages"))
+    pages = corpus.extract_articles(table(spark, folder, "pages", "page_id", "url", "html"))
     body = pages.withColumn("body", plain_text("article"))
     return body.select(
         "page_id", corpus.rendered().alias("text"), corpus.rendered_markdown(body="body").alias("markdown")

@@ -8,17 +8,20 @@ from stratadoc.functions.text import filename, url_path
 from stratadoc.operators.conversation import last_turns, message_lists
 from stratadoc.operators.graph import explode_edges, explode_nodes, merge_edges, merge_nodes, parse_extraction
 from stratadoc.session import durable
+from stratadoc.sources.readers import spread
 
 GRAPH_ORDER = ["doc_id", "chunk_index"]
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A given table; with columns named, only these are read and small scans are spread over all cores."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df.select(*columns)) if columns else df
 
 
 def turns(spark, folder) -> DataFrame:
     """All turns with a session name and a turn name."""
-    return table(spark, folder, "conversations").select(
+    return table(spark, folder, "conversations", "conv_id", "turn", "role", "text").select(
         "conv_id",
         "turn",
         F.concat(F.lit("s"), F.col("conv_id")).alias("session_id"),
@@ -117,22 +120,22 @@ def tool_states(spark, folder) -> DataFrame:
 
 def page_files(spark, folder) -> DataFrame:
     """Pages with the file name their URL path gives."""
-    pages = table(spark, folder, "pages")
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
     return pages.withColumn("filename", filename(url_path("url"), "page_id"))
 
 
 def documents(spark, folder) -> DataFrame:
     """Documents with a file name."""
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", "doc_id", "source", "text")
     return docs.withColumn(
         "filename", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     )
 
 
-def graph_payloads(spark, folder) -> DataFrame:
-    """``doc_id, chunk_index, payload``: extraction JSON for every row of the star schema.
+def _graph_rows(spark, folder) -> DataFrame:
+    """``doc_id, chunk_index, extraction, broken``: one extraction for every row of the star schema.
 
-    Suppliers in debt have broken JSON, so edges to them lack an end point; customers of one market
+    Suppliers in debt count as broken, so edges to them lack an end point; customers of one market
     segment carry a type outside the vocabulary; a part's type changes from row to row.
     """
     nation = table(spark, folder, "nation").join(
@@ -142,47 +145,51 @@ def graph_payloads(spark, folder) -> DataFrame:
     supplier = table(spark, folder, "supplier")
     customer = table(spark, folder, "customer")
     part = table(spark, folder, "part").select("p_partkey", "p_name")
-    lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"
+    lines = table(
+        spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"
     )
 
     def node(name, kind):
         return F.struct(name.alias("id"), kind.alias("type"))
 
-    def payload(nodes, source, target, kind):
+    def extraction(nodes, source, target, kind):
         edge = F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("type"))
-        return F.to_json(F.struct(F.array(*nodes).alias("nodes"), F.array(edge).alias("edges")))
+        return F.struct(F.array(*nodes).alias("nodes"), F.array(edge).alias("edges")).alias("extraction")
 
     c, lit = F.col, F.lit
     part_name = F.concat("p_name", lit("#"), c("p_partkey").cast("string"))
-    debt = payload([node(c("s_name"), lit("Organization"))], c("s_name"), c("n_name"), "LOCATED_IN")
+    sound = lit(False).alias("broken")
     rows = [
         nation.select(
             c("n_nationkey").cast("long").alias("doc_id"),
-            payload(
+            extraction(
                 [node(c("n_name"), lit("Location")), node(c("r_name"), lit("Location"))],
                 c("n_name"), c("r_name"), "PART_OF",
-            ).alias("payload"),
+            ),
+            sound,
         ),
         supplier.join(names, c("s_nationkey") == c("n_nationkey")).select(
             (c("s_suppkey") + 1_000_000_000_000).alias("doc_id"),
-            F.when(c("s_acctbal") < 0, F.concat(lit("{"), debt)).otherwise(debt).alias("payload"),
+            extraction([node(c("s_name"), lit("Organization"))], c("s_name"), c("n_name"), "LOCATED_IN"),
+            (c("s_acctbal") < 0).alias("broken"),
         ),
         customer.join(names, c("c_nationkey") == c("n_nationkey")).select(
             (c("c_custkey") + 2_000_000_000_000).alias("doc_id"),
-            payload(
+            extraction(
                 [node(c("c_name"), F.when(c("c_mktsegment") == "MACHINERY", lit("Company")).otherwise(lit("Organization")))],
                 c("c_name"), c("n_name"), "LOCATED_IN",
-            ).alias("payload"),
+            ),
+            sound,
         ),
         lines.join(part, c("l_partkey") == c("p_partkey"))
         .join(supplier.select("s_suppkey", "s_name"), c("l_suppkey") == c("s_suppkey"))
         .select(
             (c("l_orderkey") * 8 + c("l_linenumber") + 3_000_000_000_000).alias("doc_id"),
-            payload(
+            extraction(
                 [node(part_name, F.when(c("l_returnflag") == "R", lit("Concept")).otherwise(lit("Product")))],
                 part_name, c("s_name"), "CREATED_BY",
-            ).alias("payload"),
+            ),
+            sound,
         ),
     ]
     out = rows[0]
@@ -191,12 +198,20 @@ def graph_payloads(spark, folder) -> DataFrame:
     return out.withColumn("chunk_index", F.lit(0))
 
 
+def graph_payloads(spark, folder) -> DataFrame:
+    """``doc_id, chunk_index, payload``: the extractions as JSON text, broken ones with a stray brace."""
+    text = F.to_json("extraction")
+    payload = F.when(F.col("broken"), F.concat(F.lit("{"), text)).otherwise(text)
+    return _graph_rows(spark, folder).select(*GRAPH_ORDER, payload.alias("payload"))
+
+
 def extractions(spark, folder) -> DataFrame:
-    return graph_payloads(spark, folder).select(*GRAPH_ORDER, parse_extraction("payload").alias("extraction"))
+    """Extractions parsed from their JSON."""
+    return parse_extraction(graph_payloads(spark, folder)).select(*GRAPH_ORDER, "extraction")
 
 
 def graph(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the merged graph, written to the shared folder since many steps read them."""
-    found = extractions(spark, folder)
+    found = _graph_rows(spark, folder).where(~F.col("broken"))
     nodes = durable(merge_nodes(explode_nodes(found, GRAPH_ORDER)))
     return nodes, durable(merge_edges(explode_edges(found), nodes))

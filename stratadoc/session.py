@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import stratadoc
 
@@ -60,9 +61,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df):
-    """Reliable checkpoint: later stages read files, so a lost executor recomputes nothing upstream."""
+def durable(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    Later stages read files, so a lost executor recomputes nothing upstream, each row is worked out
+    once, and Spark knows the true size when it chooses a join.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stratadoc/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

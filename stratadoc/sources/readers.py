@@ -10,6 +10,16 @@ from stratadoc.functions.text import col, extension, filename
 from stratadoc.schemas import DOC_META, NOTIFICATION, RAW_FILE
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out to all cores, if the scan itself has fewer tasks than there are cores.
+
+    Small files with one row group are read by one task, which then also does all work per row. A scan
+    with more tasks than cores, as of any large table, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = fv.ACCEPTED_SUFFIXES) -> DataFrame:
     """Every file below a path, as ``path, modificationTime, length, content``."""
     return (
