@@ -16,7 +16,7 @@ _COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"(?s)<[^>]*>"
 # Entities decoded natively; amp comes last so that nothing is decoded twice.
 _ENTITIES = (
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),

@@ -167,9 +167,9 @@ sourced AS (SELECT session_id, current_query, tool_output,
   CASE WHEN tool_output <> '' THEN tool_output ELSE context END AS source_content FROM sources)"""
 
 _ENTITY_CALLS = "".join(
-    f", {name!r}, {char!r})"
+    f", '{name}', '{char}')"
     for name, char in (
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+        ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
     )
 )
 

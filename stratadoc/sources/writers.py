@@ -63,6 +63,6 @@ def write_manifest(pages: DataFrame, path: str, mode: str = "overwrite") -> None
 
 def write_rendered(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rendered texts as files, one folder per slug."""
-    pages.select("slug", F.col("text").alias("value")).write.mode(mode).partitionBy("slug").option(
-        "lineSep", ""
-    ).text(path)
+    # The sink ends each text with a line break of its own.
+    body = F.regexp_replace("text", "\n\\z", "")
+    pages.select("slug", body.alias("value")).write.mode(mode).partitionBy("slug").text(path)

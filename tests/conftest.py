@@ -11,7 +11,7 @@ from stratadoc.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", 4)
+    session = build_session("local[8]", 4, **{"spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

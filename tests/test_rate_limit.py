@@ -39,8 +39,7 @@ def traffic(seed, seconds, n, clients, hot):
     return rows
 
 
-@pytest.mark.parametrize("slice_windows,span_slices", [(256, 256), (1, 1), (1, 3), (2, 2), (5, 4)])
-@pytest.mark.parametrize("limit", [1, 3])
+@pytest.mark.parametrize("slice_windows,span_slices,limit", [(256, 256, 3), (1, 1, 1), (1, 3, 3), (5, 4, 2)])
 def test_matches_plain_pass(spark, slice_windows, span_slices, limit):
     rows = traffic(slice_windows, 3_000, 2_500, 12, 1 / 3)
     expected, counts = model(rows, limit)
