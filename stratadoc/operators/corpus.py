@@ -157,7 +157,7 @@ def number_slugs(df: DataFrame, url: str = "url", seq: str = "seq") -> DataFrame
     )
     extra = None
     renamed = marked.where("_met").select(F.col("_slug").alias("_from"), F.col(seq).cast("long").alias("_by"))
-    while True:
+    while extra is not None or not suspects.isEmpty():
         hit = suspects.join(renamed, ["_from", "_by"]).where(F.col("_by") < F.col("_seq")).select("_seq")
         if hit.isEmpty():
             break

@@ -20,13 +20,16 @@ def rate_limit_stream(
     event_id: str,
     limit: int = fv.RATE_LIMIT,
     window_seconds: float = fv.RATE_WINDOW_SECONDS,
-    idle: int = 3_600_000,
+    forget_after: str | None = None,
 ) -> DataFrame:
     """``event_id, key, allowed``, by the same rule as the batch operator.
 
     Requests of a batch are put in order of (time, id); a request that arrives in a later batch with
     an earlier time is counted in the window then open, as a live counter would. How much of one client
     is in memory is bounded by the size of a batch, which the source's rate options set.
+
+    A client's state is two numbers, kept for good unless ``forget_after`` names a delay: then state is
+    dropped that long after its window ended, and requests arriving later than that are not decided.
     """
     window = int(window_seconds * 1_000_000)
     types = {f.name: f.dataType.simpleString() for f in stream.schema}
@@ -48,18 +51,19 @@ def rate_limit_stream(
             used += end - at
             at = end
         state.update((start, used))
-        state.setTimeoutDuration(idle)
+        if forget_after:
+            state.setTimeoutTimestamp(max((start + window) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({event_id: rows["event_id"], key: who[0], "allowed": allowed})
 
+    at = F.col(ts).cast("timestamp")
     rows = stream.select(
-        F.col(key).alias("key"),
-        F.col(event_id).alias("event_id"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"),
+        F.col(key).alias("key"), F.col(event_id).alias("event_id"), F.unix_micros(at).alias("ts"), at.alias("at")
     )
+    rows = rows.withWatermark("at", forget_after) if forget_after else rows.drop("at")
     return rows.groupBy("key").applyInPandasWithState(
         count,
         f"{event_id} {types[event_id]}, {key} {types[key]}, allowed boolean",
         "start long, used long",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout if forget_after else GroupStateTimeout.NoTimeout,
     )

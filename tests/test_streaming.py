@@ -12,7 +12,7 @@ from stratadoc.streaming import arrivals, dedupe, events, rate_limit as live, wr
 
 
 def finish(query):
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     assert query.exception() is None
 
 
@@ -64,11 +64,12 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
 def test_rate_limit_stream_keeps_state_between_batches(spark, tmp_path):
     base = 1_700_000_000_000_000
     schema = "event_id long, client string, micros long"
-    for n, rows in enumerate([[(0, "a", base), (1, "a", base + 1)], [(2, "a", base + 2), (3, "a", base + 60_000_000)]]):
+    batches = [[(0, "a", base), (1, "a", base + 1)], [(2, "a", base + 2), (3, "a", base + 60_000_000)]]
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("micros"))
         query = (
-            live.rate_limit_stream(stream, key="client", ts="ts", event_id="event_id", limit=2)
+            live.rate_limit_stream(stream, key="client", ts="ts", event_id="event_id", limit=2, forget_after="1 day")
             .writeStream.format("parquet").option("path", str(tmp_path / "out"))
             .option("checkpointLocation", str(tmp_path / "st")).trigger(availableNow=True).start()
         )
