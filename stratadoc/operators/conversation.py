@@ -49,6 +49,12 @@ def chat_messages(
     )
 
 
+def stamped_turns(df: DataFrame) -> DataFrame:
+    """Turns to be stored, with the defaults for metadata and time."""
+    empty = F.create_map().cast("map<string,string>")
+    return df.withColumn("metadata_", empty).withColumn("created_at", F.current_timestamp())
+
+
 def append_history(existing: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """Existing rows and new ones, whose ids go on after the largest id."""
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]

@@ -8,6 +8,7 @@ from stratadoc import fixed_values as fv
 from stratadoc.functions.text import col, strip, tokens
 from stratadoc.operators.fulltext import entity_lookup
 from stratadoc.schemas import EXTRACTION
+from stratadoc.session import durable
 
 
 def parse_extraction(df: DataFrame, payload: str = "payload", name: str = "extraction") -> DataFrame:
@@ -69,6 +70,8 @@ def both_directions(edges: DataFrame) -> DataFrame:
 def _expand(hits: DataFrame, edges: DataFrame, key: list[str], limit: int, constant_label: bool) -> DataFrame:
     """First ``limit`` rows per key over its ranked hits: score desc, source, relation, target.
 
+    The hits come from a written table, so Spark broadcasts them if their true size allows.
+
     A name's edges are cut to its own first ``limit`` before the join: no later edge of that name can
     be among the first ``limit`` rows of a key, so a name that holds a third of all edges sends
     ``limit`` rows per task and hits are never multiplied by it.
@@ -105,8 +108,8 @@ def expand_directed(
     Every searchable name has an edge, so the best ``limit`` names always suffice.
     """
     with_edge = edges.select(F.col("source").alias("name")).distinct()
-    hits = entity_lookup(
-        questions, nodes, question_id=question_id, text=text, k=limit, searchable=with_edge, **scan
+    hits = durable(
+        entity_lookup(questions, nodes, question_id=question_id, text=text, k=limit, searchable=with_edge, **scan)
     )
     rows = _expand(hits, edges, [question_id], limit, constant_label)
     rows = _first_rows(rows, question_id, limit, [F.desc("score"), "source", "rel", "target"])
@@ -132,8 +135,8 @@ def expand_undirected(
     either = both_directions(edges)
     asked = entities.withColumn("_ask", F.concat_ws("\u0001", F.col(question_id), F.col("pos")))
     with_edge = either.select(F.col("source").alias("name")).distinct()
-    hits = entity_lookup(
-        asked, nodes, question_id="_ask", text="entity", k=limit, searchable=with_edge, **scan
+    hits = durable(
+        entity_lookup(asked, nodes, question_id="_ask", text="entity", k=limit, searchable=with_edge, **scan)
     )
     hits = hits.join(asked.select("_ask", question_id, "pos"), "_ask")
     rows = _expand(hits, either, [question_id, "pos"], limit, constant_label)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 QUESTION_BLOCK = 8_192
 ITEM_BLOCK = 65_536
+BROADCAST_HITS = 500_000
 
 
 def _result(kernel, schema: pa.Schema) -> pa.RecordBatch:
@@ -38,6 +39,7 @@ def scan_topk(
     question_id: str,
     item_id: str,
     k: int,
+    question_rows: int,
     question_bytes: int,
     broadcast_bytes: int = BROADCAST_BYTES,
     question_block: int = QUESTION_BLOCK,
@@ -46,7 +48,8 @@ def scan_topk(
     """Rows ``(question_id, item_id, score, rank)``, ordered by score desc, item id asc.
 
     ``make_kernel(question_table)`` builds an object with ``update(record_batch)`` and ``best()``.
-    ``question_bytes`` is the measured size of the question side.
+    ``question_rows`` and ``question_bytes`` are the measured size of the question side, which the caller
+    may have persisted.
     """
     spark = items.sparkSession
     qtype = questions.schema[question_id].dataType
@@ -65,6 +68,7 @@ def scan_topk(
 
     if question_bytes <= broadcast_bytes:
         shared = spark.sparkContext.broadcast(questions.toArrow())
+        questions.unpersist()
 
         def scan(batches):
             kernel = None
@@ -77,12 +81,9 @@ def scan_topk(
 
         local = items.mapInArrow(scan, out)
     else:
-        sizes = (
-            questions.agg(F.count("*").alias("n")).first()["n"],
-            items.agg(F.count("*").alias("n")).first()["n"],
-        )
-        q_blocks = max(1, -(-sizes[0] // question_block))
-        i_blocks = max(1, -(-sizes[1] // item_block))
+        item_rows = items.agg(F.count("*").alias("n")).first()["n"]
+        q_blocks = max(1, -(-question_rows // question_block))
+        i_blocks = max(1, -(-item_rows // item_block))
 
         def blocked(df, key, own, own_n, other, other_n):
             return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int")).withColumn(
@@ -106,4 +107,7 @@ def scan_topk(
 
     # The rank filter lets Spark prune to k rows per question before the shuffle as well.
     best_first = Window.partitionBy(question_id).orderBy(F.desc("score"), F.asc(item_id))
-    return local.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    hits = local.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    # There are at most k hits per question. If that is few, what they are joined to (payload, edges,
+    # answers) should not be shuffled for their sake.
+    return F.broadcast(hits) if question_rows * k <= BROADCAST_HITS else hits

@@ -46,11 +46,12 @@ def vector_topk(
     for name, value in (filters or {}).items():
         items = items.where(F.col(name) == F.lit(value))
     extra = [match_on] if match_on else []
-    questions = drop_missing_vectors(questions, vector).select(question_id, vector, *extra)
+    # Kept while it is measured and then collected or cut into blocks, so that it is worked out once.
+    questions = drop_missing_vectors(questions, vector).select(question_id, vector, *extra).persist()
     items = drop_missing_vectors(items, vector).select(item_id, vector, *extra)
     size = questions.agg(
-        F.sum(F.size(vector).cast("long") * 8 + 32).alias("bytes")
-    ).first()["bytes"]
+        F.count("*").alias("rows"), F.sum(F.size(vector).cast("long") * 8 + 32).alias("bytes")
+    ).first()
     kernel = partial(
         CosineKernel,
         question_id=question_id,
@@ -68,7 +69,8 @@ def vector_topk(
         question_id=question_id,
         item_id=item_id,
         k=k,
-        question_bytes=size or 0,
+        question_rows=size["rows"],
+        question_bytes=size["bytes"] or 0,
         broadcast_bytes=broadcast_bytes,
         **blocks,
     )

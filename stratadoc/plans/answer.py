@@ -18,6 +18,7 @@ from stratadoc.operators.retrieval import (
     vector_contexts,
 )
 from stratadoc.operators.vector_search import cache_lookup, vector_topk
+from stratadoc.session import durable
 from stratadoc.sources.writers import vector_points
 
 
@@ -46,13 +47,15 @@ def answer_prompts(
 ) -> DataFrame:
     """Prompts of questions ``(question_id, question, plan)`` that the cache cannot answer.
 
-    Cache lookup, plan normalisation, routing, hybrid retrieval and prompt are one plan; a row whose
-    plan names a tool keeps an empty document list, since its source is the tool's message.
+    Cache lookup, plan normalisation and routing give a state table; hybrid retrieval and prompt build
+    on it. A row whose plan names a tool keeps an empty document list, since its source is the tool's
+    message.
     """
     embedded = embed_hashed(questions.select("question_id", F.col("question").alias("text")))
     hits = cache_lookup(embedded, cache)
     missed = questions.join(hits.where("hit").select("question_id"), "question_id", "left_anti")
-    planned = normalise_plans(missed).withColumn("route", route())
+    # The state table of this batch of questions: both branches and the prompt read it.
+    planned = durable(normalise_plans(missed).withColumn("route", route()))
     asked = planned.where(F.col("route") == "retriever").select(
         "question_id", F.coalesce("current_query", F.lit("")).alias("text")
     )

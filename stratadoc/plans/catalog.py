@@ -19,6 +19,7 @@ from stratadoc.operators.retrieval import citations as cite, graph_contexts, mer
 from stratadoc.operators.vector_search import cache_lookup, drop_missing_vectors, search_tool_text, vector_topk as topk
 from stratadoc.plans import answer, inputs
 from stratadoc.plans.inputs import table
+from stratadoc.session import durable
 from stratadoc.sources import readers, writers
 from stratadoc.streaming import events as feed, write_back
 
@@ -149,13 +150,13 @@ def citations(spark, folder) -> DataFrame:
 
 def page_contexts(spark, folder) -> DataFrame:
     """Cleaned pages, chunked by separators and embedded, searched with every question."""
-    points = answer.index_pages(inputs.page_files(spark, folder))
+    points = durable(answer.index_pages(inputs.page_files(spark, folder)))
     return answer.page_contexts(inputs.questions(spark, folder), points)
 
 
 def answer_prompts(spark, folder) -> DataFrame:
-    """Cache, plan, route, hybrid retrieval and prompt in one plan; all pages are the corpus."""
-    points = answer.index_pages(inputs.page_files(spark, folder))
+    """Cache, plan, route, hybrid retrieval and prompt; all pages are the corpus."""
+    points = durable(answer.index_pages(inputs.page_files(spark, folder)))
     nodes, edges = inputs.graph(spark, folder)
     cache = inputs.answered(spark, folder).where(F.col("turn") == 0).select(
         F.col("question_id").alias("entry_id"), "answer", hashed_vector("question").alias("embedding")

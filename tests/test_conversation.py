@@ -33,8 +33,9 @@ def test_missing_session_gets_one(spark):
 def test_dense_index_with_a_hot_leading_key(spark, ranges):
     rows = [("hot" if i % 3 == 0 else f"k{i % 50:02d}", i) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, i long").repartition(5)
-    got = [(r["n"], r["k"], r["i"]) for r in dense_index(df, ["k", "i"], "n", first=10, ranges=ranges).orderBy("n").collect()]
+    got = [(r["n"], r["k"], r["i"]) for r in dense_index(df, ["k", "i"], "n", first=10, ranges=ranges, one_task_rows=0).orderBy("n").collect()]
     assert got == [(10 + n, k, i) for n, (k, i) in enumerate(sorted(rows))]
+    assert dense_index(df, ["k", "i"], "n").agg(F.max("n")).first()[0] == 900
 
 
 def test_append_goes_on_after_the_largest_id(spark):
@@ -44,6 +45,11 @@ def test_append_goes_on_after_the_largest_id(spark):
     assert got == [(7, "a", "x"), (8, "b", "z"), (9, "b", "y")]
 
 
+def test_new_turns_get_defaults(spark):
+    row = conv.stamped_turns(spark.createDataFrame([("s",)], "session_id string")).first()
+    assert row["metadata_"] == {} and row["created_at"] is not None
+
+
 def test_feedback_scores(spark):
     df = spark.createDataFrame([("s", "u", 1, s, None) for s in (1, -1, 0, 2)], "session_id string, user_id string, message_id long, score int, comment string")
     assert sorted(r["score"] for r in conv.valid_feedback(df).collect()) == [-1, 1]

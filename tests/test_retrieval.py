@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stratadoc.functions.vectors import dot, normalise
 from stratadoc.operators.embedding import embed_hashed, embed_with, hashed_vector
 from stratadoc.operators.fulltext import entity_lookup
-from stratadoc.operators.retrieval import citations, documents_per_question, graph_contexts, merge_contexts
+from stratadoc.operators.retrieval import citations, documents_per_question, graph_contexts, merge_contexts, vector_contexts
 from stratadoc.operators.vector_search import above_threshold, cache_lookup, drop_missing_vectors, search_tool_text, vector_topk
 
 # A limit of zero bytes forces the way without broadcast; small blocks make many cells.
@@ -85,6 +85,18 @@ def test_ranks_have_no_gaps_and_plan_prunes_early(spark):
     assert all(r["r"] == [1, 2, 3, 4, 5] for r in ranks)
 
 
+def test_payload_is_not_shuffled_for_a_few_hits(spark, tmp_path):
+    q = spark.createDataFrame(vectors(3, 10, 0.2), "question_id long, embedding array<double>, label int")
+    v = spark.createDataFrame(vectors(4, 50, 0.2), "point_id long, embedding array<double>, label int")
+    v.select("point_id", F.lit("t").alias("text"), F.lit("f").alias("filename"), F.lit("unused").alias("x")).write.parquet(str(tmp_path / "p"))
+    contexts = vector_contexts(
+        vector_topk(q, v), spark.read.parquet(str(tmp_path / "p")), question_id="question_id", item_id="point_id"
+    )
+    plan = contexts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "ReadSchema: struct<point_id:bigint,text:string,filename:string>" in plan
+
+
 def test_unit_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     rows = [r["u"] for r in df.select(normalise("v").alias("u")).collect()]
