@@ -69,6 +69,14 @@ class _Best:
         self.floor[q[full]] = score[full]
 
 
+def _all_best(tops: list[_Best], qids: list[np.ndarray]):
+    """Question ids, item ids and scores of several running results."""
+    filled = [(q[top.q], top.ids, top.score) for top, q in zip(tops, qids) if top.ids is not None]
+    if not filled:
+        return np.empty(0, dtype=object), np.empty(0, dtype=object), np.empty(0)
+    return tuple(np.concatenate(parts) for parts in zip(*filled))
+
+
 def _best_columns(scores: np.ndarray, k: int, digits: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the best k cells of each row; of equal scores the earlier columns win."""
     rows, width = scores.shape
@@ -96,7 +104,8 @@ class CosineKernel:
         self.qmatch = _ids(table[match_on]) if match_on else None
         self.names = (item_id, vector, match_on)
         self.k, self.threshold, self.skip_same = k, threshold, skip_same
-        self.top = _Best(len(self.qids), k)
+        self.spans = [slice(i, min(i + TILE, len(self.qids))) for i in range(0, len(self.qids), TILE)]
+        self.tops = [_Best(span.stop - span.start, k) for span in self.spans]
 
     def update(self, batch) -> None:
         item_id, vector, match_on = self.names
@@ -109,10 +118,10 @@ class CosineKernel:
         order = np.argsort(ids, kind="stable")
         v, ids = v[order], ids[order]
         match = _ids(batch.column(match_on))[order] if match_on else None
-        for start in range(0, len(self.qids), TILE):
-            self._tile(slice(start, min(start + TILE, len(self.qids))), v, ids, match)
+        for span, top in zip(self.spans, self.tops):
+            self._tile(span, top, v, ids, match)
 
-    def _tile(self, span: slice, v, ids, match) -> None:
+    def _tile(self, span: slice, top: _Best, v, ids, match) -> None:
         scores = self.q[span] @ v.T
         if self.skip_same:
             scores[self.qids[span, None] == ids[None, :]] = -np.inf
@@ -120,7 +129,7 @@ class CosineKernel:
             wanted = self.qmatch[span]
             free = np.array([w is None or w != w for w in wanted])
             scores[~free[:, None] & (wanted[:, None] != match[None, :])] = -np.inf
-        floor = self.top.floor[span]
+        floor = top.floor
         if self.threshold is not None:
             floor = np.maximum(floor, self.threshold)
         # Once k good items are known few cells reach the floor; else the tile's own best k do.
@@ -130,19 +139,14 @@ class CosineKernel:
         score = scores[rows, cols]
         score = np.floor(score * self.DIGITS + 0.5) / self.DIGITS
         keep = (score >= floor[rows]) & (score > -np.inf)
-        self.top.merge(span.start + rows[keep], score[keep], ids[cols[keep]])
+        top.merge(rows[keep], score[keep], ids[cols[keep]])
 
     def best(self):
-        ids = self.top.ids if self.top.ids is not None else np.empty(0, dtype=object)
-        return self.qids[self.top.q], ids, self.top.score
+        return _all_best(self.tops, [self.qids[span] for span in self.spans])
 
 
-class Bm25Kernel:
-    """Exact BM25 top-k of token lists for weighted question terms.
-
-    Only the term postings of the block are expanded, a bounded number of items at a time. Scores are
-    rounded to six decimals before ranking, so the order of addition cannot change a rank.
-    """
+class _Bm25Block:
+    """BM25 of one block of questions; a bounded number of cells is scored at a time."""
 
     CELLS = 4_000_000
 
@@ -209,6 +213,23 @@ class Bm25Kernel:
         keep = (picked > 0) & (picked >= self.top.floor[rows])
         self.top.merge(rows[keep], picked[keep], names[cols[keep]])
 
+
+class Bm25Kernel:
+    """Exact BM25 top-k of token lists for weighted question terms.
+
+    Only postings of terms that occur in the batch are expanded. Scores are rounded to six decimals
+    before ranking, so the order of addition cannot change a rank.
+    """
+
+    BLOCK = 1024
+
+    def __init__(self, table, **settings) -> None:
+        starts = range(0, table.num_rows, self.BLOCK)
+        self.blocks = [_Bm25Block(table.slice(i, self.BLOCK).combine_chunks(), **settings) for i in starts]
+
+    def update(self, batch) -> None:
+        for block in self.blocks:
+            block.update(batch)
+
     def best(self):
-        ids = self.top.ids if self.top.ids is not None else np.empty(0, dtype=object)
-        return self.qids[self.top.q], ids, self.top.score
+        return _all_best([b.top for b in self.blocks], [b.qids for b in self.blocks])

@@ -19,14 +19,15 @@ from stratadoc.operators.retrieval import (
 )
 from stratadoc.operators.vector_search import cache_lookup, vector_topk
 from stratadoc.session import durable
-from stratadoc.sources.writers import vector_points
+from stratadoc.sources.writers import POINT_KEY, vector_points
 
 
 def index_pages(pages: DataFrame) -> DataFrame:
     """Vector points of pages ``(filename, html)``: clean text, chunks, metadata, vectors."""
     texts = pages.select("filename", clean_text("html").alias("text"))
     chunks = enrich(chunk(texts, recursive_chunks("text")), clock=False)
-    return vector_points(embed_hashed(chunks))
+    # Copies of a chunk of one file are one point; they go before the costly step.
+    return vector_points(embed_hashed(chunks.dropDuplicates(list(POINT_KEY))))
 
 
 def page_contexts(questions: DataFrame, points: DataFrame, k: int = fv.SEARCH_LIMIT) -> DataFrame:

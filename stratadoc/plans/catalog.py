@@ -155,13 +155,18 @@ def page_contexts(spark, folder) -> DataFrame:
 
 
 def answer_prompts(spark, folder) -> DataFrame:
-    """Cache, plan, route, hybrid retrieval and prompt; all pages are the corpus."""
+    """Cache, plan, route, hybrid retrieval and prompt; all pages are the corpus.
+
+    All answered questions are cached; the questions asked name entities as well, so some are near
+    enough to a cached one and some are not.
+    """
     points = durable(answer.index_pages(inputs.page_files(spark, folder)))
     nodes, edges = inputs.graph(spark, folder)
-    cache = inputs.answered(spark, folder).where(F.col("turn") == 0).select(
+    cache = inputs.answered(spark, folder).select(
         F.col("question_id").alias("entry_id"), "answer", hashed_vector("question").alias("embedding")
     )
-    return answer.answer_prompts(inputs.plan_texts(spark, folder), points, cache, nodes, edges).select(
+    asked = inputs.plan_texts(inputs.entity_questions(spark, folder))
+    return answer.answer_prompts(asked, points, cache, nodes, edges).select(
         "question_id", "route", F.size("documents").alias("n_documents"), "prompt"
     )
 
@@ -329,14 +334,14 @@ def message_state(spark, folder) -> DataFrame:
 
 
 def plan_normalise(spark, folder) -> DataFrame:
-    out = planning.normalise_plans(inputs.plan_texts(spark, folder))
+    out = planning.normalise_plans(inputs.plan_texts(inputs.questions(spark, folder)))
     return out.select(
         "question_id", "current_query", F.array_join("plan_steps", "|").alias("plan_steps"), "tool_choice", "tool_input"
     )
 
 
 def route(spark, folder) -> DataFrame:
-    out = planning.dispatch(planning.normalise_plans(inputs.plan_texts(spark, folder)))
+    out = planning.dispatch(planning.normalise_plans(inputs.plan_texts(inputs.questions(spark, folder))))
     return out.select("question_id", planning.route().alias("route"), "branch", "tool_name", "tool_text")
 
 

@@ -74,8 +74,8 @@ def answered(spark, folder) -> DataFrame:
     )
 
 
-def plan_texts(spark, folder) -> DataFrame:
-    """``plan``: the JSON a model gives for a question; the text's length picks the kind."""
+def plan_texts(asked: DataFrame) -> DataFrame:
+    """``question, plan``: the JSON a model gives for a question; the text's length picks the kind."""
     head = F.substring("text", 1, 80)
     kind = F.length("text") % 6
     lit = F.lit
@@ -97,7 +97,7 @@ def plan_texts(spark, folder) -> DataFrame:
         .when(kind == 4, F.concat(lit("Sure: "), plan(action=lit("retrieve"), refined_query=head)))
         .otherwise(plan(refined_query=head, tool_choice=lit("web_search")))
     )
-    return questions(spark, folder).withColumn("plan", text).withColumnRenamed("text", "question")
+    return asked.withColumn("plan", text).withColumnRenamed("text", "question")
 
 
 def tool_states(spark, folder) -> DataFrame:

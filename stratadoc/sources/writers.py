@@ -8,6 +8,9 @@ from stratadoc.functions.text import col, content_id
 from stratadoc.functions.vectors import present
 
 
+POINT_KEY = ("filename", "chunk_index", "chunk_hash")
+
+
 def point_id(filename="filename", chunk_index="chunk_index", chunk_hash="chunk_hash") -> Column:
     """Key of a chunk: the same chunk of the same file keeps its point when it is ingested again."""
     return F.md5(F.concat_ws("\u0001", col(filename), col(chunk_index).cast("string"), col(chunk_hash)))

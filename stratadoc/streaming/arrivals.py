@@ -13,7 +13,7 @@ from stratadoc.operators.graph import explode_edges, explode_nodes, merge_edges,
 from stratadoc.session import durable
 from stratadoc.sources.keyed_log import append_batch, newest, read_batches
 from stratadoc.sources.readers import parse_files
-from stratadoc.sources.writers import vector_points
+from stratadoc.sources.writers import POINT_KEY, vector_points
 
 
 def ingest_batch(
@@ -32,7 +32,7 @@ def ingest_batch(
     spark = files.sparkSession
     chunks = durable(chunk(parse_files(files), recursive_chunks("text")))
     named = enrich(chunks, clock=False).withColumn("filename", F.col("meta.filename"))
-    points = vector_points(embed(named)).dropDuplicates(["point_id"])
+    points = vector_points(embed(named.dropDuplicates(list(POINT_KEY))))
     append_batch(points, f"{root}/vectors", batch_id)
     if extract is None:
         return
