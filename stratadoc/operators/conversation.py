@@ -39,7 +39,8 @@ def chat_messages(
     n: int = fv.CHAT_HISTORY_LIMIT,
 ) -> DataFrame:
     """Each request with its last ``n`` turns and itself as the newest user message."""
-    past = message_lists(last_turns(history, session, order, n), session, order)
+    asked = history.join(requests.select(session), session, "left_semi")
+    past = message_lists(last_turns(asked, session, order, n), session, order)
     none = F.array().cast("array<struct<role:string,content:string>>")
     now = F.array(F.struct(F.lit("user").alias("role"), F.col(message).alias("content")))
     return (
