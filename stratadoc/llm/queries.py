@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadoc.llm import token_files
+from stratadoc.llm import decontamination, packing, token_files
 from stratadoc.llm.common import ready
 
 
@@ -22,5 +22,13 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files,)}
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.judged(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_packing, op5_decontamination)}
 ORACLE: dict[str, str] = {}
