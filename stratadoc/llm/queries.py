@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadoc.llm import decontamination, packing, token_files
+from stratadoc.llm import decontamination, minmax_dups, packing, token_files
 from stratadoc.llm.common import ready
 
 
@@ -30,5 +30,9 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.judged(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_packing, op5_decontamination)}
+def op10_minmax_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return minmax_dups.near_duplicates(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_packing, op5_decontamination, op10_minmax_dups)}
 ORACLE: dict[str, str] = {}
