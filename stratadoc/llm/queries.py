@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadoc.llm import decontamination, minmax_dups, packing, token_files
+from stratadoc.llm import decontamination, embedding_dups, minmax_dups, packing, token_files, url_rules
 from stratadoc.llm.common import ready
 
 
@@ -18,6 +18,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(_table(spark, folder, "pages"))
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -26,6 +30,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op4_embedding_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dups.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.judged(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -34,5 +42,10 @@ def op10_minmax_dups(spark: SparkSession, folder: str) -> DataFrame:
     return minmax_dups.near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_packing, op5_decontamination, op10_minmax_dups)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_rules, op2_token_files, op3_packing, op4_embedding_dups, op5_decontamination, op10_minmax_dups,
+    )
+}
 ORACLE: dict[str, str] = {}
