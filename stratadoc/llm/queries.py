@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadoc.llm import decontamination, embedding_dups, minmax_dups, packing, token_files, url_rules
+from stratadoc.llm import (
+    decontamination,
+    embedding_dups,
+    language,
+    minmax_dups,
+    packing,
+    token_files,
+    toxicity,
+    url_rules,
+)
 from stratadoc.llm.common import ready
 
 
@@ -38,6 +47,14 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.judged(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op10_minmax_dups(spark: SparkSession, folder: str) -> DataFrame:
     return minmax_dups.near_duplicates(_table(spark, folder, "documents"))
 
@@ -45,7 +62,8 @@ def op10_minmax_dups(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_rules, op2_token_files, op3_packing, op4_embedding_dups, op5_decontamination, op10_minmax_dups,
+        op1_url_rules, op2_token_files, op3_packing, op4_embedding_dups, op5_decontamination,
+        op7_language, op9_toxicity, op10_minmax_dups,
     )
 }
 ORACLE: dict[str, str] = {}
