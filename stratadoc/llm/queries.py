@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratadoc.llm import (
     decontamination,
+    disclosure,
     embedding_dups,
     language,
     minmax_dups,
@@ -47,6 +48,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.judged(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op6_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.judged(_table(spark, folder, "documents"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
@@ -63,7 +68,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_rules, op2_token_files, op3_packing, op4_embedding_dups, op5_decontamination,
-        op7_language, op9_toxicity, op10_minmax_dups,
+        op6_disclosure, op7_language, op9_toxicity, op10_minmax_dups,
     )
 }
 ORACLE: dict[str, str] = {}
