@@ -12,12 +12,14 @@ from stratadoc.session import configure
 
 #: Rows of text in one Arrow batch; with the byte limit of Spark it bounds a Python worker's memory.
 BATCH_ROWS = 1000
+BATCH_BYTES = "16m"
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """The session with the settings that the operators rely on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

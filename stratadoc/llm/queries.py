@@ -11,6 +11,7 @@ from stratadoc.llm import (
     language,
     minmax_dups,
     packing,
+    suffix_dedup,
     token_files,
     toxicity,
     url_rules,
@@ -56,6 +57,10 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -68,7 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_rules, op2_token_files, op3_packing, op4_embedding_dups, op5_decontamination,
-        op6_disclosure, op7_language, op9_toxicity, op10_minmax_dups,
+        op6_disclosure, op7_language, op8_suffix_dedup, op9_toxicity, op10_minmax_dups,
     )
 }
 ORACLE: dict[str, str] = {}
