@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stratadoc.llm.common import narrow, ready, slices
-from stratadoc.llm.tokens import WordwiseEncoder
+from stratadoc.llm.tokens import process_encoder
 from stratadoc.session import durable
 
 WINDOW = 4096
@@ -162,7 +162,7 @@ def encode_tails(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> D
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordwiseEncoder(tokenizer, "drop")
+        encoder = process_encoder(tokenizer, "drop")
         part = TaskContext.get().partitionId()
         seen = np.zeros(window, np.int64)
         full = 0

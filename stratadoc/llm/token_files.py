@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stratadoc.llm.common import narrow, ready, slices
-from stratadoc.llm.tokens import WordwiseEncoder
+from stratadoc.llm.tokens import process_encoder
 from stratadoc.session import shared_folder
 
 MAGIC = 0x52455041
@@ -36,8 +36,16 @@ SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, data binary"
 DOCUMENT_SCHEMA = "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
+#: Size of the table that finds the pairs chosen in a round.
+TABLE_BITS = 16
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+
+
 def repair(
-    ids: np.ndarray, lengths: np.ndarray, vocabulary: int, rounds: int = 10, least: int = 4, per_round: int = 2048
+    ids: np.ndarray, lengths: np.ndarray, vocabulary: int, rounds: int = 8, least: int = 4, per_round: int = 4096
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``left, right`` sides of the rules, the symbols, and the number of symbols of each document.
 
@@ -56,32 +64,37 @@ def repair(
         pairs = (symbols[:-1] << 32) | symbols[1:]
         pairs[first[1:]] = -1
         kinds, counts = np.unique(pairs, return_counts=True)
-        counts[kinds < 0] = 0
-        often = np.flatnonzero(counts >= least)
+        often = np.flatnonzero((counts >= least) & (kinds >= 0))
         if len(often) == 0:
             break
-        if len(often) > per_round:
-            often = often[np.argsort(-counts[often], kind="stable")[:per_round]]
-        chosen = np.sort(kinds[often])
-        rule = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        hit = chosen[rule] == pairs
+        often = often[np.argsort(-counts[often], kind="stable")[:per_round]]
+        # A small table finds the chosen pairs; of pairs that fall together the most frequent one stays,
+        # and the others have their turn in a later round.
+        slot = _slots(kinds[often])
+        often = often[np.unique(slot, return_index=True)[1]]
+        chosen = kinds[often]
+        table = np.full(1 << TABLE_BITS, -1, np.int64)
+        table[_slots(chosen)] = np.arange(len(chosen))
+        rule = table[_slots(pairs)]
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
+        same = chosen[rule] == pairs[at]
+        at, rule = at[same], rule[same]
         # Within a run of overlapping places, every second one is left out.
-        place = np.arange(len(hit))
-        opened = hit & ~np.concatenate([[False], hit[:-1]])
-        begin = np.maximum.accumulate(np.where(opened, place, 0))
-        hit &= (place - begin) % 2 == 0
-        uses = np.bincount(rule[hit], minlength=len(chosen))
-        hit &= uses[rule] >= 2
-        keep = np.flatnonzero(uses >= 2)
-        if len(keep) == 0:
+        opened = np.ones(len(at), bool)
+        opened[1:] = np.diff(at) != 1
+        number = np.arange(len(at))
+        even = (number - np.maximum.accumulate(np.where(opened, number, 0))) % 2 == 0
+        at, rule = at[even], rule[even]
+        uses = np.bincount(rule, minlength=len(chosen))
+        kept = uses >= 2
+        at, rule = at[kept[rule]], rule[kept[rule]]
+        if len(at) == 0:
             break
-        number = np.full(len(chosen), -1, np.int64)
-        number[keep] = total + np.arange(len(keep))
-        left.append(chosen[keep] >> 32)
-        right.append(chosen[keep] & 0xFFFFFFFF)
-        total += len(keep)
-        at = np.flatnonzero(hit)
-        symbols[at] = number[rule[at]]
+        left.append(chosen[kept] >> 32)
+        right.append(chosen[kept] & 0xFFFFFFFF)
+        symbols[at] = total + (np.cumsum(kept) - 1)[rule]
+        total += int(kept.sum())
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         symbols, first = symbols[stay], first[stay]
@@ -171,7 +184,7 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
     """Shards of documents ``(doc_id, text)`` in ascending order of ``doc_id``."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordwiseEncoder(tokenizer, "lead")
+        encoder = process_encoder(tokenizer, "lead")
         part = TaskContext.get().partitionId()
         seq, held, names = 0, [], []
 

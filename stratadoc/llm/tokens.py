@@ -4,32 +4,58 @@ from __future__ import annotations
 
 import gc
 import re
+import sys
+import types
 from itertools import chain
 
 import numpy as np
 
 from stratadoc.llm.common import ragged
 
-#: A cut at a space is unsafe inside a run of white space and at the end of one.
-_UNSAFE = re.compile(r"\s \s|\s $|\0")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_MARKS = r"!-&(-/:-@\[-`{-~"
+#: Pieces that hold only these characters split into words in a known way; apostrophes are left out, as
+#: they may begin a contraction, and so is all else, which the library itself splits.
+_RUN = rf"(?:[{_LETTERS}]++|[0-9]++|[{_MARKS}]++)"
+_PLAIN = {"lead": re.compile(rf" ?{_RUN}(?:\n?{_RUN})*+"), "drop": re.compile(rf"\n?{_RUN}(?:\n?{_RUN})*+")}
+_WORD = {
+    "lead": re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n"),
+    "drop": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+"),
+}
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable character that stands for each byte in byte-level vocabularies.
+
+    Printable bytes of Latin-1 stand for themselves, the others are numbered from 256 on; so a space is
+    U+0120 and a line end U+010A.
+    """
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
 
 
 class WordwiseEncoder:
-    """Ids of texts, worked out once per distinct word of a task.
+    """Ids of texts, worked out once per distinct word.
 
     The tokenizers named below split a text into words before they merge anything, so a text's ids are
-    those of its pieces, one after the other. Texts are cut at single spaces only; the library encodes
-    every distinct piece. A text in which such a cut could change the words is encoded as a whole.
+    those of its pieces, one after the other. Texts are cut at single spaces only. A new piece of plain
+    letters, digits and marks is cut into words here, and the library's model merges each distinct word;
+    any other piece is encoded by the whole library. A text in which a cut at a space could change the
+    words is encoded as a whole.
 
     ``spaces="lead"``: a space belongs to the word after it (byte-level vocabularies).
-    ``spaces="drop"``: white space only separates (vocabularies with word ends).
+    ``spaces="drop"``: white space only separates, case is folded (vocabularies with word ends).
     """
 
-    def __init__(self, path: str, spaces: str, most_words: int = 400_000) -> None:
+    def __init__(self, path: str, spaces: str, most_words: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        self._library.encode_special_tokens = True  # their strings in a text are ordinary text
         self._lead = spaces == "lead"
+        self._plain, self._word = _PLAIN[spaces], _WORD[spaces]
+        self._letters = _byte_letters()
         self._most = most_words
         self._forget()
 
@@ -37,53 +63,105 @@ class WordwiseEncoder:
         self._known: dict[str, int] = {}
         self._pool = [np.zeros(0, np.uint32)]
         self._lengths = [np.zeros(0, np.int64)]
+        self._unsafe = [np.zeros(0, bool)]
 
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces as keys: with leading spaces, the first piece is marked as the one without a space."""
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces as they stand in a text."""
+        out: list[list[int]] = []
+        other: list[int] = []
+        merged: dict[str, list[int]] = {}
+        known, merge, words, plain = merged.get, self._library.model.tokenize, self._word.findall, self._plain.fullmatch
+        for number, piece in enumerate(pieces):
+            if not plain(piece):
+                other.append(number)
+                out.append([])
+                continue
+            ids: list[int] = []
+            for word in words(piece if self._lead else piece.lower()):
+                found = known(word)
+                if found is None:
+                    if word.isascii():
+                        shown = "\u0120" + word[1:] if word[0] == " " else "\u010a" if word == "\n" else word
+                    else:
+                        shown = word.encode().decode("latin-1").translate(self._letters)
+                    found = merged[word] = [token.id for token in merge(shown)]
+                ids = ids + found if ids else found
+            out.append(ids)
+        encoded = self._library.encode_batch_fast([pieces[n] for n in other], add_special_tokens=False)
+        for number, e in zip(other, encoded):
+            out[number] = e.ids
+        return out
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of pieces, each new one encoded first."""
+        found = list(map(self._known.get, pieces))
+        new = list(dict.fromkeys(piece for piece, number in zip(pieces, found) if number is None))
+        if new:
+            # With leading spaces, the first piece of a text is marked as the one without a space.
+            ids = self._ids([x[1:] if x[:1] == "\0" else " " + x for x in new] if self._lead else new)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._pool.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+            self._lengths.append(lengths)
+            self._unsafe.append(np.array([x in ("", "\0") or x[-1].isspace() or "\0" in x[1:] for x in new]))
+            at = len(self._known)
+            self._known.update(zip(new, range(at, at + len(new))))
+            found = map(self._known.__getitem__, pieces)
+        return np.fromiter(found, np.int64, len(pieces))
+
+    def _cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces, and the number of pieces of each text."""
+        mark = "\0" if self._lead else ""
+        cut = [(mark + (text or "")).split(" ") for text in texts]
+        counts = np.array([len(c) for c in cut], np.int64)
+        numbers = self._numbers(list(chain.from_iterable(cut)))
         if not self._lead:
-            return text.split(" ")
-        if _UNSAFE.search(text):
-            return ["\0" + text]
-        first, *rest = text.split(" ")
-        return ["\0" + first, *rest]
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = [x for x in dict.fromkeys(pieces) if x not in self._known]
-        if not new:
-            return
-        if self._lead:
-            plain = [x[1:] if x[:1] == "\0" else " " + x for x in new]
-        else:
-            plain = new
-        found = [e.ids for e in self._library.encode_batch_fast(plain, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self._pool.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())))
-        self._lengths.append(lengths)
-        at = len(self._known)
-        self._known.update(zip(new, range(at, at + len(new))))
+            return numbers, counts
+        # A piece that ends in white space, or an empty one, may be part of a run that was cut.
+        unsafe = np.concatenate(self._unsafe)
+        self._unsafe = [unsafe]
+        doubtful = np.flatnonzero(np.bincount(np.repeat(np.arange(len(cut)), counts), unsafe[numbers], len(cut)))
+        if len(doubtful) == 0:
+            return numbers, counts
+        whole = [self._library.encode(texts[t] or "", add_special_tokens=False).ids for t in doubtful.tolist()]
+        # Such a text is one piece for this call only.
+        first = len(self._known) + len(self._extra)
+        self._extra += whole
+        parts = np.split(numbers, np.cumsum(counts)[:-1])
+        for k, t in enumerate(doubtful.tolist()):
+            parts[t] = np.array([first + k])
+        counts[doubtful] = 1
+        return np.concatenate(parts), counts
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text. ``end_id`` follows every text."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self._known) > self._most:
+            self._forget()
+        self._extra: list[list[int]] = []
         collecting = gc.isenabled()
         gc.disable()  # millions of short-lived strings, no cycles
         try:
-            if len(self._known) > self._most:
-                self._forget()
-            cut = [self._pieces(t or "") for t in texts]
-            pieces = list(chain.from_iterable(cut))
-            self._learn(pieces)
+            word, pieces = self._cut(texts)
         finally:
             if collecting:
                 gc.enable()
-        if len(self._pool) > 1:
-            self._pool, self._lengths = [np.concatenate(self._pool)], [np.concatenate(self._lengths)]
-        lengths = self._lengths[0]
+        self._pool, self._lengths = [np.concatenate(self._pool)], [np.concatenate(self._lengths)]
+        extra = np.array([len(x) for x in self._extra], np.int64)
+        pool = np.concatenate([self._pool[0], np.fromiter(chain.from_iterable(self._extra), np.uint32, int(extra.sum()))])
+        lengths = np.concatenate([self._lengths[0], extra])
         starts = np.cumsum(lengths) - lengths
-        word = np.fromiter(map(self._known.__getitem__, pieces), np.int64, len(pieces))
-        ids = self._pool[0][ragged(starts[word], lengths[word])]
-        last = np.cumsum([len(x) for x in cut], dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(lengths[word])])[last] if len(texts) else last
+        ids = pool[ragged(starts[word], lengths[word])]
+        ends = np.concatenate([[0], np.cumsum(lengths[word])])[np.cumsum(pieces)]
         counts = np.diff(ends, prepend=0)
         if end_id is None:
             return ids, counts
         return np.insert(ids, ends, np.uint32(end_id)), counts + 1
+
+
+def process_encoder(path: str, spaces: str) -> WordwiseEncoder:
+    """The encoder of this worker process, kept between tasks, since later tasks meet the same words."""
+    held = sys.modules.setdefault("stratadoc_encoders", types.ModuleType("stratadoc_encoders")).__dict__
+    if (path, spaces) not in held:
+        held[path, spaces] = WordwiseEncoder(path, spaces)
+    return held[path, spaces]
