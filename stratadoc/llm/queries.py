@@ -17,6 +17,7 @@ from stratadoc.llm import (
     url_rules,
 )
 from stratadoc.llm.common import ready
+from stratadoc.llm.oracle import ORACLE as ORACLE
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,4 +77,3 @@ QUERIES = {
         op6_disclosure, op7_language, op8_suffix_dedup, op9_toxicity, op10_minmax_dups,
     )
 }
-ORACLE: dict[str, str] = {}
