@@ -24,7 +24,14 @@ _ENTITIES = (
     ("&copy;", "©"),
     ("&middot;", "·"),
 )
-_NUMERIC = r"^(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"
+_NUMERIC = r"^(?:[xX]0*([0-9a-fA-F]*)|0*([0-9]*));"
+_NUMBER = r"^(?:[xX][0-9a-fA-F]+|[0-9]+);"
+# What references to 128 .. 159 stand for; the gaps stand for themselves.
+_WINDOWS_1252 = (
+    "\u20ac\u0081\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u008d\u017d\u008f"
+    "\u0090\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u009d\u017e\u0178"
+)
+_NAMED = r"&(?!(?:nbsp|lt|gt|quot|apos|copy|middot|amp);)[A-Za-z][A-Za-z0-9]*;"
 
 
 def _numeric_references(text: Column) -> Column:
@@ -33,10 +40,18 @@ def _numeric_references(text: Column) -> Column:
     def decode(piece: Column) -> Column:
         hexa = F.regexp_extract(piece, _NUMERIC, 1)
         deci = F.regexp_extract(piece, _NUMERIC, 2)
-        code = F.when(hexa != "", hexa).otherwise(F.hex(F.nullif(deci, F.lit("")).cast("long")))
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        tail = F.regexp_replace(piece, _NUMERIC, "")
-        return F.when((hexa != "") | (deci != ""), F.concat(char, tail)).otherwise(
+        number = F.when(F.lower(F.substring(piece, 1, 1)) == "x", F.conv(F.substring(hexa, 1, 7), 16, 10)).otherwise(
+            F.substring(deci, 1, 8)
+        )
+        # Seven hex or eight decimal digits are beyond the last character anyway.
+        code = F.coalesce(F.nullif(number, F.lit("")).try_cast("long"), F.lit(0))
+        none = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        safe = F.when(none, F.lit(0xFFFD)).otherwise(code)
+        char = F.when(
+            safe.between(128, 159), F.substring(F.lit(_WINDOWS_1252), (safe - 127).cast("int"), F.lit(1))
+        ).otherwise(F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
+        tail = F.regexp_replace(piece, _NUMBER, "")
+        return F.when(F.regexp_like(piece, F.lit(_NUMBER)), F.concat(char, tail)).otherwise(
             F.concat(F.lit("&#"), piece)
         )
 
@@ -52,13 +67,18 @@ def _unescape_all(texts: pd.Series) -> pd.Series:
 
 
 def unescape(c, all_names: bool = False) -> Column:
-    """Decode entities; ``all_names`` takes the full HTML 5 list, at the price of a Python stage."""
-    text = col(c)
-    if all_names:
-        return _unescape_all(text)
+    """Decode entities; with ``all_names`` the full HTML 5 list.
+
+    Only texts that hold a name beyond the usual ones go through the Python stage, which sees null
+    instead of the others.
+    """
+    whole = text = col(c)
     for name, char in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    return F.replace(_numeric_references(text), F.lit("&amp;"), F.lit("&"))
+    text = F.replace(_numeric_references(text), F.lit("&amp;"), F.lit("&"))
+    if all_names:
+        text = F.coalesce(_unescape_all(F.when(F.regexp_like(whole, F.lit(_NAMED)), whole)), text)
+    return text
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -70,20 +90,20 @@ def clean_text(c) -> Column:
     """Readable text of a page: no script, style or noscript bodies, one trimmed piece per line."""
     text = F.regexp_replace(col(c), _JUNK, "\n")
     text = F.regexp_replace(F.regexp_replace(text, _COMMENT, "\n"), _TAG, "\n")
-    return _pieces(unescape(text), "\\n|  ")
+    return _pieces(unescape(text, all_names=True), "\\n|  ")
 
 
 def plain_text(c) -> Column:
     """All text nodes of a fragment, trimmed, one per line."""
     text = F.regexp_replace(F.regexp_replace(col(c), _COMMENT, "\u0001"), _TAG, "\u0001")
-    parts = F.transform(F.split(text, "\u0001"), lambda p: strip(unescape(p)))
+    parts = F.transform(F.split(unescape(text, all_names=True), "\u0001"), lambda p: strip(p))
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
 
 
 def page_title(c, default: str = "Untitled") -> Column:
     raw = F.regexp_extract(col(c), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
     has_title = F.regexp_like(col(c), F.lit(r"(?i)<title\b"))
-    return F.when(has_title, unescape(raw)).otherwise(F.lit(default))
+    return F.when(has_title, unescape(raw, all_names=True)).otherwise(F.lit(default))
 
 
 def article_title(c, default: str = fv.DEFAULT_TITLE) -> Column:

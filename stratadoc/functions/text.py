@@ -17,8 +17,8 @@ def strip(c) -> Column:
 
 
 def tokens(c) -> Column:
-    """Lower-cased runs of ``[a-z0-9]``; all other characters, accented letters too, separate."""
-    return F.array_remove(F.split(F.lower(col(c)), "[^a-z0-9]+"), "")
+    """Lower-cased runs of letters and digits of any script; all other characters separate."""
+    return F.array_remove(F.split(F.lower(col(c)), r"[^\p{L}\p{N}]+"), "")
 
 
 def filename(path, ordinal) -> Column:

@@ -18,11 +18,11 @@ from stratadoc.functions.vectors import normalise
 def hashed_vector(text, dim: int = fv.EMBED_DIM, unit: bool = True) -> Column:
     """Token counts per bucket, divided by their norm unless ``unit`` is off.
 
-    Tokens are lower-cased runs of ``[a-z0-9]``; the bucket is the number in the first eight hex digits
+    Tokens are lower-cased runs of letters and digits of any script; the bucket is the number in the first eight hex digits
     of the token's md5, modulo the dimension. Built-in functions can say this only by passing over all
     tokens once per bucket, which took about twenty times as long, hence Arrow batches.
     """
-    token = re.compile("[a-z0-9]+")
+    token = re.compile(r"[^\W_]+")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 SAMPLE_PER_RANGE = 20
-ONE_TASK_ROWS = 20_000
+MOST_RANGES = 1_000
 
 
 def dense_index(
@@ -14,24 +14,21 @@ def dense_index(
     name: str,
     first: int = 1,
     ranges: int | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Number rows ``first, first + 1, ...`` by ``order``, whose columns together must be unique.
 
     Range limits are taken from a small sample and written into the plan as constants, so a recomputed
     task cuts the rows in the same way. Each range numbers its rows on its own and adds the count of
-    all earlier ranges. A hot leading value is cut by the later columns. A table counted at
-    ``one_task_rows`` or fewer is numbered in one task.
+    all earlier ranges. A hot leading value is cut by the later columns. There are at
+    most ``MOST_RANGES`` ranges, so what is sampled and written into the plan stays small.
     """
     spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
     wanted = ranges * SAMPLE_PER_RANGE
     keys = df.select(F.struct(*order).alias("_key"))
     total = keys.count()
-    if total <= one_task_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") + F.lit(first - 1))
-    share = min(1.0, wanted / total)
-    # The sample only balances the ranges; any limits give the same numbers. At most a few thousand.
+    share = min(1.0, wanted / max(total, 1))
+    # The sample only balances the ranges; any limits give the same numbers.
     sample = [r["_key"] for r in keys.sample(share, seed=7).sort("_key").limit(2 * wanted).collect()]
     step = max(1, len(sample) // ranges)
     limits = sample[step::step]

@@ -233,17 +233,24 @@ def rate_limit(
     slice_windows: int = SLICE_WINDOWS,
     span_slices: int = SPAN_SLICES,
 ) -> DataFrame:
-    """``event_id, key, allowed``: the first ``limit`` requests of each window pass, by (time, id)."""
+    """``event_id, key, allowed``: the first ``limit`` requests of each window pass, by (time, id).
+
+    A request without client or time cannot be counted; it is returned with ``allowed`` null.
+    """
     marked = windows(events, key, ts, window_seconds, slice_windows, span_slices)
     # The sum runs over ticks, not requests.
     earlier = Window.partitionBy("key", "window_start").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     left = F.lit(limit) - F.coalesce(F.sum("n").over(earlier), F.lit(0))
     ticks = durable(marked.select("key", "ts", "n", left.alias("_left")))
-    requests = events.select(
+    every = events.select(
         F.col(event_id).alias("event_id"),
         F.col(key).alias("key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"),
     )
+    requests = every.where("key is not null and ts is not null")
+    unknown = every.where("key is null or ts is null").select(
+        "event_id", "key", F.lit(None).cast("boolean").alias("allowed")
+    )
     split = (F.col("_left") > 0) & (F.col("n") > F.col("_left"))
     plain = requests.join(ticks.where(~split), ["key", "ts"]).select(
         "event_id", "key", (F.col("_left") > 0).alias("allowed")
@@ -260,6 +267,6 @@ def rate_limit(
     mixed = shared.join(passed, "event_id", "left").select(
         "event_id", "key", F.coalesce("_pass", F.lit(False)).alias("allowed")
     )
-    return plain.unionByName(mixed).select(
+    return plain.unionByName(mixed).unionByName(unknown).select(
         F.col("event_id").alias(event_id), F.col("key").alias(key), "allowed"
     )

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from stratadoc import fixed_values as fv
 from stratadoc.functions.html import clean_text
 from stratadoc.operators.chunking import chunk, enrich, recursive_chunks
 from stratadoc.operators.embedding import embed_hashed
-from stratadoc.operators.graph import expand_directed
-from stratadoc.operators.planning import answer_source, normalise_plans, route
+from stratadoc.operators.graph import expand_directed, expand_undirected, graph_tool_text
+from stratadoc.operators.planning import answer_source, dispatch, normalise_plans, route, run_tools
 from stratadoc.operators.prompts import answer_prompt
 from stratadoc.operators.retrieval import (
     documents_per_question,
@@ -17,7 +19,7 @@ from stratadoc.operators.retrieval import (
     merge_contexts,
     vector_contexts,
 )
-from stratadoc.operators.vector_search import cache_lookup, vector_topk
+from stratadoc.operators.vector_search import cache_lookup, search_tool_text, vector_topk
 from stratadoc.session import durable
 from stratadoc.sources.writers import POINT_KEY, vector_points
 
@@ -39,18 +41,43 @@ def page_contexts(questions: DataFrame, points: DataFrame, k: int = fv.SEARCH_LI
     return hits.join(cited, "point_id").select("question_id", "rank", "score", "text")
 
 
+def search_tools(points: DataFrame, nodes: DataFrame, edges: DataFrame, entities: Callable) -> dict[str, Callable]:
+    """The search tools by name: functions from ``(question_id, tool_text)`` to ``(question_id, result)``.
+
+    ``entities`` gives ``question_id, pos, entity`` for such rows, as a model or a rule finds them.
+    """
+
+    def vector_search(rows: DataFrame) -> DataFrame:
+        asked = rows.select("question_id", F.col("tool_text").alias("text"))
+        hits = vector_topk(embed_hashed(asked), points, k=fv.TOOL_SEARCH_LIMIT)
+        return search_tool_text(asked, hits, points, question_id="question_id", item_id="point_id")
+
+    def graph_search(rows: DataFrame) -> DataFrame:
+        named = durable(entities(rows))
+        found = expand_undirected(named.where("entity is not null"), nodes, edges)
+        return graph_tool_text(rows, named, found)
+
+    return {"vector_search": vector_search, "graph_search": graph_search}
+
+
+def whole_text(rows: DataFrame) -> DataFrame:
+    """The tool's text taken as one entity; the graph's full-text lookup picks the names in it."""
+    return rows.select("question_id", F.lit(0).alias("pos"), F.col("tool_text").alias("entity"))
+
+
 def answer_prompts(
     questions: DataFrame,
     points: DataFrame,
     cache: DataFrame,
     nodes: DataFrame,
     edges: DataFrame,
+    entities: Callable = whole_text,
 ) -> DataFrame:
     """Prompts of questions ``(question_id, question, plan)`` that the cache cannot answer.
 
-    Cache lookup, plan normalisation and routing give a state table; hybrid retrieval and prompt build
-    on it. A row whose plan names a tool keeps an empty document list, since its source is the tool's
-    message.
+    Cache lookup, plan normalisation and routing give a state table. Rows whose plan names a tool get
+    the tool's output as a message, the others the contexts of the hybrid retrieval; the prompt builds
+    on either.
     """
     embedded = embed_hashed(questions.select("question_id", F.col("question").alias("text")))
     hits = cache_lookup(embedded, cache)
@@ -66,8 +93,12 @@ def answer_prompts(
         graph_contexts(expand_directed(asked, nodes, edges), question_id="question_id"),
         question_id="question_id",
     )
+    dispatched = dispatch(planned.where(F.col("route") == "tool"))
+    outputs = run_tools(dispatched, search_tools(points, nodes, edges, entities))
+    messages = outputs.select("question_id", F.array(F.struct("role", "content")).alias("messages"))
+    state = documents_per_question(planned, contexts, question_id="question_id").join(messages, "question_id", "left")
     none = F.array().cast("array<struct<role:string,content:string>>")
-    state = documents_per_question(planned, contexts, question_id="question_id").withColumn("messages", none)
+    state = state.withColumn("messages", F.coalesce("messages", none))
     return answer_source(state).select(
         "question_id", "route", "current_query", "documents", answer_prompt().alias("prompt")
     )

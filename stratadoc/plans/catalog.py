@@ -270,9 +270,9 @@ def graph_enforced(spark, folder) -> DataFrame:
 
 
 def graph_rule_extract(spark, folder) -> DataFrame:
-    """Links between longer words of the reference passages, found in the documents' chunks."""
+    """Links between the words of the reference passages, found in the documents' chunks."""
     words = table(spark, folder, "benchmark").select(F.explode(tx.tokens("text")).alias("token"))
-    gazetteer = words.where(F.length("token") >= 8).distinct().withColumn("type", F.lit("Concept"))
+    gazetteer = words.distinct().withColumn("type", F.lit("Concept"))
     chunks = chunk_fixed(spark, folder)
     found = graph.gazetteer_extraction(chunks, gazetteer, ["doc_id", "chunk_index"])
     return graph.explode_edges(found).groupBy("source", "target", "type").agg(F.count("*").alias("chunks"))
@@ -314,7 +314,7 @@ def feedback_append(spark, folder) -> DataFrame:
 
 def cache_put(spark, folder) -> DataFrame:
     rows = inputs.answered(spark, folder).withColumn("hit", F.lit(False))
-    return write_back.new_cache_rows(rows).select(
+    return write_back.new_cache_rows(rows, order=("conv_id", "turn")).select(
         "entry_id", "query", "answer", F.round(F.array_max("embedding"), 9).alias("peak")
     )
 
@@ -322,8 +322,7 @@ def cache_put(spark, folder) -> DataFrame:
 def message_state(spark, folder) -> DataFrame:
     """Turns as steps: messages add up, other fields keep the last value set."""
     t = inputs.turns(spark, folder)
-    recent = conversation.last_turns(t, "session_id", ["turn"], 6)
-    steps = recent.select(
+    steps = t.select(
         "session_id",
         F.col("turn").alias("seq"),
         F.array(F.struct("role", "content")).alias("messages"),
@@ -428,7 +427,7 @@ def notification_rows(spark, folder) -> DataFrame:
         s3 = F.struct(F.struct(F.lit(bucket).alias("name")).alias("bucket"), F.struct(key.alias("key")).alias("object"))
         return F.struct(s3.alias("s3"))
 
-    path = F.substring(tx.url_path("url"), 2, 10_000)
+    path = F.substr(tx.url_path("url"), F.lit(2))
     payload = F.to_json(F.struct(F.array(record("docs", path), record("copies", path)).alias("Records")))
     return readers.notification_rows(pages.select("page_id", payload.alias("payload")), "payload", "page_id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratadoc.functions.text import filename, url_path
-from stratadoc.operators.conversation import last_turns, message_lists
+from stratadoc.operators.conversation import message_lists
 from stratadoc.operators.graph import explode_edges, explode_nodes, merge_edges, merge_nodes, parse_extraction
 from stratadoc.session import durable
 from stratadoc.sources.readers import spread
@@ -76,7 +76,7 @@ def answered(spark, folder) -> DataFrame:
 
 def plan_texts(asked: DataFrame) -> DataFrame:
     """``question, plan``: the JSON a model gives for a question; the text's length picks the kind."""
-    head = F.substring("text", 1, 80)
+    head = F.col("text")
     kind = F.length("text") % 6
     lit = F.lit
 
@@ -89,7 +89,7 @@ def plan_texts(asked: DataFrame) -> DataFrame:
             kind == 1,
             plan(
                 action=lit("tool_use"), refined_query=head, tool_choice=lit(" graph_search "),
-                tool_input=F.concat(lit("  "), F.substring("question_id", 1, 20), lit(" ")),
+                tool_input=F.concat(lit("  "), "question_id", lit(" ")),
             ),
         )
         .when(kind == 2, plan(action=lit("tool_use"), refined_query=head, tool_choice=lit("vector_search")))
@@ -101,14 +101,13 @@ def plan_texts(asked: DataFrame) -> DataFrame:
 
 
 def tool_states(spark, folder) -> DataFrame:
-    """Per conversation its last six turns as messages; every third turn is a tool's output."""
+    """Per conversation all turns as messages; every third turn is a tool's output."""
     t = turns(spark, folder)
     marked = F.when(
         F.col("turn") % 3 == 1, F.concat(F.lit("Tool Output:  "), "content", F.lit("\n"))
     ).otherwise(F.col("content"))
-    recent = last_turns(t.withColumn("content", marked), "session_id", ["turn"], 6)
-    packed = message_lists(recent, "session_id", ["turn"])
-    conv = F.substring("session_id", 2, 30).cast("long")
+    packed = message_lists(t.withColumn("content", marked), "session_id", ["turn"])
+    conv = F.substr("session_id", F.lit(2)).cast("long")
     return packed.select(
         "session_id",
         "messages",

@@ -34,7 +34,7 @@ WS = "(" + " || ".join(f"chr({ord(c)})" for c in fv.WHITESPACE) + ")"
 
 
 def _tokens(text: str) -> str:
-    return f"list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda t: t <> '')"
+    return f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
 def _embedded(name: str, source: str, key: str, text: str) -> str:
@@ -143,17 +143,17 @@ hybrid AS (SELECT question_id, branch, rank, text FROM found
 _HYBRID_ALL = f"WITH {_TURNS}, {_GRAPH}, {_CHUNKS}, {_bm25('eq', 'question_id', 'text')}, {_DIRECTED}, {_HYBRID}"
 
 _PLANS = """
-plans AS (SELECT question_id, text AS question, length(text) % 6 AS kind, substr(text, 1, 80) AS head FROM questions),
+plans AS (SELECT question_id, text AS question, length(text) % 6 AS kind, text AS head FROM questions),
 normal AS (SELECT question_id,
   CASE WHEN kind IN (0, 1, 2) THEN head ELSE question END AS current_query,
   CASE kind WHEN 0 THEN 'look it up' WHEN 1 THEN 'Planning completed.' WHEN 2 THEN 'Planning completed.'
     WHEN 3 THEN 'Planning completed.' ELSE 'Error in planning, defaulting to retrieval.' END AS plan_steps,
   CASE kind WHEN 1 THEN 'graph_search' WHEN 2 THEN 'vector_search' ELSE '' END AS tool_choice,
-  CASE kind WHEN 1 THEN substr(question_id, 1, 20) WHEN 2 THEN head ELSE '' END AS tool_input FROM plans)"""
+  CASE kind WHEN 1 THEN question_id WHEN 2 THEN head ELSE '' END AS tool_input FROM plans)"""
 
 _STATES = f"""
 recent AS (SELECT *, CASE WHEN turn % 3 = 1 THEN 'Tool Output:  ' || content || chr(10) ELSE content END AS marked
-  FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= {fv.CHAT_HISTORY_LIMIT}),
+  FROM turns),
 states AS (SELECT session_id, conv_id,
     string_agg(role || ': ' || marked, chr(10) ORDER BY turn) AS lines,
     arg_max(content, turn) FILTER (turn % 3 = 1) AS last_output,
@@ -248,7 +248,7 @@ FROM marked"""
 
 
 _GAZ = f"""
-gaz AS (SELECT DISTINCT t AS token FROM (SELECT unnest({_tokens('text')}) AS t FROM benchmark) WHERE length(t) >= 8),
+gaz AS (SELECT DISTINCT t AS token FROM (SELECT unnest({_tokens('text')}) AS t FROM benchmark)),
 words AS (SELECT doc_id, chunk_index, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos
   FROM (SELECT doc_id, chunk_index, {_tokens('text')} AS ts FROM chunks)),
 firsts AS (SELECT doc_id, chunk_index, token, min(pos) AS pos FROM words JOIN gaz USING (token) GROUP BY ALL),
@@ -324,13 +324,12 @@ SELECT session_id, (count(*) + 1)::INTEGER AS n_messages, string_agg(role || ':
     "feedback_append": """SELECT * FROM (SELECT 's' || doc_id AS session_id, 'u' || (doc_id % 10) AS user_id, doc_id AS message_id,
   CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality = 0 THEN -1 ELSE 0 END AS score,
   CASE WHEN toxic = 1 THEN 'toxic' END AS comment FROM labels) WHERE score <> 0""",
-    "cache_put": f"""WITH {_TURNS}, kept AS (SELECT question, arg_max(answer, question_id) AS answer FROM answered
-  WHERE answer <> '' GROUP BY question), {_embedded('kv', 'kept', 'question', 'question')}
+    "cache_put": f"""WITH {_TURNS}, kept AS (SELECT question, answer FROM answered WHERE answer <> ''
+  QUALIFY row_number() OVER (PARTITION BY question ORDER BY conv_id DESC, turn DESC) = 1), {_embedded('kv', 'kept', 'question', 'question')}
 SELECT md5(question) AS entry_id, question AS query, answer, round(list_max(v), 9) AS peak FROM kept JOIN kv ON k = question""",
-    "message_state": f"""WITH {_TURNS},
-recent AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= {fv.CHAT_HISTORY_LIMIT})
+    "message_state": f"""WITH {_TURNS}
 SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS lines,
-  arg_max(content, turn) FILTER (role = 'user') AS current_query FROM recent GROUP BY session_id""",
+  arg_max(content, turn) FILTER (role = 'user') AS current_query FROM turns GROUP BY session_id""",
     "plan_normalise": f"WITH {_TURNS}, {_PLANS} SELECT * FROM normal",
     "route": f"""WITH {_TURNS}, {_PLANS} SELECT question_id, CASE WHEN tool_choice <> '' THEN 'tool' ELSE 'retriever' END AS route,
   CASE WHEN tool_choice <> '' THEN tool_choice ELSE 'unknown' END AS branch, tool_choice AS tool_name,

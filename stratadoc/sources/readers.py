@@ -10,14 +10,18 @@ from stratadoc.functions.text import col, extension, filename
 from stratadoc.schemas import DOC_META, NOTIFICATION, RAW_FILE
 
 
+#: A scan with as many tasks, a few GB, is left as it is however many cores there are.
+SMALL_SCAN_TASKS = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan dealt out to all cores, if the scan itself has fewer tasks than there are cores.
+    """Rows of a small scan dealt out to the cores.
 
-    Small files with one row group are read by one task, which then also does all work per row. A scan
-    with more tasks than cores, as of any large table, is left alone.
+    A small file with one row group is read by one task, which then also does all work per row. Any
+    larger scan is left alone, so that no large table is shuffled with its texts.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, SMALL_SCAN_TASKS)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def read_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = fv.ACCEPTED_SUFFIXES) -> DataFrame:
@@ -47,15 +51,18 @@ def stream_files(
     )
 
 
+PARSED = ("html", "htm", "txt")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Documents from raw files: HTML is cleaned, text is taken as it is.
 
     The id is the md5 of the content, so the same file is the same document wherever it comes from.
-    Layout formats enter as an elements table instead and are left out here.
+    Bytes that are no UTF-8 become U+FFFD. Files that give no document are in :func:`parse_errors`.
     """
     name = filename("path", F.lit(0))
     kind = F.lower(extension(name))
-    raw = F.decode("content", "UTF-8")
+    raw = F.make_valid_utf8(F.col("content").cast("string"))
     is_html = kind.isin("html", "htm")
     meta = F.struct(
         name.alias("filename"),
@@ -65,13 +72,25 @@ def parse_files(files: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("table_count"),
         F.lit(None).cast("int").alias("char_count"),
     ).cast(DOC_META)
-    return files.where(kind.isin("html", "htm", "txt")).select(
+    return files.where(kind.isin(*PARSED)).select(
         F.md5("content").alias("doc_id"),
         F.when(is_html, clean_text(raw)).otherwise(raw).alias("text"),
         meta.alias("meta"),
     )
 
 
+def parse_errors(files: DataFrame) -> DataFrame:
+    """``path, _error`` of files that :func:`parse_files` leaves out or had to mend.
+
+    Layout formats enter as an elements table instead.
+    """
+    kind = F.lower(extension(filename("path", F.lit(0))))
+    error = F.when(~kind.isin(*PARSED), F.concat(F.lit("not parsed: "), kind)).when(
+        ~F.is_valid_utf8(F.col("content").cast("string")), F.lit("not UTF-8")
+    )
+    return files.select("path", error.alias("_error")).where(F.col("_error").isNotNull())
+
+
 def notification_rows(df: DataFrame, payload: str = "payload", *keep: str) -> DataFrame:
     """One ``bucket, key`` row per record of an upload notification."""
     records = F.from_json(col(payload), NOTIFICATION)["Records"]

@@ -11,8 +11,8 @@ from stratadoc.operators.chunking import chunk, enrich, recursive_chunks
 from stratadoc.operators.embedding import embed_hashed
 from stratadoc.operators.graph import explode_edges, explode_nodes, merge_edges, merge_nodes
 from stratadoc.session import durable
-from stratadoc.sources.keyed_log import append_batch, newest, read_batches
-from stratadoc.sources.readers import parse_files
+from stratadoc.sources.keyed_log import append_batch, read_batches
+from stratadoc.sources.readers import parse_errors, parse_files
 from stratadoc.sources.writers import POINT_KEY, vector_points
 
 
@@ -24,12 +24,18 @@ def ingest_batch(
     embed: Callable[[DataFrame], DataFrame] = embed_hashed,
     extract: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
-    """One batch of files to ``root/vectors``, ``root/nodes`` and ``root/edges``.
+    """One batch of files to ``root/vectors``, ``root/nodes``, ``root/edges`` and ``root/errors``.
+
+    An empty batch writes nothing. An edge that an earlier batch stored is not stored again, and an
+    edge's end points may come from any batch up to this one.
 
     ``embed`` adds an ``embedding`` column; ``extract`` turns chunks into
     ``doc_id, chunk_index, extraction`` rows. Chunks are checkpointed, since both branches read them.
     """
     spark = files.sparkSession
+    if files.isEmpty():
+        return
+    append_batch(parse_errors(files), f"{root}/errors", batch_id)
     chunks = durable(chunk(parse_files(files), recursive_chunks("text")))
     named = enrich(chunks, clock=False).withColumn("filename", F.col("meta.filename"))
     points = vector_points(embed(named.dropDuplicates(list(POINT_KEY))))
@@ -40,8 +46,14 @@ def ingest_batch(
     order = ["doc_id", "chunk_index"]
     nodes = merge_nodes(explode_nodes(extracted, order))
     append_batch(nodes, f"{root}/nodes", batch_id)
-    known = newest(read_batches(spark, f"{root}/nodes", nodes, before=batch_id + 1), "name")
-    append_batch(merge_edges(explode_edges(extracted), known), f"{root}/edges", batch_id)
+    edges = explode_edges(extracted)
+    # Only the batch's own end points are looked up; stored nodes are neither folded nor shuffled whole.
+    ends = edges.select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    stored = read_batches(spark, f"{root}/nodes", nodes, before=batch_id + 1).select("name")
+    known = ends.join(stored, "name", "left_semi")
+    merged = merge_edges(edges, known)
+    before = read_batches(spark, f"{root}/edges", merged, before=batch_id)
+    append_batch(merged.join(before, ["source", "target", "type"], "left_anti"), f"{root}/edges", batch_id)
 
 
 def start_ingest(files: DataFrame, root: str, checkpoint: str, available_now: bool = True, **steps) -> StreamingQuery:

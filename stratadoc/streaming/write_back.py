@@ -24,10 +24,10 @@ def history_turns(answered: DataFrame) -> DataFrame:
     )
 
 
-def new_cache_rows(answered: DataFrame, embed=hashed_vector) -> DataFrame:
-    """Entries of questions that were not answered from the cache; the last answer per question wins."""
+def new_cache_rows(answered: DataFrame, embed=hashed_vector, order: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """Entries of questions that were not answered from the cache; the last answer by ``order`` wins."""
     fresh = answered.where(~F.col("hit") & (F.coalesce("answer", F.lit("")) != ""))
-    last = fresh.groupBy("question").agg(F.max_by("answer", "question_id").alias("answer"))
+    last = fresh.groupBy("question").agg(F.max_by("answer", F.struct(*order)).alias("answer"))
     return cache_entries(last, lambda q: as_double(embed(q)), "question", "answer")
 
 

@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def embed(text):
     v = np.zeros(64)
-    for token in re.findall("[a-z0-9]+", text.lower()):
+    for token in re.findall(r"[^\W_]+", text.lower()):
         v[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 64] += 1
     return v / (np.linalg.norm(v) or 1)
 
@@ -60,8 +60,8 @@ def test_recursive_chunks_of_whole_documents(spark):
 
 
 def test_answer_prompts_end_to_end(spark):
-    texts = [("p1", "the scheduler places pods on nodes", "a.txt"), ("p2", "a volume stores data", "b.txt")]
-    points = embed_hashed(spark.createDataFrame(texts, "point_id string, text string, filename string"))
+    texts = [("p1", "the scheduler places pods on nodes", "a.txt", 0), ("p2", "a volume stores data", "b.txt", 0)]
+    points = embed_hashed(spark.createDataFrame(texts, "point_id string, text string, filename string, page int"))
     cache = embed_hashed(spark.createDataFrame([("e", "known question here", "known answer")], "entry_id string, text string, answer string"))
     nodes = spark.createDataFrame([("scheduler", "Concept"), ("kubelet", "Concept")], "name string, type string")
     edges = spark.createDataFrame([("scheduler", "kubelet", "RELATES_TO")], "source string, target string, type string")
@@ -71,12 +71,24 @@ def test_answer_prompts_end_to_end(spark):
             ("find", "who places pods", '{"action":"retrieve","refined_query":"scheduler places pods"}'),
             ("tool", "what is 1+1", '{"action":"tool_use","tool_choice":"calculator","tool_input":"1+1"}'),
             ("bad", "a volume", "not json"),
+            ("vector", "stored data", '{"action":"tool_use","tool_choice":"vector_search"}'),
+            ("graph", "tell me", '{"action":"tool_use","tool_choice":"graph_search","tool_input":"the scheduler"}'),
+            ("none", "tell me", '{"action":"tool_use","tool_choice":"graph_search","tool_input":"nobody"}'),
         ],
         "question_id string, question string, plan string",
     )
     rows = {r["question_id"]: r for r in answer.answer_prompts(asked, points, cache, nodes, edges).collect()}
-    assert set(rows) == {"find", "tool", "bad"}
-    assert {k: r["route"] for k, r in rows.items()} == {"find": "retriever", "tool": "tool", "bad": "retriever"}
+    tools = {"tool", "vector", "graph", "none"}
+    assert {k: r["route"] for k, r in rows.items()} == {k: "tool" if k in tools else "retriever" for k in tools | {"find", "bad"}}
+    outputs = {
+        "tool": "Unknown tool requested.",
+        "vector": "- Content: a volume stores data... [Source: b.txt, Page: 0]\n- Content: the scheduler places pods on nodes... [Source: a.txt, Page: 0]",
+        "graph": '[{"source":"scheduler","rel":"RELATES_TO","target":"kubelet"}]',
+        "none": fv.NO_CONNECTIONS,
+    }
+    for name, output in outputs.items():
+        asked_text = {"tool": "what is 1+1", "vector": "stored data"}.get(name, "tell me")
+        assert rows[name]["prompt"] == fv.ANSWER_PROMPT.format(label="tool output", content=output, question=asked_text)
     found = ["the scheduler places pods on nodes [Source: a.txt]", "a volume stores data [Source: b.txt]", "scheduler RELATES_TO kubelet"]
     assert rows["find"]["documents"] == found
     assert rows["find"]["prompt"] == fv.ANSWER_PROMPT.format(

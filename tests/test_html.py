@@ -64,3 +64,17 @@ def test_article_rules_in_order(spark):
 def test_simple_pages_stay_in_the_jvm(spark):
     df = spark.createDataFrame([(0, "<article>a</article>")], "page_id int, html string")
     assert extract_articles(df).where(F.col("article") == "a").count() == 1
+
+
+def test_references_of_all_kinds(spark):
+    cases = {
+        "&#x20AC;&#x000020ac;&#8364;&#0008364;": "€€€€",
+        "&#9999999;&#xD800;&#0;&#xFFFFFFFFFF;&#99999999999999999999;": "\ufffd" * 5,
+        "&#128;&#x9f;&#150;": "€Ÿ–",
+        "&#;&#x;&#xg;&# 1;": "&#;&#x;&#xg;&# 1;",
+        "&eacute;&ndash;&amp;eacute;": "é–&eacute;",
+        "&lt;b&gt;&amp;&copy;&unknown;": "<b>&©&unknown;",
+    }
+    for text, wanted in cases.items():
+        assert value(spark, f"<p>{text}</p>", clean_text("html")) == wanted
+        assert value(spark, f"<title>{text}</title>", page_title("html")) == wanted

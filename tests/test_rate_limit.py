@@ -69,3 +69,9 @@ def test_sparse_client_over_many_spans(spark):
         slice_windows=2, span_slices=8,
     )
     assert {r["event_id"]: r["allowed"] for r in got.collect()} == expected
+
+
+def test_requests_without_client_or_time_are_returned(spark):
+    rows = [(1, "a", 0), (2, None, 5), (3, "a", None), (4, None, None)]
+    out = rate_limit(frame(spark, rows), key="client", ts="ts", event_id="event_id", limit=1, window_seconds=WINDOW)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", True), (2, None, None), (3, "a", None), (4, None, None)]

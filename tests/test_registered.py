@@ -22,7 +22,8 @@ def duck():
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"chunk_recursive", "page_contexts", "answer_prompts"}
+    own = {name for name in set(QUERIES) - set(SQL) if name != "pipeline" and not name.startswith("op")}
+    assert own == {"chunk_recursive", "page_contexts", "answer_prompts"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

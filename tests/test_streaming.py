@@ -30,18 +30,22 @@ def test_arrivals_are_ingested_once(spark, tmp_path):
     (source / "a.html").write_text("<p>alpha beta</p>")
     (source / "skip.log").write_text("alpha")
     run()
-    (source / "b.txt").write_text("beta and gamma")
+    (source / "b.txt").write_text("alpha, beta and gamma")
+    (source / "c.pdf").write_bytes(b"%PDF")
+    (source / "d.txt").write_bytes(b"caf\xe9")
     run()
     run()
     vectors = spark.read.parquet(f"{root}/vectors")
-    assert sorted(r["filename"] for r in vectors.collect()) == ["a.html", "b.txt"]
+    assert sorted(r["filename"] for r in vectors.collect()) == ["a.html", "b.txt", "d.txt"]
     nodes = newest(spark.read.parquet(f"{root}/nodes"), "name")
     assert sorted(r["name"] for r in nodes.collect()) == ["alpha", "beta", "gamma"]
-    edges = spark.read.parquet(f"{root}/edges").select("source", "target").distinct()
+    edges = spark.read.parquet(f"{root}/edges").select("source", "target")
     assert sorted(tuple(r) for r in edges.collect()) == [("alpha", "beta"), ("beta", "gamma")]
+    errors = spark.read.parquet(f"{root}/errors").collect()
+    assert sorted((r["path"][-5:], r["_error"]) for r in errors) == [("c.pdf", "not parsed: pdf"), ("d.txt", "not UTF-8")]
     # A replayed batch leaves everything as it was.
     before = sorted(map(str, vectors.collect()))
-    files = spark.read.format("binaryFile").load(str(source / "b.txt"))
+    files = spark.read.format("binaryFile").load([str(source / name) for name in ("b.txt", "c.pdf", "d.txt")])
     arrivals.ingest_batch(files, 1, root, extract=extract)
     assert sorted(map(str, spark.read.parquet(f"{root}/vectors").collect())) == before
 
