@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratadoc import fixed_values as fv
@@ -147,7 +149,7 @@ def number_slugs(df: DataFrame, url: str = "url", seq: str = "seq") -> DataFrame
     """
     base = df.withColumn("_slug", slug(url))
     first = base.groupBy("_slug").agg(F.min(seq).alias("_first"))
-    marked = base.join(first, "_slug").withColumn("_met", F.col(seq) > F.col("_first"))
+    marked = durable(base.join(first, "_slug").withColumn("_met", F.col(seq) > F.col("_first")))
     # Rows that could meet a generated name: the numbered row must exist, be earlier and be renamed.
     suffix = r"^(.*)_([0-9]{1,18})$"
     suspects = marked.where(~F.col("_met") & F.regexp_like("_slug", F.lit(suffix))).select(
@@ -158,7 +160,7 @@ def number_slugs(df: DataFrame, url: str = "url", seq: str = "seq") -> DataFrame
     extra = None
     renamed = marked.where("_met").select(F.col("_slug").alias("_from"), F.col(seq).cast("long").alias("_by"))
     while extra is not None or not suspects.isEmpty():
-        hit = suspects.join(renamed, ["_from", "_by"]).where(F.col("_by") < F.col("_seq")).select("_seq")
+        hit = durable(suspects.join(renamed, ["_from", "_by"]).where(F.col("_by") < F.col("_seq")).select("_seq"))
         if hit.isEmpty():
             break
         extra = hit if extra is None else extra.unionByName(hit)
@@ -178,9 +180,9 @@ def extract_articles(pages: DataFrame, html: str = "html", default_title: str =
     """Add ``title`` and ``article``; only pages with nested candidates pass through Python."""
     titled = pages.withColumn("title", article_title(html, default_title))
     nested = F.coalesce(needs_nesting(html), F.lit(False))
-    simple = titled.where(~nested).withColumn("article", article_html(html))
-    hard = titled.where(nested).withColumn("article", article_html_nested(html))
-    return simple.unionByName(hard)
+    # One scan: the Python stage sees null instead of the simple pages.
+    hard = article_html_nested(F.when(nested, F.col(html)))
+    return titled.withColumn("article", F.when(nested, hard).otherwise(article_html(html)))
 
 
 def rendered(title="title", url="url", body="body") -> Column:
@@ -197,9 +199,22 @@ def rendered_markdown(title="title", url="url", body="body") -> Column:
 
 
 def build_corpus(attempted: DataFrame, pages: DataFrame, n: int = fv.TARGET_PAGES) -> DataFrame:
-    """``seq, slug, url, title, text`` of the first ``n`` attempts whose page has an article."""
-    named = number_slugs(attempted)
-    found = extract_articles(named.join(pages.select("url", "html"), "url"))
-    good = found.where(F.col("article").isNotNull()).orderBy("seq").limit(n)
-    body = good.withColumn("body", plain_text("article"))
-    return body.select("seq", "slug", "url", "title", rendered().alias("text"))
+    """``seq, slug, url, title, text`` of the first ``n`` attempts whose page has an article.
+
+    Pages are parsed in rounds of growing size until ``n`` have an article, so that no more than a few
+    times the pages that are wanted are parsed unless most of them fail.
+    """
+    named = durable(number_slugs(attempted))
+    last = named.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    done, bound, count, rounds = 0, 2 * n, 0, []
+    while done < last and count < n:
+        tried = named.where((F.col("seq") > done) & (F.col("seq") <= bound))
+        found = extract_articles(tried.join(pages.select("url", "html"), "url"))
+        body = found.where(F.col("article").isNotNull()).withColumn("body", plain_text("article"))
+        rounds.append(durable(body.select("seq", "slug", "url", "title", rendered().alias("text"))))
+        count += rounds[-1].count()
+        done, bound = bound, 4 * bound
+    if not rounds:
+        empty = named.join(pages.select("url", "html"), "url").where(F.lit(False))
+        return empty.select("seq", "slug", "url", F.lit("").alias("title"), F.lit("").alias("text"))
+    return reduce(DataFrame.unionByName, rounds).orderBy("seq").limit(n)

@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 QUESTION_BLOCK = 8_192
 ITEM_BLOCK = 65_536
-BROADCAST_HITS = 500_000
 
 
 def _result(kernel, schema: pa.Schema) -> pa.RecordBatch:
@@ -48,8 +47,7 @@ def scan_topk(
     """Rows ``(question_id, item_id, score, rank)``, ordered by score desc, item id asc.
 
     ``make_kernel(question_table)`` builds an object with ``update(record_batch)`` and ``best()``.
-    ``question_rows`` and ``question_bytes`` are the measured size of the question side, which the caller
-    may have persisted.
+    ``question_rows`` and ``question_bytes`` are the measured size of the question side.
     """
     spark = items.sparkSession
     qtype = questions.schema[question_id].dataType
@@ -68,7 +66,6 @@ def scan_topk(
 
     if question_bytes <= broadcast_bytes:
         shared = spark.sparkContext.broadcast(questions.toArrow())
-        questions.unpersist()
 
         def scan(batches):
             kernel = None
@@ -107,7 +104,4 @@ def scan_topk(
 
     # The rank filter lets Spark prune to k rows per question before the shuffle as well.
     best_first = Window.partitionBy(question_id).orderBy(F.desc("score"), F.asc(item_id))
-    hits = local.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
-    # There are at most k hits per question. If that is few, what they are joined to (payload, edges,
-    # answers) should not be shuffled for their sake.
-    return F.broadcast(hits) if question_rows * k <= BROADCAST_HITS else hits
+    return local.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)

@@ -11,6 +11,7 @@ from stratadoc.functions.text import cited_excerpt
 from stratadoc.functions.vectors import present
 from stratadoc.operators.kernels import CosineKernel
 from stratadoc.operators.ranked_scan import BROADCAST_BYTES, scan_topk
+from stratadoc.session import durable
 
 
 def drop_missing_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -46,11 +47,12 @@ def vector_topk(
     for name, value in (filters or {}).items():
         items = items.where(F.col(name) == F.lit(value))
     extra = [match_on] if match_on else []
-    # Kept while it is measured and then collected or cut into blocks, so that it is worked out once.
-    questions = drop_missing_vectors(questions, vector).select(question_id, vector, *extra).persist()
+    # Written, since it is measured and then collected or cut into blocks.
+    questions = durable(drop_missing_vectors(questions, vector).select(question_id, vector, *extra))
     items = drop_missing_vectors(items, vector).select(item_id, vector, *extra)
+    text_bytes = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in (question_id, *extra)), F.lit(0))
     size = questions.agg(
-        F.count("*").alias("rows"), F.sum(F.size(vector).cast("long") * 8 + 32).alias("bytes")
+        F.count("*").alias("rows"), F.sum(F.size(vector).cast("long") * 8 + 32 + text_bytes).alias("bytes")
     ).first()
     kernel = partial(
         CosineKernel,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,9 +20,10 @@ from stratadoc.operators.retrieval import citations as cite, graph_contexts, mer
 from stratadoc.operators.vector_search import cache_lookup, drop_missing_vectors, search_tool_text, vector_topk as topk
 from stratadoc.plans import answer, inputs
 from stratadoc.plans.inputs import table
-from stratadoc.session import durable
+from stratadoc.session import durable, shared_folder
 from stratadoc.sources import readers, writers
 from stratadoc.streaming import events as feed, write_back
+from stratadoc.streaming.dedupe import drop_repeats
 
 RATE = {"limit": 3, "window_seconds": 86_400}
 PAGE_SECTIONS = (("/en/", "en"), ("/fr/", "fr"), ("/de/", "de"), ("/es/", "es"))
@@ -114,8 +116,8 @@ def expand_undirected(spark, folder) -> DataFrame:
     return graph.expand_undirected(asked, nodes, edges)
 
 
-def _chunk_points(spark, folder):
-    docs = inputs.documents(spark, folder).select("doc_id", "filename", "text")
+def _chunk_points(spark, folder, *keep):
+    docs = inputs.documents(spark, folder).select("doc_id", "filename", "text", *keep)
     chunks = chunking.chunk(docs, chunking.fixed_windows("text"))
     return embed_hashed(
         chunks.withColumn("point_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
@@ -319,6 +321,12 @@ def cache_put(spark, folder) -> DataFrame:
     )
 
 
+def history_write_back(spark, folder) -> DataFrame:
+    """Both turns of every answered question, as they go back into the history."""
+    rows = inputs.answered(spark, folder).withColumn("user_id", F.concat(F.lit("u"), F.col("conv_id") % 10))
+    return write_back.history_turns(rows)
+
+
 def message_state(spark, folder) -> DataFrame:
     """Turns as steps: messages add up, other fields keep the last value set."""
     t = inputs.turns(spark, folder)
@@ -368,6 +376,22 @@ def prompt_plan(spark, folder) -> DataFrame:
     return q.select("question_id", tx.history_lines("messages").alias("prompt"))
 
 
+def hyde_search(spark, folder) -> DataFrame:
+    """Chunks near the paragraph that the stand-in writes for a question, or near the question itself."""
+    q = inputs.questions(spark, folder).withColumn("prompt", prompts.hyde_prompt("text"))
+    asked = complete(q, _stub, "prompt", mode="PERMISSIVE")
+    written = asked.select("question_id", prompts.hyde_query("completion", "text").alias("text"))
+    hits = topk(embed_hashed(written.where("text <> ''")), _chunk_points(spark, folder))
+    return hits.select("question_id", "point_id", "rank", "score")
+
+
+def document_filters(spark, folder) -> DataFrame:
+    """Chunks of documents of one language and source only."""
+    points = _chunk_points(spark, folder, "lang", "source")
+    hits = topk(embed_hashed(inputs.questions(spark, folder)), points, filters={"lang": "fr", "source": "src0"})
+    return hits.select("question_id", "point_id", "rank", "score")
+
+
 def hyde_query(spark, folder) -> DataFrame:
     """Where no paragraph was written, the question itself is searched."""
     q = inputs.questions(spark, folder)
@@ -395,12 +419,17 @@ def completion_apply(spark, folder) -> DataFrame:
 
 
 def query_rewrite(spark, folder) -> DataFrame:
-    """Rewriting with the stand-in: untouched without history or after a failure."""
+    """Rewriting over a question's own earlier turns; untouched without any or after a failure."""
     q = inputs.questions(spark, folder)
-    asked = complete(q, _stub, "text", mode="PERMISSIVE")
-    history = F.when(F.col("turn") > 1, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    t = inputs.turns(spark, folder).select("conv_id", F.col("turn").alias("at"), "role", "content")
+    earlier = q.select("question_id", "conv_id", "turn").join(t, "conv_id").where("at < turn")
+    recent = conversation.last_turns(earlier, "question_id", ["at"], fv.CHAT_HISTORY_LIMIT)
+    history = conversation.message_lists(recent, "question_id", ["at"]).withColumnRenamed("messages", "history")
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    state = q.join(history, "question_id", "left").withColumn("history", F.coalesce("history", none))
+    asked = complete(state.withColumn("prompt", prompts.rewrite_prompt("history", "text")), _stub, "prompt", mode="PERMISSIVE")
     return asked.select(
-        "question_id", prompts.rewritten_query(history, "text", "completion").alias("query")
+        "question_id", prompts.rewritten_query("history", "text", "completion").alias("query")
     )
 
 
@@ -432,6 +461,30 @@ def notification_rows(spark, folder) -> DataFrame:
     return readers.notification_rows(pages.select("page_id", payload.alias("payload")), "payload", "page_id")
 
 
+def sitemap_urls(spark, folder) -> DataFrame:
+    """Page addresses written as a sitemap to the shared folder and read back."""
+    path = f"{shared_folder(spark)}/sitemaps/{uuid.uuid4().hex}"
+    pages = table(spark, folder, "pages").select(F.col("url").alias("loc"))
+    pages.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return readers.read_sitemap(spark, path).select("url")
+
+
+def repeated_content(spark, folder) -> DataFrame:
+    """Documents arriving as a stream: each content once, as long as the watermark holds it."""
+    root = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    docs = table(spark, folder, "documents").select("text")
+    docs.write.parquet(f"{root}/arrivals")
+    arriving = spark.readStream.schema(docs.schema).parquet(f"{root}/arrivals")
+    # All of one time, which has to lie above the first watermark.
+    seen = drop_repeats(arriving.withColumn("at", F.timestamp_seconds(F.lit(10**9))), "text", "at")
+    query = (
+        seen.select("content_id").writeStream.format("parquet").option("path", f"{root}/rows")
+        .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("content_id string").parquet(f"{root}/rows")
+
+
 def _pages_urls(spark, folder):
     return table(spark, folder, "pages").select(F.col("page_id").alias("pos"), "url")
 
@@ -525,6 +578,6 @@ QUERIES = {
         history_window, history_append, feedback_append, cache_put, message_state, plan_normalise, route,
         tool_output, prompt_answer, prompt_rewrite, prompt_graph, prompt_plan, hyde_query, completion_apply,
         query_rewrite, ndjson_events, notification_rows, url_filter, url_unique, slug, section_counts,
-        quota_select, manifest, render_text, corpus_build, object_key, rate_limit, rate_limit_default, rate_counts,
+        quota_select, sitemap_urls, repeated_content, hyde_search, document_filters, history_write_back, manifest, render_text, corpus_build, object_key, rate_limit, rate_limit_default, rate_counts,
     )
 }

@@ -125,7 +125,7 @@ def page_files(spark, folder) -> DataFrame:
 
 def documents(spark, folder) -> DataFrame:
     """Documents with a file name."""
-    docs = table(spark, folder, "documents", "doc_id", "source", "text")
+    docs = table(spark, folder, "documents", "doc_id", "source", "lang", "text")
     return docs.withColumn(
         "filename", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     )
@@ -205,8 +205,8 @@ def graph_payloads(spark, folder) -> DataFrame:
 
 
 def extractions(spark, folder) -> DataFrame:
-    """Extractions parsed from their JSON."""
-    return parse_extraction(graph_payloads(spark, folder)).select(*GRAPH_ORDER, "extraction")
+    """Extractions parsed from their JSON, written since nodes and edges both read them."""
+    return durable(parse_extraction(graph_payloads(spark, folder)).select(*GRAPH_ORDER, "extraction"))
 
 
 def graph(spark, folder) -> tuple[DataFrame, DataFrame]:

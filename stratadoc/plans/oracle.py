@@ -140,6 +140,11 @@ found AS (SELECT question_id, 0 AS branch, rank, text || ' [Source: ' || filenam
 hybrid AS (SELECT question_id, branch, rank, text FROM found
   QUALIFY row_number() OVER (PARTITION BY question_id, text ORDER BY branch, rank) = 1)"""
 
+_NEAREST = f"""
+nearest AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, point_id) AS rank FROM (
+  SELECT qv.k AS question_id, cv.k AS point_id, floor(list_inner_product(qv.v, cv.v) * 1e9 + 0.5) / 1e9 AS score FROM qv, cv)
+  QUALIFY rank <= {fv.SEARCH_LIMIT})"""
+
 _HYBRID_ALL = f"WITH {_TURNS}, {_GRAPH}, {_CHUNKS}, {_bm25('eq', 'question_id', 'text')}, {_DIRECTED}, {_HYBRID}"
 
 _PLANS = """
@@ -351,8 +356,32 @@ FROM questions""",
     "completion_apply": f"""WITH {_TURNS} SELECT question_id, CASE WHEN length(text) % 7 = 0 THEN NULL
   WHEN length(text) % 5 = 0 THEN '' ELSE 're: ' || md5(text) END AS completion,
   CASE WHEN length(text) % 7 = 0 THEN 'no answer' END AS error FROM questions""",
-    "query_rewrite": f"""WITH {_TURNS} SELECT question_id, CASE WHEN turn <= 1 OR length(text) % 7 = 0 THEN text
-  WHEN length(text) % 5 = 0 THEN '' ELSE 're: ' || md5(text) END AS query FROM questions""",
+    "query_rewrite": f"""WITH {_TURNS},
+past AS (SELECT q.question_id, t.turn, t.role || ': ' || t.content AS line
+  FROM questions q JOIN turns t ON t.conv_id = q.conv_id AND t.turn < q.turn
+  QUALIFY row_number() OVER (PARTITION BY q.question_id ORDER BY t.turn DESC) <= {fv.CHAT_HISTORY_LIMIT}),
+lines AS (SELECT question_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM past GROUP BY question_id),
+asked AS (SELECT question_id, text, history, {_filled(fv.REWRITE_PROMPT, history="coalesce(history, '')", question='text')} AS p
+  FROM questions LEFT JOIN lines USING (question_id))
+SELECT question_id, CASE WHEN history IS NULL OR length(p) % 7 = 0 THEN text
+  WHEN length(p) % 5 = 0 THEN '' ELSE 're: ' || md5(p) END AS query FROM asked""",
+    "hyde_search": f"""WITH {_TURNS}, {_CHUNKS},
+hp AS (SELECT question_id, text, {_filled(fv.HYDE_PROMPT, question='text')} AS p FROM questions),
+hq AS (SELECT question_id, CASE WHEN length(p) % 7 = 0 THEN text ELSE 're: ' || md5(p) END AS text
+  FROM hp WHERE length(p) % 7 = 0 OR length(p) % 5 <> 0),
+cp AS (SELECT doc_id || '-' || chunk_index AS point_id, text FROM chunks),
+{_embedded('cv', 'cp', 'point_id', 'text')}, {_embedded('qv', 'hq', 'question_id', 'text')}, {_NEAREST}
+SELECT question_id, point_id, rank, score FROM nearest""",
+    "document_filters": f"""WITH {_TURNS}, {_CHUNKS},
+cp AS (SELECT doc_id || '-' || chunk_index AS point_id, text FROM chunks WHERE doc_id IN
+  (SELECT doc_id FROM documents WHERE lang = 'fr' AND source = 'src0')),
+{_embedded('cv', 'cp', 'point_id', 'text')}, {_embedded('qv', 'questions', 'question_id', 'text')}, {_NEAREST}
+SELECT question_id, point_id, rank, score FROM nearest""",
+    "history_write_back": f"""WITH {_TURNS}, parts AS (SELECT *, unnest([0, 1]) AS part FROM answered WHERE answer <> '')
+SELECT question_id, session_id, 'u' || (conv_id % 10) AS user_id, part, CASE WHEN part = 0 THEN 'user' ELSE 'assistant' END AS role,
+  CASE WHEN part = 0 THEN question ELSE answer END AS content FROM parts""",
+    "sitemap_urls": "SELECT url FROM pages",
+    "repeated_content": "SELECT DISTINCT md5(text) AS content_id FROM documents",
     "ndjson_events": f"""WITH {_TURNS}, parts AS (
   SELECT session_id, turn AS seq, 0 AS part, CASE WHEN role = 'system'
     THEN '{{"type":"error","content":"{fv.INTERNAL_ERROR}"}}'
