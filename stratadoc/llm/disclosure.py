@@ -40,6 +40,7 @@ PATTERNS = {
 #: A character without which a kind cannot occur.
 SIGNS = {"email": "@", "ip": ".", "phone": "+"}
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
+_ORDERED = "array<struct<start:int,end:int,kind:string>>"
 
 
 def matches(text: Column, pattern: Column, kind: str) -> Column:
@@ -180,14 +181,16 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns, with spans of ``text`` replaced by the name of their kind in brackets."""
     ready(docs.sparkSession)
-    columns = docs.columns
     own = narrow(docs, doc_id=doc_id, text=text)
     found = find_base(own)
-    terms = terms_of_documents(found, disclosing_terms(own, found)).select(F.col("doc_id").alias("_id"), F.col("terms").alias("_terms"))
-    whole = docs.join(terms, docs[doc_id] == terms["_id"], "left")
-    source = F.col(f"`{text}`")
-    spans = F.concat(base_spans(source), F.coalesce(term_spans(source, F.col("_terms")), F.array().cast(f"array<{SPAN}>")))
-    marked = whole.withColumn("_spans", F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"]))))
+    terms = terms_of_documents(found, disclosing_terms(own, found))
+    # The row travels as one value, so that none of its names can clash.
+    packed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    source = F.col("row").getField(text)
+    added = F.coalesce(term_spans(source, F.col("terms")), F.array().cast(f"array<{SPAN}>"))
+    spans = F.concat(base_spans(source), added)
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    marked = packed.join(terms, "doc_id", "left").select("row", F.coalesce(ordered, F.array().cast(_ORDERED)).alias("spans"))
 
     def replace(state: Column, span: Column) -> Column:
         fresh = span["start"] >= state["at"]
@@ -197,5 +200,6 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = F.length(source) + 1
-    replaced = F.aggregate("_spans", zero, replace, lambda s: F.concat(s["out"], F.substring(source, s["at"] + 1, rest)))
-    return marked.withColumn(text, F.when(F.size("_spans") > 0, replaced).otherwise(source)).select(*[f"`{c}`" for c in columns])
+    replaced = F.aggregate("spans", zero, replace, lambda s: F.concat(s["out"], F.substring(source, s["at"] + 1, rest)))
+    clean = F.when(F.size("spans") > 0, replaced).otherwise(source)
+    return marked.select(*[(clean if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

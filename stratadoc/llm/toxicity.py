@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratadoc.llm.common import narrow, ready, slices, text_bytes
 from stratadoc.llm.language import fold, training_rows
@@ -223,9 +223,8 @@ def learn(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, per_label: d
     return Model(buckets, weights, bias)
 
 
-def scores(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """All rows and columns with the score of the whole text."""
-    spark = docs.sparkSession
+def score(spark: SparkSession, model: Model, text: str = "text") -> Column:
+    """Score of a whole text as a column."""
     shared = spark.sparkContext.broadcast((model.lookup(), model.weights, model.bias))
 
     # The types tell Spark that batches come as an iterator; names in text could not be resolved here.
@@ -240,7 +239,7 @@ def scores(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     rate.__annotations__ = {"column": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(score, F.pandas_udf(rate, "double")(F.col(text)))
+    return F.pandas_udf(rate, "double")(F.col(text))
 
 
 def classify(
@@ -253,5 +252,5 @@ def classify(
     labels = narrow(labels, doc_id=doc_id, toxic=toxic)
     model = learn(docs, labels.where(fold("doc_id", folds) != held))
     held_out = F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out")
-    out = scores(docs, model)
+    out = docs.withColumn("score", score(docs.sparkSession, model))
     return out.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
