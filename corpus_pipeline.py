@@ -27,8 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold; learned as in the query of operator 9."""
     labels = narrow(ready(spark).read.parquet(f"{sf_dir}/labels.parquet"), doc_id="doc_id", toxic="toxic")
     model = toxicity.learn(narrow(docs, doc_id="doc_id", text="text"), labels.where(fold("doc_id", 4) != 2))
-    scored = toxicity.scores(docs, model, score="_score")
-    return scored.where(F.col("_score") < TOXIC_FROM).select(*[f"`{c}`" for c in docs.columns])
+    return docs.where(toxicity.score(spark, model) < TOXIC_FROM)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
