@@ -238,10 +238,14 @@ def rate_limit(
     A request without client or time cannot be counted; it is returned with ``allowed`` null.
     """
     marked = windows(events, key, ts, window_seconds, slice_windows, span_slices)
-    # The sum runs over ticks, not requests.
-    earlier = Window.partitionBy("key", "window_start").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    # Every tick is a request at least, so only the first ``limit`` ticks of a window can let one pass.
+    # The rank filter cuts a busy window in every task before it meets in one; the sum runs over the rest.
+    in_window = Window.partitionBy("key", "window_start").orderBy("ts")
+    first = marked.withColumn("_nth", F.row_number().over(in_window)).where(F.col("_nth") <= limit)
+    earlier = in_window.rowsBetween(Window.unboundedPreceding, -1)
     left = F.lit(limit) - F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    ticks = durable(marked.select("key", "ts", "n", left.alias("_left")))
+    open_ticks = first.select("key", "ts", "n", left.alias("_left")).where("_left > 0")
+    ticks = durable(open_ticks.select("key", "ts", "_left", (F.col("n") > F.col("_left")).alias("_split")))
     every = events.select(
         F.col(event_id).alias("event_id"),
         F.col(key).alias("key"),
@@ -251,12 +255,12 @@ def rate_limit(
     unknown = every.where("key is null or ts is null").select(
         "event_id", "key", F.lit(None).cast("boolean").alias("allowed")
     )
-    split = (F.col("_left") > 0) & (F.col("n") > F.col("_left"))
-    plain = requests.join(ticks.where(~split), ["key", "ts"]).select(
-        "event_id", "key", (F.col("_left") > 0).alias("allowed")
+    met = requests.join(ticks, ["key", "ts"], "left")
+    plain = met.where(~F.coalesce("_split", F.lit(False))).select(
+        "event_id", "key", F.col("_left").isNotNull().alias("allowed")
     )
     # Simultaneous requests of which only some pass: rank them by id, cut in every task to the limit.
-    shared = requests.join(ticks.where(split), ["key", "ts"])
+    shared = requests.join(ticks.where("_split"), ["key", "ts"])
     by_id = Window.partitionBy("key", "ts").orderBy("event_id")
     passed = (
         shared.withColumn("_n", F.row_number().over(by_id))

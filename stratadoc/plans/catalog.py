@@ -555,6 +555,12 @@ def rate_limit(spark, folder) -> DataFrame:
     return rl.rate_limit(table(spark, folder, "events"), key="user_id", ts="ts", event_id="event_id", **RATE)
 
 
+def rate_limit_sliced(spark, folder) -> DataFrame:
+    """The same decisions where every client spans many slices and spans."""
+    events = table(spark, folder, "events")
+    return rl.rate_limit(events, key="user_id", ts="ts", event_id="event_id", slice_windows=2, span_slices=3, **RATE)
+
+
 def rate_limit_default(spark, folder) -> DataFrame:
     """The default of 100 requests a minute, per type of event."""
     return rl.rate_limit(table(spark, folder, "events"), key="event_type", ts="ts", event_id="event_id")
@@ -578,6 +584,6 @@ QUERIES = {
         history_window, history_append, feedback_append, cache_put, message_state, plan_normalise, route,
         tool_output, prompt_answer, prompt_rewrite, prompt_graph, prompt_plan, hyde_query, completion_apply,
         query_rewrite, ndjson_events, notification_rows, url_filter, url_unique, slug, section_counts,
-        quota_select, sitemap_urls, repeated_content, hyde_search, document_filters, history_write_back, manifest, render_text, corpus_build, object_key, rate_limit, rate_limit_default, rate_counts,
+        quota_select, sitemap_urls, repeated_content, hyde_search, document_filters, history_write_back, manifest, render_text, corpus_build, object_key, rate_limit, rate_limit_sliced, rate_limit_default, rate_counts,
     )
 }

@@ -414,6 +414,7 @@ SELECT seq, slug, url, title, {_TXT} AS text FROM named JOIN plain USING (url) O
 SELECT page_id, filename, extension, 'uploads/u1/' || md5(url) || '.' || extension AS object_key,
   'rate_limit:' || page_id AS counter_key FROM e""",
     "rate_limit": _limited("user_id", RATE["limit"], RATE["window_seconds"]),
+    "rate_limit_sliced": _limited("user_id", RATE["limit"], RATE["window_seconds"]),
     "rate_limit_default": _limited("event_type", fv.RATE_LIMIT, fv.RATE_WINDOW_SECONDS),
     "rate_counts": f"""WITH {_windows('user_id', RATE['window_seconds'])}
 SELECT key AS user_id, window_start, count(*) AS requests FROM marked GROUP BY key, window_start""",
