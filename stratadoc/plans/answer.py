@@ -24,10 +24,10 @@ from stratadoc.session import durable
 from stratadoc.sources.writers import POINT_KEY, vector_points
 
 
-def index_pages(pages: DataFrame) -> DataFrame:
+def index_pages(pages: DataFrame, split: Callable = recursive_chunks) -> DataFrame:
     """Vector points of pages ``(filename, html)``: clean text, chunks, metadata, vectors."""
     texts = pages.select("filename", clean_text("html").alias("text"))
-    chunks = enrich(chunk(texts, recursive_chunks("text")), clock=False)
+    chunks = enrich(chunk(texts, split("text")), clock=False)
     # Copies of a chunk of one file are one point; they go before the costly step.
     return vector_points(embed_hashed(chunks.dropDuplicates(list(POINT_KEY))))
 

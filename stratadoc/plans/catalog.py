@@ -156,6 +156,12 @@ def page_contexts(spark, folder) -> DataFrame:
     return answer.page_contexts(inputs.questions(spark, folder), points)
 
 
+def page_contexts_fixed(spark, folder) -> DataFrame:
+    """The same path over fixed windows, which SQL can cut as well."""
+    points = durable(answer.index_pages(inputs.page_files(spark, folder), chunking.fixed_windows))
+    return answer.page_contexts(inputs.questions(spark, folder), points)
+
+
 def answer_prompts(spark, folder) -> DataFrame:
     """Cache, plan, route, hybrid retrieval and prompt; all pages are the corpus.
 
@@ -578,7 +584,7 @@ QUERIES = {
     for f in (
         vector_topk, vector_topk_filtered, vector_search_tool, semantic_cache_lookup, skip_missing_vectors,
         vector_upsert, entity_lookup, expand_directed, entity_list_parse, expand_undirected, hybrid_context,
-        retrieval_counts, citations, page_contexts, answer_prompts, html_text, article_text, plain_page_text,
+        retrieval_counts, citations, page_contexts, page_contexts_fixed, answer_prompts, html_text, article_text, plain_page_text,
         element_assembly, element_flatten, chunk_fixed, chunk_recursive, chunk_metadata_merge, chunk_enrich,
         dedupe_exact, embed_hashed_terms, graph_nodes, graph_edges, graph_enforced, graph_rule_extract,
         history_window, history_append, feedback_append, cache_put, message_state, plan_normalise, route,

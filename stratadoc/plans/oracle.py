@@ -296,6 +296,16 @@ FROM scored JOIN asks ON ask = k JOIN either ON source = name QUALIFY rank <= {f
     "citations": f"""WITH {_topk(3, 'true')} SELECT question_id,
   string_agg(source || '_' || doc_id || '.txt=' || md5(text), ';' ORDER BY rank) AS citations
 FROM hits JOIN documents ON doc_id = vec_id GROUP BY question_id""",
+    "page_contexts_fixed": f"""WITH {_TURNS},
+pt AS (SELECT page_id, CASE WHEN {_PATH} = '' THEN 'object_' || page_id ELSE regexp_extract({_PATH}, '([^/]*)$', 1) END AS filename,
+  {_cleaned(_unescaped(_STRIPPED), chr(92) + 'n|  ')} AS text FROM pages),
+pc AS (SELECT filename, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS chunk_index,
+    substr(text, CAST(i + 1 AS BIGINT), {fv.CHUNK_SIZE}) AS text
+  FROM (SELECT *, unnest(range(0, greatest(length(text) - {fv.CHUNK_OVERLAP}, 1), {fv.CHUNK_SIZE - fv.CHUNK_OVERLAP})) AS i FROM pt)
+  WHERE length(text) > 0),
+cp AS (SELECT DISTINCT md5(filename || chr(1) || chunk_index || chr(1) || md5(text)) AS point_id, filename, text FROM pc),
+{_embedded('cv', 'cp', 'point_id', 'text')}, {_embedded('qv', 'questions', 'question_id', 'text')}, {_NEAREST}
+SELECT question_id, rank, score, text || ' [Source: ' || filename || ']' AS text FROM nearest JOIN cp USING (point_id)""",
     "html_text": f"""SELECT page_id, {_unescaped(_RAW_TITLE)} AS title,
   {_cleaned(_unescaped(_STRIPPED), chr(92) + 'n|  ')} AS text FROM pages""",
     "article_text": f"WITH {_PAGES} SELECT page_id, title, article FROM parsed",
