@@ -86,7 +86,12 @@ GRAPH_PROMPT = """
             "edges": [{{"source": "Name", "target": "Name", "type": "RELATION"}}]
         }}
         """
-GRAPH_PROMPT_FRAME = ("\n                ", "\n\n                Input Text:\n                ", "\n                ")
+GRAPH_PROMPT_FRAME = """
+                {system}
+
+                Input Text:
+                {text}
+                """
 
 PLAN_PROMPT = """
 You are a RAG Planning Agent.

@@ -354,11 +354,11 @@ SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS
   {_filled(fv.ANSWER_PROMPT, label='source_label', content='source_content', question='current_query')} AS prompt FROM sourced""",
     "prompt_rewrite": f"""WITH {_TURNS}, {_STATES} SELECT session_id,
   {_filled(fv.REWRITE_PROMPT, history='lines', question='current_query')} AS prompt FROM states""",
-    "prompt_graph": f"""WITH {_CHUNKS} SELECT doc_id, chunk_index, {_text(
-        fv.GRAPH_PROMPT_FRAME[0]
-        + fv.GRAPH_PROMPT.format(labels=repr(fv.NODE_LABELS), relations=repr(fv.RELATION_TYPES))
-        + fv.GRAPH_PROMPT_FRAME[1]
-    )} || text || {_text(fv.GRAPH_PROMPT_FRAME[2])} AS prompt FROM chunks""",
+    "prompt_graph": f"""WITH {_CHUNKS} SELECT doc_id, chunk_index, {_filled(
+        fv.GRAPH_PROMPT_FRAME,
+        system=_text(fv.GRAPH_PROMPT.format(labels=repr(fv.NODE_LABELS), relations=repr(fv.RELATION_TYPES))),
+        text='text',
+    )} AS prompt FROM chunks""",
     "prompt_plan": f"""WITH {_TURNS} SELECT question_id, 'system: ' || {_text(fv.PLAN_PROMPT)} || chr(10) || 'user: ' || text AS prompt
 FROM questions""",
     "hyde_query": f"""WITH {_TURNS} SELECT question_id, CASE WHEN turn > 0 THEN md5({_filled(fv.HYDE_PROMPT, question='text')})

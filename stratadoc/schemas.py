@@ -4,30 +4,8 @@ RAW_FILE = "path string, modificationTime timestamp, length long, content binary
 DOC_META = (
     "struct<filename:string,type:string,title:string,has_tables:boolean,table_count:int,char_count:int>"
 )
-DOCUMENT = f"doc_id string, text string, meta {DOC_META}"
-CHUNK = f"doc_id string, chunk_index int, text string, meta {DOC_META}"
-VECTOR_POINT = "point_id string, embedding array<float>, text string, filename string, page int"
-NODE = "name string, type string"
-EDGE = "source string, target string, type string"
 EXTRACTION = (
     "nodes array<struct<id:string,type:string>>, "
     "edges array<struct<source:string,target:string,type:string>>"
 )
-HISTORY = (
-    "id long, session_id string, user_id string, role string, content string, "
-    "metadata_ map<string,string>, created_at timestamp"
-)
-FEEDBACK = "session_id string, user_id string, message_id long, score int, comment string"
-CACHE_ENTRY = "entry_id string, query string, answer string, embedding array<double>"
-MESSAGE = "role string, content string"
-AGENT_STATE = (
-    "question_id string, messages array<struct<role:string,content:string>>, documents array<string>, "
-    "current_query string, plan array<string>, tool_choice string, tool_input string"
-)
-PLAN = "action string, refined_query string, tool_choice string, tool_input string, reasoning string"
-EVENT = "type string, node string, content string, session_id string, info string"
-CHAT_REQUEST = "message string, session_id string, stream boolean, filters map<string,string>"
-CHAT_RESPONSE = "answer string, session_id string, citations array<map<string,string>>, latency_ms double"
-RETRIEVAL_RESULT = "content string, source string, score double, metadata map<string,string>"
 NOTIFICATION = "Records array<struct<s3:struct<bucket:struct<name:string>,object:struct<key:string>>>>"
-MANIFEST = "slug string, url string, title string"
