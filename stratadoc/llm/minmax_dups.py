@@ -3,15 +3,16 @@
 A document is the set of its distinct four-word shingles. Each of 64 permutations gives two signature
 values, the smallest and the largest permuted hash; 128 values make 32 bands of four. At a similarity of
 0.8 a pair misses every band with a probability below 1e-7. Documents with equal sets are one class and
-only its smallest id is banded. Links are confirmed on the full shingle sets, in three steps, since pairs
+only its smallest id is banded. Links are confirmed on the full shingle sets, in two steps, since pairs
 whose ends already hang together need no comparison:
 
 1. every member of a band bucket with the bucket's smallest one;
-2. every member with the one of another component whose signature is most like its own;
-3. all other pairs of different components whose signatures agree in ``LEAST_AGREEING`` of 128 values, each
-   in the first bucket that it shares. A pair at 0.8 agrees in fewer with a probability of about 1e-3.
+2. in buckets whose members still belong to different components, all pairs of different components whose
+   signatures agree in ``LEAST_AGREEING`` of 128 values, each pair in the first bucket that it shares, the
+   most alike first. A pair at 0.8 agrees in fewer with a probability of about 1e-3.
 
-Steps 2 and 3 compare signatures as arrays; large buckets are cut into blocks, each pair of blocks a task.
+Step 2 compares signatures and sets as arrays and gives only links that join components. Large buckets are
+cut into blocks, by members and by shingles, and each pair of blocks is a task.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; one to three words
 are one shingle; rows with the same id are one document; a row without an id is linked with nothing, its
@@ -38,6 +39,7 @@ BANDS = 32
 #: Of the 128 signature values; a similarity of 0.8 gives 102.4 on average, with a deviation of 4.5.
 LEAST_AGREEING = 88
 BLOCK_ROWS = 250
+BLOCK_SHINGLES = 1_000_000
 SLICE_BYTES = 4 << 20
 
 WORD_BYTES = np.ones(256, bool)
@@ -143,8 +145,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return durable(both.mapInArrow(compare, "a long, b long").distinct())
 
 
-def _alike(low: int, percent: int, best_only: bool):
-    """Contiguous groups of equal ``task`` to pairs ``a, b`` of different components worth a comparison."""
+def full_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rep, hashes`` of the wanted documents ``(rep, n)``: all shingles, in order. Stored."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                row, value = shingle_sets(batch.column("text"))
+                ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
+                sets = [value[x:y].tobytes() for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                # Of several rows with one id, the one that was banded.
+                fits = pa.array(np.diff(ends, prepend=0) == batch.column("n").to_numpy())
+                out = pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "hashes"])
+                yield out.filter(fits)
+
+    wanted = docs.withColumnRenamed("doc_id", "rep").join(reps, "rep").select("rep", "n", "text")
+    return durable(wanted.mapInArrow(collect, "rep long, hashes binary").dropDuplicates(["rep"]))
+
+
+def _joining_links(percent: int):
+    """Contiguous groups of equal ``task`` to links ``a, b`` between different components."""
 
     def group(rows: list[dict]) -> Iterator[tuple[int, int]]:
         one = rows[0]
@@ -152,7 +172,6 @@ def _alike(low: int, percent: int, best_only: bool):
         left, right = np.flatnonzero(side == one["low"]), np.flatnonzero(side == one["high"])
         if len(left) == 0 or len(right) == 0:
             return
-        rep = np.array([r["rep"] for r in rows])
         size = np.array([r["n"] for r in rows])
         component = np.array([r["component"] for r in rows])
         values = np.frombuffer(b"".join(r["values"] for r in rows), np.uint16).reshape(len(rows), -1)
@@ -162,20 +181,29 @@ def _alike(low: int, percent: int, best_only: bool):
             agreeing += values[left, v][:, None] == values[right, v][None, :]
         apart = component[left][:, None] != component[right][None, :]
         a, b = size[left][:, None], size[right][None, :]
-        agreeing[~(apart & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)))] = 0
-        if best_only:
-            for own, other, found in ((left, right, agreeing), (right, left, agreeing.T)):
-                best = found.argmax(axis=1)
-                for k in np.flatnonzero(found.max(axis=1) >= low).tolist():
-                    x, y = int(rep[own[k]]), int(rep[other[best[k]]])
-                    yield min(x, y), max(x, y)
-            return
-        i, j = np.nonzero(agreeing >= low)
-        i, j = left[i], right[j]
-        shared = (bands[i] == bands[j]).argmax(axis=1) == one["band"]
-        i, j = rep[i[shared]], rep[j[shared]]
-        # Within one block each pair shows up in both orders.
-        yield from set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+        worth = apart & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (agreeing >= LEAST_AGREEING)
+        i, j = np.nonzero(worth)
+        order = np.argsort(-agreeing[i, j], kind="stable")
+        i, j = left[i[order]], right[j[order]]
+        keep = (bands[i] == bands[j]).argmax(axis=1) == one["band"]
+        if one["low"] == one["high"]:
+            keep &= i < j
+        label = {c: c for c in component.tolist()}
+
+        def root(c: int) -> int:
+            while label[c] != c:
+                label[c] = c = label[label[c]]
+            return c
+
+        sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+            p, q = root(int(component[x])), root(int(component[y]))
+            if p == q:
+                continue
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                label[max(p, q)] = min(p, q)
+                yield rows[x]["rep"], rows[y]["rep"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -198,19 +226,23 @@ def _alike(low: int, percent: int, best_only: bool):
     return find
 
 
-def _pairs_apart(filed: DataFrame, reps: DataFrame, labels: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs of different components in buckets of ``filed`` (``key, band, rep``)."""
+def joining_links(filed: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between components in buckets of ``filed`` (``key, band, rep``). Stored."""
     own = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = filed.join(own.select("rep", "component"), "rep")
-    span = labelled.groupBy("key").agg(F.min("component").alias("c_low"), F.max("component").alias("c_high"), F.count("*").alias("size"))
+    labelled = filed.join(own.select("rep", "component", "n"), "rep")
+    span = labelled.groupBy("key").agg(
+        F.min("component").alias("c_low"), F.max("component").alias("c_high"), F.count("*").alias("size"), F.sum("n").alias("shingles")
+    )
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK_ROWS)), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)))
     # In a bucket of two, step 1 has compared the only pair.
-    mixed = span.where("c_low < c_high and size > 2").select("key", F.ceil(F.col("size") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    dealt = filed.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    mixed = span.where("c_low < c_high and size > 2").select("key", blocks.cast("int").alias("blocks"))
+    dealt = durable(filed.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    sets = full_sets(reps.select("rep", "n").join(dealt.select("rep").distinct(), "rep"), docs)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
     dealt = dealt.select("rep", "band", "side", low.alias("low"), high.alias("high"), F.xxhash64("key", low, high).alias("task"))
-    tasks = dealt.join(own, "rep").repartition("task").sortWithinPartitions("task", "rep")
-    return tasks.mapInArrow(_alike(LEAST_AGREEING, percent, best_only), "a long, b long").distinct()
+    tasks = dealt.join(own.join(sets, "rep"), "rep").repartition("task").sortWithinPartitions("task", "rep")
+    return durable(tasks.mapInArrow(_joining_links(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,15 +263,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     filed = durable(entries.join(buckets, "key"))
     fits = f"100 * least(n, n_low) >= {percent} * greatest(n, n_low)"
     stars = filed.where("low < rep").where(fits).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    done = durable(stars)
-    links = confirmed(done, docs, percent)
+    links = confirmed(durable(stars), docs, percent)
     labels = components(links)
-    for best_only in (True, False):
-        more = durable(_pairs_apart(filed.select("key", "band", "rep"), reps, labels, percent, best_only).join(done, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        links, done = links.unionByName(confirmed(more, docs, percent)), done.unionByName(more)
-        labels = components(links)
+    more = joining_links(filed.select("key", "band", "rep"), reps, labels, docs, percent)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
