@@ -169,8 +169,8 @@ def encode_tails(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> D
         for whole in batches:
             for batch in slices(whole, "text", ENCODE_BYTES):
                 ids, counts = encoder.encode(batch.column("text").to_pylist(), end_id)
-                data = ids.astype("<u4").tobytes()
-                ends = np.cumsum(counts) * 4
+                data = ids.astype(f"<u{encoder.width}").tobytes()
+                ends = np.cumsum(counts) * encoder.width
                 tails = counts % window
                 ranks = np.empty(len(tails), np.int64)
                 for row, tail in enumerate(tails.tolist()):
@@ -228,12 +228,12 @@ def pack(
             out: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "n", "tail", "rank", "full")]
             for row, (doc, n, tail, rank, full) in enumerate(zip(*columns)):
-                ids = batch.column("ids")[row].as_buffer()
+                stored = batch.column("ids")[row].as_buffer()
+                ids = np.frombuffer(stored, f"<u{stored.size // n}").astype("<u4")
                 pieces = [(w * window, window, plan.full_sequence + full + w, 0) for w in range(n // window)]
                 if tail:
                     pieces += [(n - tail + a, size, s, o) for a, size, s, o in plan.place(tail, rank)]
-                data = memoryview(ids)
-                out += [(doc, a, size, zlib.crc32(data[4 * a : 4 * (a + size)]), n, s, o) for a, size, s, o in pieces]
+                out += [(doc, a, size, zlib.crc32(ids[a : a + size].tobytes()), n, s, o) for a, size, s, o in pieces]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             arrays = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 7
             yield pa.RecordBatch.from_arrays(arrays, names=names)

@@ -6,7 +6,7 @@ import gc
 import re
 import sys
 import types
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -35,6 +35,14 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(others)}
 
 
+class _Numbers(dict):
+    """Numbers the keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class WordwiseEncoder:
     """Ids of texts, worked out once per distinct word.
 
@@ -53,6 +61,8 @@ class WordwiseEncoder:
 
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Bytes that any id of the vocabulary fits in.
+        self.width = 2 if self._library.get_vocab_size() <= 1 << 16 else 4
         self._lead = spaces == "lead"
         self._plain, self._word = _PLAIN[spaces], _WORD[spaces]
         self._letters = _byte_letters()
@@ -60,7 +70,7 @@ class WordwiseEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {}
+        self._known = _Numbers()
         self._pool = [np.zeros(0, np.uint32)]
         self._lengths = [np.zeros(0, np.int64)]
         self._unsafe = [np.zeros(0, bool)]
@@ -70,14 +80,19 @@ class WordwiseEncoder:
         out: list[list[int]] = []
         other: list[int] = []
         merged: dict[str, list[int]] = {}
+        lead = self._lead
         known, merge, words, plain = merged.get, self._library.model.tokenize, self._word.findall, self._plain.fullmatch
         for number, piece in enumerate(pieces):
-            if not plain(piece):
+            if piece.isascii() and piece.strip(" ").isalpha():
+                parts = (piece,) if lead else (piece.lower(),)
+            elif plain(piece):
+                parts = words(piece if lead else piece.lower())
+            else:
                 other.append(number)
                 out.append([])
                 continue
             ids: list[int] = []
-            for word in words(piece if self._lead else piece.lower()):
+            for word in parts:
                 found = known(word)
                 if found is None:
                     if word.isascii():
@@ -94,19 +109,18 @@ class WordwiseEncoder:
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """Numbers of pieces, each new one encoded first."""
-        found = list(map(self._known.get, pieces))
-        new = list(dict.fromkeys(piece for piece, number in zip(pieces, found) if number is None))
+        before = len(self._known)
+        numbers = np.fromiter(map(self._known.__getitem__, pieces), np.int64, len(pieces))
+        new = list(islice(self._known, before, None))
         if new:
             # With leading spaces, the first piece of a text is marked as the one without a space.
             ids = self._ids([x[1:] if x[:1] == "\0" else " " + x for x in new] if self._lead else new)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self._pool.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
             self._lengths.append(lengths)
-            self._unsafe.append(np.array([x in ("", "\0") or x[-1].isspace() or "\0" in x[1:] for x in new]))
-            at = len(self._known)
-            self._known.update(zip(new, range(at, at + len(new))))
-            found = map(self._known.__getitem__, pieces)
-        return np.fromiter(found, np.int64, len(pieces))
+            if self._lead:
+                self._unsafe.append(np.array([x in ("", "\0") or x[-1].isspace() or "\0" in x[1:] for x in new]))
+        return numbers
 
     def _cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all pieces, and the number of pieces of each text."""
