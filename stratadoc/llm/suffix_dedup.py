@@ -38,9 +38,9 @@ from stratadoc.session import durable
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 #: Text per bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 #: Strings of one segment at most; one bit of an answer each.
 MOST_STRINGS = 32
 NO_ID = np.iinfo(np.int64).max
