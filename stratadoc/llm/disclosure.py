@@ -137,16 +137,23 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISC
     # Copies of a context count once.
     contexts = mentions.select("entity", "context").distinct()
     together = contexts.select("entity", F.explode("context").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    candidates = durable(together.where(F.col("n_both") >= least_contexts))
     entities = mentions.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = mentions.select("doc_id", F.explode("context").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    n_docs = F.lit(docs.count())
+    information = F.log2(n_docs / F.col("n_entity"))
+
+    def discloses(n_term: Column) -> Column:
+        mutual = F.log2(F.col("n_both") * n_docs / (F.greatest(n_term, F.col("n_both")) * F.col("n_entity")))
+        return (information > 0) & (mutual >= disclosure * information)
+
+    # A term stands in at least the documents that have it near a mention, so words that are common there
+    # need no count over the corpus.
+    rated = together.where(F.col("n_both") >= least_contexts).join(entities, "entity").join(near, "term")
+    candidates = durable(rated.where(discloses(F.col("n_near"))))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     held = docs.select(F.explode(words).alias("term")).join(candidates.select("term").distinct(), "term")
     frequency = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    rated = candidates.join(frequency, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
-    information = F.log2(F.col("n_docs") / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * F.col("n_docs") / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    return durable(rated.where((information > 0) & (mutual >= disclosure * information)).select("entity", "term"))
+    return durable(candidates.join(frequency, "term").where(discloses(F.col("n_term"))).select("entity", "term"))
 
 
 def terms_of_documents(found: DataFrame, disclosing: DataFrame) -> DataFrame:
