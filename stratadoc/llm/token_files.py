@@ -45,7 +45,7 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
 
 
 def repair(
-    ids: np.ndarray, lengths: np.ndarray, vocabulary: int, rounds: int = 8, least: int = 4, per_round: int = 4096
+    ids: np.ndarray, lengths: np.ndarray, vocabulary: int, rounds: int = 6, least: int = 4, per_round: int = 4096
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``left, right`` sides of the rules, the symbols, and the number of symbols of each document.
 
