@@ -1,7 +1,7 @@
 """Token files: whole documents as ids, compressed by a Re-Pair grammar per shard.
 
 A shard is one row: its documents in order and one binary value. Within a shard, pairs of symbols that
-occur often are replaced by nonterminals again and again, never across documents. The rules and the
+occur often are replaced by nonterminals until none is left, never across documents. The rules and the
 length that each expands to are stored, so a slice of a document is decoded without its other parts.
 
 Binary value, little-endian, all arrays after a header of eight 64-bit integers
@@ -36,72 +36,115 @@ SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, data binary"
 DOCUMENT_SCHEMA = "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
-#: Size of the table that finds the pairs chosen in a round.
-TABLE_BITS = 16
-
-
-def _slots(pairs: np.ndarray) -> np.ndarray:
-    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
-
-
-def repair(
-    ids: np.ndarray, lengths: np.ndarray, vocabulary: int, rounds: int = 6, least: int = 4, per_round: int = 4096
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _kinds(first: np.ndarray, second: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs in order, how often each occurs, and the places of all pairs in that order."""
+    bits, low = symbols.bit_length(), len(first).bit_length()
+    if 2 * bits + low <= 63:
+        # Pair and place in one number sort several times faster than places by their pairs.
+        packed = (first << bits + low) | (second << low)
+        packed |= np.arange(len(first))
+        packed.sort()
+        order = packed & ((1 << low) - 1)
+        packed >>= low
+    else:
+        bits = 32
+        packed = (first << bits) | second
+        order = np.argsort(packed)
+        packed = packed[order]
+    opened = np.ones(len(first), bool)
+    opened[1:] = packed[1:] != packed[:-1]
+    firsts = np.flatnonzero(opened)
+    kinds = packed[firsts]
+    return (kinds >> bits << 32) | kinds & ((1 << bits) - 1), np.diff(firsts, append=len(first)), order
+
+
+def _alternate(at: np.ndarray, after: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Truth values: every second place within runs of one symbol, whose pairs overlap, is false."""
+    same = np.zeros(len(at), bool)
+    same[1:] = (kind[1:] == kind[:-1]) & (after[at[:-1]] == at[1:])
+    number = np.arange(len(at))
+    return (number - np.maximum.accumulate(np.where(same, 0, number))) % 2 == 0
+
+
+def repair(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``left, right`` sides of the rules, the symbols, and the number of symbols of each document.
 
-    A round replaces up to ``per_round`` of the most frequent pairs, each at least ``least`` times. Where
-    replaced pairs overlap, the earlier place in the run is taken, then every second one.
+    Rounds go on until no pair occurs ``least`` times. A round replaces all pairs that do; where they overlap, the more frequent one is taken. What is left for the next round are places
+    beside a replaced one and places that were frequent but gave way. Every symbol keeps its first place,
+    and ``after`` and ``before`` lead to its neighbours in the document.
     """
-    symbols = ids.astype(np.int64)
-    first = np.zeros(len(ids), bool)
-    starts = np.cumsum(lengths) - lengths
-    first[starts[lengths > 0]] = True
-    left, right = [], []
-    total = vocabulary
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        pairs = (symbols[:-1] << 32) | symbols[1:]
-        pairs[first[1:]] = -1
-        kinds, counts = np.unique(pairs, return_counts=True)
-        often = np.flatnonzero((counts >= least) & (kinds >= 0))
-        if len(often) == 0:
-            break
-        often = often[np.argsort(-counts[often], kind="stable")[:per_round]]
-        # A small table finds the chosen pairs; of pairs that fall together the most frequent one stays,
-        # and the others have their turn in a later round.
-        slot = _slots(kinds[often])
-        often = often[np.unique(slot, return_index=True)[1]]
-        chosen = kinds[often]
-        table = np.full(1 << TABLE_BITS, -1, np.int64)
-        table[_slots(chosen)] = np.arange(len(chosen))
-        rule = table[_slots(pairs)]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        same = chosen[rule] == pairs[at]
-        at, rule = at[same], rule[same]
-        # Within a run of overlapping places, every second one is left out.
-        opened = np.ones(len(at), bool)
-        opened[1:] = np.diff(at) != 1
-        number = np.arange(len(at))
-        even = (number - np.maximum.accumulate(np.where(opened, number, 0))) % 2 == 0
-        at, rule = at[even], rule[even]
-        uses = np.bincount(rule, minlength=len(chosen))
-        kept = uses >= 2
-        at, rule = at[kept[rule]], rule[kept[rule]]
-        if len(at) == 0:
-            break
-        left.append(chosen[kept] >> 32)
-        right.append(chosen[kept] & 0xFFFFFFFF)
-        symbols[at] = total + (np.cumsum(kept) - 1)[rule]
-        total += int(kept.sum())
-        stay = np.ones(len(symbols), bool)
-        stay[at + 1] = False
-        symbols, first = symbols[stay], first[stay]
+    n = len(ids)
+    symbols = np.append(ids.astype(np.int64), -1)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    full = lengths[lengths > 0]
+    ends = np.cumsum(full)
+    after[ends - 1] = after[n] = before[ends - full] = n
+    gone, marked, strength = np.zeros(n + 1, bool), np.zeros(n + 1, bool), np.zeros(n + 1, np.int64)
+    left, right, total = [], [], vocabulary
+    known, rules = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, whole = np.flatnonzero(after[:n] < n), True
+    while True:
+        kinds, counts, order = _kinds(symbols[at], symbols[after[at]], total)
+        old = np.full(len(kinds), -1)
+        if len(known) and len(kinds):
+            place = np.minimum(np.searchsorted(kinds, known), len(kinds) - 1)
+            again = kinds[place] == known
+            old[place[again]] = rules[again]
+        frequent = (counts >= least) | (old >= 0)
+        if not frequent.any():
+            if whole:
+                break
+            # A rule that is used again may have added to pairs that were rare before, so all are counted.
+            at, whole = np.flatnonzero((after[:n] < n) & ~gone[:n]), True
+            continue
+        chosen = order[np.repeat(frequent, counts)]
+        kinds, counts, old = kinds[frequent], counts[frequent], old[frequent]
+        kind = np.full(len(at), -1)
+        kind[chosen] = np.repeat(np.arange(len(kinds)), counts)
+        chosen = kind >= 0
+        at, kind = at[chosen], kind[chosen]
+        single = _alternate(at, after, kind)
+        # Different for different pairs, so that of two that overlap one is always the stronger.
+        spread = (np.arange(len(kinds), dtype=np.int64) * 0x9E3779B1) & 0xFFFFFFFF
+        strength[at] = np.where(single, ((counts << 32) | spread)[kind] + 1, 0)
+        taken, open_ = [], np.flatnonzero(single)
+        while len(open_):
+            own = at[open_]
+            value = strength[own]
+            won = (value > strength[before[own]]) & (value > strength[after[own]])
+            winners = own[won]
+            taken.append(open_[won])
+            strength[before[winners]] = strength[after[winners]] = strength[winners] = 0
+            open_ = open_[strength[own] > 0]
+        strength[at] = strength[n] = 0
+        taken = np.concatenate(taken)
+        # Half of the places of a symbol's pair with itself may overlap.
+        need = np.where(kinds >> 32 == kinds & 0xFFFFFFFF, (least + 1) // 2, least)
+        used = (np.bincount(kind[taken], minlength=len(kinds)) >= need) | (old >= 0)
+        fresh = np.flatnonzero(used & (old < 0))
+        old[fresh] = total + np.arange(len(fresh))
+        left.append(kinds[fresh] >> 32)
+        right.append(kinds[fresh] & 0xFFFFFFFF)
+        total += len(fresh)
+        known, rules = np.concatenate([known, kinds[fresh]]), np.concatenate([rules, old[fresh]])
+        by_pair = np.argsort(known)
+        known, rules = known[by_pair], rules[by_pair]
+        taken = taken[used[kind[taken]]]
+        start = at[taken]
+        second = after[start]
+        third = after[second]
+        symbols[start], after[start], before[third], gone[second] = old[kind[taken]], third, start, True
+        marked[at] = marked[start] = marked[before[start]] = True
+        touched = np.flatnonzero(marked[:n])
+        marked[touched] = marked[n] = False
+        at, whole = touched[(after[touched] < n) & ~gone[touched]], False
+    stay = np.flatnonzero(~gone[:n])
+    first = np.zeros(n + 1, bool)
+    first[ends - full] = True
     sizes = np.zeros(len(lengths), np.int64)
-    sizes[lengths > 0] = np.diff(np.flatnonzero(first), append=len(symbols))
+    sizes[lengths > 0] = np.diff(np.flatnonzero(first[stay]), append=len(stay))
     join = lambda parts: np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
-    return join(left), join(right), symbols, sizes
+    return join(left), join(right), symbols[stay], sizes
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -153,14 +196,31 @@ class TokenShard:
         self.symbols = take(f"<u{width}", symbols)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        out = symbols.astype(np.uint32)
-        while len(out) and (rule := out >= self.vocabulary).any():
-            wide = np.repeat(out, 1 + rule)
-            at = np.flatnonzero(rule) + np.arange(int(rule.sum()))
-            number = out[rule] - self.vocabulary
-            wide[at], wide[at + 1] = self.left[number], self.right[number]
-            out = wide
+    def _expand(self, symbols: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Ids ``start`` to ``stop`` of what the symbols stand for; parts outside are not expanded."""
+        symbols = symbols.astype(np.int64)
+        span = self._spans(symbols)
+        at = np.cumsum(span) - span
+        stop = int(span.sum()) if stop is None else stop
+        out = np.empty(max(stop - start, 0), np.uint32)
+        while len(symbols):
+            inside = (at < stop) & (at + span > start)
+            if not inside.all():
+                symbols, at = symbols[inside], at[inside]
+            rule = symbols >= self.vocabulary
+            out[at[~rule] - start] = symbols[~rule]
+            number, at = symbols[rule] - self.vocabulary, at[rule]
+            left = self.left[number].astype(np.int64)
+            size = self._spans(left)
+            symbols, at = np.concatenate([left, self.right[number].astype(np.int64)]), np.concatenate([at, at + size])
+            span = np.concatenate([size, self.spans[number].astype(np.int64) - size])
+        return out
+
+    def _spans(self, symbols: np.ndarray) -> np.ndarray:
+        """Number of ids that each symbol stands for."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.vocabulary
+        out[rule] = self.spans[symbols[rule] - self.vocabulary]
         return out
 
     def all_ids(self) -> np.ndarray:
@@ -168,16 +228,13 @@ class TokenShard:
         return self._expand(self.symbols)
 
     def slice(self, document: int, start: int, stop: int) -> np.ndarray:
-        """Ids ``start`` to ``stop`` of one document; only symbols that reach into the slice are expanded."""
+        """Ids ``start`` to ``stop`` of one document; only what reaches into the slice is expanded."""
         own = self.symbols[self.starts[document] : self.starts[document] + self.sizes[document]]
-        own = own.astype(np.int64)
-        span = np.where(own < self.vocabulary, 1, 0)
-        rules = own >= self.vocabulary
-        span[rules] = self.spans[own[rules] - self.vocabulary]
-        ends = np.cumsum(span)
+        ends = np.cumsum(self._spans(own))
+        stop = min(stop, int(self.lengths[document]))
         lo, hi = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         skipped = int(ends[lo - 1]) if lo else 0
-        return self._expand(own[lo:hi])[start - skipped : stop - skipped]
+        return self._expand(own[lo:hi], start - skipped, stop - skipped)
 
 
 def token_shards(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, shard_ids: int = SHARD_IDS) -> DataFrame:

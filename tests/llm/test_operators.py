@@ -377,3 +377,27 @@ def test_near_copies(spark, docs, nothing):
     assert [(c, k) for _, c, k in nobody] == [(None, True)] * 2
     assert rows == {i: [(n, c, c == i)] * (2 if i == texts[0][0] else 1) for i, (n, c) in want.items()}
     assert minmax_dups.near_duplicates(nothing).count() == 0
+
+
+def most_frequent_pair(symbols, sizes):
+    first = np.zeros(len(symbols) + 1, bool)
+    first[np.cumsum(sizes) - sizes] = True
+    pairs = np.stack([symbols[:-1], symbols[1:]])[:, ~first[1:-1]]
+    return np.unique(pairs, axis=1, return_counts=True)[1].max(initial=0)
+
+
+@pytest.mark.parametrize("vocabulary", [60_000, 1 << 30])
+def test_grammar_leaves_no_frequent_pair(vocabulary):
+    pick = np.random.default_rng(6)
+    passage = pick.integers(0, 60_000, 3000)
+    docs = [passage[pick.integers(0, 20) :] for _ in range(40)]  # a hot passage: far longer than 64 ids
+    docs += [np.tile(np.arange(9000), 5), np.zeros(7000, int), pick.integers(0, 300, 90_000), pick.integers(0, 2, 5000)]
+    ids, lengths = np.concatenate(docs).astype(np.uint32), np.array([len(d) for d in docs])
+    left, right, symbols, sizes = token_files.repair(ids, lengths, vocabulary)
+    assert most_frequent_pair(symbols, sizes) < 4
+    assert sizes[:40].max() < 30  # 6 rounds leave about 47 symbols of each copy at best
+    if vocabulary == 60_000:
+        shard = token_files.TokenShard(token_files.pack_shard(list(range(len(docs))), ids, lengths, vocabulary))
+        assert (shard.all_ids() == ids).all() and shard.spans.max() > 1000
+        for number, a, b in ((0, 700, 1900), (39, 5, 6), (41, 0, 7000), (42, 100, 5000), (3, 2900, 10_000)):
+            assert shard.slice(number, a, b).tolist() == docs[number][a:b].tolist()
