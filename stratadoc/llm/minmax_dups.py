@@ -8,10 +8,9 @@ whose ends already hang together need no comparison:
 
 1. every member of a band bucket with the bucket's smallest one;
 2. in buckets whose members still belong to different components, all pairs of different components whose
-   signatures agree in ``LEAST_AGREEING`` of 128 values, each pair in the first bucket that it shares, the
-   most alike first. A pair at 0.8 agrees in fewer with a probability of about 1e-3.
+   sizes allow the similarity, each pair in the first bucket that it shares.
 
-Step 2 compares signatures and sets as arrays and gives only links that join components. Large buckets are
+Step 2 compares the sets of a block as bits and gives only links that join components. Large buckets are
 cut into blocks, by members and by shingles, and each pair of blocks is a task.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; one to three words
@@ -36,10 +35,10 @@ SHINGLE_WORDS = 4
 PERCENT = 80
 PERMUTATIONS = 64
 BANDS = 32
-#: Of the 128 signature values; a similarity of 0.8 gives 102.4 on average, with a deviation of 4.5.
-LEAST_AGREEING = 88
 BLOCK_ROWS = 250
 BLOCK_SHINGLES = 1_000_000
+#: Shingles that are compared at a time.
+COLUMNS = 1 << 14
 SLICE_BYTES = 4 << 20
 
 WORD_BYTES = np.ones(256, bool)
@@ -67,11 +66,8 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE_WORDS) -> tuple[np.ndarra
     return row[new], value[new]
 
 
-def signature(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per set its band keys, and 16 bits of each of its signature values.
-
-    ``starts`` are the first places of the sets in ``values``.
-    """
+def signature(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per set its band keys; ``starts`` are the first places of the sets in ``values``."""
     low = np.empty((PERMUTATIONS, len(starts)), np.uint64)
     high = np.empty_like(low)
     for p, factor in enumerate(_FACTORS):
@@ -85,11 +81,11 @@ def signature(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         for values_of_row in own:
             key = mix(key ^ values_of_row) * np.uint64(0x9E3779B97F4A7C15)
         keys[:, b] = key
-    return keys, mix(np.concatenate([low, high])).astype(np.uint16).T.copy()
+    return keys
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands, values`` of ``(doc_id, text)``, without the texts."""
+    """``doc_id, n_shingles, set_a, set_b, bands`` of ``(doc_id, text)``, without the texts."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -99,12 +95,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(counts)
                 sums = np.zeros((2, batch.num_rows), np.uint64)
                 bands = np.zeros((batch.num_rows, BANDS), np.uint64)
-                agreed = np.zeros((batch.num_rows, 2 * PERMUTATIONS), np.uint16)
                 if len(full):
                     starts = (np.cumsum(counts) - counts)[full]
                     sums[0, full] = np.add.reduceat(value, starts)
                     sums[1, full] = np.add.reduceat(mix(value), starts)
-                    bands[full], agreed[full] = signature(value, starts)
+                    bands[full] = signature(value, starts)
                 offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -113,12 +108,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[full].ravel().view(np.int64))),
-                        pa.array([v.tobytes() for v in agreed], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "values"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, values binary"
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
     return durable(docs.mapInArrow(sign, schema))
 
 
@@ -163,6 +157,34 @@ def full_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return durable(wanted.mapInArrow(collect, "rep long, hashes binary").dropDuplicates(["rep"]))
 
 
+def shared_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many values the sets ``x[k]`` and ``y[k]`` have in common; ``x`` ascends."""
+    used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = place[: len(x)], place[len(x) :]
+    value = np.concatenate([sets[u] for u in used])
+    row = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    order = np.argsort(value)
+    value, row = value[order], row[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    column = np.cumsum(new) - 1
+    # A value of one set alone is in no pair.
+    several = np.bincount(column) > 1
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    total = int(several.sum())
+    width = min(COLUMNS, -(-total // 64) * 64)
+    limits = np.flatnonzero(np.diff(x, prepend=-1, append=len(used)))
+    out = np.zeros(len(x), np.int64)
+    for first in range(0, total, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        bits = np.zeros((len(used), width), bool)
+        bits[row[a:b], column[a:b] - first] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for c, d in zip(limits[:-1].tolist(), limits[1:].tolist()):
+            out[c:d] += np.bitwise_count(packed[x[c]] & packed[y[c:d]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _joining_links(percent: int):
     """Contiguous groups of equal ``task`` to links ``a, b`` between different components."""
 
@@ -174,20 +196,21 @@ def _joining_links(percent: int):
             return
         size = np.array([r["n"] for r in rows])
         component = np.array([r["component"] for r in rows])
-        values = np.frombuffer(b"".join(r["values"] for r in rows), np.uint16).reshape(len(rows), -1)
         bands = np.array([r["bands"] for r in rows], np.int64)
-        agreeing = np.zeros((len(left), len(right)), np.int16)
-        for v in range(values.shape[1]):
-            agreeing += values[left, v][:, None] == values[right, v][None, :]
         apart = component[left][:, None] != component[right][None, :]
         a, b = size[left][:, None], size[right][None, :]
-        worth = apart & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (agreeing >= LEAST_AGREEING)
-        i, j = np.nonzero(worth)
-        order = np.argsort(-agreeing[i, j], kind="stable")
-        i, j = left[i[order]], right[j[order]]
+        i, j = np.nonzero(apart & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)))
+        i, j = left[i], right[j]
         keep = (bands[i] == bands[j]).argmax(axis=1) == one["band"]
         if one["low"] == one["high"]:
             keep &= i < j
+        i, j = i[keep], j[keep]
+        if len(i) == 0:
+            return
+        sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        own = np.array([len(s) for s in sets])
+        shared = shared_counts(sets, i, j)
+        linked = 100 * shared >= percent * (own[i] + own[j] - shared)
         label = {c: c for c in component.tolist()}
 
         def root(c: int) -> int:
@@ -195,13 +218,9 @@ def _joining_links(percent: int):
                 label[c] = c = label[label[c]]
             return c
 
-        sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-        for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+        for x, y in zip(i[linked].tolist(), j[linked].tolist()):
             p, q = root(int(component[x])), root(int(component[y]))
-            if p == q:
-                continue
-            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+            if p != q:
                 label[max(p, q)] = min(p, q)
                 yield rows[x]["rep"], rows[y]["rep"]
 
@@ -254,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     sets = ["set_a", "set_b", "n_shingles"]
     classes = has.groupBy(*sets).agg(F.min("doc_id").alias("rep"))
     members = durable(has.select("doc_id", *sets).join(classes, sets).select("doc_id", "rep"))
-    own = has.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "values", *sets)
+    own = has.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", *sets)
     # Several rows may hold the smallest id of a class; they are equal.
     reps = durable(own.join(classes, [*sets, "rep"]).drop(*sets).dropDuplicates(["rep"]))
     entries = reps.select(F.posexplode("bands").alias("band", "key"), "rep", "n")

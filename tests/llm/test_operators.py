@@ -401,3 +401,30 @@ def test_grammar_leaves_no_frequent_pair(vocabulary):
         assert (shard.all_ids() == ids).all() and shard.spans.max() > 1000
         for number, a, b in ((0, 700, 1900), (39, 5, 6), (41, 0, 7000), (42, 100, 5000), (3, 2900, 10_000)):
             assert shard.slice(number, a, b).tolist() == docs[number][a:b].tolist()
+
+
+def test_near_copies_compare_every_candidate(spark):
+    """Pairs whose signatures differ in many values, in buckets whose smallest member is like none of them."""
+    pick = random.Random(21)
+    fresh = lambda n: [f"w{pick.randrange(10**9)}" for _ in range(n)]
+    base = fresh(80)
+    texts = [(0, " ".join(base + fresh(40)))]
+    for k in range(1, 81, 2):
+        shared = fresh(25)
+        texts += [(k, " ".join(base + shared + fresh(30))), (k + 1, " ".join(base + shared + fresh(30)))]
+    want = brute.near_copies(texts, 60)
+    assert [want[k][1] for k in (0, 1, 2, 79, 80)] == [0, 1, 1, 79, 79]
+    rows = ready(spark).createDataFrame(texts, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in minmax_dups.near_duplicates(rows, percent=60).collect()}
+    assert found == {i: c for i, (_, c) in want.items()}
+
+
+def test_shared_counts(monkeypatch):
+    pick = np.random.default_rng(8)
+    sets = [np.unique(pick.integers(0, 900, n)).astype(np.uint64) for n in (1, 50, 400, 400, 800, 3)]
+    x, y = np.nonzero(np.arange(6)[:, None] < np.arange(6)[None, :])
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
+    assert minmax_dups.shared_counts(sets, x, y).tolist() == want
+    monkeypatch.setattr(minmax_dups, "COLUMNS", 64)
+    assert minmax_dups.shared_counts(sets, x, y).tolist() == want
+    assert minmax_dups.shared_counts([sets[0], sets[0] + np.uint64(1)], x[:1], y[:1]).tolist() == [0]
