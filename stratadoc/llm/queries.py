@@ -9,12 +9,15 @@ from stratadoc.llm import (
     disclosure,
     embedding_dups,
     language,
+    merkle,
     minmax_dups,
     packing,
+    quality_rules,
     suffix_dedup,
     token_files,
     toxicity,
     url_rules,
+    whitening,
 )
 from stratadoc.llm.common import ready
 from stratadoc.llm.oracle import ORACLE as ORACLE
@@ -70,10 +73,23 @@ def op10_minmax_dups(spark: SparkSession, folder: str) -> DataFrame:
     return minmax_dups.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_table(spark, folder, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(_table(spark, folder, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_rules, op2_token_files, op3_packing, op4_embedding_dups, op5_decontamination,
         op6_disclosure, op7_language, op8_suffix_dedup, op9_toxicity, op10_minmax_dups,
+        op11_whitening, op12_merkle, op13_quality_rules,
     )
 }
