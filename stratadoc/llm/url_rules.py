@@ -49,6 +49,7 @@ class Rule:
     expression: str
     literals: frozenset[str]
     kind: str
+    path: str = ""
 
 
 def host_rule(verdict: str, text: str) -> Rule:
@@ -57,8 +58,8 @@ def host_rule(verdict: str, text: str) -> Rule:
     host, path = text[:slash], text[slash:]
     # The path may go on after the rule's last token, which is therefore no whole token of the URL.
     whole = path[: len(path) - len(re.search(r"[A-Za-z0-9]*\Z", path)[0])]
-    expression = rf"(?:[^\n]*\.)?{re.escape(host)}\n{re.escape(path)}"
-    return Rule(text, verdict, expression, frozenset(tokens(host) | tokens(whole)), "host")
+    expression = rf"(?s)(?:.*\.)?{re.escape(host)}"
+    return Rule(text, verdict, expression, frozenset(tokens(host) | tokens(whole)), "host", path)
 
 
 def pattern_rule(verdict: str, expression: str, *literals: str) -> Rule:
@@ -110,7 +111,7 @@ def judge(
     spark = ready(pages.sparkSession)
     pages = narrow(pages, page_id=page_id, url=url)
     # Plain values, so that tasks can read them without this package.
-    plain = [(r.text, r.verdict, r.expression, r.kind) for r in rules]
+    plain = [(r.text, r.verdict, r.expression, r.kind, r.path) for r in rules]
     index = spark.sparkContext.broadcast((plain, index_rules(rules, rarest_tokens(pages, rules))))
     id_type = dict(pages.dtypes)["page_id"]
 
@@ -118,11 +119,13 @@ def judge(
         own, filed = index.value
         compiled: dict[int, re.Pattern] = {}
 
-        def matches(number: int, subject: str, url: str) -> bool:
-            _, _, expression, kind = own[number]
+        def matches(number: int, host: str, path: str, url: str) -> bool:
+            _, _, expression, kind, start = own[number]
             if number not in compiled:
                 compiled[number] = re.compile(expression)
-            return bool(compiled[number].match(subject) if kind == "host" else compiled[number].search(url))
+            if kind == "host":
+                return path.startswith(start) and bool(compiled[number].fullmatch(host))
+            return bool(compiled[number].search(url))
 
         for batch in batches:
             out = []
@@ -132,7 +135,7 @@ def judge(
                 found = list(filed.get(None, ()))
                 for token in tokens(address):
                     found += filed.get(token, ())
-                hits = [own[n] for n in found if matches(n, f"{host}\n{path}", address)]
+                hits = [own[n] for n in found if matches(n, host, path, address)]
                 hits.sort(key=lambda r: (-len(r[0]), r))
                 best = next((r for r in hits if r[3] == "host" and host), None)
                 decided = best or next((r for r in hits if r[3] == "pattern"), None)
