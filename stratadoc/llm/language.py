@@ -6,8 +6,9 @@ of their numbers of n-grams. Landmarks from the training sample span the kernel'
 one-versus-rest kernel ridge regression is solved in it. Since the kernel is a product of presence
 vectors, landmarks and coefficients fold into one matrix, and a batch is scored by one matrix product.
 
-The training sample is bounded: about ``per_language`` labelled rows of each of the most frequent
-languages, chosen by a hash of the id against a rate from the languages' whole counts.
+The training sample is bounded: about ``per_language`` labelled rows of every language, chosen by a hash of
+the id against a rate from the languages' whole counts. Landmarks grow with the number of languages; once
+they are fixed, tasks add up the normal equations of the sample.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if no
 language was learned; rows without an id are never learned from; equal scores go to the language that
@@ -17,26 +18,37 @@ comes first in the alphabet; other columns are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratadoc.llm.common import narrow, ready, slices, text_bytes
 from stratadoc.llm.wordhash import LOWER
+from stratadoc.session import durable
 
 #: Buckets of the presence sets of one, two and three bytes.
 BUCKETS = (256, 4096, 8192)
 WIDTH = sum(BUCKETS)
 PER_LANGUAGE = 500
-MOST_LANGUAGES = 200
+#: Landmarks in all, and of each language at least.
 LANDMARKS = 400
+LANDMARKS_PER_LANGUAGE = 8
+#: Sample rows whose products a task adds up at a time.
+FIT_ROWS = 256
 RIDGE = 1e-2
 UNDETERMINED = "und"
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 200
-_LETTER = re.compile(r"[^\W\d_]")
+#: What Java and Python both take for a letter: the Unicode categories of letters.
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a character of category L; digits, fractions and numerals are none."""
+    return any(unicodedata.category(c[0])[0] == "L" for c in _WORD.finditer(text or ""))
 
 
 def presence(column: pa.Array) -> np.ndarray:
@@ -69,32 +81,30 @@ def normalised(sets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(sets: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """Languages and the matrix that turns normalised presence into one score per language."""
-    names = sorted(set(languages))
-    if not names:
-        return [], np.zeros((WIDTH, 0), np.float32)
-    x = normalised(sets)
-    # Landmarks in turn from every language.
-    turn, seen = [], dict.fromkeys(names, 0)
-    for own in languages:
-        turn.append((seen[own], own))
-        seen[own] += 1
-    order = sorted(range(len(languages)), key=turn.__getitem__)
-    chosen = x[order[:landmarks]].astype(np.float64)
-    values, vectors = np.linalg.eigh(chosen @ chosen.T)
-    real = values > 1e-8 * values.max()
-    root = vectors[:, real] / np.sqrt(values[real])
-    mapped = np.concatenate([x @ (chosen.T @ root), np.ones((len(x), 1))], axis=1)
-    targets = np.array([[1.0 if own == name else -1.0 for name in names] for own in languages])
-    share = targets.shape[0] / np.maximum((targets > 0).sum(axis=0), 1)
-    weight = np.array([share[names.index(own)] for own in languages])  # rare languages count alike
-    weighted = mapped * weight[:, None]
-    inner = mapped.T @ weighted + ridge * len(x) * np.eye(mapped.shape[1])
-    solved = np.linalg.solve(inner, weighted.T @ targets)
-    weights = chosen.T @ (root @ solved[:-1])
-    # The last row is the bias.
-    return names, np.concatenate([weights, solved[-1:]]).astype(np.float32)
+class Landmarks:
+    """Nyström map that chosen presence sets span."""
+
+    def __init__(self, sets: np.ndarray):
+        self.chosen = normalised(sets).astype(np.float64)
+        values, vectors = np.linalg.eigh(self.chosen @ self.chosen.T)
+        real = values > 1e-8 * values.max()
+        self.root = vectors[:, real] / np.sqrt(values[real])
+
+    def mapped(self, sets: np.ndarray) -> np.ndarray:
+        """Coordinates of presence sets, and a last one for the bias."""
+        return np.concatenate([normalised(sets) @ (self.chosen.T @ self.root), np.ones((len(sets), 1))], axis=1)
+
+    def sums(self, sets: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What these rows add to the normal equations: the inner products, then the targets' ones."""
+        mapped = self.mapped(sets)
+        weighted = mapped * weights[:, None]
+        return weighted.T @ np.concatenate([mapped, targets], axis=1)
+
+    def solve(self, sums: np.ndarray, rows: int, ridge: float = RIDGE) -> np.ndarray:
+        """Matrix that turns normalised presence into one score per language; its last row is the bias."""
+        size = len(sums)
+        solved = np.linalg.solve(sums[:, :size] + ridge * rows * np.eye(size), sums[:, size:])
+        return np.concatenate([self.chosen.T @ (self.root @ solved[:-1]), solved[-1:]]).astype(np.float32)
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -102,20 +112,28 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
-def training_rows(docs: DataFrame, label: str, per_label: int, most_labels: int) -> DataFrame:
+def training_rows(docs: DataFrame, label: str, per_label: int, most_labels: int | None = None) -> DataFrame:
     """Labelled rows, about ``per_label`` of each label: a rate per label, compared with a hash of the id."""
-    counts = docs.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    ordered = docs.groupBy(label).count().orderBy(F.desc("count"), label)
+    counts = (ordered.limit(most_labels) if most_labels else ordered).collect()
     if not counts:
         return docs.limit(0)
-    rate = F.lit(0.0)
-    for row in counts:
-        rate = F.when(F.col(label) == row[label], F.lit(min(1.0, per_label / row["count"]))).otherwise(rate)
+    rates = F.map_from_arrays(
+        F.array(*[F.lit(row[label]) for row in counts]), F.array(*[F.lit(min(1.0, per_label / row["count"])) for row in counts])
+    )
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / F.lit(1 << 20)
-    return docs.where(place < rate)
+    return docs.where(place < F.try_element_at(rates, F.col(label)))
+
+
+def _unpacked(bits: list[bytes]) -> np.ndarray:
+    return np.array([np.unpackbits(np.frombuffer(b, np.uint8), count=WIDTH) for b in bits]).reshape(len(bits), WIDTH)
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """A model from documents ``(doc_id, text, lang)``; what reaches the driver is one bit set per row."""
+    """A model from documents ``(doc_id, text, lang)``: every language, and one score per language from presence.
+
+    The driver holds the landmarks' bit sets and one matrix of the normal equations, which tasks add up.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -127,10 +145,36 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
                 )
 
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = training_rows(usable, "lang", per_language, MOST_LANGUAGES).mapInArrow(pack, "doc_id long, lang string, bits binary")
-    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["lang"]))
-    sets = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=WIDTH) for r in rows]).reshape(len(rows), WIDTH)
-    return fit(sets, [r["lang"] for r in rows])
+    sample = durable(training_rows(usable, "lang", per_language).mapInArrow(pack, "doc_id long, lang string, bits binary"))
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    names = sorted(counts)
+    if not names:
+        return [], np.zeros((WIDTH + 1, 0), np.float32)
+    each = max(LANDMARKS_PER_LANGUAGE, -(-LANDMARKS // len(names)))
+    first = Window.partitionBy("lang").orderBy("doc_id", "bits")
+    chosen = sample.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).orderBy("lang", "place").collect()
+    landmarks = Landmarks(_unpacked([r["bits"] for r in chosen]))
+    rows = sum(counts.values())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, number = None, {name: k for k, name in enumerate(names)}
+        for whole in batches:
+            for at in range(0, whole.num_rows, FIT_ROWS):
+                batch = whole.slice(at, FIT_ROWS)
+                own = np.array([number[x] for x in batch.column("lang").to_pylist()])
+                targets = np.where(own[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
+                # Rare languages count alike.
+                weights = rows / np.array([counts[names[k]] for k in own], float)
+                part = landmarks.sums(_unpacked(batch.column("bits").to_pylist()), targets, weights)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    total = None
+    for row in sample.mapInArrow(add, "sums binary").toLocalIterator():
+        part = np.frombuffer(row["sums"], np.float64)
+        total = part.copy() if total is None else total + part
+    return names, landmarks.solve(total.reshape(-1, len(total) // (landmarks.root.shape[1] + 1)), rows)
 
 
 def predict(docs: DataFrame, names: list[str], weights: np.ndarray) -> DataFrame:
@@ -142,7 +186,7 @@ def predict(docs: DataFrame, names: list[str], weights: np.ndarray) -> DataFrame
         for whole in batches:
             for first in range(0, whole.num_rows, SLICE_ROWS):
                 for batch in slices(whole.slice(first, SLICE_ROWS), "text", SLICE_BYTES):
-                    lettered = np.array([bool(t and _LETTER.search(t)) for t in batch.column("text").to_pylist()])
+                    lettered = np.array([has_letter(t) for t in batch.column("text").to_pylist()])
                     best, value = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
                     if names:
                         found = normalised(presence(batch.column("text"))) @ matrix[:-1] + matrix[-1]
