@@ -9,15 +9,15 @@ the first copy stays. No task ever holds the suffixes of the whole corpus:
    several chunks. Segments whose anchor occurs in one document only cannot repeat and drop out.
 3. Chunks send their other segments, each distinct one once with its smallest document id. Within a
    bucket, distinct segments stand in order of that id. Their suffix order, cut at 50 bytes, comes from
-   doubling ranks of 8, 16, 32 and 50 bytes. Equal strings follow each other by position, so the previous
-   smaller position in suffix order, if it agrees in 50 bytes, is the place of an earlier copy: the longest
-   previous factor reaches 50 there. The answer is one bit per string.
+   doubling ranks of 8, 16, 32 and 50 bytes. Scans for the previous and the next smaller position in that
+   order give every place its longest previous factor and the place that shows it. Where it reaches 50, the
+   string repeats an earlier one; if that one's document has a smaller id, it goes. The answer is one bit per string.
 4. Chunks mark the bytes that the strings cover.
 
 A chunk sends a string once, however often it occurs there, so copies in a third of all documents make no
 large group; buckets are of equal size since they go by hash.
 
-Defined results: a null text is empty; a row without an id counts as later than all others; rows with
+Defined results: a null text is empty; a row without an id counts as having the largest long; rows with
 equal ids never remove each other's text; an empty table gives no row; other columns are not read.
 """
 
@@ -44,7 +44,7 @@ BUCKET_BYTES = 6 << 20
 #: Strings of one segment at most; one bit of an answer each.
 MOST_STRINGS = 32
 NO_ID = np.iinfo(np.int64).max
-CHUNK = "chunk long, docs long, bytes long, ids binary, sizes binary, data binary"
+CHUNK = "chunk long, docs long, bytes long, ids binary, named binary, sizes binary, data binary"
 MESSAGE = "bucket int, chunk long, payload binary"
 
 
@@ -53,23 +53,24 @@ def pack_chunks(docs: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple[np.ndarray, np.ndarray, bytes]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]] = []
 
         def close() -> pa.RecordBatch:
-            ids, sizes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            data = b"".join(h[2] for h in held)
+            ids, named, sizes = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
+            data = b"".join(h[3] for h in held)
             packed = pa.compress(data, codec="zstd", asbytes=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([v]) for v in (part + seq, len(ids), len(data))] + [pa.array([v], pa.binary()) for v in (ids.tobytes(), sizes.tobytes(), packed)],
-                names=["chunk", "docs", "bytes", "ids", "sizes", "data"],
+                [pa.array([v]) for v in (part + seq, len(ids), len(data))] + [pa.array([v], pa.binary()) for v in (ids.tobytes(), named.tobytes(), sizes.tobytes(), packed)],
+                names=["chunk", "docs", "bytes", "ids", "named", "sizes", "data"],
             )
 
         for whole in batches:
             for batch in slices(whole, "text", CHUNK_BYTES):
                 flat, at = text_bytes(batch.column("text"))
-                ids = np.array([NO_ID if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
-                held.append((ids, np.diff(at), flat.tobytes()))
-                if sum(len(h[2]) for h in held) >= CHUNK_BYTES:
+                ids = batch.column("doc_id")
+                named = ids.is_valid().to_numpy(zero_copy_only=False)
+                held.append((ids.fill_null(NO_ID).to_numpy(), named, np.diff(at), flat.tobytes()))
+                if sum(len(h[3]) for h in held) >= CHUNK_BYTES:
                     yield close()
                     seq, held = seq + 1, []
         if held:
@@ -250,29 +251,81 @@ def _send_segments(buckets: int) -> Callable:
     return send
 
 
-def suffix_classes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each place, the number in ``places`` of the first one with the same ``LENGTH`` bytes.
+def suffix_order(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``places``, cut at ``LENGTH`` bytes, and how long neighbours in it agree.
 
-    ``places`` ascend. Ranks of 8 bytes are doubled to 16 and 32 and joined to 50; sorting them keeps equal
-    strings in order of position, so the previous smaller position of a suffix that repeats is the one
-    before it in suffix order.
+    Ranks of 8 bytes are doubled to 16 and 32 and joined to 50. Equal strings stand in order of position.
+    The second array holds for each suffix its agreement with the one before, ``LENGTH`` at most.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(64, np.uint8)])
     eight = np.ndarray((n + 32,), ">u8", padded.data, strides=(1,)).astype(np.uint64)
-    rank = np.unique(eight, return_inverse=True)[1].astype(np.uint64)
+    ranks = [np.unique(eight, return_inverse=True)[1].astype(np.uint64)]
     for step in (8, 16):
-        joined = (rank[:-step] << np.uint64(32)) | rank[step:]
+        joined = (ranks[-1][:-step] << np.uint64(32)) | ranks[-1][step:]
         rank = np.unique(joined, return_inverse=True)[1].astype(np.uint64)
         # A place too near the end has no rank of its own; no string of full length begins there.
-        rank = np.concatenate([rank, np.zeros(step, np.uint64)])
-    whole = (rank[places] << np.uint64(32)) | rank[places + LENGTH - 32]
+        ranks.append(np.concatenate([rank, np.zeros(step, np.uint64)]))
+    whole = (ranks[2][places] << np.uint64(32)) | ranks[2][places + LENGTH - 32]
     order = np.argsort(whole, kind="stable")
-    opened = np.ones(len(order), bool)
-    opened[1:] = whole[order][1:] != whole[order][:-1]
-    first = np.empty(len(order), np.int64)
-    first[order] = order[np.maximum.accumulate(np.where(opened, np.arange(len(order)), 0))]
-    return first
+    agree = np.zeros(len(order), np.int64)
+    same = whole[order][1:] == whole[order][:-1]
+    agree[1:][same] = LENGTH
+    other = np.flatnonzero(~same) + 1
+    x, y = places[order[other - 1]], places[order[other]]
+    length = np.zeros(len(other), np.int64)
+    for rank, step in zip(ranks[::-1], (32, 16, 8)):
+        length += np.where(rank[x + length] == rank[y + length], step, 0)
+    differing = eight[x + length] ^ eight[y + length]
+    for byte in range(1, 8):
+        length += differing < np.uint64(1 << (64 - 8 * byte))
+    agree[other] = np.minimum(length, LENGTH - 1)
+    return order, agree
+
+
+def _smaller_before(position: np.ndarray, agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per entry the nearest earlier entry with a smaller position, -1 if none, and their agreement.
+
+    All entries look one to the left and jump on along the pointers found so far; everything between an
+    entry and its pointer has a larger position, so no jump can pass the wanted one.
+    """
+    at, least = np.arange(-1, len(position) - 1), agree.copy()
+    waiting = np.flatnonzero((at >= 0) & (position[at] > position))
+    while len(waiting):
+        over = at[waiting]
+        jumped, shortest = at[over], np.minimum(least[waiting], least[over])
+        at[waiting], least[waiting] = jumped, shortest
+        waiting = waiting[(jumped >= 0) & (position[jumped] > position[waiting])]
+    least[at < 0] = 0
+    return at, least
+
+
+def longest_previous(order: np.ndarray, agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per place its longest previous factor, ``LENGTH`` at most, and an earlier place that shows it, or -1."""
+    before, length_before = _smaller_before(order, agree)
+    # The same scan from the other end; an entry's agreement with the one after it stands at that one.
+    back, length_after = _smaller_before(order[::-1], np.concatenate([agree[1:], [0]])[::-1])
+    after = np.where(back < 0, -1, len(order) - 1 - back)[::-1]
+    length_after = length_after[::-1]
+    chosen = np.where(length_before >= length_after, before, after)
+    length, source = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    length[order] = np.maximum(length_before, length_after)
+    source[order] = np.where(chosen < 0, -1, order[chosen])
+    return length, source
+
+
+def first_copies(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each place, the number in ``places`` of the first one with the same ``LENGTH`` bytes; ``places`` ascend.
+
+    A place whose longest previous factor reaches ``LENGTH`` repeats an earlier one, which in turn may do so.
+    """
+    length, source = longest_previous(*suffix_order(data, places))
+    first = np.where(length >= LENGTH, source, np.arange(len(places)))
+    while True:
+        earlier = first[first]
+        if (earlier == first).all():
+            return first
+        first = earlier
 
 
 def _answer_segments(table: pa.Table) -> pa.Table:
@@ -310,7 +363,7 @@ def _answer_segments(table: pa.Table) -> pa.Table:
         data = text[ragged(start[own], sizes[own])]
         places = ragged(np.cumsum(sizes[own]) - sizes[own], strings[own])
         holder = np.repeat(mixed, strings[own])
-        values = least[holder[suffix_classes(data, places)]]
+        values = least[holder[first_copies(data, places)]]
         value_at[mixed] = np.cumsum(strings[own]) - strings[own]
     every = ((np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     answer = np.where(least[number] < ids, every, 0).astype(np.uint32)
@@ -354,7 +407,7 @@ def _finish(buckets: int, with_text: bool) -> Callable:
             sums, spans = (np.concatenate([[0], np.cumsum(x)])[c.at] for x in (gone, opened))
             kept = [c.data[a:b][~gone[a:b]].tobytes() for a, b in zip(c.at[:-1].tolist(), c.at[1:].tolist())]
             columns = [
-                pa.array([None if d == NO_ID else d for d in c.ids.tolist()], pa.int64()),
+                pa.array(c.ids, pa.int64(), mask=~np.frombuffer(row["named"], bool)),
                 pa.array(np.diff(c.at)),
                 pa.array(np.diff(sums)),
                 pa.array(np.diff(spans)),
