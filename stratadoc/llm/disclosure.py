@@ -1,18 +1,23 @@
 """Personal data and the terms that give it away, with DataFrame functions alone.
 
 Base spans are found by patterns: e-mail addresses, IP addresses, card numbers, telephone numbers. Each
-distinct value is a protected entity. Terms are words of four letters or more that stand within 80
-characters of a mention. Over the whole corpus, a term's pointwise mutual information with an entity is
-compared with the entity's information content: at a share of 1 the term alone tells the entity. Terms
-that reach ``DISCLOSURE`` in at least ``LEAST_CONTEXTS`` different contexts become spans, wherever they
-stand in a document that mentions the entity. ``sanitised`` replaces spans by the name of their kind.
+distinct value is a protected entity. Terms are words of four letters or more, anywhere in a text. Over the
+whole corpus it is counted how many documents hold an entity, a term, and both. A term's pointwise mutual
+information with an entity is compared with the entity's information content: at a share of 1 the term alone
+tells the entity. Terms that reach ``DISCLOSURE`` and stand with the entity in at least ``LEAST_DOCUMENTS``
+documents become spans, wherever they stand in a document that mentions the entity. ``sanitised`` replaces
+spans by the name of their kind.
+
+An entity in fewer documents than that has no terms, and a term cannot reach the threshold if it stands in more
+than ``N ** (1 - d) * n_entity ** d`` of ``N`` documents; so common words are left out, by their counts, before
+any entity meets its words. Equal texts are worked on once and weigh as many as they are.
 
 The patterns are the given ones, written so that Java matches them without backtracking: a quantifier
 is possessive where the next character could not be matched by it, and a match may only begin where a run
 begins or the last match ended. Card patterns start at 16 digits, as shorter runs are no cards.
 
-Defined results: a null text is empty and stays null in ``sanitised``; rows without an id have base spans
-only; rows that share an id share their terms; an empty table gives no row; other columns are kept by
+Defined results: a null text is empty and stays null in ``sanitised``; rows without an id, and rows that share
+one, are documents like any other; an empty table gives no row; other columns are kept by
 ``sanitised`` and not read otherwise.
 """
 
@@ -25,8 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stratadoc.llm.common import narrow, ready
 from stratadoc.session import durable
 
-CONTEXT_CHARACTERS = 80
-LEAST_CONTEXTS = 3
+LEAST_DOCUMENTS = 3
 DISCLOSURE = 0.8
 TERM = r"\p{L}{4,}+"
 TERM_KIND = "term"
@@ -111,57 +115,56 @@ def term_spans(text: Column, terms: Column) -> Column:
     return F.when(F.size(terms) > 0, matches(text, pattern, TERM_KIND)).otherwise(none)
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Different terms around a mention; words cut by the limit are left out."""
-    first = F.greatest(span["start"] - CONTEXT_CHARACTERS, F.lit(0))
-    before = F.substring(text, first + 1, span["start"] - first)
-    before = F.when(first > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARACTERS))
-    after = F.when(F.length(after) == CONTEXT_CHARACTERS, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", before, after)), F.lit(TERM), F.lit(0))))
-
-
 def find_base(docs: DataFrame) -> DataFrame:
-    """``doc_id, of, spans, contexts`` per row of ``(doc_id, text)``, ``of`` being the text's hash. Stored."""
+    """``doc_id, of, spans`` per row of ``(doc_id, text)``, ``of`` being the text's hash. Stored."""
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", text.alias("text"), base_spans(text).alias("spans"))
-    around = F.transform("spans", lambda span: _context(F.col("text"), span))
-    return durable(found.select("doc_id", F.xxhash64("text").alias("of"), "spans", around.alias("contexts")))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
-    """``entity, term`` of the terms that give an entity away, estimated over all of ``docs``."""
-    named = found.where("size(spans) > 0 and doc_id is not null")
-    mentions = named.select("doc_id", F.explode(F.arrays_zip("spans", "contexts")).alias("m"))
-    mentions = mentions.select("doc_id", F.concat_ws(":", "m.spans.kind", "m.spans.value").alias("entity"), F.col("m.contexts").alias("context"))
-    # Copies of a context count once.
-    contexts = mentions.select("entity", "context").distinct()
-    together = contexts.select("entity", F.explode("context").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = mentions.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = mentions.select("doc_id", F.explode("context").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    n_docs = F.lit(docs.count())
-    information = F.log2(n_docs / F.col("n_entity"))
-
-    def discloses(n_term: Column) -> Column:
-        mutual = F.log2(F.col("n_both") * n_docs / (F.greatest(n_term, F.col("n_both")) * F.col("n_entity")))
-        return (information > 0) & (mutual >= disclosure * information)
-
-    # A term stands in at least the documents that have it near a mention, so words that are common there
-    # need no count over the corpus.
-    rated = together.where(F.col("n_both") >= least_contexts).join(entities, "entity").join(near, "term")
-    candidates = durable(rated.where(discloses(F.col("n_near"))))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    held = docs.select(F.explode(words).alias("term")).join(candidates.select("term").distinct(), "term")
-    frequency = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    return durable(candidates.join(frequency, "term").where(discloses(F.col("n_term"))).select("entity", "term"))
-
-
-def terms_of_documents(found: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """``doc_id, terms``: what has to go from the documents that mention an entity."""
-    mentions = found.where("size(spans) > 0 and doc_id is not null").select("doc_id", F.explode("spans").alias("s"))
-    mentions = mentions.select("doc_id", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
-    per_entity = disclosing.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    return durable(mentions.join(per_entity, "entity").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")))
+    return durable(found.select("doc_id", F.xxhash64("text").alias("of"), "spans"))
+
+
+def entities_of(found: DataFrame, least_documents: int) -> DataFrame:
+    """``of, weight, entity, n_entity`` of entities in enough documents; ``weight`` is the number of equal texts. Stored."""
+    entity = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    named = found.where(F.size("spans") > 0).select("of", F.explode(entity).alias("entity"))
+    mentions = named.groupBy("of", "entity").agg(F.count("*").alias("weight"))
+    counts = mentions.groupBy("entity").agg(F.sum("weight").alias("n_entity")).where(F.col("n_entity") >= least_documents)
+    return durable(mentions.join(counts, "entity").select("of", "weight", "entity", "n_entity"))
+
+
+def together(docs: DataFrame, found: DataFrame, disclosure: float, least_documents: int) -> DataFrame:
+    """``of, weight, entity, n_entity, term, n_term``: entities with the words of their texts that are rare enough. Stored."""
+    named = entities_of(found, least_documents)
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")
+    largest = named.agg(F.max("n_entity")).first()[0]
+    if largest is None:
+        return named.select("*", F.lit("").alias("term"), F.lit(0).cast("long").alias("n_term"))
+    rows = docs.count()
+
+    def most(n_entity) -> Column:
+        return F.lit(rows ** (1 - disclosure) * (1 + 1e-9)) * F.pow(n_entity, F.lit(disclosure))
+
+    counts = docs.select(words).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = durable(counts.where((F.col("n_term") >= least_documents) & (F.col("n_term") <= most(F.lit(largest)))))
+    texts = docs.select(F.xxhash64("text").alias("of"), "text").join(named.select("of").distinct(), "of", "left_semi")
+    held = texts.select("of", words).distinct().join(counts, "term")
+    return durable(named.join(held, "of").where(F.col("n_term") <= most(F.col("n_entity"))))
+
+
+def disclosing_terms(pairs: DataFrame, n_docs: int, disclosure: float, least_documents: int) -> DataFrame:
+    """``entity, term`` of the terms that give an entity away. Stored."""
+    counts = pairs.groupBy("entity", "n_entity", "term", "n_term").agg(F.sum("weight").alias("n_both"))
+    information = F.log2(F.lit(n_docs) / F.col("n_entity"))
+    mutual = F.log2(F.col("n_both") * F.lit(n_docs) / (F.col("n_term") * F.col("n_entity")))
+    enough = (F.col("n_both") >= least_documents) & (information > 0)
+    return durable(counts.where(enough & (mutual >= disclosure * information)).select("entity", "term"))
+
+
+def terms_of_texts(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """``of, terms``: what has to go from the texts that mention an entity. Stored."""
+    pairs = together(docs, found, disclosure, least_documents)
+    telling = disclosing_terms(pairs, docs.count(), disclosure, least_documents)
+    own = pairs.select("of", "entity", "term").join(telling, ["entity", "term"], "left_semi").select("of", "term").distinct()
+    return durable(own.groupBy("of").agg(F.collect_list("term").alias("terms")))
 
 
 def listed(spans: Column) -> Column:
@@ -174,14 +177,14 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     ready(docs.sparkSession)
     docs = narrow(docs, doc_id=doc_id, text=text)
     found = find_base(docs)
-    terms = terms_of_documents(found, disclosing_terms(docs, found))
-    added = docs.join(terms, "doc_id").select("doc_id", F.xxhash64("text").alias("of"), term_spans(F.col("text"), F.col("terms")).alias("added"))
-    # Rows that share an id may differ in their text, so the text's hash takes part in the join.
-    return found.join(added.distinct(), ["doc_id", "of"], "left").select(
+    terms = terms_of_texts(docs, found)
+    texts = docs.select(F.xxhash64("text").alias("of"), "text").join(terms, "of")
+    added = texts.select("of", listed(term_spans(F.col("text"), F.col("terms"))).alias("added")).distinct()
+    return found.join(added, "of", "left").select(
         "doc_id",
         *[F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in PATTERNS],
         F.sha2(listed(F.col("spans")), 256).alias("base_sha256"),
-        listed(F.concat("spans", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))).alias("spans"),
+        F.concat_ws(",", F.when(F.size("spans") > 0, listed(F.col("spans"))), "added").alias("spans"),
     )
 
 
@@ -190,14 +193,14 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     ready(docs.sparkSession)
     own = narrow(docs, doc_id=doc_id, text=text)
     found = find_base(own)
-    terms = terms_of_documents(found, disclosing_terms(own, found))
+    terms = terms_of_texts(own, found)
     # The row travels as one value, so that none of its names can clash.
-    packed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     source = F.col("row").getField(text)
     added = F.coalesce(term_spans(source, F.col("terms")), F.array().cast(f"array<{SPAN}>"))
     spans = F.concat(base_spans(source), added)
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    marked = packed.join(terms, "doc_id", "left").select("row", F.coalesce(ordered, F.array().cast(_ORDERED)).alias("spans"))
+    marked = packed.join(terms, "of", "left").select("row", F.coalesce(ordered, F.array().cast(_ORDERED)).alias("spans"))
 
     def replace(state: Column, span: Column) -> Column:
         fresh = span["start"] >= state["at"]
