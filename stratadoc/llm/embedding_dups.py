@@ -1,6 +1,7 @@
 """Near-duplicate vectors by random-hyperplane sign hashing with exact verification.
 
-Equal vectors of a label are one class. In each of several tables a class has the signs of its products
+Equal vectors of a label are one class, with a stored number of its own, since an id may stand for several
+vectors. In each of several tables a class has the signs of its products
 with random hyperplanes as its key, together with label and dimension. Classes that share a key are
 compared by cosine in double precision, as matrix products. A pair that also shares an earlier table's key
 is counted there only, so nothing is counted twice and no pair leaves a task: a task gives each class its
@@ -12,7 +13,7 @@ the threshold.
 
 Defined results: a row with a null id, label or vector, or a vector that is empty, zero or holds null or
 non-finite components, links with nothing and is kept; vectors of different dimensions are not compared;
-rows with equal ids are vectors of their own and share one component; other columns are not read.
+rows with equal ids are vectors of their own, linked or not like any others; other columns are not read.
 """
 
 from __future__ import annotations
@@ -67,14 +68,14 @@ def _keyed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 found[rows] = sign_keys(directions(np.array([vectors[r] for r in rows], np.float64)), bits, tables)
             offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * tables)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("rep", "n", "label", "embedding")],
+                [*[batch.column(c) for c in ("cls", "n", "label", "embedding")],
                  pa.ListArray.from_arrays(offsets, pa.array(found.ravel().view(np.int64)))],
-                names=["rep", "n", "label", "embedding", "signs"],
+                names=["cls", "n", "label", "embedding", "signs"],
             )
 
     types = dict(classes.dtypes)
     return durable(
-        classes.mapInArrow(keys, f"rep long, n long, label {types['label']}, embedding {types['embedding']}, signs array<long>")
+        classes.mapInArrow(keys, f"cls long, n long, label {types['label']}, embedding {types['embedding']}, signs array<long>")
     )
 
 
@@ -93,10 +94,10 @@ def _linked(units: np.ndarray, signs: np.ndarray, table: int, sides: np.ndarray,
 
 
 def _compare(threshold: float):
-    """Contiguous groups of equal ``task`` to ``rep, links, root``."""
+    """Contiguous groups of equal ``task`` to ``cls, links, root``."""
 
     def group(rows: list[dict]) -> Iterator[tuple[int, int, int]]:
-        reps = np.array([r["rep"] for r in rows], np.int64)
+        classes = np.array([r["cls"] for r in rows], np.int64)
         weights = np.array([r["n"] for r in rows], np.int64)
         units = directions(np.array([r["embedding"] for r in rows], np.float64))
         signs = np.array([r["signs"] for r in rows], np.int64)
@@ -106,22 +107,22 @@ def _compare(threshold: float):
         if len(i) == 0:
             return
         links = np.bincount(i[new], weights[j[new]], len(rows)) + np.bincount(j[new], weights[i[new]], len(rows))
-        root = reps.copy()
-        while True:  # smallest id along links
+        root = classes.copy()
+        while True:  # smallest class along links
             before = root.copy()
             np.minimum.at(root, i, before[j])
             np.minimum.at(root, j, before[i])
             if (root == before).all():
                 break
         for k in np.unique(np.concatenate([i, j])).tolist():
-            yield int(reps[k]), int(links[k]), int(root[k])
+            yield int(classes[k]), int(links[k]), int(root[k])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
             columns = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 3
-            return pa.RecordBatch.from_arrays(columns, names=["rep", "links", "root"])
+            return pa.RecordBatch.from_arrays(columns, names=["cls", "links", "root"])
 
         for batch in batches:
             found = []
@@ -150,33 +151,34 @@ def near_vectors(
         & F.exists("embedding", lambda x: x != 0)
     )
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    classes = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    grouped = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = durable(grouped.withColumn("cls", F.monotonically_increasing_id()))
     largest = rows.where("sound").groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     bits = max(LEAST_BITS, math.ceil(math.log2(largest)))
     tables = table_count(bits, threshold, misses)
-    keyed = _keyed(classes, bits, tables)
+    keyed = _keyed(classes.drop("rep"), bits, tables)
 
-    entries = keyed.select("rep", "label", F.size("embedding").alias("dim"), F.posexplode("signs").alias("table", "sign"))
-    entries = entries.select("rep", "table", F.xxhash64("label", "dim", "table", "sign").alias("key"))
+    entries = keyed.select("cls", "label", F.size("embedding").alias("dim"), F.posexplode("signs").alias("table", "sign"))
+    entries = entries.select("cls", "table", F.xxhash64("label", "dim", "table", "sign").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     filed = entries.join(buckets, "key")
     blocks = F.ceil(F.col("size") / F.lit(block_rows)).cast("int")
-    dealt = filed.select("rep", "table", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("side"))
+    dealt = filed.select("cls", "table", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("side"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
-    dealt = dealt.select("rep", "table", "side", low.alias("low"), high.alias("high"), F.xxhash64("key", low, high).alias("task"))
-    tasks = dealt.join(keyed.select("rep", "n", "embedding", "signs"), "rep")
-    tasks = tasks.repartition("task").sortWithinPartitions("task", "rep")
-    found = durable(tasks.mapInArrow(_compare(threshold), "rep long, links long, root long"))
-
-    counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    of_class = (
-        classes.join(counted, "rep", "left")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                F.coalesce("component", "rep").alias("component_id"))
-    )
+    dealt = dealt.select("cls", "table", "side", low.alias("low"), high.alias("high"), F.xxhash64("key", low, high).alias("task"))
+    tasks = dealt.join(keyed.select("cls", "n", "embedding", "signs"), "cls")
+    tasks = tasks.repartition("task").sortWithinPartitions("task", "cls")
+    found = durable(tasks.mapInArrow(_compare(threshold), "cls long, links long, root long"))
+
+    counted = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    labels = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
+    placed = classes.join(counted, "cls", "left").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    # Named by the smallest id of all its classes.
+    names = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = placed.join(names, "component").select(
+        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"
+    )
     sound_rows = rows.where("sound").select("vec_id", "label", "embedding").join(of_class, ["label", "embedding"])
     other = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = sound_rows.select("vec_id", "n_links", "component_id").unionByName(other)
