@@ -1,30 +1,35 @@
 """Near-duplicate documents by min-max hashing.
 
-A document is the set of its distinct four-word shingles. Each of 64 permutations gives two signature
+A document is the set of its distinct shingles of four words. Each of 64 permutations gives two signature
 values, the smallest and the largest permuted hash; 128 values make 32 bands of four. At a similarity of
-0.8 a pair misses every band with a probability below 1e-7. Documents with equal sets are one class and
-only its smallest id is banded. Links are confirmed on the full shingle sets, in two steps, since pairs
-whose ends already hang together need no comparison:
+0.8 a pair misses every band with a probability below 1e-7. Documents with equal sets are one class, with a
+stored number of its own, and only classes are banded. Links are confirmed on the full shingle sets, in
+three steps, since classes that already hang together need no comparison:
 
 1. every member of a band bucket with the bucket's smallest one;
-2. in buckets whose members still belong to different components, all pairs of different components whose
-   sizes allow the similarity, each pair in the first bucket that it shares.
-
-Step 2 compares the sets of a block as bits and gives only links that join components. Large buckets are
-cut into blocks, by members and by shingles, and each pair of blocks is a task.
-
-Defined results: a null or wordless text has an empty set and is linked with nothing; one to three words
-are one shingle; rows with the same id are one document; a row without an id is linked with nothing, its
-component is null and it is kept; other columns are not read.
+2. in buckets whose members still belong to different components, members outside the bucket's largest
+   component with a few leaders from it, again and again with other leaders while that joins anything;
+3. in buckets that are still mixed, all pairs of different components whose sizes allow the similarity, each
+   pair in the first bucket that it shares.
+
+Step 3 deals the members of a bucket's largest component and those outside it into blocks; only the few
+outside meet every block. A first pass over numbers and bands finds which members of a task have a pair
+there at all, and only their sets are sent. Sets are compared as bits, and only links that join components
+leave a task.
+
+Defined results: a null or wordless text has an empty set and is linked with nothing; fewer words than a
+shingle are one shingle; rows with the same id are documents of their own, linked or not like any others; a
+row without an id is linked with nothing, its component is null and it is kept; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratadoc.llm.common import narrow, ready, slices, text_bytes
 from stratadoc.llm.components import components
@@ -37,6 +42,8 @@ PERMUTATIONS = 64
 BANDS = 32
 BLOCK_ROWS = 250
 BLOCK_SHINGLES = 1_000_000
+#: Members of a bucket's largest component that a round compares with those outside it.
+LEADERS = 4
 #: Shingles that are compared at a time.
 COLUMNS = 1 << 14
 SLICE_BYTES = 4 << 20
@@ -84,13 +91,13 @@ def signature(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands`` of ``(doc_id, text)``, without the texts."""
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, of, n_shingles, set_a, set_b, bands`` of ``(doc_id, of, text)``, without the texts. Stored."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                row, value = shingle_sets(batch.column("text"))
+                row, value = shingle_sets(batch.column("text"), size)
                 counts = np.bincount(row, minlength=batch.num_rows)
                 full = np.flatnonzero(counts)
                 sums = np.zeros((2, batch.num_rows), np.uint64)
@@ -104,57 +111,66 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("of"),
                         pa.array(counts),
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[full].ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["doc_id", "of", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+    schema = "doc_id long, of long, n_shingles long, set_a long, set_b long, bands array<long>"
     return durable(docs.mapInArrow(sign, schema))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs ``a, b`` whose full shingle sets are similar enough; ``texts`` has ``doc_id, text``."""
+class Texts:
+    """Texts of classes: every class names the row that stands for it by id and hash of the text."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text_a", SLICE_BYTES):
-                sides = [shingle_sets(batch.column(c)) for c in ("text_a", "text_b")]
-                sizes = [np.bincount(row, minlength=batch.num_rows) for row, _ in sides]
-                # The row goes into the hash, so one sorted search serves all pairs of the batch.
-                keys = [mix(value + mix(row.astype(np.uint64) + np.uint64(1))) for row, value in sides]
-                other = np.sort(keys[1])
-                at = np.minimum(np.searchsorted(other, keys[0]), max(len(other) - 1, 0))
-                common = other[at] == keys[0] if len(other) else np.zeros(len(keys[0]), bool)
-                shared = np.bincount(sides[0][0][common], minlength=batch.num_rows)
-                linked = (shared > 0) & (100 * shared >= percent * (sizes[0] + sizes[1] - shared))
-                yield batch.select(["a", "b"]).filter(pa.array(linked))
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return durable(both.mapInArrow(compare, "a long, b long").distinct())
-
-
-def full_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """``rep, hashes`` of the wanted documents ``(rep, n)``: all shingles, in order. Stored."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                row, value = shingle_sets(batch.column("text"))
-                ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
-                sets = [value[x:y].tobytes() for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
-                # Of several rows with one id, the one that was banded.
-                fits = pa.array(np.diff(ends, prepend=0) == batch.column("n").to_numpy())
-                out = pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "hashes"])
-                yield out.filter(fits)
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int):
+        self.docs, self.size = docs, size
+        self.places = classes.select("cls", "doc_id", "of")
+
+    def _of(self, numbers: DataFrame, cls: str, suffix: str = "") -> DataFrame:
+        """``numbers`` with the text of the class ``cls``."""
+        placed = numbers.join(self.places.select(F.col("cls").alias(cls), F.col("doc_id").alias("_id"), F.col("of").alias("_of")), cls)
+        texts = self.docs.select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), F.col("text").alias(f"text{suffix}"))
+        return placed.join(texts, ["_id", "_of"]).drop("_id", "_of")
+
+    def confirmed(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """Pairs ``a, b`` whose full shingle sets are similar enough. Stored."""
+        size = self.size
 
-    wanted = docs.withColumnRenamed("doc_id", "rep").join(reps, "rep").select("rep", "n", "text")
-    return durable(wanted.mapInArrow(collect, "rep long, hashes binary").dropDuplicates(["rep"]))
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, "text_a", SLICE_BYTES):
+                    sides = [shingle_sets(batch.column(c), size) for c in ("text_a", "text_b")]
+                    sizes = [np.bincount(row, minlength=batch.num_rows) for row, _ in sides]
+                    # The row goes into the hash, so one sorted search serves all pairs of the batch.
+                    keys = [mix(value + mix(row.astype(np.uint64) + np.uint64(1))) for row, value in sides]
+                    other = np.sort(keys[1])
+                    at = np.minimum(np.searchsorted(other, keys[0]), max(len(other) - 1, 0))
+                    common = other[at] == keys[0] if len(other) else np.zeros(len(keys[0]), bool)
+                    shared = np.bincount(sides[0][0][common], minlength=batch.num_rows)
+                    linked = (shared > 0) & (100 * shared >= percent * (sizes[0] + sizes[1] - shared))
+                    yield batch.select(["a", "b"]).filter(pa.array(linked))
+
+        both = self._of(self._of(pairs, "a", "_a"), "b", "_b").select("a", "b", "text_a", "text_b")
+        return durable(both.mapInArrow(compare, "a long, b long"))
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``cls, hashes`` of the wanted classes: all shingles, in order. Stored."""
+        size = self.size
+
+        def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, "text", SLICE_BYTES):
+                    row, value = shingle_sets(batch.column("text"), size)
+                    ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
+                    sets = [value[x:y].tobytes() for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                    yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "hashes"])
+
+        return durable(self._of(wanted, "cls").select("cls", "text").mapInArrow(collect, "cls long, hashes binary"))
 
 
 def shared_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -185,112 +201,200 @@ def shared_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     return out
 
 
-def _joining_links(percent: int):
-    """Contiguous groups of equal ``task`` to links ``a, b`` between different components."""
-
-    def group(rows: list[dict]) -> Iterator[tuple[int, int]]:
-        one = rows[0]
-        side = np.array([r["side"] for r in rows])
-        left, right = np.flatnonzero(side == one["low"]), np.flatnonzero(side == one["high"])
-        if len(left) == 0 or len(right) == 0:
-            return
-        size = np.array([r["n"] for r in rows])
-        component = np.array([r["component"] for r in rows])
-        bands = np.array([r["bands"] for r in rows], np.int64)
-        apart = component[left][:, None] != component[right][None, :]
-        a, b = size[left][:, None], size[right][None, :]
-        i, j = np.nonzero(apart & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)))
-        i, j = left[i], right[j]
-        keep = (bands[i] == bands[j]).argmax(axis=1) == one["band"]
-        if one["low"] == one["high"]:
-            keep &= i < j
-        i, j = i[keep], j[keep]
-        if len(i) == 0:
-            return
-        sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-        own = np.array([len(s) for s in sets])
-        shared = shared_counts(sets, i, j)
-        linked = 100 * shared >= percent * (own[i] + own[j] - shared)
-        label = {c: c for c in component.tolist()}
-
-        def root(c: int) -> int:
-            while label[c] != c:
-                label[c] = c = label[label[c]]
-            return c
-
-        for x, y in zip(i[linked].tolist(), j[linked].tolist()):
-            p, q = root(int(component[x])), root(int(component[y]))
-            if p != q:
-                label[max(p, q)] = min(p, q)
-                yield rows[x]["rep"], rows[y]["rep"]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            columns = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 2
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
-
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in batch.to_pylist():
-                if held and held[-1]["task"] != row["task"]:
-                    found += group(held)
-                    held = []
-                held.append(row)
-            yield out(found)
-        if held:
-            yield out(list(group(held)))
-
-    return find
-
-
-def joining_links(filed: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links between components in buckets of ``filed`` (``key, band, rep``). Stored."""
-    own = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = filed.join(own.select("rep", "component", "n"), "rep")
-    span = labelled.groupBy("key").agg(
-        F.min("component").alias("c_low"), F.max("component").alias("c_high"), F.count("*").alias("size"), F.sum("n").alias("shingles")
-    )
-    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK_ROWS)), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)))
-    # In a bucket of two, step 1 has compared the only pair.
-    mixed = span.where("c_low < c_high and size > 2").select("key", blocks.cast("int").alias("blocks"))
-    dealt = durable(filed.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    sets = full_sets(reps.select("rep", "n").join(dealt.select("rep").distinct(), "rep"), docs)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("side", "other"), F.greatest("side", "other")
-    dealt = dealt.select("rep", "band", "side", low.alias("low"), high.alias("high"), F.xxhash64("key", low, high).alias("task"))
-    tasks = dealt.join(own.join(sets, "rep"), "rep").repartition("task").sortWithinPartitions("task", "rep")
-    return durable(tasks.mapInArrow(_joining_links(percent), "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _grouped(batches: Iterator[pa.RecordBatch], each, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``each`` over contiguous rows of equal ``task``, given as a table; it returns columns of ``schema``."""
+    held: list[pa.RecordBatch] = []
+
+    def close() -> pa.RecordBatch:
+        found = each(pa.Table.from_batches(held).combine_chunks())
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema)], schema=schema)
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        task = batch.column("task").to_numpy()
+        limits = np.flatnonzero(np.diff(task, prepend=task[:1], append=task[-1:])).tolist()
+        for first, last in zip([0, *limits], [*limits, len(task)]):
+            if held and held[-1].column("task")[0].as_py() != task[first]:
+                yield close()
+            held.append(batch.slice(first, last - first))
+    if held:
+        yield close()
+
+
+def _pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one task that have to be compared: other component, fitting size, first bucket that both share.
+
+    Rows are on the left or right side of the task, or on both where a block meets itself.
+    """
+    cls, component, n, left, right = (table.column(c).to_numpy() for c in ("cls", "component", "n", "left", "right"))
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    band = table.column("band")[0].as_py()
+    x, y = np.flatnonzero(left), np.flatnonzero(right)
+    a, b = n[x][:, None], n[y][None, :]
+    fits = (component[x][:, None] != component[y][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    i, j = np.nonzero(fits)
+    i, j = x[i], y[j]
+    # A block that meets itself has every pair twice.
+    once = ~(right[i] & left[j]) | (cls[i] < cls[j])
+    i, j = i[once], j[once]
+    keep = np.zeros(len(i), bool)
+    for first in range(0, len(i), COLUMNS):
+        part = slice(first, first + COLUMNS)
+        keep[part] = (bands[i[part]] == bands[j[part]]).argmax(axis=1) == band
+    return i[keep], j[keep]
+
+
+def _needed(percent: int):
+    """Rows that have a pair in their task."""
+    schema = pa.schema([("task", pa.int64()), ("cls", pa.int64())])
+
+    def each(table: pa.Table) -> tuple:
+        used = np.unique(np.concatenate(_pairs(table, percent)))
+        return table.column("task").to_numpy()[used], table.column("cls").to_numpy()[used]
+
+    return lambda batches: _grouped(batches, each, schema)
+
+
+def _joining(percent: int):
+    """Links between different components of a task."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def each(table: pa.Table) -> tuple:
+        i, j = _pairs(table, percent)
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        out: list[tuple[int, int]] = []
+        if len(i):
+            sets = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+            own = np.array([len(h) for h in sets])
+            shared = shared_counts(sets, i, j)
+            linked = 100 * shared >= percent * (own[i] + own[j] - shared)
+            cls, component = table.column("cls").to_pylist(), table.column("component").to_pylist()
+            label = {c: c for c in component}
+
+            def root(c: int) -> int:
+                while label[c] != c:
+                    label[c] = c = label[label[c]]
+                return c
+
+            for x, y in zip(i[linked].tolist(), j[linked].tolist()):
+                p, q = root(component[x]), root(component[y])
+                if p != q:
+                    label[max(p, q)] = min(p, q)
+                    out.append((cls[x], cls[y]))
+        return tuple(zip(*out)) if out else ([], [])
+
+    return lambda batches: _grouped(batches, each, schema)
+
+
+def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """``cls, n, component`` after ``links`` between classes. Stored."""
+    of = state.select(F.col("cls").alias("a"), F.col("component").alias("ca"))
+    to = state.select(F.col("cls").alias("b"), F.col("component").alias("cb"))
+    edges = links.join(of, "a").join(to, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = components(edges).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    joined = state.join(roots, "component", "left")
+    return durable(joined.select("cls", "n", F.coalesce("root", "component").alias("component")))
+
+
+def _mixed(filed: DataFrame, state: DataFrame) -> DataFrame:
+    """Members of buckets with several components, and whether they are in the bucket's largest one (``inside``)."""
+    labelled = filed.select("key", "band", "cls", "n").join(state.select("cls", "component"), "cls")
+    # One row per bucket and component.
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"))
+    wanted = largest.where("parts > 1").select("key", "largest")
+    return labelled.join(wanted, "key").withColumn("inside", F.col("component") == F.col("largest")).drop("largest")
+
+
+def _leader_pairs(mixed: DataFrame, percent: int, seed: int) -> DataFrame:
+    """``a, b``: a few members of each bucket's largest component with the members outside it."""
+    chosen = [F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(seed * LEADERS + k))) for k in range(LEADERS)]
+    leaders = mixed.where("inside").groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
+    met = mixed.where("not inside").join(leaders, "key").select("cls", "n", F.explode("leaders").alias("l"))
+    fits = f"100 * least(n, l.n) >= {percent} * greatest(n, l.n)"
+    return met.where(fits).select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct()
+
+
+def _last_links(mixed: DataFrame, reps: DataFrame, texts: Texts, percent: int) -> DataFrame:
+    """Links between components in buckets that leaders did not settle. Stored."""
+    mixed = durable(mixed)
+
+    def blocks(side: str) -> Column:
+        size, shingles = F.count_if(F.expr(side)), F.sum(F.when(F.expr(side), F.col("n")).otherwise(0))
+        return F.greatest(F.lit(1), F.ceil(size / F.lit(BLOCK_ROWS)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    cut = mixed.groupBy("key").agg(blocks("inside").alias("ins"), blocks("not inside").alias("outs"))
+    # Blocks 0 .. outs - 1 hold the members outside, the rest those inside. Those inside meet no one but those outside.
+    outside = F.col("outs")
+    own = F.when(F.col("inside"), outside + F.pmod(F.xxhash64("cls"), F.col("ins"))).otherwise(F.pmod(F.xxhash64("cls"), outside))
+    last = F.when(F.col("inside"), outside - 1).otherwise(outside + F.col("ins") - 1)
+    dealt = mixed.join(cut, "key").withColumns({"own": own.cast("int"), "other": F.explode(F.sequence(F.lit(0), last.cast("int")))})
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    tasks = dealt.select(
+        F.xxhash64("key", low, high).alias("task"), "band", "cls", "n", "component",
+        (F.col("own") == low).alias("left"), (F.col("own") == high).alias("right"),
+    )
+    banded = tasks.join(reps.select("cls", "bands"), "cls").repartition("task").sortWithinPartitions("task", "cls")
+    needed = durable(banded.mapInArrow(_needed(percent), "task long, cls long"))
+    sets = texts.sets(needed.select("cls").distinct())
+    full = tasks.join(needed, ["task", "cls"]).join(reps.select("cls", "bands"), "cls").join(sets, "cls")
+    return durable(full.repartition("task").sortWithinPartitions("task", "cls").mapInArrow(_joining(percent), "a long, b long"))
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS
+) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row."""
+    return judged_rows(narrow(docs, doc_id=doc_id, text=text), percent, shingle_words).drop("of", "stays")
+
+
+def judged_rows(docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
+    """Result per row of ``(doc_id, text)``, with the hash ``of`` of its text.
+
+    ``stays`` marks one row of each component by id and hash, or several that agree in id and text; rows that
+    are linked with nothing stay.
+    """
     ready(docs.sparkSession)
-    docs = narrow(docs, doc_id=doc_id, text=text)
-    signed = signatures(docs)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("of"), "text")
+    signed = signatures(docs, shingle_words)
     has = signed.where("n_shingles > 0 and doc_id is not null")
     sets = ["set_a", "set_b", "n_shingles"]
-    classes = has.groupBy(*sets).agg(F.min("doc_id").alias("rep"))
-    members = durable(has.select("doc_id", *sets).join(classes, sets).select("doc_id", "rep"))
-    own = has.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", *sets)
-    # Several rows may hold the smallest id of a class; they are equal.
-    reps = durable(own.join(classes, [*sets, "rep"]).drop(*sets).dropDuplicates(["rep"]))
-    entries = reps.select(F.posexplode("bands").alias("band", "key"), "rep", "n")
-    buckets = entries.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("first"), F.max("rep").alias("high"))
-    buckets = buckets.where("first.rep < high").select("key", F.col("first.rep").alias("low"), F.col("first.n").alias("n_low"))
+    grouped = has.groupBy(*sets).agg(F.min(F.struct("doc_id", "of")).alias("first"))
+    numbered = grouped.select(*sets, F.col("first.doc_id").alias("doc_id"), F.col("first.of").alias("of"))
+    classes = durable(numbered.withColumn("cls", F.monotonically_increasing_id()))
+    own = has.select("doc_id", "of", "bands", *sets)
+    # Rows that agree in id and text are equal.
+    reps = own.join(classes, [*sets, "doc_id", "of"]).select("cls", F.col("n_shingles").alias("n"), "bands")
+    reps = durable(reps.dropDuplicates(["cls"]))
+    again = has.groupBy("doc_id", "of").count().where("count > 1").limit(1)
+    texts = Texts(docs if again.isEmpty() else docs.dropDuplicates(["doc_id", "of"]), classes, shingle_words)
+
+    entries = reps.select(F.posexplode("bands").alias("band", "key"), "cls", "n")
+    buckets = entries.groupBy("key").agg(F.min_by(F.struct("cls", "n"), "cls").alias("first"), F.max("cls").alias("high"))
+    buckets = buckets.where("first.cls < high").select("key", F.col("first.cls").alias("low"), F.col("first.n").alias("n_low"))
     filed = durable(entries.join(buckets, "key"))
     fits = f"100 * least(n, n_low) >= {percent} * greatest(n, n_low)"
-    stars = filed.where("low < rep").where(fits).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(durable(stars), docs, percent)
-    labels = components(links)
-    more = joining_links(filed.select("key", "band", "rep"), reps, labels, docs, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    tested = durable(filed.where("low < cls").where(fits).select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct())
+    state = _merged(reps.select("cls", "n", F.col("cls").alias("component")), texts.confirmed(tested, percent))
+    for seed in count():
+        pairs = durable(_leader_pairs(_mixed(filed, state), percent, seed).join(tested, ["a", "b"], "left_anti"))
+        links = texts.confirmed(pairs, percent)
+        if links.isEmpty():
+            break
+        tested = tested.unionByName(pairs)
+        state = _merged(state, links)
+    state = _merged(state, _last_links(_mixed(filed, state), reps, texts, percent))
+
+    # A component is named by the smallest id of its classes.
+    placed = classes.select(*sets, "doc_id", "of", "cls").join(state.select("cls", "component"), "cls")
+    names = placed.groupBy("component").agg(F.min(F.struct("doc_id", "of")).alias("least"))
+    of_class = placed.join(names, "component").select(*sets, "least")
+    linked = has.select("doc_id", "of", *sets).join(of_class, sets)
+    linked = linked.select("doc_id", "of", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "of") == F.col("least")).alias("stays"))
+    alone = signed.where("n_shingles = 0 or doc_id is null")
+    alone = alone.select("doc_id", "of", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    out = linked.unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
