@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import regex
 
 
 def lower(text):
@@ -107,6 +109,26 @@ def personal(text):
     return [(k, m.start(), m.end()) for k, p, ok in PERSONAL for m in re.finditer(p, text or "") if ok(m[0])]
 
 
+def disclosed(texts, disclosure=0.8, least=3):
+    """Per text the spans of terms that give away one of its entities, by counts over whole texts."""
+    entities = [{f"{k}:{(t or '')[a:b]}" for k, a, b in personal(t)} for t in texts]
+    words = [set(regex.findall(r"\p{L}{4,}", (t or "").lower())) for t in texts]
+    n = len(texts)
+    n_entity = Counter(e for own in entities for e in own)
+    n_term = Counter(w for own in words for w in own)
+    both = Counter((e, w) for own, held in zip(entities, words) for e in own for w in held)
+    telling = defaultdict(set)
+    for (e, w), k in both.items():
+        information = math.log2(n / n_entity[e])
+        if k >= least and information > 0 and math.log2(k * n / (n_term[w] * n_entity[e])) >= disclosure * information:
+            telling[e].add(w)
+    out = []
+    for t, own in zip(texts, entities):
+        wanted = set().union(*[telling[e] for e in own])
+        out.append([("term", m.start(), m.end()) for m in regex.finditer(r"(?<!\p{L})\p{L}{4,}(?!\p{L})", t or "") if m[0].lower() in wanted])
+    return out
+
+
 def repeats(docs, length=50):
     """``docs``: ``(id, text)``; per document bytes, removed bytes, spans and what is kept."""
     data = [(np.inf if i is None else i, (t or "").encode()) for i, t in docs]
@@ -133,9 +155,9 @@ def shingles(text, size=4):
     return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
 
 
-def near_copies(docs, percent=80):
+def near_copies(docs, percent=80, size=4):
     """``docs``: ``(id, text)`` with different ids; sizes of the sets and components."""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, size) for i, t in docs}
     links = [
         (a, b) for (a, x), (b, y) in combinations(sets.items(), 2) if x & y and 100 * len(x & y) >= percent * len(x | y)
     ]

@@ -180,6 +180,7 @@ def test_url_rules(spark):
         "http://a.example.net/en/1", "http://EXAMPLE.NET/de/", "http://x.net", "http://x.net/", "https://q.org/fr/1?u=http://z.net/",
         "http://example.com/de/x#y", "http://notexample.com/de/", "mailto:x", None, "", "http://x.example.net:80/en/", "://b.org/fr/",
         "http://a.casino-win.org/", "http://b.casinos.org/", "http://b.net/casino-x", "ftp://ÄB.Net/ö",
+        "http://x\ny.net/a", "http://x\n.example.net/en/\n/z", "http://example.com\n/de/", "http://net\n/", "http://a\r.ORG/fr/",
     ]
     rows = [(k // 2, u, "clash") for k, u in enumerate(urls)] + [(None, "http://n.net/", None)]
     pages = ready(spark).createDataFrame(rows, "page_id long, url string, verdict string")
@@ -193,6 +194,28 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0)).count() == 0
 
 
+def test_thousands_of_rules(spark):
+    pick = random.Random(8)
+    names = [f"{a}{b}" for a in ("alpha", "beta", "gam", "del", "eps") for b in range(12)]
+    host = lambda: ".".join(pick.choice(names) for _ in range(pick.randint(1, 3))) + pick.choice([".com", ".org"])
+    path = lambda: "/" + "/".join(pick.choice(names) for _ in range(pick.randint(0, 2)))
+    listed = {f"{host()}{path()}": pick.choice(["block", "allow"]) for _ in range(4000)}
+    urls = [f"http://{pick.choice(['', 'www.', 'x'])}{host()}{path()}/{pick.choice(names)}" for _ in range(1500)]
+    pages = ready(spark).createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(pages, [url_rules.host_rule(v, t) for t, v in listed.items()]).collect()}
+    hits = 0
+    for k, address in enumerate(urls):
+        own_host, own_path = address[7:].split("/", 1)[0], "/" + address[7:].split("/", 1)[1]
+        fits = [t for t in listed if (own_host == t.split("/")[0] or own_host.endswith("." + t.split("/")[0])) and own_path.startswith(t[t.index("/") :])]
+        if fits:
+            best = max(map(len, fits))
+            assert len(found[k][0]) == best and found[k][0] in fits and found[k][1] == listed[found[k][0]]
+            hits += 1
+        else:
+            assert found[k] == (None, "allow")
+    assert hits > 100
+
+
 def test_rules_are_filed_under_their_rarest_token():
     rules = (url_rules.host_rule("block", "example.net/en"), url_rules.pattern_rule("block", "x"))
     assert rules[0].literals == {"example", "net"}  # "en" may go on in the URL
@@ -229,6 +252,18 @@ def test_embedding_dups(spark):
     assert embedding_dups.near_vectors(table.limit(0)).count() == 0
 
 
+def test_embedding_dups_with_repeated_ids(spark):
+    pick = np.random.default_rng(14)
+    base = pick.standard_normal(16)
+    near = [(base + 0.02 * pick.standard_normal(16)).tolist() for _ in range(5)]
+    far = pick.standard_normal(16).tolist()
+    rows = [(3, near[0], 1), (3, near[1], 1), (5, near[2], 1), (3, far, 1), (4, far, 1), (None, far, 1), (9, near[3], 2), (7, near[3], 2), (7, near[3], 2)]
+    table = ready(spark).createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted((tuple(r) for r in embedding_dups.near_vectors(table, block_rows=2).collect()), key=str)
+    want = [(3, 2, 3, True)] * 2 + [(5, 2, 3, False), (3, 1, 3, True), (4, 1, 3, False), (None, 0, None, True), (9, 2, 7, False)] + [(7, 2, 7, True)] * 2
+    assert found == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("block_hashes", [8_000_000, 40])
 def test_decontamination(spark, docs, nothing, block_hashes):
     passage = hard_documents()[0][1].split()
@@ -261,20 +296,26 @@ def test_personal_data(docs, nothing):
 
 
 def test_disclosing_terms(spark):
-    """A rare word that stands by one address again and again goes; common words and one-off words stay."""
+    """Counts over whole texts: a name far from the address, one in a footer, in copies, and by a hot address."""
     rows = []
     for k in range(60):
-        about = f"{prose(100 + k, 12)} Quillsmith {prose(200 + k, 3)} q@example.org {prose(300 + k, 12)}" if k < 8 else prose(400 + k, 30)
-        rows.append((k, about))
-    rows += [(100 + k, "Uniqueword says s@example.org here") for k in range(9)]  # copies of one context
+        far = f"{prose(100 + k, 60)} Quillsmith {prose(200 + k, 60)} q@example.org {prose(300 + k, 12)}"
+        rows.append((k, far if k < 8 else prose(400 + k, 30)))
+    rows += [(100 + k, "Uniqueword says s@example.org here") for k in range(9)]  # copies
+    rows += [(200 + k, f"{prose(500 + k, 20)}\nFooterman f@example.org") for k in range(9)]  # one footer
+    rows += [(300 + k, f"{prose(600 + k, 20)} hot@example.org {'Hotname' if k % 2 else 'other'}") for k in range(80)]
+    rows += [(400, "Rareword r@example.org"), (401, "Rareword r@example.org too"), (402, "Footerman alone, QUILLSMITH ALONE"), (100, "Uniqueword, another s@example.org row")]
+    rows += [(None, "Uniqueword without an id s@example.org"), (500, None), (501, "")]
     docs = documents(spark, rows)
     found = by_id(disclosure.judged(docs), "spans")
-    for k, (_, text) in enumerate(rows):
-        at = text.find("Quillsmith")
-        spans = found[rows[k][0]][0][0]
-        assert (f"term:{at}:{at + 10}" in spans) == (at >= 0)
-        assert spans.count("term") == (at >= 0)
-    assert "Quillsmith" not in " ".join(r["text"] for r in disclosure.sanitised(docs).collect())
+    texts = [t for _, t in rows]
+    want = [",".join(f"{k}:{a}:{b}" for k, a, b in brute.personal(t) + added) for t, added in zip(texts, brute.disclosed(texts))]
+    assert found == expected(rows, [(w,) for w in want])
+    assert want[0].count("term") == 1 and want[60].count("term") == 3 and "term" in want[69] and "term" not in want[-5]
+    clean = by_id(disclosure.sanitised(docs), "text")
+    assert "Quillsmith" not in " ".join(t for k in range(8) for (t,) in clean[k])
+    assert clean[200][0][0].endswith("[TERM] [EMAIL]") and clean[402] == [("Footerman alone, QUILLSMITH ALONE",)]
+    assert clean[None] == [("[TERM] [TERM] an id [EMAIL]",)] or clean[None][0][0].startswith("[TERM]")
 
 
 def test_language(spark, nothing):
@@ -285,7 +326,7 @@ def test_language(spark, nothing):
         pick = random.Random(k)
         text = " ".join(pick.choices(words[lang].split(), k=pick.randint(3, 40)))
         rows.append((k, text, None if k % 50 == 0 else lang, 1.0))
-    rows += [(1000, None, "xa", 1.0), (1001, "12 ... !", "yb", 1.0), (1002, "", None, 1.0), (1003, "lorem " * 9000, "xa", 1.0), (None, "ipsum dolor", "xa", 1.0), (5, rows[5][1], "zc", 1.0)]
+    rows += [(1000, None, "xa", 1.0), (1001, "12 ½ ² ① Ⅷ ... !", "yb", 1.0), (1002, "", None, 1.0), (1003, "lorem " * 9000, "xa", 1.0), (None, "ipsum dolor", "xa", 1.0), (5, rows[5][1], "zc", 1.0)]
     table = ready(spark).createDataFrame(rows, "doc_id long, text string, lang string, score double")
     found = by_id(language.identify(table), "held_out", "lang_pred", "score")
     import zlib
@@ -299,6 +340,45 @@ def test_language(spark, nothing):
     assert {(r["lang_pred"], r["score"]) for r in unlabelled.collect()} == {("und", 0.0)}
 
 
+def test_language_is_kernel_ridge_regression(spark):
+    """Scores against a plain kernel matrix over the whole sample; with as many landmarks as rows they agree."""
+    words = {"xa": "lorem ipsum dolor sit amet", "yb": "přes žluťoučký kůň úpěl", "zc": "на дворе трава дрова"}
+    rows = []
+    for k in range(90):
+        pick = random.Random(k)
+        lang = sorted(words)[k % 3]
+        rows.append((k, " ".join(pick.choices(words[lang].split() + words["xa"].split(), k=6)) + f" {k}", lang))
+    table = ready(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(table).collect()}
+    grams = [{n: {t[a : a + n] for a in range(len(t) - n + 1)} for n in (1, 2, 3)} for t in (r[1].lower().encode() for r in rows)]
+    kernel = np.array([[np.mean([len(x[n] & y[n]) / np.sqrt(len(x[n]) * len(y[n])) for n in (1, 2, 3)]) for y in grams] for x in grams])
+    import zlib
+
+    learned = [k for k in range(90) if zlib.crc32(str(k).encode()) % 5]
+    names = sorted(words)
+    y = np.array([[1.0 if rows[k][2] == name else -1.0 for name in names] for k in learned])
+    count = (y > 0).sum(axis=0)
+    weight = np.array([len(learned) / count[names.index(rows[k][2])] for k in learned])
+    # Weighted ridge with a penalised bias: the bias is one more feature that is always present.
+    own = kernel[np.ix_(learned, learned)] + 1
+    alpha = np.linalg.solve(own + language.RIDGE * len(learned) * np.diag(1 / weight), y)
+    score = (kernel[:, learned] + 1) @ alpha
+    assert all(found[k][0] == names[int(score[k].argmax())] for k in range(90))
+    # Presence is hashed into buckets, so kernels agree up to a few collisions.
+    assert np.mean([abs(found[k][1] - np.clip((score[k].max() + 1) / 2, 0, 1)) for k in range(90)]) < 0.02
+
+
+def test_every_language_is_learned(spark):
+    pick = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{n:03d}": ["".join(pick.choices(letters, k=5)) for _ in range(6)] for n in range(260)}
+    rows = [(k, " ".join(pick.choices(stems[f"l{k % 260:03d}"], k=12)), f"l{k % 260:03d}") for k in range(1560)]
+    table = ready(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(table).where("not held_out").collect()
+    right = sum(r["lang_pred"] == f"l{r['doc_id'] % 260:03d}" for r in found)
+    assert right > 0.95 * len(found) and len({r["lang_pred"] for r in found}) > 250
+
+
 def test_toxicity(spark, nothing):
     import zlib
 
@@ -354,6 +434,31 @@ def test_suffix_dedup(docs, nothing, monkeypatch):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_suffix_dedup_of_a_hot_passage(spark, monkeypatch):
+    """A passage in every document with other neighbours each time, over many chunks; ids at the end of the range."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
+    passage = prose(80, 40)
+    texts = [(k, f"{prose(900 + k, 4 + k % 9)} {passage} {prose(1100 + k, 4 + k % 7)}") for k in range(90)]
+    texts += [(2**63 - 1, passage + " x"), (2**63 - 1, "y " + passage), (-(2**63), "z " + passage)]
+    found = by_id(suffix_dedup.remove_repeats(documents(spark, texts)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == expected(texts, brute.repeats(texts))
+
+
+def test_longest_previous_factors():
+    pick = np.random.default_rng(9)
+    for size in (60, 200, 260):
+        data = pick.integers(97, 99, size).astype(np.uint8)
+        data[size // 2 :] = data[: size - size // 2]
+        places = np.sort(pick.choice(size - 49, (size - 49) * 3 // 4, replace=False))
+        strings = [data[p : p + 50].tobytes() for p in places]
+        agree = lambda x, y: next((n for n in range(50) if x[n] != y[n]), 50)
+        length, source = suffix_dedup.longest_previous(*suffix_dedup.suffix_order(data, places))
+        for k, own in enumerate(strings):
+            best = max((agree(own, s) for s in strings[:k]), default=0)
+            assert length[k] == best and (best == 0 or (source[k] < k and agree(own, strings[source[k]]) == best))
+        assert suffix_dedup.first_copies(data, places).tolist() == [strings.index(s) for s in strings]
+
+
 def test_suffix_dedup_on_overlapping_mixtures(spark):
     pick = random.Random(9)
     pool = [prose(50 + k, 25) for k in range(6)]
@@ -419,6 +524,33 @@ def test_near_copies_compare_every_candidate(spark):
     assert found == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_copies_with_repeated_ids(spark):
+    words = prose(70, 60).split(), prose(71, 60).split()
+    near = [" ".join(w[:30] + ["edit"] + w[31:]) for w in words]
+    texts = [(7, " ".join(words[0])), (7, " ".join(words[1])), (9, near[1]), (11, near[0]), (7, "something else"), (12, "something else")] + [(8, near[0])] * 3
+    rows = ready(spark).createDataFrame(texts, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["component_id"]) for r in minmax_dups.near_duplicates(rows).collect())
+    assert found == sorted([(7, 7)] * 3 + [(9, 7), (11, 7), (12, 7)] + [(8, 7)] * 3)
+
+
+@pytest.mark.parametrize("block_rows", [7, 40])
+def test_near_copies_in_blocks(spark, monkeypatch, block_rows):
+    """Buckets of hundreds with several components of which no leader is like the others."""
+    monkeypatch.setattr(minmax_dups, "BLOCK_ROWS", block_rows)
+    pick = random.Random(31)
+    fresh = lambda n: [f"w{pick.randrange(10**9)}" for _ in range(n)]
+    base, texts = fresh(80), []
+    for group in range(70):
+        shared = fresh(25)
+        texts += [(4 * group + m, " ".join(base + shared + fresh(30))) for m in range(1 + group % 4)]
+    hub = fresh(25)
+    texts += [(1000 + k, " ".join(base + hub + fresh(30))) for k in range(60)]
+    want = brute.near_copies(texts, 60)
+    rows = ready(spark).createDataFrame(texts, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in minmax_dups.near_duplicates(rows, percent=60).collect()}
+    assert found == {i: c for i, (_, c) in want.items()} and len(set(found.values())) == 71
+
+
 def test_shared_counts(monkeypatch):
     pick = np.random.default_rng(8)
     sets = [np.unique(pick.integers(0, 900, n)).astype(np.uint64) for n in (1, 50, 400, 400, 800, 3)]

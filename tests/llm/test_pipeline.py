@@ -43,6 +43,12 @@ def planted(spark, tmp_path_factory):
         (1007, "twice " + prose(9004, 20)),
         (1007, "twice " + prose(9004, 20)),
         (None, prose(9005, 20)),
+        (None, prose(9006, 30) + " " + passage),  # contaminated, without an id
+        (1008, prose(9007, 40)),  # one id, different texts
+        (1008, prose(9008, 40)),
+        (1008, passage + " " + prose(9009, 30)),
+        (1009, " ".join(prose(9010, 200).split()[k] + ("x" if k in (20, 60, 100, 140, 180) else "") for k in range(200))),
+        (1010, prose(9010, 200)),  # above 0.8 by four words, below it by five
     ]
     frame(spark, texts).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
@@ -64,20 +70,28 @@ def test_stages(spark, planted):
     toxic = {(i, t) for i, t in texts if t and "wretchface" in t}
     assert set(kept["toxicity"]) == set(texts) - toxic
     left = [(i, t) for i, t in dict.fromkeys(texts) if (i, t) not in toxic]
-    component = {i: c for i, (_, c) in brute.near_copies([d for d in left if d[0] is not None]).items()}
-    once = {(i, t) for i, t in left if i is None or component[i] == i}
+    named = [d for d in left if d[0] is not None]
+    component = brute.near_copies([(d, d[1]) for d in named], size=5)
+    once = {(i, t) for i, t in left if i is None or component[i, t][1][0] == i}
+    assert {(1008, t) for i, t in texts if i == 1008} <= once and {1009, 1010} <= {i for i, _ in once}
+    assert brute.near_copies([d for d in left if d[0] in (1009, 1010)])[1010][1] == 1009
     assert set(kept["near_copies"]) == once and (1000, texts[1][1]) not in once
-    assert set(kept["decontamination"]) == {d for d in once if d[0] != 1002}
+    assert set(kept["decontamination"]) == {(i, t) for i, t in once if prose(9000, 25) not in (t or "")}
+    assert sum(i is None for i, _ in kept["decontamination"]) == 1
+    rows = list(kept["personal_data"].values())
+    assert len(rows) == len(once) - 3
     clean = {i: r for (i, _), r in kept["personal_data"].items()}
-    assert len(clean) == len(once) - 1
     assert clean[1003]["text"].startswith("write to [EMAIL] or [IP] ")
     assert clean[1003]["n_chars"] == len(clean[1003]["text"])
-    assert all(r["text"] == t for (i, t) in once for r in [clean.get(i)] if r and i != 1003)
+    assert all(r["text"] == t for (i, t) in once for r in [clean.get(i)] if r and i not in (1003, 1008, None))
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, root).collect()
     tokens = defaultdict(int)
     for p in pieces:
         tokens[p["doc_id"]] += p["length"]
-    assert tokens == {i: len(x) for i, x in zip(clean, brute.encoded([r["text"] for r in clean.values()], "word_bpe_49k.json"))}
+    want = defaultdict(int)
+    for r, ids in zip(rows, brute.encoded([r["text"] for r in rows], "word_bpe_49k.json")):
+        want[r["doc_id"]] += len(ids)
+    assert tokens == want
 
 
 def test_run_gives_what_the_stages_give(spark, planted):
