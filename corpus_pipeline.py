@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stratadoc.llm import decontamination, disclosure, minmax_dups, packing, toxicity
 from stratadoc.llm.common import narrow, ready
@@ -18,33 +18,61 @@ from stratadoc.session import durable
 TOXIC_FROM = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is not among ``ids``; a row without an id stays."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+NEAR_COPY_WORDS = 5
+
+
+def _without(docs: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """Rows that agree with no row of ``found`` in ``doc_id`` and ``of``, the hash of the text, or those of them named.
+
+    A key that is null agrees with nothing. The row travels as one value, so that none of its names can clash.
+    """
+    packed = docs.select(
+        F.col("`doc_id`").alias("doc_id"), F.xxhash64("`text`").alias("of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    left = packed.join(found.select(*keys).distinct(), list(keys), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold; learned as in the query of operator 9."""
+    """Documents whose toxicity score stays below the threshold; learned as in the query of operator 9.
+
+    A null or empty text has a score like any other; rows that repeat are judged alike; no rows give none.
+    """
     labels = narrow(ready(spark).read.parquet(f"{sf_dir}/labels.parquet"), doc_id="doc_id", toxic="toxic")
     model = toxicity.learn(narrow(docs, doc_id="doc_id", text="text"), labels.where(fold("doc_id", 4) != 2))
     return docs.where(toxicity.score(spark, model) < TOXIC_FROM)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; one row of each id."""
-    found = minmax_dups.near_duplicates(docs)
-    kept = _without(docs, found.where("not kept"))
-    repeated = durable(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each group of near copies by shingles of five words: the one with the smallest id.
+
+    Rows with one id and different texts are documents of their own; of those with the smallest id of a group
+    the one with the smallest hash of its text stays, and of rows that agree in both the first by all their columns.
+    Rows without an id or without a word are no near copies and stay.
+    """
+    rows = minmax_dups.judged_rows(narrow(docs, doc_id="doc_id", text="text"), minmax_dups.PERCENT, NEAR_COPY_WORDS)
+    found = durable(rows.select("doc_id", "of", "stays", (F.col("n_shingles") > 0).alias("worded")))
+    kept = _without(docs, found.where("not stays"), "doc_id", "of")
+    repeated = found.where("stays and worded and doc_id is not null").groupBy("doc_id", "of").count().where("count > 1")
+    repeated = durable(repeated.select("doc_id", "of"))
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
-    return _without(kept, repeated).unionByName(again.dropDuplicates(["doc_id"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    again = docs.select(F.col("`doc_id`").alias("doc_id"), F.xxhash64("`text`").alias("of"), row).join(repeated, ["doc_id", "of"])
+    first = Window.partitionBy("doc_id", "of").orderBy(F.to_json("row"))
+    once = again.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return _without(kept, repeated, "doc_id", "of").unionByName(once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window. The text is judged, so rows without an id, and rows that share one, are too.
+
+    A null or empty text holds no window and stays; no rows give none.
+    """
     benchmark = ready(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.contamination(docs, benchmark).where("n_hit > 0"))
+    texts = docs.select(F.xxhash64("`text`").alias("doc_id"), F.col("`text`").alias("text"))
+    hit = decontamination.contamination(texts, benchmark).where("n_hit > 0")
+    return _without(docs, hit.select(F.col("doc_id").alias("of")), "of")
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +83,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of whole documents, placed in training windows."""
+    """Pieces of whole documents, placed in training windows; a null or empty text is its end id alone."""
     import public_tokenizers
 
     ready(spark)
