@@ -6,8 +6,9 @@ share. ``verdict`` compiles the table into one Boolean column. Shares are compar
 
 Measures count words (runs without white space), their characters, symbols, capitals, frequent function
 words, lines with a word, lines that repeat an earlier one, lines that begin as list items or break off, and
-words inside three-word windows that occur twice or more. Windows are sorted as text with their place
-behind, so equal ones stand together: the work grows with the length of a text, not with its square.
+words inside three-word windows that occur twice or more. Windows are sorted by hash and place, and those whose
+hash repeats by their text, so equal ones stand together: the work grows with the length of a text, not with its
+square, and a collision of hashes changes nothing.
 
 Defined results: a null text has no words and fails; a row without an id is judged like any other; rows that
 repeat are judged each; an empty table gives no row; other columns are not read.
@@ -23,7 +24,8 @@ from stratadoc.llm.common import narrow, ready
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-#: Digits of a place; a text has fewer words than 10 to this power.
+#: Bits and digits of a place; no text has as many words.
+PLACE_BITS = 31
 PLACE_DIGITS = 10
 STOP_WORDS = (
     "a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "that", "the", "this", "to", "was", "with",
@@ -74,13 +76,28 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
-def _windows(words: Column) -> Column:
-    """Three-word windows in order of their text, each with its place behind it."""
+def _ordered(words: Column) -> Column:
+    """Hash of each three-word window, as far as it fits beside the window's place, in order."""
     later = [F.slice(words, k, F.greatest(F.size(words), F.lit(1))) for k in (2, 3)]
-    # Joining with a missing word gives null, so the last two words begin no window.
-    pairs = F.zip_with(words, later[0], lambda a, b: F.concat(a, F.lit(" "), b))
-    triples = F.array_compact(F.zip_with(pairs, later[1], lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.sort_array(F.transform(triples, lambda x, k: F.concat(x, F.lit(" "), F.lpad(k.cast("string"), PLACE_DIGITS, "0"))))
+    hashed = F.zip_with(F.zip_with(words, later[0], lambda a, b: F.xxhash64(a, b)), later[1], lambda h, c: F.xxhash64(h, c))
+    hashed = F.slice(hashed, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+    place = F.lit((1 << PLACE_BITS) - 1)
+    return F.sort_array(F.transform(hashed, lambda h, k: h.bitwiseAND(F.bitwise_not(place)).bitwiseOR(k.cast("long"))))
+
+
+def _candidates(ordered: Column) -> Column:
+    """Places of windows whose hash occurs twice or more."""
+    place = F.lit((1 << PLACE_BITS) - 1)
+    following = F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1)))
+    # Neighbours that differ in their place alone; the last one has none after it.
+    pairs = F.zip_with(ordered, following, lambda x, y: F.when(F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0, F.array(x, y)))
+    return F.array_distinct(F.transform(F.flatten(F.array_compact(pairs)), lambda x: x.bitwiseAND(place).cast("int")))
+
+
+def _windows(words: Column, places: Column) -> Column:
+    """Windows at ``places`` in order of their text, each with its place behind it."""
+    number = lambda k: F.lpad(k.cast("string"), PLACE_DIGITS, "0")
+    return F.sort_array(F.transform(places, lambda k: F.concat_ws(" ", F.get(words, k), F.get(words, k + 1), F.get(words, k + 2), number(k))))
 
 
 def _repeated_places(windows: Column) -> Column:
@@ -115,13 +132,17 @@ def measured(docs: DataFrame) -> DataFrame:
         F.filter(F.split(text, r"[\x20\x09-\x0D]++", -1), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    placed = split.select("*", _windows(F.col("words")).alias("windows")).withColumn("places", _repeated_places(F.col("windows")))
+    # Each step is a column of its own, since what it names twice would be worked out twice.
+    ordered = split.select("*", _ordered(F.col("words")).alias("ordered"))
+    found = ordered.select("*", _candidates(F.col("ordered")).alias("candidates"))
+    windowed = found.select("*", _windows(F.col("words"), F.col("candidates")).alias("windows"))
+    placed = windowed.select("*", _repeated_places(F.col("windows")).alias("places"))
     lowered = lambda w: F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     stops = F.filter("words", lambda w: (F.length(w) <= max(map(len, STOP_WORDS))) & lowered(w).isin(*STOP_WORDS))
     return placed.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("places")).alias("n_repeat_words"),
