@@ -4,15 +4,13 @@ A document is the set of its distinct shingles of four words. Each of 64 permuta
 values, the smallest and the largest permuted hash; 128 values make 32 bands of four. At a similarity of
 0.8 a pair misses every band with a probability below 1e-7. Documents with equal sets are one class, with a
 stored number of its own, and only classes are banded. Links are confirmed on the full shingle sets, in
-three steps, since classes that already hang together need no comparison:
+two steps, since classes that already hang together need no comparison:
 
 1. every member of a band bucket with the bucket's smallest one;
-2. in buckets whose members still belong to different components, members outside the bucket's largest
-   component with a few leaders from it, again and again with other leaders while that joins anything;
-3. in buckets that are still mixed, all pairs of different components whose sizes allow the similarity, each
-   pair in the first bucket that it shares.
+2. in buckets whose members still belong to different components, all pairs of different components whose
+   sizes allow the similarity, each pair in the first bucket that it shares.
 
-Step 3 deals the members of a bucket's largest component and those outside it into blocks; only the few
+Step 2 deals the members of a bucket's largest component and those outside it into blocks; only the few
 outside meet every block. A first pass over numbers and bands finds which members of a task have a pair
 there at all, and only their sets are sent. Sets are compared as bits, and only links that join components
 leave a task.
@@ -25,7 +23,6 @@ row without an id is linked with nothing, its component is null and it is kept;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +37,8 @@ SHINGLE_WORDS = 4
 PERCENT = 80
 PERMUTATIONS = 64
 BANDS = 32
-BLOCK_ROWS = 250
+BLOCK_ROWS = 500
 BLOCK_SHINGLES = 1_000_000
-#: Members of a bucket's largest component that a round compares with those outside it.
-LEADERS = 4
 #: Shingles that are compared at a time.
 COLUMNS = 1 << 14
 SLICE_BYTES = 4 << 20
@@ -300,26 +295,20 @@ def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _mixed(filed: DataFrame, state: DataFrame) -> DataFrame:
-    """Members of buckets with several components, and whether they are in the bucket's largest one (``inside``)."""
+    """Members of buckets with several components, and whether they are in the bucket's largest one (``inside``).
+
+    In a bucket of two, step 1 has compared the only pair.
+    """
     labelled = filed.select("key", "band", "cls", "n").join(state.select("cls", "component"), "cls")
     # One row per bucket and component.
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"))
-    wanted = largest.where("parts > 1").select("key", "largest")
+    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("size").alias("size"))
+    wanted = largest.where("parts > 1 and size > 2").select("key", "largest")
     return labelled.join(wanted, "key").withColumn("inside", F.col("component") == F.col("largest")).drop("largest")
 
 
-def _leader_pairs(mixed: DataFrame, percent: int, seed: int) -> DataFrame:
-    """``a, b``: a few members of each bucket's largest component with the members outside it."""
-    chosen = [F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(seed * LEADERS + k))) for k in range(LEADERS)]
-    leaders = mixed.where("inside").groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
-    met = mixed.where("not inside").join(leaders, "key").select("cls", "n", F.explode("leaders").alias("l"))
-    fits = f"100 * least(n, l.n) >= {percent} * greatest(n, l.n)"
-    return met.where(fits).select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct()
-
-
-def _last_links(mixed: DataFrame, reps: DataFrame, texts: Texts, percent: int) -> DataFrame:
-    """Links between components in buckets that leaders did not settle. Stored."""
+def _joining_links(mixed: DataFrame, reps: DataFrame, texts: Texts, percent: int) -> DataFrame:
+    """Links between components of mixed buckets. Stored."""
     mixed = durable(mixed)
 
     def blocks(side: str) -> Column:
@@ -377,16 +366,11 @@ def judged_rows(docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
     buckets = buckets.where("first.cls < high").select("key", F.col("first.cls").alias("low"), F.col("first.n").alias("n_low"))
     filed = durable(entries.join(buckets, "key"))
     fits = f"100 * least(n, n_low) >= {percent} * greatest(n, n_low)"
-    tested = durable(filed.where("low < cls").where(fits).select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct())
-    state = _merged(reps.select("cls", "n", F.col("cls").alias("component")), texts.confirmed(tested, percent))
-    for seed in count():
-        pairs = durable(_leader_pairs(_mixed(filed, state), percent, seed).join(tested, ["a", "b"], "left_anti"))
-        links = texts.confirmed(pairs, percent)
-        if links.isEmpty():
-            break
-        tested = tested.unionByName(pairs)
-        state = _merged(state, links)
-    state = _merged(state, _last_links(_mixed(filed, state), reps, texts, percent))
+    stars = durable(filed.where("low < cls").where(fits).select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct())
+    state = _merged(reps.select("cls", "n", F.col("cls").alias("component")), texts.confirmed(stars, percent))
+    more = _joining_links(_mixed(filed, state), reps, texts, percent)
+    if not more.isEmpty():
+        state = _merged(state, more)
 
     # A component is named by the smallest id of its classes.
     placed = classes.select(*sets, "doc_id", "of", "cls").join(state.select("cls", "component"), "cls")
