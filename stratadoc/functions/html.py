@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import html as _html
+import json
+from collections.abc import Callable
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -34,51 +36,56 @@ _WINDOWS_1252 = (
 _NAMED = r"&(?!(?:nbsp|lt|gt|quot|apos|copy|middot|amp);)[A-Za-z][A-Za-z0-9]*;"
 
 
-def _numeric_references(text: Column) -> Column:
-    """Decode ``&#8364;`` and ``&#x20ac;`` by splitting at ``&#`` and decoding each piece's head."""
+def _numeric(piece: Column) -> Column:
+    """What follows ``&#``, with the number at its head decoded; as it was if there is none."""
+    hexa = F.regexp_extract(piece, _NUMERIC, 1)
+    deci = F.regexp_extract(piece, _NUMERIC, 2)
+    number = F.when(F.lower(F.substring(piece, 1, 1)) == "x", F.conv(F.substring(hexa, 1, 7), 16, 10)).otherwise(
+        F.substring(deci, 1, 8)
+    )
+    # Seven hex or eight decimal digits are beyond the last character anyway.
+    code = F.coalesce(F.nullif(number, F.lit("")).try_cast("long"), F.lit(0))
+    none = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    safe = F.when(none, F.lit(0xFFFD)).otherwise(code)
+    char = F.when(
+        safe.between(128, 159), F.substring(F.lit(_WINDOWS_1252), (safe - 127).cast("int"), F.lit(1))
+    ).otherwise(F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
+    tail = F.regexp_replace(piece, _NUMBER, "")
+    return F.when(F.regexp_like(piece, F.lit(_NUMBER)), F.concat(char, tail)).otherwise(F.concat(F.lit("&#"), piece))
 
-    def decode(piece: Column) -> Column:
-        hexa = F.regexp_extract(piece, _NUMERIC, 1)
-        deci = F.regexp_extract(piece, _NUMERIC, 2)
-        number = F.when(F.lower(F.substring(piece, 1, 1)) == "x", F.conv(F.substring(hexa, 1, 7), 16, 10)).otherwise(
-            F.substring(deci, 1, 8)
-        )
-        # Seven hex or eight decimal digits are beyond the last character anyway.
-        code = F.coalesce(F.nullif(number, F.lit("")).try_cast("long"), F.lit(0))
-        none = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        safe = F.when(none, F.lit(0xFFFD)).otherwise(code)
-        char = F.when(
-            safe.between(128, 159), F.substring(F.lit(_WINDOWS_1252), (safe - 127).cast("int"), F.lit(1))
-        ).otherwise(F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
-        tail = F.regexp_replace(piece, _NUMBER, "")
-        return F.when(F.regexp_like(piece, F.lit(_NUMBER)), F.concat(char, tail)).otherwise(
-            F.concat(F.lit("&#"), piece)
-        )
-
-    pieces = F.split(text, "&#")
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decode)
-    joined = F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))
-    return F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
 
+def _decoded(text: Column, sign: str, decode: Callable[[Column], Column]) -> Column:
+    """A text cut at ``sign``, with every part behind one decoded."""
+    parts = F.split(text, sign)
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decode)
+    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
-@F.pandas_udf(T.StringType())
-def _unescape_all(texts: pd.Series) -> pd.Series:
-    return texts.map(_html.unescape, na_action="ignore")
+
+def _all_references(text: Column) -> Column:
+    """Numbers and all names of HTML 5, each decoded once."""
+    # A constant of the plan: Python's own list, read as a map when the query is optimised.
+    names = F.from_json(F.lit(json.dumps({n: c for n, c in html5.items() if n.endswith(";")})), "map<string,string>")
+
+    def decode(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*;)", 1)
+        char = F.try_element_at(names, name)
+        named = F.coalesce(F.concat(char, F.substr(piece, F.length(name) + 1)), F.concat(F.lit("&"), piece))
+        return F.when(F.startswith(piece, F.lit("#")), _numeric(F.substr(piece, F.lit(2)))).otherwise(named)
+
+    return _decoded(text, "&", decode)
 
 
 def unescape(c, all_names: bool = False) -> Column:
     """Decode entities; with ``all_names`` the full HTML 5 list.
 
-    Only texts that hold a name beyond the usual ones go through the Python stage, which sees null
-    instead of the others.
+    Texts with the usual names alone are decoded by plain replacements, others part by part.
     """
     whole = text = col(c)
     for name, char in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.replace(_numeric_references(text), F.lit("&amp;"), F.lit("&"))
-    if all_names:
-        text = F.coalesce(_unescape_all(F.when(F.regexp_like(whole, F.lit(_NAMED)), whole)), text)
-    return text
+    text = F.when(F.contains(text, F.lit("&#")), _decoded(text, "&#", _numeric)).otherwise(text)
+    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return F.when(F.regexp_like(whole, F.lit(_NAMED)), _all_references(whole)).otherwise(text) if all_names else text
 
 
 def _pieces(text: Column, pattern: str) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratadoc import fixed_values as fv
-from stratadoc.functions.text import col, content_id
+from stratadoc.functions.text import col, content_id, strip
 
 
 def fixed_windows(text, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> Column:
@@ -18,38 +20,66 @@ def fixed_windows(text, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERL
     return F.filter(windows, lambda w: w != "")
 
 
-def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Fill chunks with consecutive short pieces, carrying at most ``overlap`` characters over."""
-    chunks, begin, held = [], 0, 0
-    for end, piece in enumerate(pieces):
-        if held + len(piece) > size and end > begin:
-            chunks.append("".join(pieces[begin:end]).strip())
-            while held > overlap or (held > 0 and held + len(piece) > size):
-                held -= len(pieces[begin])
-                begin += 1
-        held += len(piece)
-    chunks.append("".join(pieces[begin:]).strip())
-    return [c for c in chunks if c]
-
-
-def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
-    """Split at the first separator present; pieces still too long are split by the later ones."""
-    level = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    separator, later = separators[level], separators[level + 1 :]
-    if separator:
-        head, *tail = text.split(separator)
-        pieces = [p for p in (head, *(separator + t for t in tail)) if p]
-    else:
-        pieces = list(text)
-    chunks, pending = [], []
-    for piece in pieces:
-        if len(piece) < size:
-            pending.append(piece)
-            continue
-        chunks += _pack(pending, size, overlap)
-        pending = []
-        chunks += split_recursive(piece, size, overlap, later) if later else [piece]
-    return chunks + _pack(pending, size, overlap)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pieces(text: Column, separator: str) -> Column:
+    """Parts of a text, each but the first with the separator in front; characters for an empty separator."""
+    if not separator:
+        return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    parts = F.split(text, re.escape(separator), -1)
+    joined = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.lit(separator), part)))
+    return F.filter(joined, lambda part: part != "")
+
+
+def _split(text: Column, size: int, overlap: int, separators: tuple[str, ...]) -> Column:
+    """Chunks of a text by its first separator; pieces still too long go on to the later ones.
+
+    One fold over the pieces: consecutive short ones fill a chunk, of which at most ``overlap`` characters
+    are carried over; a long one closes the chunk and is split on its own. The state holds places of pieces
+    and the closed chunks; text is joined only when a chunk closes.
+    """
+
+    def over(pieces: Column) -> Column:
+        def closed(state: Column) -> Column:
+            held = F.slice(pieces, state["begin"] + 1, state["at"] - state["begin"])
+            return F.filter(F.array(strip(F.array_join(held, ""))), lambda c: c != "")
+
+        def state(at, begin, held, out) -> Column:
+            return F.struct(at.alias("at"), begin.alias("begin"), held.alias("held"), out.alias("out"))
+
+        def add(s: Column, piece: Column) -> Column:
+            length = F.length(piece)
+
+            def drop(t: Column, first: Column) -> Column:
+                more = t["more"] & ((t["held"] > overlap) | ((t["held"] > 0) & (t["held"] + length > size)))
+                return F.struct(
+                    F.when(more, t["begin"] + 1).otherwise(t["begin"]).alias("begin"),
+                    F.when(more, t["held"] - F.length(first)).otherwise(t["held"]).alias("held"),
+                    more.alias("more"),
+                )
+
+            start = F.struct(s["begin"].alias("begin"), s["held"].alias("held"), F.lit(True).alias("more"))
+            emptied = F.aggregate(
+                F.slice(pieces, s["begin"] + 1, s["at"] - s["begin"]),
+                start,
+                drop,
+                lambda t: state(s["at"] + 1, t["begin"], t["held"] + length, F.concat(s["out"], closed(s))),
+            )
+            full = (s["held"] + length > size) & (s["at"] > s["begin"])
+            longer = _split(piece, size, overlap, separators[1:]) if len(separators) > 1 else F.array(piece)
+            return (
+                F.when(length >= size, state(s["at"] + 1, s["at"] + 1, F.lit(0), F.concat(s["out"], closed(s), longer)))
+                .when(full, emptied)
+                .otherwise(state(s["at"] + 1, s["begin"], s["held"] + length, s["out"]))
+            )
+
+        zero = state(F.lit(0), F.lit(0), F.lit(0), F.array().cast("array<string>"))
+        return F.aggregate(pieces, zero, add, lambda s: F.concat(s["out"], closed(s)))
+
+    return _let(_pieces(text, separators[0]), over)
 
 
 def recursive_chunks(
@@ -58,13 +88,11 @@ def recursive_chunks(
     overlap: int = fv.CHUNK_OVERLAP,
     separators: tuple[str, ...] = fv.SEPARATORS,
 ) -> Column:
-    """Array of chunks by separators; the recursion has no built-in form, so it runs on Arrow batches."""
+    """Array of chunks by separators, as one expression; null for a null text.
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursive(t, size, overlap, separators), na_action="ignore")
-
-    return split(col(text))
+    A separator that does not occur gives one piece, which goes on to the next separator if it is long.
+    """
+    return F.when(col(text).isNotNull(), _split(col(text), size, overlap, separators))
 
 
 def chunk(df: DataFrame, chunks: Column, text: str = "text") -> DataFrame:

@@ -18,6 +18,9 @@ from stratadoc.functions.text import col, section, slug, strip, title_rule, url_
 from stratadoc.operators.numbering import dense_index
 from stratadoc.session import durable
 
+#: Attempts of a corpus that are taken by an ordered limit.
+MOST_AT_ONCE = 10_000
+
 
 def clean_url(url) -> Column:
     return F.regexp_replace(F.substring_index(strip(url), '"', 1), "/+$", "")
@@ -139,6 +142,17 @@ def attempts(picked: DataFrame, urls: DataFrame) -> DataFrame:
     return tried.unionByName(dense_index(others, ["pos"], "seq", first=n + 1).select("seq", "url"))
 
 
+def first_attempts(picked: DataFrame, urls: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of :func:`attempts`; an ordered limit instead of numbers for the whole table."""
+    picked = durable(picked)
+    known = picked.count()
+    tried = picked.select(F.col("place").cast("long").alias("seq"), "url")
+    others = urls.join(F.broadcast(picked.select("url")), "url", "left_anti").orderBy("pos").limit(max(n - known, 0))
+    # At most n rows are numbered.
+    numbered = others.select((F.row_number().over(Window.orderBy("pos")) + known).cast("long").alias("seq"), "url")
+    return tried.unionByName(numbered).where(F.col("seq") <= n)
+
+
 def number_slugs(df: DataFrame, url: str = "url", seq: str = "seq") -> DataFrame:
     """Add ``slug``; a slug met before gets ``_<seq>`` appended.
 
@@ -177,10 +191,15 @@ def number_slugs(df: DataFrame, url: str = "url", seq: str = "seq") -> DataFrame
 
 
 def extract_articles(pages: DataFrame, html: str = "html", default_title: str = fv.DEFAULT_TITLE) -> DataFrame:
-    """Add ``title`` and ``article``; only pages with nested candidates pass through Python."""
+    """Add ``title`` and ``article``.
+
+    Looks first whether any page has nested candidates; a table without one, as most are, gets a plan
+    without a Python stage. With some, the stage sees null instead of the simple pages.
+    """
     titled = pages.withColumn("title", article_title(html, default_title))
     nested = F.coalesce(needs_nesting(html), F.lit(False))
-    # One scan: the Python stage sees null instead of the simple pages.
+    if pages.where(nested).select(F.lit(1)).isEmpty():
+        return titled.withColumn("article", article_html(html))
     hard = article_html_nested(F.when(nested, F.col(html)))
     return titled.withColumn("article", F.when(nested, hard).otherwise(article_html(html)))
 
@@ -198,23 +217,26 @@ def rendered_markdown(title="title", url="url", body="body") -> Column:
     )
 
 
-def build_corpus(attempted: DataFrame, pages: DataFrame, n: int = fv.TARGET_PAGES) -> DataFrame:
+def build_corpus(picked: DataFrame, urls: DataFrame, pages: DataFrame, n: int = fv.TARGET_PAGES) -> DataFrame:
     """``seq, slug, url, title, text`` of the first ``n`` attempts whose page has an article.
 
-    Pages are parsed in rounds of growing size until ``n`` have an article, so that no more than a few
-    times the pages that are wanted are parsed unless most of them fail.
+    Attempts are taken, named and parsed in rounds of growing size until ``n`` have an article, so that no
+    more than a few times the pages that are wanted are touched unless most of them fail. A name depends on
+    earlier attempts alone, so it is the same in every round. Beyond ``MOST_AT_ONCE`` attempts, all of them are numbered.
     """
-    named = durable(number_slugs(attempted))
-    last = named.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    picked = durable(picked)
     done, bound, count, rounds = 0, 2 * n, 0, []
-    while done < last and count < n:
-        tried = named.where((F.col("seq") > done) & (F.col("seq") <= bound))
-        found = extract_articles(tried.join(pages.select("url", "html"), "url"))
+    while not rounds or count < n:
+        if bound <= MOST_AT_ONCE:
+            tried = durable(first_attempts(picked, urls, bound))
+        else:
+            tried = durable(attempts(picked, urls))
+        named = durable(number_slugs(tried).where(F.col("seq") > done))
+        found = extract_articles(named.join(pages.select("url", "html"), "url"))
         body = found.where(F.col("article").isNotNull()).withColumn("body", plain_text("article"))
         rounds.append(durable(body.select("seq", "slug", "url", "title", rendered().alias("text"))))
         count += rounds[-1].count()
+        if bound > MOST_AT_ONCE or tried.count() < bound:
+            break
         done, bound = bound, 4 * bound
-    if not rounds:
-        empty = named.join(pages.select("url", "html"), "url").where(F.lit(False))
-        return empty.select("seq", "slug", "url", F.lit("").alias("title"), F.lit("").alias("text"))
     return reduce(DataFrame.unionByName, rounds).orderBy("seq").limit(n)

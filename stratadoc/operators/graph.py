@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratadoc import fixed_values as fv
 from stratadoc.functions.text import col, strip, tokens
-from stratadoc.operators.fulltext import entity_lookup
+from stratadoc.operators.fulltext import NameIndex, entity_lookup
 from stratadoc.schemas import EXTRACTION
 from stratadoc.session import durable
 
@@ -101,7 +101,7 @@ def expand_directed(
     text: str = "text",
     limit: int = fv.GRAPH_CONTEXT_LIMIT,
     constant_label: bool = False,
-    **scan,
+    index: NameIndex | None = None,
 ) -> DataFrame:
     """Per question the first ``limit`` outgoing edges of its best matching names, as short texts.
 
@@ -109,7 +109,7 @@ def expand_directed(
     """
     with_edge = edges.select(F.col("source").alias("name")).distinct()
     hits = durable(
-        entity_lookup(questions, nodes, question_id=question_id, text=text, k=limit, searchable=with_edge, **scan)
+        entity_lookup(questions, nodes, question_id=question_id, text=text, k=limit, searchable=with_edge, index=index)
     )
     rows = _expand(hits, edges, [question_id], limit, constant_label)
     rows = _first_rows(rows, question_id, limit, [F.desc("score"), "source", "rel", "target"])
@@ -126,7 +126,7 @@ def expand_undirected(
     question_id: str = "question_id",
     limit: int = fv.GRAPH_TOOL_LIMIT,
     constant_label: bool = False,
-    **scan,
+    index: NameIndex | None = None,
 ) -> DataFrame:
     """Per question the first ``limit`` edges, either way, of the names its entities match.
 
@@ -136,7 +136,7 @@ def expand_undirected(
     asked = entities.withColumn("_ask", F.concat_ws("\u0001", F.col(question_id), F.col("pos")))
     with_edge = either.select(F.col("source").alias("name")).distinct()
     hits = durable(
-        entity_lookup(asked, nodes, question_id="_ask", text="entity", k=limit, searchable=with_edge, **scan)
+        entity_lookup(asked, nodes, question_id="_ask", text="entity", k=limit, searchable=with_edge, index=index)
     )
     hits = hits.join(asked.select("_ask", question_id, "pos"), "_ask")
     rows = _expand(hits, either, [question_id, "pos"], limit, constant_label)

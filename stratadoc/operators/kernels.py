@@ -143,93 +143,3 @@ class CosineKernel:
 
     def best(self):
         return _all_best(self.tops, [self.qids[span] for span in self.spans])
-
-
-class _Bm25Block:
-    """BM25 of one block of questions; a bounded number of cells is scored at a time."""
-
-    CELLS = 4_000_000
-
-    def __init__(self, table, *, question_id, item_id, terms, item_tokens, item_length, mean_length, k, k1, b):
-        self.qids = _ids(table[question_id])
-        column = _one_array(table[terms])
-        owner = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
-        flat = column.flatten()
-        words = flat.field("token").dictionary_encode()
-        self.vocab = words.dictionary
-        word = words.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(word, kind="stable")
-        self.owner = owner[order]
-        self.idf = flat.field("idf").to_numpy(zero_copy_only=False)[order]
-        self.start = np.searchsorted(word[order], np.arange(len(self.vocab) + 1))
-        self.names = (item_id, item_tokens, item_length)
-        self.mean, self.k, self.k1, self.b = mean_length, k, k1, b
-        self.top = _Best(len(self.qids), k)
-
-    def update(self, batch) -> None:
-        item_id, item_tokens, item_length = self.names
-        if not batch.num_rows or not len(self.vocab):
-            return
-        names = _ids(batch.column(item_id))
-        lists = batch.column(item_tokens)
-        code = pc.index_in(lists.flatten(), value_set=self.vocab)
-        known = pc.is_valid(code).to_numpy(zero_copy_only=False)
-        if not known.any():
-            return
-        row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known]
-        term = code.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-        rank = np.empty(len(names), dtype=np.int64)
-        by_name = np.argsort(names, kind="stable")
-        rank[by_name] = np.arange(len(names))
-        size = len(self.vocab)
-        pair, tf = np.unique(rank[row] * size + term, return_counts=True)
-        item, term = pair // size, pair % size
-        length = batch.column(item_length).to_numpy(zero_copy_only=False)[by_name]
-        weight = tf * (self.k1 + 1) / (
-            tf + self.k1 * (1 - self.b + self.b * length[item] / self.mean)
-        )
-        tile = max(1, self.CELLS // max(1, len(self.qids)))
-        sorted_names = names[by_name]
-        for begin in range(0, len(names), tile):
-            end = min(begin + tile, len(names))
-            lo, hi = np.searchsorted(item, [begin, end])
-            if lo < hi:
-                self._tile(item[lo:hi] - begin, term[lo:hi], weight[lo:hi], sorted_names[begin:end])
-
-    def _tile(self, item, term, weight, names) -> None:
-        width, questions = len(names), len(self.qids)
-        scores = np.zeros(questions * width)
-        order = np.argsort(term, kind="stable")
-        term, item, weight = term[order], item[order], weight[order]
-        found, begin = np.unique(term, return_index=True)
-        for t, lo, hi in zip(found, begin, np.r_[begin[1:], len(term)]):
-            span = slice(self.start[t], self.start[t + 1])
-            cells = self.owner[span, None] * width + item[None, lo:hi]
-            scores[cells] += self.idf[span, None] * weight[None, lo:hi]
-        scores = np.floor(scores * 1e6 + 0.5) / 1e6
-        scores = scores.reshape(questions, width)
-        rows, cols = _best_columns(scores, self.k, 1e6)
-        picked = scores[rows, cols]
-        keep = (picked > 0) & (picked >= self.top.floor[rows])
-        self.top.merge(rows[keep], picked[keep], names[cols[keep]])
-
-
-class Bm25Kernel:
-    """Exact BM25 top-k of token lists for weighted question terms.
-
-    Only postings of terms that occur in the batch are expanded. Scores are rounded to six decimals
-    before ranking, so the order of addition cannot change a rank.
-    """
-
-    BLOCK = 1024
-
-    def __init__(self, table, **settings) -> None:
-        starts = range(0, table.num_rows, self.BLOCK)
-        self.blocks = [_Bm25Block(table.slice(i, self.BLOCK).combine_chunks(), **settings) for i in starts]
-
-    def update(self, batch) -> None:
-        for block in self.blocks:
-            block.update(batch)
-
-    def best(self):
-        return _all_best([b.top for b in self.blocks], [b.qids for b in self.blocks])

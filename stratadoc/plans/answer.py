@@ -10,6 +10,7 @@ from stratadoc import fixed_values as fv
 from stratadoc.functions.html import clean_text
 from stratadoc.operators.chunking import chunk, enrich, recursive_chunks
 from stratadoc.operators.embedding import embed_hashed
+from stratadoc.operators.fulltext import NameIndex, name_index
 from stratadoc.operators.graph import expand_directed, expand_undirected, graph_tool_text
 from stratadoc.operators.planning import answer_source, dispatch, normalise_plans, route, run_tools
 from stratadoc.operators.prompts import answer_prompt
@@ -41,7 +42,9 @@ def page_contexts(questions: DataFrame, points: DataFrame, k: int = fv.SEARCH_LI
     return hits.join(cited, "point_id").select("question_id", "rank", "score", "text")
 
 
-def search_tools(points: DataFrame, nodes: DataFrame, edges: DataFrame, entities: Callable) -> dict[str, Callable]:
+def search_tools(
+    points: DataFrame, nodes: DataFrame, edges: DataFrame, entities: Callable, index: NameIndex | None = None
+) -> dict[str, Callable]:
     """The search tools by name: functions from ``(question_id, tool_text)`` to ``(question_id, result)``.
 
     ``entities`` gives ``question_id, pos, entity`` for such rows, as a model or a rule finds them.
@@ -54,7 +57,7 @@ def search_tools(points: DataFrame, nodes: DataFrame, edges: DataFrame, entities
 
     def graph_search(rows: DataFrame) -> DataFrame:
         named = durable(entities(rows))
-        found = expand_undirected(named.where("entity is not null"), nodes, edges)
+        found = expand_undirected(named.where("entity is not null"), nodes, edges, index=index)
         return graph_tool_text(rows, named, found)
 
     return {"vector_search": vector_search, "graph_search": graph_search}
@@ -88,13 +91,15 @@ def answer_prompts(
         "question_id", F.coalesce("current_query", F.lit("")).alias("text")
     )
     found = vector_topk(embed_hashed(asked), points)
+    # Both the branch and the tool look names up in it.
+    index = name_index(nodes)
     contexts = merge_contexts(
         vector_contexts(found, points, question_id="question_id", item_id="point_id"),
-        graph_contexts(expand_directed(asked, nodes, edges), question_id="question_id"),
+        graph_contexts(expand_directed(asked, nodes, edges, index=index), question_id="question_id"),
         question_id="question_id",
     )
     dispatched = dispatch(planned.where(F.col("route") == "tool"))
-    outputs = run_tools(dispatched, search_tools(points, nodes, edges, entities))
+    outputs = run_tools(dispatched, search_tools(points, nodes, edges, entities, index))
     messages = outputs.select("question_id", F.array(F.struct("role", "content")).alias("messages"))
     state = documents_per_question(planned, contexts, question_id="question_id").join(messages, "question_id", "left")
     none = F.array().cast("array<struct<role:string,content:string>>")

@@ -545,7 +545,7 @@ def corpus_build(spark, folder) -> DataFrame:
     """Quota selection, slugs, articles and rendered text of the first fifty pages that work."""
     urls = _pages_urls(spark, folder)
     picked = corpus.select_by_quota(urls, 70, quotas=PAGE_QUOTAS, sections=PAGE_SECTIONS, home=None)
-    return corpus.build_corpus(corpus.attempts(picked, urls), table(spark, folder, "pages"), 50)
+    return corpus.build_corpus(picked, urls, table(spark, folder, "pages"), 50)
 
 
 def object_key(spark, folder) -> DataFrame:

@@ -5,9 +5,9 @@ import math
 import re
 
 import numpy as np
+from plain import split_recursive
 
 from stratadoc import fixed_values as fv
-from stratadoc.operators.chunking import split_recursive
 from stratadoc.operators.embedding import embed_hashed
 from stratadoc.plans import answer, catalog
 

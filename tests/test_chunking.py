@@ -5,6 +5,7 @@ import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from plain import split_recursive
 from pyspark.sql import functions as F
 
 from stratadoc import fixed_values as fv
@@ -12,7 +13,7 @@ from stratadoc.operators import chunking
 
 
 def split(text, size=512, overlap=50, separators=fv.SEPARATORS):
-    return chunking.split_recursive(text, size, overlap, separators)
+    return split_recursive(text, size, overlap, separators)
 
 
 @pytest.mark.parametrize(
@@ -60,6 +61,21 @@ def test_chunks_fit_and_come_from_the_text(text, size):
     assert sum(len(c) for c in chunks) >= len("".join(text.split()))
 
 
+SETTINGS = [(512, 50, fv.SEPARATORS), (512, 50, fv.CONFIG_SEPARATORS), (12, 3, fv.SEPARATORS), (7, 0, (" ", "")), (9, 8, ("ab", ".")), (20, 19, fv.SEPARATORS), (1, 0, ("",))]
+
+
+@pytest.mark.parametrize("size,overlap,separators", SETTINGS)
+def test_expression_equals_the_plain_splitter(spark, size, overlap, separators):
+    rng = random.Random(size)
+    texts = ["x" * 2000, "x" * 513, "x" * 512, "", " \n\n \t ", "\n\n".join(w * 100 for w in "abcdefgh"), "a" * 300 + "." + "b" * 300, "😀é\u2003" * 400, "$1 \\E (a|b) " * 90]
+    texts += ["".join(rng.choices("abc  .\n😀\u2003", k=rng.randint(0, 120))) for _ in range(400)]
+    texts += [" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 900))) + rng.choice([".", "\n", ""]) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, text string").repartition(4)
+    got = {r["i"]: r["c"] for r in df.select("i", chunking.recursive_chunks("text", size, overlap, separators).alias("c")).collect()}
+    assert got.pop(len(texts)) is None
+    assert all(got[i] == split(t, size, overlap, separators) for i, t in enumerate(texts))
+
+
 def test_recursive_numbers_of_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     chunks = chunking.chunk(docs, chunking.recursive_chunks("text"))

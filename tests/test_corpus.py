@@ -115,11 +115,28 @@ def test_build_goes_on_after_failures(spark):
     picked = spark.createDataFrame([(1, values[0], "b"), (2, values[3], "b")], "place int, url string, bucket string")
     tried = corpus.attempts(picked, urls(spark, *values))
     assert [r["url"][-2:] for r in tried.orderBy("seq").collect()] == ["p0", "p3", "p1", "p2", "p4", "p5", "p6", "p7"]
-    rows = corpus.build_corpus(tried, pages, 3).orderBy("seq").collect()
+    first = corpus.first_attempts(picked, urls(spark, *values), 4)
+    assert [r["url"][-2:] for r in first.orderBy("seq").collect()] == ["p0", "p3", "p1", "p2"]
+    rows = corpus.build_corpus(picked, urls(spark, *values), pages, 3).orderBy("seq").collect()
     assert [(r["seq"], r["slug"], r["title"]) for r in rows] == [(2, "p3", "T3"), (3, "p1", "T1"), (5, "p4", "T4")]
     assert rows[0]["text"] == "T3\n==\nSource: https://h/p3\n\nx3\n"
 
 
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_build_in_rounds(spark, monkeypatch, most):
+    """Most pages fail, and names collide across rounds."""
+    monkeypatch.setattr(corpus, "MOST_AT_ONCE", most)
+    values = [f"https://h/{'same' if i % 2 else f'p{i}'}?{i}" for i in range(60)]
+    pages = spark.createDataFrame([(u, f"<article>x{i}</article>" if i % 9 == 7 else "no") for i, u in enumerate(values)], "url string, html string")
+    picked = spark.createDataFrame([(1, values[16], "b")], "place int, url string, bucket string")
+    order = [values[16], *[u for u in values if u != values[16]]]
+    names = plain_numbering(order)
+    want = [(k + 1, names[k], u) for k, u in enumerate(order) if values.index(u) % 9 == 7]
+    rows = corpus.build_corpus(picked, urls(spark, *values), pages, 5).orderBy("seq").collect()
+    assert [(r["seq"], r["slug"], r["url"]) for r in rows] == want[:5]
+    assert corpus.build_corpus(picked, urls(spark, *values), pages, 50).count() == len(want)
+
+
 def test_section_counts(spark):
     got = corpus.section_counts(corpus.section_urls(urls(spark, *BASE))).collect()
     assert {r["bucket"]: r["urls"] for r in got} == {"tasks": 25, "concepts": 25, "other": 25, "setup": 25, "reference": 25}

@@ -1,6 +1,7 @@
 """Pages to text: odd markup, entities, and article rules with nesting."""
 
-from pyspark.sql import functions as F
+import html
+from html.entities import html5
 
 from stratadoc.functions.html import article_title, clean_text, page_title, plain_text, unescape
 from stratadoc.operators.corpus import extract_articles
@@ -62,8 +63,14 @@ def test_article_rules_in_order(spark):
 
 
 def test_simple_pages_stay_in_the_jvm(spark):
-    df = spark.createDataFrame([(0, "<article>a</article>")], "page_id int, html string")
-    assert extract_articles(df).where(F.col("article") == "a").count() == 1
+    df = spark.createDataFrame([(0, "<article>a &hellip;</article>")], "page_id int, html string")
+    out = extract_articles(df).select(plain_text("article").alias("a"), clean_text("html").alias("c"), "title")
+    assert out.first()["a"] == "a …" and "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_all_names_of_the_list(spark):
+    text = " ".join(f"&{n}" for n in html5 if n.endswith(";")) + " &#38;lt; &amp;lt; &amp;#60; & &; &nosuch; &#x;"
+    assert value(spark, text, unescape("html", all_names=True)) == html.unescape(text)
 
 
 def test_references_of_all_kinds(spark):

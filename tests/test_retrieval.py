@@ -174,10 +174,11 @@ def bm25(questions, names):
                 yield qid, name, math.floor(score * 1e6 + 0.5) / 1e6
 
 
-@pytest.mark.parametrize("way", WAYS)
-def test_entity_lookup_is_exact(spark, way):
+@pytest.mark.parametrize("hot_names", [1, 12, 40, 10_000])
+def test_entity_lookup_is_exact(spark, hot_names):
+    """Rare tokens alone, hot tokens alone, and both; the limit moves tokens from one way to the other."""
     rng = random.Random(5)
-    words = ["node", "pod", "volume", "alpha", "beta", "gamma", "x1"]
+    words = ["node", "pod", "volume", "alpha", "beta", "gamma", "x1"] + [f"r{i}" for i in range(30)]
     # One token occurs in a third of all names.
     names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4)) + (["hot"] if rng.random() < 1 / 3 else [])) for _ in range(150)})
     questions = [(f"q{i}", " ".join(rng.choices(words + ["hot", "zzz"], k=4))) for i in range(15)] + [("none", "???")]
@@ -187,7 +188,14 @@ def test_entity_lookup_is_exact(spark, way):
         expected |= {(qid, n, rank + 1) for rank, (_, n) in enumerate(scored)}
     q = spark.createDataFrame(questions, "question_id string, text string")
     nodes = spark.createDataFrame([(n, "t") for n in names], "name string, type string").repartition(3)
-    got = entity_lookup(q, nodes, k=6, **way)
+    got = entity_lookup(q, nodes, k=6, hot_names=hot_names)
+    assert {(r["question_id"], r["name"], r["rank"]) for r in got.collect()} == expected
+    some = spark.createDataFrame([(n,) for n in names[::3]], "name string")
+    expected = set()
+    for qid, _ in questions:
+        scored = sorted((-s, n) for q, n, s in bm25(questions, names) if q == qid and n in names[::3])[:6]
+        expected |= {(qid, n, rank + 1) for rank, (_, n) in enumerate(scored)}
+    got = entity_lookup(q, nodes, k=6, hot_names=hot_names, searchable=some)
     assert {(r["question_id"], r["name"], r["rank"]) for r in got.collect()} == expected
 
 
