@@ -6,6 +6,7 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from stratadoc import fixed_values as fv
 from stratadoc.functions import text as tx
@@ -22,14 +23,21 @@ from stratadoc.plans import answer, inputs
 from stratadoc.plans.inputs import table
 from stratadoc.session import durable, shared_folder
 from stratadoc.sources import readers, writers
-from stratadoc.streaming import events as feed, write_back
+from stratadoc.streaming import events as feed, states, write_back
 from stratadoc.streaming.dedupe import drop_repeats
 
 RATE = {"limit": 3, "window_seconds": 86_400}
+#: Files that a table is dealt into before a stream reads it; three batches take them.
+ARRIVALS = 6
 PAGE_SECTIONS = (("/en/", "en"), ("/fr/", "fr"), ("/de/", "de"), ("/es/", "es"))
 PAGE_QUOTAS = (("en", 18), ("fr", 16), ("de", 6), ("es", 5))
 
 
+def finished(query: StreamingQuery) -> None:
+    """Wait for a stream over what is there; its failure is raised."""
+    query.awaitTermination()
+
+
 # Retrieval.
 
 
@@ -333,16 +341,29 @@ def history_write_back(spark, folder) -> DataFrame:
     return write_back.history_turns(rows)
 
 
-def message_state(spark, folder) -> DataFrame:
-    """Turns as steps: messages add up, other fields keep the last value set."""
-    t = inputs.turns(spark, folder)
-    steps = t.select(
+def _steps(spark, folder) -> DataFrame:
+    return inputs.turns(spark, folder).select(
         "session_id",
         F.col("turn").alias("seq"),
         F.array(F.struct("role", "content")).alias("messages"),
         F.when(F.col("role") == "user", F.col("content")).alias("current_query"),
     )
-    out = conversation.reduce_states(steps, "session_id")
+
+
+def message_state(spark, folder) -> DataFrame:
+    """Turns as steps: messages add up, other fields keep the last value set."""
+    out = conversation.reduce_states(_steps(spark, folder), "session_id")
+    return out.select("session_id", tx.history_lines("messages").alias("lines"), "current_query")
+
+
+def message_state_stream(spark, folder) -> DataFrame:
+    """The same states kept by a stream, whose steps arrive in several batches and in no order."""
+    root = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    steps = _steps(spark, folder)
+    steps.repartition(ARRIVALS).write.parquet(f"{root}/steps")
+    arriving = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", -(-ARRIVALS // 3)).parquet(f"{root}/steps")
+    finished(states.start_states(arriving, f"{root}/states", f"{root}/state", "session_id"))
+    out = states.current_states(spark, f"{root}/states", "session_id")
     return out.select("session_id", tx.history_lines("messages").alias("lines"), "current_query")
 
 
@@ -587,7 +608,7 @@ QUERIES = {
         retrieval_counts, citations, page_contexts, page_contexts_fixed, answer_prompts, html_text, article_text, plain_page_text,
         element_assembly, element_flatten, chunk_fixed, chunk_recursive, chunk_metadata_merge, chunk_enrich,
         dedupe_exact, embed_hashed_terms, graph_nodes, graph_edges, graph_enforced, graph_rule_extract,
-        history_window, history_append, feedback_append, cache_put, message_state, plan_normalise, route,
+        history_window, history_append, feedback_append, cache_put, message_state, message_state_stream, plan_normalise, route,
         tool_output, prompt_answer, prompt_rewrite, prompt_graph, prompt_plan, hyde_query, completion_apply,
         query_rewrite, ndjson_events, notification_rows, url_filter, url_unique, slug, section_counts,
         quota_select, sitemap_urls, repeated_content, hyde_search, document_filters, history_write_back, manifest, render_text, corpus_build, object_key, rate_limit, rate_limit_sliced, rate_limit_default, rate_counts,

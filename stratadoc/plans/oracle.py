@@ -127,6 +127,51 @@ chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1
   FROM (SELECT *, unnest(range(0, greatest(length(text) - {fv.CHUNK_OVERLAP}, 1), {fv.CHUNK_SIZE - fv.CHUNK_OVERLAP})) AS i
     FROM documents) WHERE length(text) > 0)"""
 
+
+
+def _recursive(source: str, key: str, keep: str = "") -> str:
+    """CTEs ending in ``rchunks`` (key, keep, chunk_index, text) of ``source`` (key, keep, text), split by separators.
+
+    Each level cuts its texts into pieces; pieces as long as a chunk are the next level's texts. One recursion then
+    walks all levels' pieces at once: it carries the first piece of the open chunk and gives the ranges that close.
+    """
+    size, overlap = fv.CHUNK_SIZE, fv.CHUNK_OVERLAP
+    parts, levels = [f"rtext0 AS (SELECT {key} AS k, CAST([] AS INTEGER[]) AS path, text FROM {source} WHERE text IS NOT NULL)"], []
+    for i, separator in enumerate(fv.SEPARATORS):
+        if separator:
+            sign = _text(separator)
+            cut = f"list_filter(list_transform(string_split(text, {sign}), lambda p, i: CASE WHEN i = 1 THEN p ELSE {sign} || p END), lambda p: p <> '')"
+        else:
+            cut = "regexp_extract_all(text, '(?s).')"
+        parts.append(f"""rpiece{i} AS MATERIALIZED (SELECT k, path, generate_subscripts(ps, 1) AS i, unnest(ps) AS piece
+  FROM (SELECT k, path, {cut} AS ps FROM rtext{i}))""")
+        parts.append(f"rtext{i + 1} AS (SELECT k, list_append(path, 2 * i + 1) AS path, piece AS text FROM rpiece{i} WHERE length(piece) >= {size})")
+        levels.append(f"SELECT * FROM rpiece{i}")
+    return ",\n".join(parts) + f""",
+rsum AS (SELECT *, length(piece) AS n, length(piece) >= {size} AS long,
+    coalesce(sum(length(piece)) OVER (PARTITION BY k, path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  FROM ({" UNION ALL ".join(levels)})),
+rlist AS (SELECT k, path, list(c ORDER BY i) AS cs, max(i) AS last FROM rsum GROUP BY k, path),
+rall AS MATERIALIZED (SELECT s.*, last,
+    s.i - len(list_filter(cs[1:s.i], lambda x: x >= s.c - least({overlap}, {size} - s.n))) + 1 AS jump
+  FROM rsum s JOIN rlist l ON s.k = l.k AND s.path = l.path),
+rwalk AS (
+  SELECT k, path, i, last, CASE WHEN long THEN 2 ELSE 1 END AS b, CAST(NULL AS BIGINT) AS e, c, CASE WHEN long THEN c + n ELSE c END AS cb
+  FROM rall WHERE i = 1
+  UNION ALL
+  SELECT w.k, w.path, a.i, a.last,
+    CASE WHEN a.long THEN a.i + 1 WHEN a.c - w.cb + a.n > {size} AND a.i > w.b THEN greatest(w.b, a.jump) ELSE w.b END,
+    CASE WHEN a.i > w.b AND (a.long OR a.c - w.cb + a.n > {size}) THEN w.b END, a.c,
+    CASE WHEN a.long THEN a.c + a.n WHEN a.c - w.cb + a.n > {size} AND a.i > w.b THEN (SELECT max(z.c) FROM rall z
+      WHERE z.k = w.k AND z.path = w.path AND z.i = greatest(w.b, a.jump)) ELSE w.cb END
+  FROM rwalk w JOIN rall a ON a.k = w.k AND a.path = w.path AND a.i = w.i + 1),
+rclosed AS (SELECT k, path, e AS b, i AS t FROM rwalk WHERE e IS NOT NULL
+  UNION ALL SELECT k, path, b, last + 1 FROM rwalk WHERE i = last AND b <= last),
+rjoined AS (SELECT c.k, list_append(c.path, 2 * c.t) AS place, trim(string_agg(a.piece, '' ORDER BY a.i), {WS}) AS text
+  FROM rclosed c JOIN rall a ON a.k = c.k AND a.path = c.path AND a.i >= c.b AND a.i < c.t GROUP BY c.k, c.path, c.t),
+rchunks AS (SELECT k AS {key}, row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS chunk_index, text FROM rjoined WHERE text <> '')"""
+
+
 _HYBRID = f"""
 cp AS (SELECT doc_id || '-' || chunk_index AS point_id, text, filename FROM chunks),
 {_embedded('cv', 'cp', 'point_id', 'text')},
@@ -259,7 +304,70 @@ words AS (SELECT doc_id, chunk_index, unnest(ts) AS token, generate_subscripts(t
 firsts AS (SELECT doc_id, chunk_index, token, min(pos) AS pos FROM words JOIN gaz USING (token) GROUP BY ALL),
 links AS (SELECT token AS source, lead(token) OVER (PARTITION BY doc_id, chunk_index ORDER BY pos) AS target FROM firsts)"""
 
+_PAGE_TEXTS = f"""
+pt AS (SELECT page_id, CASE WHEN {_PATH} = '' THEN 'object_' || page_id ELSE regexp_extract({_PATH}, '([^/]*)$', 1) END AS filename,
+  {_cleaned(_unescaped(_STRIPPED), chr(92) + 'n|  ')} AS text FROM pages)"""
+_PAGE_POINTS = f"""{_PAGE_TEXTS},
+{_recursive('pt', 'page_id')},
+cp AS (SELECT DISTINCT md5(filename || chr(1) || chunk_index || chr(1) || md5(c.text)) AS point_id, filename, c.text AS text
+  FROM rchunks c JOIN pt USING (page_id)),
+{_embedded('cv', 'cp', 'point_id', 'text')}"""
+
+
+def _near(name: str, questions: str, k: int) -> str:
+    """CTE ``name`` (question_id, point_id, rank) of the points nearest to an embedded table."""
+    return f"""{name} AS (SELECT q.k AS question_id, cv.k AS point_id,
+  row_number() OVER (PARTITION BY q.k ORDER BY floor(list_inner_product(q.v, cv.v) * 1e9 + 0.5) DESC, cv.k) AS rank
+  FROM {questions} q, cv QUALIFY rank <= {k})"""
+
+
+def _scores(name: str, source: str, text: str) -> str:
+    """CTE ``name`` like ``scored``, for a second table of questions over the same names."""
+    own = _bm25(source, "question_id", text).split("qt AS (")[1]
+    return f"{name}_t AS (" + own.replace("scored AS", f"{name} AS").replace("qt.k", f"{name}_t.k").replace("FROM qt", f"FROM {name}_t")
+
+
+_ANSWER = f"""WITH RECURSIVE {_TURNS}, {_GRAPH}, {_PAGE_POINTS},
+{_embedded('av', 'answered', 'question_id', 'question')}, {_embedded('ev', 'eq', 'question_id', 'text')},
+known AS (SELECT DISTINCT ev.k AS question_id FROM ev, av
+  WHERE floor(list_inner_product(ev.v, av.v) * 1e9 + 0.5) / 1e9 >= {fv.CACHE_THRESHOLD}),
+missed AS (SELECT question_id, text FROM eq WHERE question_id NOT IN (SELECT question_id FROM known)),
+{_PLANS.strip().replace('FROM questions)', 'FROM missed)')},
+routed AS (SELECT *, CASE WHEN tool_choice <> '' THEN 'tool' ELSE 'retriever' END AS route FROM normal),
+asked AS (SELECT question_id, current_query AS text FROM routed WHERE route = 'retriever'),
+{_embedded('qv', 'asked', 'question_id', 'text')}, {_near('vhits', 'qv', fv.SEARCH_LIMIT)},
+{_bm25('asked', 'question_id', 'text')}, {_DIRECTED.strip()},
+found AS (SELECT question_id, 0 AS branch, rank, text || ' [Source: ' || filename || ']' AS text FROM vhits JOIN cp USING (point_id)
+  UNION ALL SELECT question_id, 1, rank, source || ' ' || rel || ' ' || target FROM directed),
+contexts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY question_id, text ORDER BY branch, rank) = 1),
+documents_of AS (SELECT question_id, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY branch, rank, text) AS context
+  FROM contexts GROUP BY question_id),
+called AS (SELECT question_id, tool_choice, CASE WHEN tool_input <> '' THEN tool_input ELSE current_query END AS tool_text
+  FROM routed WHERE route = 'tool'),
+searched AS (SELECT * FROM called WHERE tool_choice = 'vector_search'),
+{_embedded('sv', 'searched', 'question_id', 'tool_text')}, {_near('shits', 'sv', fv.TOOL_SEARCH_LIMIT)},
+passages AS (SELECT question_id, string_agg('- Content: ' || substr(text, 1, {fv.EXCERPT_CHARS}) || '... [Source: ' || filename || ', Page: 0]' || chr(10), ''
+  ORDER BY rank) AS result FROM shits JOIN cp USING (point_id) GROUP BY question_id),
+looked AS (SELECT * FROM called WHERE tool_choice = 'graph_search'), {_scores('gs', 'looked', 'tool_text')},
+linked AS (SELECT k AS question_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, source, type, target) AS rank, source, type AS rel, target
+  FROM gs JOIN either ON source = name QUALIFY rank <= {fv.GRAPH_TOOL_LIMIT}),
+facts AS (SELECT question_id, '[' || string_agg('{{"source":' || to_json(source)::VARCHAR || ',"rel":' || to_json(rel)::VARCHAR || ',"target":'
+  || to_json(target)::VARCHAR || '}}', ',' ORDER BY rank) || ']' AS result FROM linked GROUP BY question_id),
+outputs AS (SELECT question_id, trim(CASE WHEN tool_choice = 'vector_search' THEN coalesce(p.result, {_text(fv.NO_DOCUMENTS)})
+    ELSE coalesce(f.result, {_text(fv.NO_CONNECTIONS)}) END, {WS}) AS output
+  FROM called LEFT JOIN passages p USING (question_id) LEFT JOIN facts f USING (question_id)),
+answers AS (SELECT question_id, route, current_query, coalesce(n, 0)::INTEGER AS n_documents,
+    CASE WHEN coalesce(output, '') <> '' THEN {_text(fv.LABEL_TOOL)} ELSE {_text(fv.LABEL_CONTEXT)} END AS source_label,
+    CASE WHEN coalesce(output, '') <> '' THEN output ELSE coalesce(context, '') END AS source_content
+  FROM routed LEFT JOIN documents_of USING (question_id) LEFT JOIN outputs USING (question_id))
+SELECT question_id, route, n_documents,
+  {_filled(fv.ANSWER_PROMPT, label='source_label', content='source_content', question='current_query')} AS prompt FROM answers"""
+
 ORACLE: dict[str, str] = {
+    "chunk_recursive": f"WITH RECURSIVE {_recursive('documents', 'doc_id')} SELECT doc_id, chunk_index, text FROM rchunks",
+    "page_contexts": f"""WITH RECURSIVE {_TURNS}, {_PAGE_POINTS}, {_embedded('qv', 'questions', 'question_id', 'text')}, {_NEAREST}
+SELECT question_id, rank, score, text || ' [Source: ' || filename || ']' AS text FROM nearest JOIN cp USING (point_id)""",
+    "answer_prompts": _ANSWER,
     "vector_topk": f"WITH {_topk(5, 'q.vec_id <> i.vec_id')} SELECT question_id, vec_id, rank, score FROM hits",
     "vector_topk_filtered": f"WITH {_topk(5, 'q.vec_id <> i.vec_id AND q.label = i.label')} "
     "SELECT question_id, vec_id, rank, score FROM hits",
@@ -296,9 +404,7 @@ FROM scored JOIN asks ON ask = k JOIN either ON source = name QUALIFY rank <= {f
     "citations": f"""WITH {_topk(3, 'true')} SELECT question_id,
   string_agg(source || '_' || doc_id || '.txt=' || md5(text), ';' ORDER BY rank) AS citations
 FROM hits JOIN documents ON doc_id = vec_id GROUP BY question_id""",
-    "page_contexts_fixed": f"""WITH {_TURNS},
-pt AS (SELECT page_id, CASE WHEN {_PATH} = '' THEN 'object_' || page_id ELSE regexp_extract({_PATH}, '([^/]*)$', 1) END AS filename,
-  {_cleaned(_unescaped(_STRIPPED), chr(92) + 'n|  ')} AS text FROM pages),
+    "page_contexts_fixed": f"""WITH {_TURNS}, {_PAGE_TEXTS},
 pc AS (SELECT filename, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS chunk_index,
     substr(text, CAST(i + 1 AS BIGINT), {fv.CHUNK_SIZE}) AS text
   FROM (SELECT *, unnest(range(0, greatest(length(text) - {fv.CHUNK_OVERLAP}, 1), {fv.CHUNK_SIZE - fv.CHUNK_OVERLAP})) AS i FROM pt)
@@ -343,6 +449,9 @@ SELECT session_id, (count(*) + 1)::INTEGER AS n_messages, string_agg(role || ':
   QUALIFY row_number() OVER (PARTITION BY question ORDER BY conv_id DESC, turn DESC) = 1), {_embedded('kv', 'kept', 'question', 'question')}
 SELECT md5(question) AS entry_id, question AS query, answer, round(list_max(v), 9) AS peak FROM kept JOIN kv ON k = question""",
     "message_state": f"""WITH {_TURNS}
+SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS lines,
+  arg_max(content, turn) FILTER (role = 'user') AS current_query FROM turns GROUP BY session_id""",
+    "message_state_stream": f"""WITH {_TURNS}
 SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS lines,
   arg_max(content, turn) FILTER (role = 'user') AS current_query FROM turns GROUP BY session_id""",
     "plan_normalise": f"WITH {_TURNS}, {_PLANS} SELECT * FROM normal",

@@ -22,8 +22,7 @@ def duck():
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    own = {name for name in set(QUERIES) - set(SQL) if name != "pipeline" and not name.startswith("op")}
-    assert own == {"chunk_recursive", "page_contexts", "answer_prompts"}
+    assert not {name for name in set(QUERIES) - set(SQL) if name != "pipeline" and not name.startswith("op")}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -4,11 +4,12 @@ import json
 
 from pyspark.sql import functions as F
 
+from stratadoc.operators import conversation
 from stratadoc.operators.graph import gazetteer_extraction
 from stratadoc.operators.rate_limit import rate_limit
 from stratadoc.sources.keyed_log import newest
 from stratadoc.sources.readers import stream_files
-from stratadoc.streaming import arrivals, dedupe, events, rate_limit as live, write_back
+from stratadoc.streaming import arrivals, dedupe, events, rate_limit as live, states, write_back
 
 
 def finish(query):
@@ -122,3 +123,24 @@ def test_write_back(spark, tmp_path):
     ]
     cache = spark.read.parquet(str(tmp_path / "out" / "cache"))
     assert [(r["query"], r["answer"], len(r["embedding"])) for r in cache.collect()] == [("q1", "a1", 64)]
+
+
+def test_states_of_a_stream_equal_the_batch(spark, tmp_path):
+    """Steps in no order over several runs; only later steps overwrite a field; untouched states stay."""
+    message = "array<struct<role:string,content:string>>"
+    schema = f"q string, seq int, messages {message}, current_query string, documents array<string>"
+    steps = [
+        ("a", 3, [("user", "a3"), ("assistant", "a3b")], "third", ["x", "y"]),
+        ("a", 1, [("user", "a1")], "first", ["z"]),
+        ("b", 1, None, None, None),
+        ("c", 5, [("system", None)], None, []),
+        ("a", 2, [("user", "a2")], "second", None),
+        ("b", 2, [("user", "b2")], "b", ["d"]),
+    ]
+    for rows in (steps[:3], steps[3:4], steps[4:]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        finish(states.start_states(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "q"))
+    want = conversation.reduce_states(spark.createDataFrame(steps, schema), "q")
+    got = states.current_states(spark, str(tmp_path / "out"), "q").select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
