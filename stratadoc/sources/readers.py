@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratadoc import fixed_values as fv
 from stratadoc.functions.html import clean_text, page_title
@@ -51,6 +51,29 @@ def stream_files(
     )
 
 
+def accepted(name: str, suffixes: tuple[str, ...] = fv.ACCEPTED_SUFFIXES) -> Column:
+    """Whether a key has one of the accepted suffixes."""
+    return F.lower(extension(filename(F.col(name), F.lit(0)))).isin(*suffixes)
+
+
+def read_keys(spark: SparkSession, folder: str, keys: DataFrame) -> tuple[DataFrame | None, list[str]]:
+    """Files of exactly the given keys below a folder, and keys without a file; nothing is listed.
+
+    The names of a batch of keys come to the driver, since a scan is planned there; the batch bounds them.
+    """
+    jvm = spark.sparkContext._jvm
+    names = [r["key"] for r in keys.select("key").distinct().orderBy("key").collect()]
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    store = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [n for n in names if store.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}"))]
+    missing = sorted(set(names) - set(there))
+    if not there:
+        return None, missing
+    # Names are taken as they are: a star or bracket in a key is no pattern.
+    reader = spark.read.format("binaryFile").schema(RAW_FILE).option("__globPaths__", "false")
+    return reader.load([f"{folder}/{n}" for n in there]), missing
+
+
 PARSED = ("html", "htm", "txt")
 
 

@@ -1,13 +1,14 @@
 """Readers, sinks and keyed tables."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from stratadoc.operators import elements
 from stratadoc.plans.ingest import ingest
-from stratadoc.sources import keyed_log, readers, writers
+from stratadoc.sources import keyed_log, keyed_store, readers, row_files, writers
 from stratadoc.streaming import events as feed
 
 
@@ -108,3 +109,59 @@ def test_parse_policy(spark):
     assert [(r["text"], r["_error"] is None) for r in rows] == [("A", True), (None, False)]
     with pytest.raises(Exception, match="could not be parsed"):
         elements.parse_or_fail(df, F.upper("raw")).collect()
+
+
+def test_keyed_store_reads_only_its_buckets(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    store = keyed_store.KeyedStore(spark, str(tmp_path / "s"), ("k",), buckets=16)
+    assert store.rows() is None and store.newest() is None and store.known(rows(("a", 1))).count() == 0
+    first = rows(*[(f"k{i}", 0) for i in range(40)])
+    assert store.append(first, 0) and not store.append(rows(("other", 9)), 0)  # a replay changes nothing
+    assert store.append(rows(("k3", 1), ("new", 1)), 1) and not store.append(first.where("v > 5"), 2)
+    assert {r["k"]: r["v"] for r in store.newest().collect()} == {f"k{i}": int(i == 3) for i in range(40)} | {"new": 1}
+    assert sorted(r["k"] for r in store.known(rows(("k3", 0), ("new", 0), ("nobody", 0), ("k3", 0))).collect()) == ["k3", "new"]
+    assert len(store.folders_with(rows(("k5", 0)))) == 1 and len(store.folders_with(rows(("k3", 0)))) == 2
+    absent = rows(*[(f"z{i}", 0) for i in range(200)])
+    assert len(store.folders_with(absent)) <= 2 and store.folders_with(absent, before=0) == []
+    assert store.append_new(rows(("k3", 7), ("k7", 7), ("fresh", 7), ("fresh", 8)), 3)
+    assert store.rows().where("batch_id = 3").count() == 1
+    (tmp_path / "s" / "_manifest" / "3.json").unlink()  # not visible before its manifest stands
+    assert store.rows().where("k = 'fresh'").count() == 0
+
+
+def test_row_files_appear_together_or_not_at_all(spark, tmp_path):
+    spark.dataSource.register(row_files.RowFiles)
+    folder = tmp_path / "files"
+    rows = spark.createDataFrame([("a/b.txt", "ü"), ("c.txt", "x"), (None, "y"), ("d", None)], "name string, content string").repartition(3)
+    rows.write.format("row_files").mode("append").save(str(folder))
+    seen = lambda: sorted(str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file() and not {"_commits", "_aborted"} & set(p.parts))
+    assert seen() == ["a/b.txt", "c.txt"] and (folder / "a" / "b.txt").read_text() == "ü" and not list((folder / "_pending").iterdir())
+    broken = spark.range(4).repartition(4).select(
+        F.concat(F.lit("e"), "id").alias("name"), F.when(F.col("id") == 2, F.raise_error(F.lit("stop"))).otherwise(F.lit("z")).alias("content")
+    )
+    with pytest.raises(Exception, match="stop"):
+        broken.write.format("row_files").mode("append").save(str(folder))
+    for _ in range(100):  # tasks that still ran may take a moment to see it
+        if seen() == ["a/b.txt", "c.txt"]:
+            break
+        time.sleep(0.1)
+    assert seen() == ["a/b.txt", "c.txt"]
+    # A batch of a stream that is committed already is dropped when it is written again.
+    writer = row_files.StreamFiles(str(folder))
+    row = lambda name, content: {"name": name, "content": content}
+    writer.commit([writer.write(iter([row("s.txt", "1")])), None], 7)
+    again = row_files.StreamFiles(str(folder))
+    again.commit([again.write(iter([row("s.txt", "2"), row("t.txt", "2")]))], 7)
+    assert seen() == ["a/b.txt", "c.txt", "s.txt"] and (folder / "s.txt").read_text() == "1"
+
+
+def test_row_files_of_a_stream(spark, tmp_path):
+    spark.dataSource.register(row_files.RowFiles)
+    for k in range(2):
+        spark.createDataFrame([(f"{k}/{i}.txt", str(i)) for i in range(5)], "name string, content string").write.mode("append").parquet(str(tmp_path / "in"))
+        query = (
+            spark.readStream.schema("name string, content string").parquet(str(tmp_path / "in")).writeStream.format("row_files")
+            .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        assert len(list((tmp_path / "out").glob("[01]/*.txt"))) == 5 * (k + 1)

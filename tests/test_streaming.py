@@ -144,3 +144,32 @@ def test_states_of_a_stream_equal_the_batch(spark, tmp_path):
     want = conversation.reduce_states(spark.createDataFrame(steps, schema), "q")
     got = states.current_states(spark, str(tmp_path / "out"), "q").select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def notice(*keys):
+    return (json.dumps({"Records": [{"s3": {"bucket": {"name": "b"}, "object": {"key": k}}} for k in keys]}),)
+
+
+def test_notified_keys_alone_are_ingested_once(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    (source / "deep").mkdir(parents=True)
+    for name in ("a.html", "deep/b [1]*.txt", "c.txt", "never.txt", "skip.log"):
+        (source / name).write_text(f"text of {name}")
+
+    def run(*payloads):
+        spark.createDataFrame(list(payloads), "payload string").coalesce(1).write.mode("append").text(str(tmp_path / "notes"))
+        stream = spark.readStream.schema("value string").text(str(tmp_path / "notes")).withColumnRenamed("value", "payload")
+        finish(arrivals.start_notified(stream, root, str(tmp_path / "cp"), str(source)))
+
+    run(notice("a.html", "deep/b [1]*.txt", "a.html"), notice("a.html"), ("broken",))
+    run(notice("c.txt", "a.html", "gone.txt", "skip.log"))
+    run(notice("deep/b [1]*.txt"))
+    vectors = spark.read.parquet(f"{root}/vectors")
+    assert sorted(r["filename"] for r in vectors.collect()) == ["a.html", "b [1]*.txt", "c.txt"]
+    assert [tuple(r) for r in spark.read.parquet(f"{root}/missing").select("path", "_error").collect()] == [("gone.txt", "no such file")]
+    (source / "gone.txt").write_text("here now")
+    run(notice("gone.txt", "c.txt"))
+    assert spark.read.parquet(f"{root}/vectors").count() == 4
+    # A replayed batch leaves everything as it was.
+    arrivals.ingest_notified(spark.createDataFrame([notice("c.txt", "a.html", "gone.txt")], "payload string"), 1, root, str(source))
+    assert spark.read.parquet(f"{root}/vectors").count() == 4
