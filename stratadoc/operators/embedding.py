@@ -43,6 +43,12 @@ def hashed_vector(text, dim: int = fv.EMBED_DIM, unit: bool = True) -> Column:
     return embed(col(text))
 
 
+def hashed_counts(text: str, dim: int = fv.EMBED_DIM) -> np.ndarray:
+    """Token counts per bucket of one text."""
+    buckets = [_Buckets(dim)[t] for t in re.findall(r"[^\W_]+", text.lower())]
+    return np.bincount(np.array(buckets, dtype=np.int64), minlength=dim).astype(np.float64)
+
+
 class _Buckets(dict):
     """Bucket per token, remembered while a task runs."""
 
@@ -99,3 +105,9 @@ def embed_with(
 
     embedded = df.withColumn(vector, run(col(text)))
     return embedded.withColumn(vector, normalise(vector)) if unit else embedded
+
+
+def sound_and_failed(embedded: DataFrame, key: str, text: str = "text", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Rows with a vector, and dead letters ``key, _error`` of those whose text got none."""
+    failed = embedded.where(F.col(vector).isNull() & F.col(text).isNotNull())
+    return embedded.where(F.col(vector).isNotNull()), failed.select(key, F.lit("no embedding").alias("_error"))

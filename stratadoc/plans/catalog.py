@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,22 +12,26 @@ from stratadoc.functions import text as tx
 from stratadoc.functions.html import article_title, clean_text, page_title, plain_text
 from stratadoc.functions.vectors import as_double, present
 from stratadoc.operators import chunking, conversation, corpus, elements, graph, planning, prompts, rate_limit as rl
-from stratadoc.operators.completion import complete
-from stratadoc.operators.embedding import embed_hashed, hashed_vector
+from stratadoc.operators.completion import completions_from
+from stratadoc.operators.embedding import embed_hashed, embed_with, hashed_counts, hashed_vector, sound_and_failed
 from stratadoc.operators.fulltext import entity_lookup as lookup
 from stratadoc.operators.numbering import dense_index
-from stratadoc.operators.retrieval import citations as cite, graph_contexts, merge_contexts, vector_contexts
+from stratadoc.operators.retrieval import citations as cite, graph_contexts, hybrid_contexts, merge_contexts, vector_contexts
 from stratadoc.operators.vector_search import cache_lookup, drop_missing_vectors, search_tool_text, vector_topk as topk
 from stratadoc.plans import answer, inputs
 from stratadoc.plans.inputs import table
+from stratadoc.schemas import EXTRACTION
 from stratadoc.session import durable, shared_folder
 from stratadoc.sources import readers, writers
-from stratadoc.streaming import events as feed, states, write_back
+from stratadoc.sources.row_files import RowFiles
+from stratadoc.streaming import arrivals, events as feed, layout, states, write_back
 from stratadoc.streaming.dedupe import drop_repeats
 
 RATE = {"limit": 3, "window_seconds": 86_400}
 #: Files that a table is dealt into before a stream reads it; three batches take them.
 ARRIVALS = 6
+#: Characters that the user's model of ``embed_failures`` takes.
+LONGEST_TEXT = 4_000
 PAGE_SECTIONS = (("/en/", "en"), ("/fr/", "fr"), ("/de/", "de"), ("/es/", "es"))
 PAGE_QUOTAS = (("en", 18), ("fr", 16), ("de", 6), ("es", 5))
 
@@ -187,6 +190,24 @@ def answer_prompts(spark, folder) -> DataFrame:
     )
 
 
+def hybrid_graph_down(spark, folder) -> DataFrame:
+    """Hybrid contexts while the graph's edges cannot be read: those of the vector branch, and one dead letter."""
+    q = inputs.entity_questions(spark, folder)
+    points = _chunk_points(spark, folder)
+    nodes, edges = inputs.graph(spark, folder)
+    lost = edges.withColumn("source", F.when(F.col("source").isNotNull(), F.raise_error(F.lit("edges are gone"))).otherwise(F.col("source")))
+
+    def vector():
+        hits = topk(embed_hashed(q.select("question_id", "text")), points)
+        return vector_contexts(hits, points, question_id="question_id", item_id="point_id")
+
+    def facts():
+        return graph_contexts(graph.expand_directed(q, nodes, lost), question_id="question_id")
+
+    contexts, letters = hybrid_contexts(vector, facts, question_id="question_id")
+    return contexts.withColumn("dead_letters", F.lit(letters.count()))
+
+
 # Text extraction and chunks.
 
 
@@ -234,6 +255,12 @@ def chunk_recursive(spark, folder) -> DataFrame:
     return chunking.chunk(docs, chunking.recursive_chunks("text"))
 
 
+def chunk_config(spark, folder) -> DataFrame:
+    """The splitter with the separators of the configuration, which do not name the full stop."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return chunking.chunk(docs, chunking.recursive_chunks("text", separators=fv.CONFIG_SEPARATORS))
+
+
 def chunk_metadata_merge(spark, folder) -> DataFrame:
     """Document metadata joins chunk metadata and wins on shared keys."""
     docs = inputs.documents(spark, folder)
@@ -263,6 +290,36 @@ def embed_hashed_terms(spark, folder) -> DataFrame:
     return weights.where(F.col("weight") > 0)
 
 
+def _careful_model():
+    """The hashed embedding as a user's model that takes texts up to a length and fails beyond it."""
+
+    def model(texts):
+        if any(len(t) > LONGEST_TEXT for t in texts):
+            raise ValueError("text too long")
+        return [list(hashed_counts(t)) for t in texts]
+
+    return model
+
+
+def embed_failures(spark, folder) -> DataFrame:
+    """Dead letters of documents that a user's model cannot embed; the others are stored."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    embedded = durable(embed_with(docs, _careful_model, batch_size=1, mode="PERMISSIVE"))
+    sound, failed = sound_and_failed(embedded, "doc_id")
+    return sound.select("doc_id", F.size("embedding").alias("dim"), F.lit(None).cast("string").alias("error")).unionByName(
+        failed.select("doc_id", F.lit(0).alias("dim"), F.col("_error").alias("error"))
+    )
+
+
+def parse_failures(spark, folder) -> DataFrame:
+    """Extractions whose JSON is broken, as dead letters."""
+    payloads = inputs.graph_payloads(spark, folder)
+    parsed = F.from_json("payload", EXTRACTION, {"mode": "PERMISSIVE"})
+    sound = F.when(parsed["nodes"].isNotNull(), F.to_json(parsed))
+    out = elements.parse_or_fail(payloads, sound, name="parsed", mode="PERMISSIVE")
+    return out.where(F.col("_error").isNotNull()).select("doc_id", F.col("_error").alias("error"))
+
+
 # Graph building.
 
 
@@ -294,6 +351,30 @@ def graph_rule_extract(spark, folder) -> DataFrame:
     return graph.explode_edges(found).groupBy("source", "target", "type").agg(F.count("*").alias("chunks"))
 
 
+def _stored_graph(spark, folder):
+    """The graph stored in two batches: names and edges of customers, and some of the parts', arrive in both."""
+    root = f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}"
+    found = durable(inputs.extractions(spark, folder))
+    customers, parts = 2 * 10**12, 3 * 10**12
+    middle = found.where(F.col("doc_id") >= parts).agg(F.percentile_approx("doc_id", 0.5)).first()[0] or parts
+    names, links = arrivals.graph_stores(spark, root)
+    for batch, rows in enumerate((found.where(F.col("doc_id") <= middle), found.where(F.col("doc_id") >= customers))):
+        names.append(graph.merge_nodes(graph.explode_nodes(rows, inputs.GRAPH_ORDER)), batch)
+        edges = durable(graph.explode_edges(rows).distinct())
+        ends = names.known(edges.select(F.explode(F.array("source", "target")).alias("name")), batch + 1)
+        links.append_new(graph.merge_edges(edges, ends), batch)
+    return names, links
+
+
+def graph_store_nodes(spark, folder) -> DataFrame:
+    return _stored_graph(spark, folder)[0].newest().select("name", "type")
+
+
+def graph_store_edges(spark, folder) -> DataFrame:
+    """Edges as they were stored: one that arrives again is not stored twice."""
+    return _stored_graph(spark, folder)[1].rows().select("source", "target", "type")
+
+
 # Conversations, plans and prompts.
 
 
@@ -403,12 +484,21 @@ def prompt_plan(spark, folder) -> DataFrame:
     return q.select("question_id", tx.history_lines("messages").alias("prompt"))
 
 
+def _completions(spark, folder, asked: DataFrame) -> DataFrame:
+    """``prompt_id, completion``: the assistant's turn after a question is what its prompt was completed with.
+
+    Questions that no assistant turn follows have no completion. ``asked`` has ``question_id, prompt``.
+    """
+    given = asked.join(inputs.answered(spark, folder).select("question_id", "answer"), "question_id")
+    return given.groupBy(tx.content_id("prompt").alias("prompt_id")).agg(F.min("answer").alias("completion"))
+
+
 def hyde_search(spark, folder) -> DataFrame:
-    """Chunks near the paragraph that the stand-in writes for a question, or near the question itself."""
+    """Chunks near the paragraph that was written for a question, or near the question itself."""
     q = inputs.questions(spark, folder).withColumn("prompt", prompts.hyde_prompt("text"))
-    asked = complete(q, _stub, "prompt", mode="PERMISSIVE")
-    written = asked.select("question_id", prompts.hyde_query("completion", "text").alias("text"))
-    hits = topk(embed_hashed(written.where("text <> ''")), _chunk_points(spark, folder))
+    asked = completions_from(q, _completions(spark, folder, q))
+    written = asked.select("question_id", prompts.hyde_query(F.nullif("completion", F.lit("")), "text").alias("text"))
+    hits = topk(embed_hashed(written), _chunk_points(spark, folder))
     return hits.select("question_id", "point_id", "rank", "score")
 
 
@@ -421,32 +511,20 @@ def document_filters(spark, folder) -> DataFrame:
 
 def hyde_query(spark, folder) -> DataFrame:
     """Where no paragraph was written, the question itself is searched."""
-    q = inputs.questions(spark, folder)
-    written = F.when(F.col("turn") > 0, F.md5(prompts.hyde_prompt("text")))
-    return q.select("question_id", prompts.hyde_query(written, "text").alias("query"))
-
-
-def _stub():
-    """Deterministic stand-in for a model: fails on some prompts, gives nothing for others."""
-
-    def client(messages, temperature, json_mode):
-        text = messages[-1]["content"]
-        if len(text) % 7 == 0:
-            raise RuntimeError("no answer")
-        return None if len(text) % 5 == 0 else "re: " + hashlib.md5(text.encode()).hexdigest()
-
-    return client
+    q = inputs.questions(spark, folder).withColumn("prompt", prompts.hyde_prompt("text"))
+    asked = completions_from(q, _completions(spark, folder, q))
+    return asked.select("question_id", prompts.hyde_query("completion", "text").alias("query"))
 
 
 def completion_apply(spark, folder) -> DataFrame:
-    q = inputs.questions(spark, folder)
-    return complete(q, _stub, "text", mode="PERMISSIVE").select(
-        "question_id", "completion", F.col("_error").alias("error")
-    )
+    """Every question with its completion, or a dead letter where there is none."""
+    q = inputs.questions(spark, folder).withColumn("prompt", prompts.entity_prompt("text"))
+    asked = completions_from(q, _completions(spark, folder, q))
+    return asked.select("question_id", "completion", F.when(F.col("completion").isNull(), F.lit("no completion")).alias("error"))
 
 
 def query_rewrite(spark, folder) -> DataFrame:
-    """Rewriting over a question's own earlier turns; untouched without any or after a failure."""
+    """Rewriting over a question's own earlier turns; untouched without any or without a completion."""
     q = inputs.questions(spark, folder)
     t = inputs.turns(spark, folder).select("conv_id", F.col("turn").alias("at"), "role", "content")
     earlier = q.select("question_id", "conv_id", "turn").join(t, "conv_id").where("at < turn")
@@ -454,7 +532,8 @@ def query_rewrite(spark, folder) -> DataFrame:
     history = conversation.message_lists(recent, "question_id", ["at"]).withColumnRenamed("messages", "history")
     none = F.array().cast("array<struct<role:string,content:string>>")
     state = q.join(history, "question_id", "left").withColumn("history", F.coalesce("history", none))
-    asked = complete(state.withColumn("prompt", prompts.rewrite_prompt("history", "text")), _stub, "prompt", mode="PERMISSIVE")
+    state = durable(state.withColumn("prompt", prompts.rewrite_prompt("history", "text")))
+    asked = completions_from(state, _completions(spark, folder, state))
     return asked.select(
         "question_id", prompts.rewritten_query("history", "text", "completion").alias("query")
     )
@@ -488,6 +567,64 @@ def notification_rows(spark, folder) -> DataFrame:
     return readers.notification_rows(pages.select("page_id", payload.alias("payload")), "payload", "page_id")
 
 
+def _page_files_written(spark, folder, root: str) -> DataFrame:
+    """Every page as one file ``<page_id>.html`` below ``root``; returns their names."""
+    spark.dataSource.register(RowFiles)
+    pages = table(spark, folder, "pages").select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").alias("content"))
+    pages.write.format("row_files").mode("append").save(root)
+    return pages.select("name")
+
+
+def page_files_written(spark, folder) -> DataFrame:
+    """Pages written as files by the custom writer and read back whole."""
+    root = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    _page_files_written(spark, folder, root)
+    files = readers.read_files(spark, root)
+    return files.select(tx.filename("path", F.lit(0)).alias("name"), "length", F.md5("content").alias("md5"))
+
+
+def notified_pages(spark, folder) -> DataFrame:
+    """Points of pages whose files are notified twice over several batches; a key without a file is noted."""
+    root = f"{shared_folder(spark)}/arrivals/{uuid.uuid4().hex}"
+    names = _page_files_written(spark, folder, f"{root}/files").unionByName(spark.range(1).select(F.lit("gone.html").alias("name")))
+    s3 = F.struct(F.struct(F.lit("docs").alias("name")).alias("bucket"), F.struct(F.col("name").alias("key")).alias("object"))
+    payloads = names.select(F.to_json(F.struct(F.array(F.struct(s3.alias("s3"))).alias("Records"))).alias("value"))
+    payloads.unionByName(payloads).repartition(ARRIVALS).write.text(f"{root}/notices")
+    notices = spark.readStream.schema("value string").option("maxFilesPerTrigger", -(-ARRIVALS // 3)).text(f"{root}/notices")
+    finished(arrivals.start_notified(notices.withColumnRenamed("value", "payload"), f"{root}/out", f"{root}/state", f"{root}/files"))
+    points = spark.read.parquet(f"{root}/out/vectors").select("point_id", "filename", "text", "page")
+    missing = spark.read.parquet(f"{root}/out/missing").select("path").distinct()
+    return points.unionByName(missing.select(F.lit("").alias("point_id"), F.col("path").alias("filename"), F.lit("").alias("text"), F.lit(-1).alias("page")))
+
+
+def ingest_counts(spark, folder) -> DataFrame:
+    """Files, documents, chunks and points of a streamed ingest, counted as they pass."""
+    root = f"{shared_folder(spark)}/arrivals/{uuid.uuid4().hex}"
+    _page_files_written(spark, folder, f"{root}/files")
+    # Three batches or a few more, whatever the number of files.
+    each = max(1, -(-table(spark, folder, "pages").count() // 3))
+    files = readers.stream_files(spark, f"{root}/files", files_per_batch=each)
+    finished(arrivals.start_ingest(files, f"{root}/out", f"{root}/state"))
+    progress = spark.read.parquet(f"{root}/out/progress")
+    return progress.agg(*[F.sum(c).alias(c) for c in arrivals.PROGRESS])
+
+
+def element_points(spark, folder) -> DataFrame:
+    """Conversations as parsed documents: files and elements arrive as two streams, in no order."""
+    root = f"{shared_folder(spark)}/arrivals/{uuid.uuid4().hex}"
+    at = F.timestamp_seconds(F.lit(10**9)).alias("at")
+    rows = _elements(spark, folder).drop("cells").withColumn("at", at)
+    files = rows.groupBy("doc_id").agg(F.count("*").alias("n_elements")).select(
+        "doc_id", F.concat(F.lit("conversation_"), "doc_id", F.lit(".pdf")).alias("filename"), "n_elements", at
+    )
+    streams = []
+    for name, df in (("files", files), ("elements", rows)):
+        df.repartition(ARRIVALS).write.parquet(f"{root}/{name}")
+        streams.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-ARRIVALS // 3)).parquet(f"{root}/{name}"))
+    finished(layout.start_elements(*streams, f"{root}/out", f"{root}/state"))
+    return spark.read.parquet(f"{root}/out/vectors").select("point_id", "filename", "text")
+
+
 def sitemap_urls(spark, folder) -> DataFrame:
     """Page addresses written as a sitemap to the shared folder and read back."""
     path = f"{shared_folder(spark)}/sitemaps/{uuid.uuid4().hex}"
@@ -611,6 +748,9 @@ QUERIES = {
         history_window, history_append, feedback_append, cache_put, message_state, message_state_stream, plan_normalise, route,
         tool_output, prompt_answer, prompt_rewrite, prompt_graph, prompt_plan, hyde_query, completion_apply,
         query_rewrite, ndjson_events, notification_rows, url_filter, url_unique, slug, section_counts,
-        quota_select, sitemap_urls, repeated_content, hyde_search, document_filters, history_write_back, manifest, render_text, corpus_build, object_key, rate_limit, rate_limit_sliced, rate_limit_default, rate_counts,
+        quota_select, sitemap_urls, repeated_content, hyde_search, document_filters,
+        hybrid_graph_down, chunk_config, embed_failures, parse_failures, graph_store_nodes, graph_store_edges, page_files_written,
+        notified_pages, ingest_counts, element_points,
+        history_write_back, manifest, render_text, corpus_build, object_key, rate_limit, rate_limit_sliced, rate_limit_default, rate_counts,
     )
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stratadoc import fixed_values as fv
-from stratadoc.plans.catalog import RATE
+from stratadoc.plans.catalog import LONGEST_TEXT, RATE
 
 
 def _text(value: str) -> str:
@@ -129,15 +129,15 @@ chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1
 
 
 
-def _recursive(source: str, key: str, keep: str = "") -> str:
-    """CTEs ending in ``rchunks`` (key, keep, chunk_index, text) of ``source`` (key, keep, text), split by separators.
+def _recursive(source: str, key: str, separators: tuple[str, ...] = fv.SEPARATORS) -> str:
+    """CTEs ending in ``rchunks`` (key, chunk_index, text) of ``source`` (key, text), split by separators.
 
     Each level cuts its texts into pieces; pieces as long as a chunk are the next level's texts. One recursion then
     walks all levels' pieces at once: it carries the first piece of the open chunk and gives the ranges that close.
     """
     size, overlap = fv.CHUNK_SIZE, fv.CHUNK_OVERLAP
     parts, levels = [f"rtext0 AS (SELECT {key} AS k, CAST([] AS INTEGER[]) AS path, text FROM {source} WHERE text IS NOT NULL)"], []
-    for i, separator in enumerate(fv.SEPARATORS):
+    for i, separator in enumerate(separators):
         if separator:
             sign = _text(separator)
             cut = f"list_filter(list_transform(string_split(text, {sign}), lambda p, i: CASE WHEN i = 1 THEN p ELSE {sign} || p END), lambda p: p <> '')"
@@ -368,6 +368,26 @@ ORACLE: dict[str, str] = {
     "page_contexts": f"""WITH RECURSIVE {_TURNS}, {_PAGE_POINTS}, {_embedded('qv', 'questions', 'question_id', 'text')}, {_NEAREST}
 SELECT question_id, rank, score, text || ' [Source: ' || filename || ']' AS text FROM nearest JOIN cp USING (point_id)""",
     "answer_prompts": _ANSWER,
+    "hybrid_graph_down": f"{_HYBRID_ALL} SELECT question_id, branch, rank, text, 1 AS dead_letters FROM found WHERE branch = 0 "
+    "QUALIFY row_number() OVER (PARTITION BY question_id, text ORDER BY rank) = 1",
+    "chunk_config": f"""WITH RECURSIVE {_recursive('documents', 'doc_id', fv.CONFIG_SEPARATORS)}
+SELECT doc_id, chunk_index, text FROM rchunks""",
+    "embed_failures": f"""SELECT doc_id, CASE WHEN length(text) <= {LONGEST_TEXT} THEN {fv.EMBED_DIM} ELSE 0 END AS dim,
+  CASE WHEN length(text) > {LONGEST_TEXT} THEN 'no embedding' END AS error FROM documents""",
+    "parse_failures": """SELECT 1000000000000 + s_suppkey AS doc_id, 'document could not be parsed' AS error FROM supplier WHERE s_acctbal < 0""",
+    "graph_store_nodes": f"WITH {_GRAPH} SELECT name, type FROM nodes",
+    "graph_store_edges": f"WITH {_GRAPH} SELECT source, target, type FROM edges",
+    "page_files_written": "SELECT page_id || '.html' AS name, strlen(html) AS length, md5(html) AS md5 FROM pages",
+    "notified_pages": f"""WITH RECURSIVE {_PAGE_TEXTS}, {_recursive('pt', 'page_id')}
+SELECT md5(page_id || '.html' || chr(1) || chunk_index || chr(1) || md5(text)) AS point_id, page_id || '.html' AS filename, text, 0 AS page FROM rchunks
+UNION ALL SELECT '', 'gone.html', '', -1""",
+    "ingest_counts": f"""WITH RECURSIVE {_PAGE_TEXTS}, {_recursive('pt', 'page_id')}
+SELECT (SELECT count(*) FROM pages) AS files, count(DISTINCT page_id) AS documents, count(*) AS chunks,
+  count(DISTINCT page_id || ' ' || chunk_index || ' ' || text) AS points FROM rchunks""",
+    "element_points": f"""WITH RECURSIVE et AS (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+{_recursive('et', 'conv_id')}
+SELECT md5('conversation_' || conv_id || '.pdf' || chr(1) || chunk_index || chr(1) || md5(text)) AS point_id,
+  'conversation_' || conv_id || '.pdf' AS filename, text FROM rchunks""",
     "vector_topk": f"WITH {_topk(5, 'q.vec_id <> i.vec_id')} SELECT question_id, vec_id, rank, score FROM hits",
     "vector_topk_filtered": f"WITH {_topk(5, 'q.vec_id <> i.vec_id AND q.label = i.label')} "
     "SELECT question_id, vec_id, rank, score FROM hits",
@@ -470,24 +490,18 @@ SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS
     )} AS prompt FROM chunks""",
     "prompt_plan": f"""WITH {_TURNS} SELECT question_id, 'system: ' || {_text(fv.PLAN_PROMPT)} || chr(10) || 'user: ' || text AS prompt
 FROM questions""",
-    "hyde_query": f"""WITH {_TURNS} SELECT question_id, CASE WHEN turn > 0 THEN md5({_filled(fv.HYDE_PROMPT, question='text')})
-  ELSE text END AS query FROM questions""",
-    "completion_apply": f"""WITH {_TURNS} SELECT question_id, CASE WHEN length(text) % 7 = 0 THEN NULL
-  WHEN length(text) % 5 = 0 THEN '' ELSE 're: ' || md5(text) END AS completion,
-  CASE WHEN length(text) % 7 = 0 THEN 'no answer' END AS error FROM questions""",
+    "hyde_query": f"""WITH {_TURNS} SELECT question_id, coalesce(answer, text) AS query
+FROM questions LEFT JOIN (SELECT question_id, answer FROM answered) USING (question_id)""",
+    "completion_apply": f"""WITH {_TURNS} SELECT question_id, answer AS completion, CASE WHEN answer IS NULL THEN 'no completion' END AS error
+FROM questions LEFT JOIN (SELECT question_id, answer FROM answered) USING (question_id)""",
     "query_rewrite": f"""WITH {_TURNS},
-past AS (SELECT q.question_id, t.turn, t.role || ': ' || t.content AS line
-  FROM questions q JOIN turns t ON t.conv_id = q.conv_id AND t.turn < q.turn
-  QUALIFY row_number() OVER (PARTITION BY q.question_id ORDER BY t.turn DESC) <= {fv.CHAT_HISTORY_LIMIT}),
-lines AS (SELECT question_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM past GROUP BY question_id),
-asked AS (SELECT question_id, text, history, {_filled(fv.REWRITE_PROMPT, history="coalesce(history, '')", question='text')} AS p
-  FROM questions LEFT JOIN lines USING (question_id))
-SELECT question_id, CASE WHEN history IS NULL OR length(p) % 7 = 0 THEN text
-  WHEN length(p) % 5 = 0 THEN '' ELSE 're: ' || md5(p) END AS query FROM asked""",
+past AS (SELECT DISTINCT q.question_id FROM questions q JOIN turns t ON t.conv_id = q.conv_id AND t.turn < q.turn)
+SELECT question_id, CASE WHEN p.question_id IS NULL OR answer IS NULL THEN text ELSE trim(answer, {WS}) END AS query
+FROM questions LEFT JOIN (SELECT question_id, answer FROM answered) USING (question_id)
+  LEFT JOIN past p USING (question_id)""",
     "hyde_search": f"""WITH {_TURNS}, {_CHUNKS},
-hp AS (SELECT question_id, text, {_filled(fv.HYDE_PROMPT, question='text')} AS p FROM questions),
-hq AS (SELECT question_id, CASE WHEN length(p) % 7 = 0 THEN text ELSE 're: ' || md5(p) END AS text
-  FROM hp WHERE length(p) % 7 = 0 OR length(p) % 5 <> 0),
+hq AS (SELECT question_id, coalesce(nullif(answer, ''), text) AS text
+  FROM questions LEFT JOIN (SELECT question_id, answer FROM answered) USING (question_id)),
 cp AS (SELECT doc_id || '-' || chunk_index AS point_id, text FROM chunks),
 {_embedded('cv', 'cp', 'point_id', 'text')}, {_embedded('qv', 'hq', 'question_id', 'text')}, {_NEAREST}
 SELECT question_id, point_id, rank, score FROM nearest""",

@@ -131,6 +131,17 @@ class KeyedStore:
         stored = self._read(folders, self.manifests()[-1]).select(*self.key)
         return wanted.join(stored, list(self.key), "left_semi")
 
+    def matching(self, keys: DataFrame) -> DataFrame | None:
+        """All stored rows of the given keys, from the folders that may hold them; None if nothing is stored."""
+        manifests = self.manifests()
+        if not manifests:
+            return None
+        wanted = durable(keys.select(*self.key).distinct())
+        folders = self.folders_with(wanted)
+        if not folders:
+            return self._read([f"{self.root}/batch_id={manifests[-1]['batch_id']}"], manifests[-1]).where(F.lit(False))
+        return self._read(folders, manifests[-1]).join(wanted, list(self.key), "left_semi")
+
     def append_new(self, rows: DataFrame, batch_id: int) -> bool:
         """Store the rows whose key no earlier batch holds; of rows with one key any is stored."""
         if self.has(batch_id):

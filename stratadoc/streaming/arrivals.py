@@ -15,6 +15,11 @@ from stratadoc.sources.keyed_log import append_batch
 from stratadoc.sources.keyed_store import KeyedStore
 from stratadoc.sources.readers import accepted, notification_rows, parse_errors, parse_files, read_keys
 from stratadoc.sources.writers import POINT_KEY, vector_points
+from stratadoc.streaming.progress import Counts
+
+
+#: What a batch counts while it is written, in ``root/progress``.
+PROGRESS = ("files", "documents", "chunks", "points")
 
 
 def ingest_batch(
@@ -31,16 +36,22 @@ def ingest_batch(
     edge's end points may come from any batch up to this one.
 
     ``embed`` adds an ``embedding`` column; ``extract`` turns chunks into
-    ``doc_id, chunk_index, extraction`` rows. Chunks are checkpointed, since both branches read them.
+    ``doc_id, chunk_index, extraction`` rows. Chunks are checkpointed, since both branches read them. Files,
+    documents, chunks and points are counted as they pass and stored in ``root/progress``.
     """
     spark = files.sparkSession
     if files.isEmpty():
         return
+    seen, one = Counts(), F.lit(1)
+    files = seen.on(files, files=F.count(one))
     append_batch(parse_errors(files), f"{root}/errors", batch_id)
-    chunks = durable(chunk(parse_files(files), recursive_chunks("text")))
+    pieces = chunk(parse_files(files), recursive_chunks("text"))
+    chunks = durable(seen.on(pieces, documents=F.count_if(F.col("chunk_index") == 0), chunks=F.count(one)))
     named = enrich(chunks, clock=False).withColumn("filename", F.col("meta.filename"))
     points = vector_points(embed(named.dropDuplicates(list(POINT_KEY))))
-    append_batch(points, f"{root}/vectors", batch_id)
+    append_batch(seen.on(points, points=F.count(one)), f"{root}/vectors", batch_id)
+    counts = seen.values()
+    append_batch(spark.createDataFrame([tuple(counts[c] for c in PROGRESS)], ", ".join(f"{c} long" for c in PROGRESS)), f"{root}/progress", batch_id)
     if extract is None:
         return
     extracted = durable(extract(chunks))
