@@ -98,7 +98,7 @@ class CosineKernel:
 
     DIGITS = 1e9
 
-    def __init__(self, table, *, question_id, item_id, vector, k, threshold, skip_same, match_on):
+    def __init__(self, table, *, question_id, item_id, vector, k, threshold, skip_same, match_on, cells=None):
         self.qids = _ids(table[question_id])
         self.q = _unit(_matrix(table[vector]))
         self.qmatch = _ids(table[match_on]) if match_on else None
@@ -106,6 +106,38 @@ class CosineKernel:
         self.k, self.threshold, self.skip_same = k, threshold, skip_same
         self.spans = [slice(i, min(i + TILE, len(self.qids))) for i in range(0, len(self.qids), TILE)]
         self.tops = [_Best(span.stop - span.start, k) for span in self.spans]
+        self.cells = cells
+        self.scored = 0
+        if cells is not None and len(self.qids):
+            self._start(cells)
+
+    def _start(self, cells) -> None:
+        """Floors from the sampled items, which are items themselves, and the angles to the cells' centres."""
+        sample = cells["sample"]
+        ids, centres = _ids(sample.column(self.names[0])), _unit(_matrix(sample.column(self.names[1])))
+        match = _ids(sample.column(self.names[2])) if self.names[2] else None
+        self.angle = np.arccos(np.clip(self.q @ centres.T, -1.0, 1.0))
+        for span, top in zip(self.spans, self.tops):
+            scores = self.q[span] @ centres.T
+            self._mask(span, scores, ids, match)
+            if scores.shape[1] >= self.k:
+                best = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
+                found = best > -np.inf
+                top.floor[found] = np.floor(best[found] * self.DIGITS + 0.5) / self.DIGITS
+
+    def _mask(self, span: slice, scores, ids, match) -> None:
+        if self.skip_same:
+            scores[self.qids[span, None] == ids[None, :]] = -np.inf
+        if match is not None:
+            wanted = self.qmatch[span]
+            free = np.array([w is None or w != w for w in wanted])
+            scores[~free[:, None] & (wanted[:, None] != match[None, :])] = -np.inf
+
+    def _near(self, span: slice, top: _Best, cell: int) -> np.ndarray:
+        """Questions of a tile that may reach their floor in a cell: no item is nearer than its centre less the radius."""
+        nearest = np.cos(np.maximum(self.angle[span, cell] - self.cells["radius"][cell], 0.0))
+        floor = top.floor if self.threshold is None else np.maximum(top.floor, self.threshold)
+        return np.flatnonzero(nearest >= floor - 2 / self.DIGITS)
 
     def update(self, batch) -> None:
         item_id, vector, match_on = self.names
@@ -115,20 +147,21 @@ class CosineKernel:
         if v.shape[1] != self.q.shape[1]:
             raise ValueError("questions and items have different vector dimensions")
         ids = _ids(batch.column(item_id))
-        order = np.argsort(ids, kind="stable")
-        v, ids = v[order], ids[order]
+        cell = _ids(batch.column("_cell")) if self.cells is not None else np.zeros(len(ids), np.int32)
+        order = np.lexsort((ids, cell))
+        v, ids, cell = v[order], ids[order], cell[order]
         match = _ids(batch.column(match_on))[order] if match_on else None
-        for span, top in zip(self.spans, self.tops):
-            self._tile(span, top, v, ids, match)
+        limits = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1, append=cell[-1] + 1))
+        for first, last in zip(limits[:-1].tolist(), limits[1:].tolist()):
+            own = None if match is None else match[first:last]
+            for span, top in zip(self.spans, self.tops):
+                if self.cells is None or len(self._near(span, top, int(cell[first]))):
+                    self.scored += (span.stop - span.start) * (last - first)
+                    self._tile(span, top, v[first:last], ids[first:last], own)
 
     def _tile(self, span: slice, top: _Best, v, ids, match) -> None:
         scores = self.q[span] @ v.T
-        if self.skip_same:
-            scores[self.qids[span, None] == ids[None, :]] = -np.inf
-        if match is not None:
-            wanted = self.qmatch[span]
-            free = np.array([w is None or w != w for w in wanted])
-            scores[~free[:, None] & (wanted[:, None] != match[None, :])] = -np.inf
+        self._mask(span, scores, ids, match)
         floor = top.floor
         if self.threshold is not None:
             floor = np.maximum(floor, self.threshold)

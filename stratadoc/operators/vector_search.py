@@ -11,6 +11,7 @@ from stratadoc.functions.text import cited_excerpt
 from stratadoc.functions.vectors import present
 from stratadoc.operators.kernels import CosineKernel
 from stratadoc.operators.ranked_scan import BROADCAST_BYTES, scan_topk
+from stratadoc.operators.vector_index import VectorIndex
 from stratadoc.session import durable
 
 
@@ -25,7 +26,7 @@ def above_threshold(hits: DataFrame, threshold: float = fv.CACHE_THRESHOLD) -> D
 
 def vector_topk(
     questions: DataFrame,
-    items: DataFrame,
+    items: DataFrame | VectorIndex,
     *,
     question_id: str = "question_id",
     item_id: str = "point_id",
@@ -42,14 +43,18 @@ def vector_topk(
 
     ``filters`` (column to value) and ``match_on`` (a column of both sides; null in a question means
     no restriction) apply before the top-k. Only ids and vectors enter the scan; join the payload to
-    the few hits afterwards.
+    the few hits afterwards. Items given as an index are scanned cell by cell, without cells that cannot hold a hit.
     """
+    cells = None
+    if isinstance(items, VectorIndex):
+        # Floors come from the sampled items, all of which a filter would have to let pass.
+        cells, items = None if filters else items.plain(), items.items
     for name, value in (filters or {}).items():
         items = items.where(F.col(name) == F.lit(value))
     extra = [match_on] if match_on else []
     # Written, since it is measured and then collected or cut into blocks.
     questions = durable(drop_missing_vectors(questions, vector).select(question_id, vector, *extra))
-    items = drop_missing_vectors(items, vector).select(item_id, vector, *extra)
+    items = drop_missing_vectors(items, vector).select(item_id, vector, *extra, *(["_cell"] if cells else []))
     text_bytes = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in (question_id, *extra)), F.lit(0))
     size = questions.agg(
         F.count("*").alias("rows"), F.sum(F.size(vector).cast("long") * 8 + 32 + text_bytes).alias("bytes")
@@ -63,6 +68,7 @@ def vector_topk(
         threshold=threshold,
         skip_same=skip_same,
         match_on=match_on,
+        cells=cells,
     )
     return scan_topk(
         questions,

@@ -20,6 +20,7 @@ from stratadoc.operators.retrieval import (
     merge_contexts,
     vector_contexts,
 )
+from stratadoc.operators.vector_index import VectorIndex
 from stratadoc.operators.vector_search import cache_lookup, search_tool_text, vector_topk
 from stratadoc.session import durable
 from stratadoc.sources.writers import POINT_KEY, vector_points
@@ -33,9 +34,9 @@ def index_pages(pages: DataFrame, split: Callable = recursive_chunks) -> DataFra
     return vector_points(embed_hashed(chunks.dropDuplicates(list(POINT_KEY))))
 
 
-def page_contexts(questions: DataFrame, points: DataFrame, k: int = fv.SEARCH_LIMIT) -> DataFrame:
+def page_contexts(questions: DataFrame, points: DataFrame, k: int = fv.SEARCH_LIMIT, index: VectorIndex | None = None) -> DataFrame:
     """``question_id, rank, score, text``: cited chunks for questions ``(question_id, text)``."""
-    hits = vector_topk(embed_hashed(questions.select("question_id", "text")), points, k=k)
+    hits = vector_topk(embed_hashed(questions.select("question_id", "text")), index or points, k=k)
     cited = points.select(
         "point_id", F.concat("text", F.lit(" [Source: "), "filename", F.lit("]")).alias("text")
     )

@@ -17,6 +17,7 @@ from stratadoc.operators.embedding import embed_hashed, embed_with, hashed_count
 from stratadoc.operators.fulltext import entity_lookup as lookup
 from stratadoc.operators.numbering import dense_index
 from stratadoc.operators.retrieval import citations as cite, graph_contexts, hybrid_contexts, merge_contexts, vector_contexts
+from stratadoc.operators.vector_index import vector_index
 from stratadoc.operators.vector_search import cache_lookup, drop_missing_vectors, search_tool_text, vector_topk as topk
 from stratadoc.plans import answer, inputs
 from stratadoc.plans.inputs import table
@@ -30,6 +31,7 @@ from stratadoc.streaming.dedupe import drop_repeats
 RATE = {"limit": 3, "window_seconds": 86_400}
 #: Files that a table is dealt into before a stream reads it; three batches take them.
 ARRIVALS = 6
+EMPTY_BATCH = 10**6
 #: Characters that the user's model of ``embed_failures`` takes.
 LONGEST_TEXT = 4_000
 PAGE_SECTIONS = (("/en/", "en"), ("/fr/", "fr"), ("/de/", "de"), ("/es/", "es"))
@@ -62,6 +64,20 @@ def vector_topk_filtered(spark, folder) -> DataFrame:
     return hits.select("question_id", "vec_id", "rank", "score")
 
 
+def vector_topk_cells(spark, folder) -> DataFrame:
+    """The search of :func:`vector_topk_filtered` over items filed by cells."""
+    q, v = _embeddings(spark, folder)
+    index = vector_index(v, item_id="vec_id", keep=("label",))
+    hits = topk(q, index, item_id="vec_id", k=5, skip_same=True, match_on="label")
+    return hits.select("question_id", "vec_id", "rank", "score")
+
+
+def page_contexts_cells(spark, folder) -> DataFrame:
+    """Page chunks filed by cells, searched with every question."""
+    points = durable(answer.index_pages(inputs.page_files(spark, folder)))
+    return answer.page_contexts(inputs.questions(spark, folder), points, index=vector_index(points))
+
+
 def vector_search_tool(spark, folder) -> DataFrame:
     q, v = _embeddings(spark, folder)
     payload = inputs.documents(spark, folder).select(
@@ -605,8 +621,10 @@ def ingest_counts(spark, folder) -> DataFrame:
     each = max(1, -(-table(spark, folder, "pages").count() // 3))
     files = readers.stream_files(spark, f"{root}/files", files_per_batch=each)
     finished(arrivals.start_ingest(files, f"{root}/out", f"{root}/state"))
+    # A batch without files writes nothing.
+    arrivals.ingest_batch(readers.read_files(spark, f"{root}/files").where(F.lit(False)), EMPTY_BATCH, f"{root}/out")
     progress = spark.read.parquet(f"{root}/out/progress")
-    return progress.agg(*[F.sum(c).alias(c) for c in arrivals.PROGRESS])
+    return progress.agg(*[F.sum(c).alias(c) for c in arrivals.PROGRESS], F.count_if(F.col("batch_id") == EMPTY_BATCH).alias("empty_batches"))
 
 
 def element_points(spark, folder) -> DataFrame:
@@ -715,6 +733,14 @@ def object_key(spark, folder) -> DataFrame:
     )
 
 
+def id_properties(spark, folder) -> DataFrame:
+    """Random ids and clock times of all documents: how many differ, and whether all have their form."""
+    docs = table(spark, folder, "documents", "doc_id").select(tx.random_id().alias("id"), tx.random_id(True).alias("hex"), tx.now_iso().alias("now"))
+    form = {"id": "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "hex": "[0-9a-f]{32}", "now": r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}"}
+    sound = [F.count_if(F.col(c).rlike(f"^{p}$")).alias(f"sound_{c}") for c, p in form.items()]
+    return docs.agg(F.count_distinct("id").alias("ids"), F.count_distinct("hex").alias("hexes"), *sound)
+
+
 def rate_limit(spark, folder) -> DataFrame:
     return rl.rate_limit(table(spark, folder, "events"), key="user_id", ts="ts", event_id="event_id", **RATE)
 
@@ -740,7 +766,7 @@ def rate_counts(spark, folder) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_filtered, vector_search_tool, semantic_cache_lookup, skip_missing_vectors,
+        vector_topk, vector_topk_filtered, vector_topk_cells, page_contexts_cells, vector_search_tool, semantic_cache_lookup, skip_missing_vectors,
         vector_upsert, entity_lookup, expand_directed, entity_list_parse, expand_undirected, hybrid_context,
         retrieval_counts, citations, page_contexts, page_contexts_fixed, answer_prompts, html_text, article_text, plain_page_text,
         element_assembly, element_flatten, chunk_fixed, chunk_recursive, chunk_metadata_merge, chunk_enrich,
@@ -751,6 +777,6 @@ QUERIES = {
         quota_select, sitemap_urls, repeated_content, hyde_search, document_filters,
         hybrid_graph_down, chunk_config, embed_failures, parse_failures, graph_store_nodes, graph_store_edges, page_files_written,
         notified_pages, ingest_counts, element_points,
-        history_write_back, manifest, render_text, corpus_build, object_key, rate_limit, rate_limit_sliced, rate_limit_default, rate_counts,
+        history_write_back, manifest, render_text, corpus_build, object_key, id_properties, rate_limit, rate_limit_sliced, rate_limit_default, rate_counts,
     )
 }

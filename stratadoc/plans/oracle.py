@@ -383,7 +383,7 @@ SELECT md5(page_id || '.html' || chr(1) || chunk_index || chr(1) || md5(text)) A
 UNION ALL SELECT '', 'gone.html', '', -1""",
     "ingest_counts": f"""WITH RECURSIVE {_PAGE_TEXTS}, {_recursive('pt', 'page_id')}
 SELECT (SELECT count(*) FROM pages) AS files, count(DISTINCT page_id) AS documents, count(*) AS chunks,
-  count(DISTINCT page_id || ' ' || chunk_index || ' ' || text) AS points FROM rchunks""",
+  count(DISTINCT page_id || ' ' || chunk_index || ' ' || text) AS points, 0 AS empty_batches FROM rchunks""",
     "element_points": f"""WITH RECURSIVE et AS (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
 {_recursive('et', 'conv_id')}
 SELECT md5('conversation_' || conv_id || '.pdf' || chr(1) || chunk_index || chr(1) || md5(text)) AS point_id,
@@ -391,6 +391,11 @@ SELECT md5('conversation_' || conv_id || '.pdf' || chr(1) || chunk_index || chr(
     "vector_topk": f"WITH {_topk(5, 'q.vec_id <> i.vec_id')} SELECT question_id, vec_id, rank, score FROM hits",
     "vector_topk_filtered": f"WITH {_topk(5, 'q.vec_id <> i.vec_id AND q.label = i.label')} "
     "SELECT question_id, vec_id, rank, score FROM hits",
+    "vector_topk_cells": f"WITH {_topk(5, 'q.vec_id <> i.vec_id AND q.label = i.label')} "
+    "SELECT question_id, vec_id, rank, score FROM hits",
+    "page_contexts_cells": f"""WITH RECURSIVE {_TURNS}, {_PAGE_POINTS}, {_embedded('qv', 'questions', 'question_id', 'text')}, {_NEAREST}
+SELECT question_id, rank, score, text || ' [Source: ' || filename || ']' AS text FROM nearest JOIN cp USING (point_id)""",
+    "id_properties": "SELECT count(*) AS ids, count(*) AS hexes, count(*) AS sound_id, count(*) AS sound_hex, count(*) AS sound_now FROM documents",
     "vector_search_tool": f"""WITH {_topk(3, 'true')}, lines AS (SELECT question_id, string_agg('- Content: ' || substr(text, 1, 200)
   || '... [Source: ' || source || '_' || doc_id || '.txt, Page: 0]' || chr(10), '' ORDER BY rank) AS result
   FROM hits JOIN documents ON doc_id = vec_id GROUP BY question_id)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from stratadoc.functions.vectors import dot, normalise
 from stratadoc.operators.embedding import embed_hashed, embed_with, hashed_vector
 from stratadoc.operators.fulltext import entity_lookup
 from stratadoc.operators.retrieval import citations, documents_per_question, graph_contexts, merge_contexts, vector_contexts
+from stratadoc.operators.kernels import CosineKernel
+from stratadoc.operators.vector_index import vector_index
 from stratadoc.operators.vector_search import above_threshold, cache_lookup, drop_missing_vectors, search_tool_text, vector_topk
 
 # A limit of zero bytes forces the way without broadcast; small blocks make many cells.
@@ -48,6 +51,42 @@ def test_vector_topk_is_exact(spark, way, match_on, threshold):
     assert {(r["question_id"], r["point_id"], r["rank"]) for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("way", WAYS)
+@pytest.mark.parametrize("cells", [1, 7, 40])
+@pytest.mark.parametrize("match_on,threshold,skip", [(None, None, False), ("label", None, True), (None, 0.5, False)])
+def test_search_by_cells_is_exact(spark, way, cells, match_on, threshold, skip):
+    rng = random.Random(7)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    near = lambda c: [x + rng.gauss(0, 0.1) for x in c]
+    items = [(i, near(rng.choice(centres)) if i % 3 else centres[0], i % 3) for i in range(240)] + [(900, None, 1), (901, [0.0] * 8, 2)]
+    questions = [(i, near(rng.choice(centres)) if i % 4 else [rng.gauss(0, 1) for _ in range(8)], i % 3) for i in range(30)]
+    schema = "embedding array<double>, label int"
+    q = spark.createDataFrame(questions, f"question_id long, {schema}")
+    v = spark.createDataFrame(items, f"point_id long, {schema}").repartition(3)
+    options = {"k": 4, "match_on": match_on, "threshold": threshold, "skip_same": skip, **way}
+    found = lambda it: sorted(tuple(r) for r in vector_topk(q, it, **options).collect())
+    index = vector_index(v, keep=("label",), cells=cells)
+    assert found(index) == found(v)
+    some = {"k": 4, "filters": {"label": 1}}
+    assert sorted(map(tuple, vector_topk(q, index, **some).collect())) == sorted(map(tuple, vector_topk(q, v, **some).collect()))
+
+
+def test_cells_are_left_out(spark):
+    """Clusters apart from each other: a question touches few items, and a task emits little."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 16))
+    vectors = np.repeat(centres, 50, axis=0) + 0.01 * rng.standard_normal((1000, 16))
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(vectors)], "point_id long, embedding array<double>")
+    index = vector_index(v, cells=200)
+    table = index.items.toArrow()
+    asked = pa.table({"question_id": [0], "embedding": [vectors[0].tolist()]})
+    settings = {"question_id": "question_id", "item_id": "point_id", "vector": "embedding", "k": 3, "threshold": None, "skip_same": False, "match_on": None}
+    kernel = CosineKernel(asked, **settings, cells=index.plain())
+    for batch in table.to_batches(max_chunksize=100):
+        kernel.update(batch)
+    assert kernel.scored <= 100 and len(kernel.best()[1]) == 3
+
+
 @pytest.mark.parametrize("way", WAYS)
 def test_filters_null_match_and_missing_vectors(spark, way):
     v = spark.createDataFrame(
