@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SAMPLE_PER_RANGE = 20
-MOST_RANGES = 1_000
+from stratadoc.session import durable
 
 
 def dense_index(
@@ -17,48 +16,15 @@ def dense_index(
 ) -> DataFrame:
     """Number rows ``first, first + 1, ...`` by ``order``, whose columns together must be unique.
 
-    Range limits are taken from a small sample and written into the plan as constants, so a recomputed
-    task cuts the rows in the same way. Each range numbers its rows on its own and adds the count of
-    all earlier ranges. A hot leading value is cut by the later columns. There are at
-    most ``MOST_RANGES`` ranges, so what is sampled and written into the plan stays small.
+    The rows are sorted in as many ranges as the session shuffles into, or ``ranges``, and stored with their
+    range and place. Each range then adds the count of all earlier ranges; one narrow row per range meets in
+    one task. A hot leading value is cut by the later columns.
     """
-    spark = df.sparkSession
-    ranges = min(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
-    wanted = ranges * SAMPLE_PER_RANGE
-    keys = df.select(F.struct(*order).alias("_key"))
-    total = keys.count()
-    share = min(1.0, wanted / max(total, 1))
-    # The sample only balances the ranges; any limits give the same numbers.
-    sample = [r["_key"] for r in keys.sample(share, seed=7).sort("_key").limit(2 * wanted).collect()]
-    step = max(1, len(sample) // ranges)
-    limits = sample[step::step]
-    key_type = keys.schema["_key"].dataType
-    if limits:
-        bounds = F.array(
-            *[
-                F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, key_type)])
-                for row in limits
-            ]
-        )
-        # Binary search for the number of limits not above the row's key.
-        steps = F.array(*[F.lit(1 << b) for b in range(len(limits).bit_length() - 1, -1, -1)])
-        key = F.struct(*order)
-        part = F.aggregate(
-            steps,
-            F.lit(0),
-            lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at),
-        )
-    else:
-        part = F.lit(0)
-    parted = df.withColumn("_range", part)
-    counts = parted.groupBy("_range").agg(F.count("*").alias("_rows"))
-    # One row per range.
+    ranged = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = durable(ranged.sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_n": place}))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy(*order)
-    return (
-        parted.withColumn("_n", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col("_before") + F.col("_n") + F.lit(first - 1))
-        .drop("_range", "_n", "_before")
-    )
+    numbered = placed.join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_n") + F.lit(first))
+    return numbered.drop("_range", "_n", "_before")

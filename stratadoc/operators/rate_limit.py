@@ -14,7 +14,8 @@ plain way is one ordered pass per client. Here time is cut into slices, and slic
 
 A slice's function has at most as many steps as the slice's first window has ticks, and chains that
 meet stay together, so steps 3 and 4 see a small part of a busy client's ticks, in pieces; no step sees
-a client's whole history. Groups of many small clients share one call.
+a client's whole history. How long a slice is follows from the busiest client's measured requests. Groups of many
+small clients share one call.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stratadoc import fixed_values as fv
 from stratadoc.session import durable
 
+#: Windows of a slice at most, and requests that the busiest client's slice should hold.
 SLICE_WINDOWS = 256
+SLICE_ROWS = 20_000
 SPAN_SLICES = 256
 ROWS_PER_CALL = 50_000
 _NEVER = -(2**62)
@@ -169,18 +172,29 @@ def _mark(window: int, length: int):
     return run
 
 
+def measured_slice(events: DataFrame, key: str, ts: str, window_seconds: float) -> int:
+    """Windows per slice, so that a slice of the busiest client holds about ``SLICE_ROWS`` requests.
+
+    Counts are taken per client and window-long bin and added up in every task first. A slice is at least one
+    window long, so a client with more requests than that in one window has them in one slice.
+    """
+    bins = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / int(window_seconds * 1_000_000))
+    busiest = events.groupBy(key, bins.alias("_bin")).count().agg(F.max("count")).first()[0] or 1
+    return max(1, min(SLICE_WINDOWS, SLICE_ROWS // busiest))
+
+
 def windows(
     events: DataFrame,
     key: str,
     ts: str,
     window_seconds: float,
-    slice_windows: int = SLICE_WINDOWS,
+    slice_windows: int | None = None,
     span_slices: int = SPAN_SLICES,
 ) -> DataFrame:
     """``key, ts, n, window_start`` (times in microseconds) per distinct (client, time)."""
     window = int(window_seconds * 1_000_000)
-    length = window * slice_windows
     events = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    length = window * (slice_windows or measured_slice(events, key, ts, window_seconds))
     cores = events.sparkSession.sparkContext.defaultParallelism
     calls = max(cores, -(-events.count() // ROWS_PER_CALL))
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -230,7 +244,7 @@ def rate_limit(
     event_id: str,
     limit: int = fv.RATE_LIMIT,
     window_seconds: float = fv.RATE_WINDOW_SECONDS,
-    slice_windows: int = SLICE_WINDOWS,
+    slice_windows: int | None = None,
     span_slices: int = SPAN_SLICES,
 ) -> DataFrame:
     """``event_id, key, allowed``: the first ``limit`` requests of each window pass, by (time, id).

@@ -717,6 +717,17 @@ def render_text(spark, folder) -> DataFrame:
     )
 
 
+def rendered_files(spark, folder) -> DataFrame:
+    """Every page rendered into a file of its slug, in a few folders, read back by name and content."""
+    root = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    named = corpus.number_slugs(pages.select(F.col("page_id").alias("seq"), "url"))
+    body = corpus.extract_articles(pages).withColumn("body", plain_text("article")).withColumn("text", corpus.rendered())
+    writers.write_rendered(named.join(body.select(F.col("page_id").alias("seq"), "text"), "seq"), root, folders=16)
+    files = readers.read_files(spark, root)
+    return files.select(tx.filename("path", F.lit(0)).alias("name"), F.md5("content").alias("md5"))
+
+
 def corpus_build(spark, folder) -> DataFrame:
     """Quota selection, slugs, articles and rendered text of the first fifty pages that work."""
     urls = _pages_urls(spark, folder)
@@ -777,6 +788,6 @@ QUERIES = {
         quota_select, sitemap_urls, repeated_content, hyde_search, document_filters,
         hybrid_graph_down, chunk_config, embed_failures, parse_failures, graph_store_nodes, graph_store_edges, page_files_written,
         notified_pages, ingest_counts, element_points,
-        history_write_back, manifest, render_text, corpus_build, object_key, id_properties, rate_limit, rate_limit_sliced, rate_limit_default, rate_counts,
+        history_write_back, manifest, render_text, rendered_files, corpus_build, object_key, id_properties, rate_limit, rate_limit_sliced, rate_limit_default, rate_counts,
     )
 }

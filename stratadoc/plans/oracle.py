@@ -542,6 +542,8 @@ WHERE contains(u, 'example') AND NOT contains(u, 'utm_source') AND NOT contains(
 SELECT seq, slug || chr(9) || named.url || chr(9) || title AS line FROM named JOIN parsed ON page_id = seq""",
     "render_text": f"""WITH {_PAGES} SELECT page_id, {_TXT} AS text,
   '# ' || title || chr(10) || chr(10) || '**Source:** ' || url || chr(10) || chr(10) || body || chr(10) AS markdown FROM plain""",
+    "rendered_files": f"""WITH {_PAGES}, numbered AS (SELECT page_id AS seq, url FROM pages), {_numbered('numbered', _PATH)}
+SELECT slug || '.txt' AS name, md5({_TXT.replace("url", "plain.url")}) AS md5 FROM named JOIN plain ON page_id = seq""",
     "corpus_build": f"""WITH {_PAGES}, {_PICKED}, tries AS (SELECT place AS seq, url FROM picked
   UNION ALL SELECT (SELECT count(*) FROM picked) + row_number() OVER (ORDER BY pos), url FROM bucketed
     WHERE url NOT IN (SELECT url FROM picked)), {_numbered('tries', _PATH)}

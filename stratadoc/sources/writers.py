@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratadoc.functions.text import col, content_id
 from stratadoc.functions.vectors import present
+from stratadoc.sources.row_files import RowFiles
 
 
 POINT_KEY = ("filename", "chunk_index", "chunk_hash")
@@ -64,8 +65,14 @@ def write_manifest(pages: DataFrame, path: str, mode: str = "overwrite") -> None
     )
 
 
-def write_rendered(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rendered texts as files, one folder per slug."""
-    # The sink ends each text with a line break of its own.
-    body = F.regexp_replace("text", "\n\\z", "")
-    pages.select("slug", body.alias("value")).write.mode(mode).partitionBy("slug").text(path)
+def write_rendered(pages: DataFrame, path: str, suffix: str = ".txt", folders: int = 0) -> None:
+    """Rendered texts as files named by their slug, all of them or none.
+
+    With ``folders``, files are dealt into that many numbered folders by a hash of the slug, so that no folder
+    holds a whole large corpus.
+    """
+    pages.sparkSession.dataSource.register(RowFiles)
+    name = F.concat("slug", F.lit(suffix))
+    if folders:
+        name = F.concat(F.pmod(F.xxhash64("slug"), F.lit(folders)).cast("string"), F.lit("/"), name)
+    pages.select(name.alias("name"), F.col("text").alias("content")).write.format("row_files").mode("append").save(path)

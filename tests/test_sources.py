@@ -48,7 +48,9 @@ def test_manifest_and_pages(spark, tmp_path):
     lines = next((tmp_path / "m").glob("*.csv")).read_text().splitlines()
     assert lines == ["slug\turl\ttitle", 's\thttps://h/s\ta "title"']
     writers.write_rendered(df, str(tmp_path / "t"))
-    assert next((tmp_path / "t" / "slug=s").glob("*.txt")).read_text() == "T\n=\n"
+    assert (tmp_path / "t" / "s.txt").read_text() == "T\n=\n"
+    writers.write_rendered(df, str(tmp_path / "d"), suffix=".md", folders=4)
+    assert next((tmp_path / "d").glob("[0-3]/s.md")).read_text() == "T\n=\n"
 
 
 def test_events_are_lines_of_json(spark, tmp_path):
