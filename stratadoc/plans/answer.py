@@ -17,7 +17,7 @@ from stratadoc.operators.prompts import answer_prompt
 from stratadoc.operators.retrieval import (
     documents_per_question,
     graph_contexts,
-    merge_contexts,
+    hybrid_contexts,
     vector_contexts,
 )
 from stratadoc.operators.vector_index import VectorIndex
@@ -76,12 +76,13 @@ def answer_prompts(
     nodes: DataFrame,
     edges: DataFrame,
     entities: Callable = whole_text,
+    dead_letters: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Prompts of questions ``(question_id, question, plan)`` that the cache cannot answer.
 
     Cache lookup, plan normalisation and routing give a state table. Rows whose plan names a tool get
     the tool's output as a message, the others the contexts of the hybrid retrieval; the prompt builds
-    on either.
+    on either. A graph branch that fails gives no contexts and a row for ``dead_letters``.
     """
     embedded = embed_hashed(questions.select("question_id", F.col("question").alias("text")))
     hits = cache_lookup(embedded, cache)
@@ -91,14 +92,19 @@ def answer_prompts(
     asked = planned.where(F.col("route") == "retriever").select(
         "question_id", F.coalesce("current_query", F.lit("")).alias("text")
     )
-    found = vector_topk(embed_hashed(asked), points)
     # Both the branch and the tool look names up in it.
     index = name_index(nodes)
-    contexts = merge_contexts(
-        vector_contexts(found, points, question_id="question_id", item_id="point_id"),
-        graph_contexts(expand_directed(asked, nodes, edges, index=index), question_id="question_id"),
-        question_id="question_id",
-    )
+
+    def passages() -> DataFrame:
+        found = vector_topk(embed_hashed(asked), points)
+        return vector_contexts(found, points, question_id="question_id", item_id="point_id")
+
+    def facts() -> DataFrame:
+        return graph_contexts(expand_directed(asked, nodes, edges, index=index), question_id="question_id")
+
+    contexts, letters = hybrid_contexts(passages, facts, question_id="question_id")
+    if dead_letters is not None:
+        dead_letters(letters)
     dispatched = dispatch(planned.where(F.col("route") == "tool"))
     outputs = run_tools(dispatched, search_tools(points, nodes, edges, entities, index))
     messages = outputs.select("question_id", F.array(F.struct("role", "content")).alias("messages"))

@@ -25,7 +25,7 @@ from stratadoc.schemas import EXTRACTION
 from stratadoc.session import durable, shared_folder
 from stratadoc.sources import readers, writers
 from stratadoc.sources.row_files import RowFiles
-from stratadoc.streaming import arrivals, events as feed, layout, states, write_back
+from stratadoc.streaming import arrivals, events as feed, layout, rate_limit as live, states, write_back
 from stratadoc.streaming.dedupe import drop_repeats
 
 RATE = {"limit": 3, "window_seconds": 86_400}
@@ -558,19 +558,32 @@ def query_rewrite(spark, folder) -> DataFrame:
 # Events, notifications, corpus.
 
 
-def ndjson_events(spark, folder) -> DataFrame:
+def _finished_steps(spark, folder) -> DataFrame:
     """Each turn is a finished step; assistant turns are answers, system turns failures."""
-    steps = inputs.turns(spark, folder).select(
+    return inputs.turns(spark, folder).select(
         "session_id",
         F.col("turn").alias("seq"),
         F.when(F.col("role") == "assistant", F.lit("responder")).otherwise(F.lit("planner")).alias("node"),
         "content",
         (F.col("role") == "system").alias("failed"),
     )
-    out = feed.step_events(steps)
+
+
+def ndjson_events(spark, folder) -> DataFrame:
+    out = feed.step_events(_finished_steps(spark, folder))
     return out.select("session_id", "seq", "part", writers.event_json("event").alias("line"))
 
 
+def event_feed(spark, folder) -> DataFrame:
+    """The lines of a stream of finished steps, as the feed wrote them."""
+    root = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    steps = _finished_steps(spark, folder)
+    steps.repartition(ARRIVALS).write.parquet(f"{root}/steps")
+    arriving = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", -(-ARRIVALS // 3)).parquet(f"{root}/steps")
+    finished(feed.start_feed(arriving, f"{root}/feed", f"{root}/state"))
+    return spark.read.text(f"{root}/feed").select(F.col("value").alias("line"))
+
+
 def notification_rows(spark, folder) -> DataFrame:
     pages = table(spark, folder, "pages")
 
@@ -709,6 +722,16 @@ def manifest(spark, folder) -> DataFrame:
     return named.join(titles, "seq").select("seq", F.concat_ws("\t", "slug", "url", "title").alias("line"))
 
 
+def manifest_file(spark, folder) -> DataFrame:
+    """Lines of the manifest as it was written; every file of it has the header line."""
+    root = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    named = corpus.number_slugs(pages.select(F.col("page_id").alias("seq"), "url"))
+    titles = pages.select(F.col("page_id").alias("seq"), article_title("html").alias("title"))
+    writers.write_manifest(named.join(titles, "seq"), root)
+    return spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(root, schema="slug string, url string, title string")
+
+
 def render_text(spark, folder) -> DataFrame:
     pages = corpus.extract_articles(table(spark, folder, "pages", "page_id", "url", "html"))
     body = pages.withColumn("body", plain_text("article"))
@@ -762,6 +785,18 @@ def rate_limit_sliced(spark, folder) -> DataFrame:
     return rl.rate_limit(events, key="user_id", ts="ts", event_id="event_id", slice_windows=2, span_slices=3, **RATE)
 
 
+def rate_limit_stream(spark, folder) -> DataFrame:
+    """The same decisions by the stream's state of each client."""
+    root = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    events = table(spark, folder, "events").select("event_id", "user_id", "ts")
+    events.repartition(ARRIVALS).write.parquet(f"{root}/events")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{root}/events")
+    decided = live.rate_limit_stream(arriving, key="user_id", ts="ts", event_id="event_id", **RATE)
+    query = decided.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state")
+    finished(query.trigger(availableNow=True).start())
+    return spark.read.schema(decided.schema).parquet(f"{root}/rows")
+
+
 def rate_limit_default(spark, folder) -> DataFrame:
     """The default of 100 requests a minute, per type of event."""
     return rl.rate_limit(table(spark, folder, "events"), key="event_type", ts="ts", event_id="event_id")
@@ -784,10 +819,10 @@ QUERIES = {
         dedupe_exact, embed_hashed_terms, graph_nodes, graph_edges, graph_enforced, graph_rule_extract,
         history_window, history_append, feedback_append, cache_put, message_state, message_state_stream, plan_normalise, route,
         tool_output, prompt_answer, prompt_rewrite, prompt_graph, prompt_plan, hyde_query, completion_apply,
-        query_rewrite, ndjson_events, notification_rows, url_filter, url_unique, slug, section_counts,
+        query_rewrite, ndjson_events, event_feed, notification_rows, url_filter, url_unique, slug, section_counts,
         quota_select, sitemap_urls, repeated_content, hyde_search, document_filters,
         hybrid_graph_down, chunk_config, embed_failures, parse_failures, graph_store_nodes, graph_store_edges, page_files_written,
         notified_pages, ingest_counts, element_points,
-        history_write_back, manifest, render_text, rendered_files, corpus_build, object_key, id_properties, rate_limit, rate_limit_sliced, rate_limit_default, rate_counts,
+        history_write_back, manifest, manifest_file, render_text, rendered_files, corpus_build, object_key, id_properties, rate_limit, rate_limit_sliced, rate_limit_stream, rate_limit_default, rate_counts,
     )
 }

@@ -363,6 +363,14 @@ answers AS (SELECT question_id, route, current_query, coalesce(n, 0)::INTEGER AS
 SELECT question_id, route, n_documents,
   {_filled(fv.ANSWER_PROMPT, label='source_label', content='source_content', question='current_query')} AS prompt FROM answers"""
 
+_EVENTS = f"""WITH {_TURNS}, parts AS (
+  SELECT session_id, turn AS seq, 0 AS part, CASE WHEN role = 'system'
+    THEN '{{"type":"error","content":"{fv.INTERNAL_ERROR}"}}'
+    ELSE '{{"type":"status","node":"' || n || '","session_id":"' || session_id || '","info":"Completed step: ' || n || '"}}' END AS line
+  FROM (SELECT *, CASE WHEN role = 'assistant' THEN 'responder' ELSE 'planner' END AS n FROM turns)
+  UNION ALL SELECT session_id, turn, 1, '{{"type":"answer","content":' || to_json(content)::VARCHAR || ',"session_id":"' || session_id || '"}}'
+  FROM turns WHERE role = 'assistant')"""
+
 ORACLE: dict[str, str] = {
     "chunk_recursive": f"WITH RECURSIVE {_recursive('documents', 'doc_id')} SELECT doc_id, chunk_index, text FROM rchunks",
     "page_contexts": f"""WITH RECURSIVE {_TURNS}, {_PAGE_POINTS}, {_embedded('qv', 'questions', 'question_id', 'text')}, {_NEAREST}
@@ -520,13 +528,8 @@ SELECT question_id, session_id, 'u' || (conv_id % 10) AS user_id, part, CASE WHE
   CASE WHEN part = 0 THEN question ELSE answer END AS content FROM parts""",
     "sitemap_urls": "SELECT url FROM pages",
     "repeated_content": "SELECT DISTINCT md5(text) AS content_id FROM documents",
-    "ndjson_events": f"""WITH {_TURNS}, parts AS (
-  SELECT session_id, turn AS seq, 0 AS part, CASE WHEN role = 'system'
-    THEN '{{"type":"error","content":"{fv.INTERNAL_ERROR}"}}'
-    ELSE '{{"type":"status","node":"' || n || '","session_id":"' || session_id || '","info":"Completed step: ' || n || '"}}' END AS line
-  FROM (SELECT *, CASE WHEN role = 'assistant' THEN 'responder' ELSE 'planner' END AS n FROM turns)
-  UNION ALL SELECT session_id, turn, 1, '{{"type":"answer","content":' || to_json(content)::VARCHAR || ',"session_id":"' || session_id || '"}}'
-  FROM turns WHERE role = 'assistant') SELECT * FROM parts""",
+    "ndjson_events": f"{_EVENTS} SELECT * FROM parts",
+    "event_feed": f"{_EVENTS} SELECT line FROM parts",
     "notification_rows": f"""SELECT page_id, unnest(['docs', 'copies']) AS bucket, substr({_PATH}, 2) AS key FROM pages""",
     "url_filter": f"""SELECT page_id AS pos, u AS url FROM (
   SELECT page_id, regexp_replace(split_part(trim(url, {WS}), '"', 1), '/+$', '') AS u FROM pages)
@@ -542,6 +545,8 @@ WHERE contains(u, 'example') AND NOT contains(u, 'utm_source') AND NOT contains(
 SELECT seq, slug || chr(9) || named.url || chr(9) || title AS line FROM named JOIN parsed ON page_id = seq""",
     "render_text": f"""WITH {_PAGES} SELECT page_id, {_TXT} AS text,
   '# ' || title || chr(10) || chr(10) || '**Source:** ' || url || chr(10) || chr(10) || body || chr(10) AS markdown FROM plain""",
+    "manifest_file": f"""WITH {_PAGES}, numbered AS (SELECT page_id AS seq, url FROM pages), {_numbered('numbered', _PATH)}
+SELECT slug, named.url AS url, title FROM named JOIN parsed ON page_id = seq""",
     "rendered_files": f"""WITH {_PAGES}, numbered AS (SELECT page_id AS seq, url FROM pages), {_numbered('numbered', _PATH)}
 SELECT slug || '.txt' AS name, md5({_TXT.replace("url", "plain.url")}) AS md5 FROM named JOIN plain ON page_id = seq""",
     "corpus_build": f"""WITH {_PAGES}, {_PICKED}, tries AS (SELECT place AS seq, url FROM picked
@@ -555,6 +560,7 @@ SELECT page_id, filename, extension, 'uploads/u1/' || md5(url) || '.' || extensi
   'rate_limit:' || page_id AS counter_key FROM e""",
     "rate_limit": _limited("user_id", RATE["limit"], RATE["window_seconds"]),
     "rate_limit_sliced": _limited("user_id", RATE["limit"], RATE["window_seconds"]),
+    "rate_limit_stream": _limited("user_id", RATE["limit"], RATE["window_seconds"]),
     "rate_limit_default": _limited("event_type", fv.RATE_LIMIT, fv.RATE_WINDOW_SECONDS),
     "rate_counts": f"""WITH {_windows('user_id', RATE['window_seconds'])}
 SELECT key AS user_id, window_start, count(*) AS requests FROM marked GROUP BY key, window_start""",
