@@ -15,7 +15,9 @@ the first copy stays. No task ever holds the suffixes of the whole corpus:
 4. Chunks mark the bytes that the strings cover.
 
 A chunk sends a string once, however often it occurs there, so copies in a third of all documents make no
-large group; buckets are of equal size since they go by hash.
+large group; buckets are of equal size since they go by hash. An anchor with many different segments, as of a
+passage that stands between other words in every document, is hot: its strings are sent one by one, filed by a
+hash of the string itself, so they spread over all buckets.
 
 Defined results: a null text is empty; a row without an id counts as having the largest long; rows with
 equal ids never remove each other's text; an empty table gives no row; other columns are not read.
@@ -43,6 +45,9 @@ CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 6 << 20
 #: Strings of one segment at most; one bit of an answer each.
 MOST_STRINGS = 32
+#: An anchor is hot if it has so many different segments in one chunk, or so many chunks differ in a byte of them.
+HOT_IN_CHUNK = 32
+HOT_CHUNKS = 64
 NO_ID = np.iinfo(np.int64).max
 CHUNK = "chunk long, docs long, bytes long, ids binary, named binary, sizes binary, data binary"
 MESSAGE = "bucket int, chunk long, payload binary"
@@ -115,6 +120,11 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _code(spread: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of a hash in one number."""
+    return ((spread >> np.uint64(33)) % np.uint64(buckets)) << np.uint64(32) | spread & np.uint64(0xFFFFFFFF)
+
+
 def open_chunk(row: dict, buckets: int) -> Chunk:
     """Segments of a stored chunk."""
     ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
@@ -132,9 +142,12 @@ def open_chunk(row: dict, buckets: int) -> Chunk:
     number = np.arange(len(place))
     new |= (number - np.maximum.accumulate(np.where(new, number, 0))) % MOST_STRINGS == 0
     first = np.flatnonzero(new)
-    spread = mix(anchor[first])
-    code = ((spread >> np.uint64(33)) % np.uint64(buckets)) << np.uint64(32) | spread & np.uint64(0xFFFFFFFF)
-    return Chunk(ids, at, data, place[first], np.diff(first, append=len(place)), owner[first], code)
+    return Chunk(ids, at, data, place[first], np.diff(first, append=len(place)), owner[first], _code(mix(anchor[first]), buckets))
+
+
+def _contents(c: Chunk) -> np.ndarray:
+    """Hash of the bytes of each segment."""
+    return mix(slice_hashes(prefix_sums(c.data), c.start, c.start + c.strings + LENGTH - 1) + c.strings.astype(np.uint64))
 
 
 def _distinct_codes(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +161,16 @@ def _distinct_codes(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, place, np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
 
 
+def _variety(place: np.ndarray, content: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per code how many different segments a chunk has of it, 255 at most, and a byte of one of them."""
+    order = np.lexsort((content, place))
+    new = np.ones(len(order), bool)
+    new[1:] = (place[order][1:] != place[order][:-1]) | (content[order][1:] != content[order][:-1])
+    number = np.minimum(np.bincount(place[order][new], minlength=codes), 255).astype(np.uint8)
+    first = np.searchsorted(place[order], np.arange(codes))
+    return number, content[order][first].astype(np.uint8)
+
+
 def _by_bucket(codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """``bucket, first, last`` of codes in order."""
     bucket = (codes >> np.uint64(32)).astype(np.int64)
@@ -161,20 +184,25 @@ def _answers(row: dict, name: str) -> dict[int, bytes]:
     return {a["bucket"]: a["payload"] for a in row[name] or ()}
 
 
-def _repeated(c: Chunk, answers: dict[int, bytes]) -> np.ndarray:
-    """Which segments have an anchor that several documents hold."""
+def _repeated(c: Chunk, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which segments have an anchor that several documents hold, and which a hot one."""
     codes, place, several = _distinct_codes(c)
+    hot = np.zeros(len(codes), bool)
     for bucket, a, b in _by_bucket(codes):
-        several[a:b] |= np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=b - a).astype(bool)
-    return several[place] if len(codes) else np.zeros(0, bool)
+        bits = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=2 * (b - a)).astype(bool)
+        several[a:b] |= bits[: b - a]
+        hot[a:b] = bits[b - a :]
+    return (several[place], hot[place]) if len(codes) else (np.zeros(0, bool), np.zeros(0, bool))
 
 
 @dataclass
 class Segments:
-    """Distinct repeated segments of a chunk, by code."""
+    """Pieces that may repeat, and the distinct ones of them by code."""
 
-    of: np.ndarray  # places of the repeated segments in the chunk
-    number: np.ndarray  # the distinct segment of each
+    at: np.ndarray  # every piece: where it starts, its strings, its document
+    held: np.ndarray
+    row: np.ndarray
+    number: np.ndarray  # the distinct piece of each
     code: np.ndarray
     content: np.ndarray
     strings: np.ndarray
@@ -182,19 +210,27 @@ class Segments:
     least_id: np.ndarray
 
 
-def distinct_segments(c: Chunk, answers: dict[int, bytes]) -> Segments:
+def distinct_segments(c: Chunk, answers: dict[int, bytes], buckets: int) -> Segments:
     """What a chunk sends in step 3; the same again in step 4."""
-    of = np.flatnonzero(_repeated(c, answers))
-    code, strings, start = c.code[of], c.strings[of], c.start[of]
-    content = mix(slice_hashes(prefix_sums(c.data), start, start + strings + LENGTH - 1) + strings.astype(np.uint64))
-    ids = c.ids[c.row[of]]
+    several, hot = _repeated(c, answers)
+    whole, split = np.flatnonzero(several & ~hot), np.flatnonzero(several & hot)
+    sums = prefix_sums(c.data)
+    # Strings of hot segments one by one.
+    single = ragged(c.start[split], c.strings[split])
+    at = np.concatenate([c.start[whole], single])
+    held = np.concatenate([c.strings[whole], np.ones(len(single), np.int64)])
+    row = np.concatenate([c.row[whole], np.repeat(c.row[split], c.strings[split])])
+    content = mix(slice_hashes(sums, at, at + held + LENGTH - 1) + held.astype(np.uint64))
+    own = mix(content[len(whole) :])
+    code = np.concatenate([c.code[whole], _code(own, buckets)])
+    ids = c.ids[row]
     order = np.lexsort((ids, content, code))
-    new = np.ones(len(of), bool)
+    new = np.ones(len(at), bool)
     new[1:] = (code[order][1:] != code[order][:-1]) | (content[order][1:] != content[order][:-1])
-    number = np.empty(len(of), np.int64)
+    number = np.empty(len(at), np.int64)
     number[order] = np.cumsum(new) - 1
     one = order[new]
-    return Segments(of, number, code[one], content[one], strings[one], start[one], ids[one])
+    return Segments(at, held, row, number, code[one], content[one], held[one], at[one], ids[one])
 
 
 def _message(bucket: list[int], chunk: list[int], payload: list[bytes]) -> pa.RecordBatch:
@@ -212,23 +248,34 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _send_anchors(buckets: int) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            codes = np.unique(open_chunk(row, buckets).code)
-            parts = [(bucket, row["chunk"], codes[a:b].astype(np.uint32).tobytes()) for bucket, a, b in _by_bucket(codes)]
+            c = open_chunk(row, buckets)
+            codes, place, _ = _distinct_codes(c)
+            number, byte = _variety(place, _contents(c), len(codes))
+            parts = [
+                (bucket, row["chunk"], codes[a:b].astype(np.uint32).tobytes() + number[a:b].tobytes() + byte[a:b].tobytes())
+                for bucket, a, b in _by_bucket(codes)
+            ]
             yield _message(*map(list, zip(*parts))) if parts else _message([], [], [])
 
     return send
 
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
-    """Of the anchors of one bucket, which are held by several chunks."""
-    held = [np.frombuffer(p, np.uint32) for p in table.column("payload").to_pylist()]
-    values = np.concatenate(held)
-    order = np.argsort(values, kind="stable")
-    same = values[order][1:] == values[order][:-1]
-    several = np.zeros(len(values), bool)
-    several[order[1:]] |= same
-    several[order[:-1]] |= same
-    parts = np.split(several, np.cumsum([len(h) for h in held])[:-1])
+    """Of the anchors of one bucket, which are held by several chunks, and which are hot."""
+    held, number, byte = [], [], []
+    for payload in table.column("payload").to_pylist():
+        n = len(payload) // 6
+        held.append(np.frombuffer(payload, np.uint32, n))
+        number.append(np.frombuffer(payload, np.uint8, n, 4 * n))
+        byte.append(np.frombuffer(payload, np.uint8, n, 5 * n))
+    codes, place = np.unique(np.concatenate(held), return_inverse=True)
+    several = np.bincount(place) > 1
+    most = np.zeros(len(codes), np.uint8)
+    np.maximum.at(most, place, np.concatenate(number))
+    kinds = np.unique(place << 8 | np.concatenate(byte)) >> 8
+    hot = (most >= HOT_IN_CHUNK) | (np.bincount(kinds, minlength=len(codes)) >= HOT_CHUNKS)
+    limits = np.cumsum([len(h) for h in held])[:-1]
+    parts = [np.concatenate(p) for p in zip(np.split(several[place], limits), np.split(hot[place], limits))]
     answer = pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())
     return table.select(["bucket", "chunk"]).append_column("payload", answer)
 
@@ -240,7 +287,7 @@ def _send_segments(buckets: int) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             c = open_chunk(row, buckets)
-            s = distinct_segments(c, _answers(row, "anchors"))
+            s = distinct_segments(c, _answers(row, "anchors"), buckets)
             parts = []
             for bucket, a, b in _by_bucket(s.code):
                 values = c.data[ragged(s.start[a:b], s.strings[a:b] + LENGTH - 1)]
@@ -378,15 +425,15 @@ def _answer_segments(table: pa.Table) -> pa.Table:
     return table.select(["bucket", "chunk"]).append_column("payload", pa.array([p.tobytes() for p in parts], pa.binary()))
 
 
-def removed_bytes(c: Chunk, anchors: dict[int, bytes], segments: dict[int, bytes]) -> np.ndarray:
+def removed_bytes(c: Chunk, anchors: dict[int, bytes], segments: dict[int, bytes], buckets: int) -> np.ndarray:
     """Truth values, one per byte of the chunk."""
-    s = distinct_segments(c, anchors)
+    s = distinct_segments(c, anchors, buckets)
     bits = np.zeros(len(s.code), np.uint32)
     for bucket, a, b in _by_bucket(s.code):
         bits[a:b] = np.frombuffer(segments[bucket], np.uint32)
-    strings, start = c.strings[s.of], c.start[s.of]
+    strings, start = s.held, s.at
     # A later document of the same chunk repeats all strings of the segment.
-    later = c.ids[c.row[s.of]] > s.least_id[s.number]
+    later = c.ids[s.row] > s.least_id[s.number]
     own = np.where(later, np.uint32(0xFFFFFFFF), bits[s.number])
     offset = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
     hit = (np.repeat(own, strings) >> offset.astype(np.uint32)) & np.uint32(1) == 1
@@ -399,7 +446,7 @@ def _finish(buckets: int, with_text: bool) -> Callable:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             c = open_chunk(row, buckets)
-            gone = removed_bytes(c, _answers(row, "anchors"), _answers(row, "segments"))
+            gone = removed_bytes(c, _answers(row, "anchors"), _answers(row, "segments"), buckets)
             before = np.concatenate([[False], gone[:-1]]) if len(gone) else gone
             limit = np.zeros(len(gone) + 1, bool)
             limit[c.at] = True
