@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from stratadoc import fixed_values as fv
-from stratadoc.functions.text import col, strip
+from stratadoc.functions.text import col, let, strip
 
 _JUNK = r"(?is)<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\z)"
 _COMMENT = r"(?s)<!--.*?-->"
@@ -80,12 +80,17 @@ def unescape(c, all_names: bool = False) -> Column:
 
     Texts with the usual names alone are decoded by plain replacements, others part by part.
     """
-    whole = text = col(c)
-    for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.when(F.contains(text, F.lit("&#")), _decoded(text, "&#", _numeric)).otherwise(text)
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.regexp_like(whole, F.lit(_NAMED)), _all_references(whole)).otherwise(text) if all_names else text
+
+    def decode(whole: Column) -> Column:
+        text = whole
+        for name, char in _ENTITIES:
+            text = F.replace(text, F.lit(name), F.lit(char))
+        numbers = let(text, lambda t: F.when(F.contains(t, F.lit("&#")), _decoded(t, "&#", _numeric)).otherwise(t))
+        usual = F.replace(numbers, F.lit("&amp;"), F.lit("&"))
+        return F.when(F.regexp_like(whole, F.lit(_NAMED)), _all_references(whole)).otherwise(usual) if all_names else usual
+
+    # Most texts hold no reference at all.
+    return let(col(c), lambda whole: F.when(F.contains(whole, F.lit("&")), decode(whole)).otherwise(whole))
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -115,9 +120,11 @@ def page_title(c, default: str = "Untitled") -> Column:
 
 def article_title(c, default: str = fv.DEFAULT_TITLE) -> Column:
     """Title cut at the first bar; what is left empty falls back to the whole title."""
-    whole = strip(page_title(c, default))
-    cut = strip(F.substring_index(whole, "|", 1))
-    return unescape(F.when(cut != "", cut).otherwise(whole))
+
+    def cut(whole: Column) -> Column:
+        return let(strip(F.substring_index(whole, "|", 1)), lambda head: F.when(head != "", head).otherwise(whole))
+
+    return unescape(let(strip(page_title(c, default)), cut))
 
 
 class _Finder(HTMLParser):

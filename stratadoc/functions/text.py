@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from stratadoc import fixed_values as fv
@@ -11,6 +13,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named, and written into the plan once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c) -> Column:
     """Trim every Unicode white-space character, not only the ASCII space."""
     return F.btrim(col(c), F.lit(fv.WHITESPACE))

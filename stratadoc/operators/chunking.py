@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratadoc import fixed_values as fv
-from stratadoc.functions.text import col, content_id, strip
+from stratadoc.functions.text import col, content_id, let, strip
 
 
 def fixed_windows(text, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> Column:
@@ -20,11 +20,6 @@ def fixed_windows(text, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERL
     return F.filter(windows, lambda w: w != "")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is named."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _pieces(text: Column, separator: str) -> Column:
     """Parts of a text, each but the first with the separator in front; characters for an empty separator."""
     if not separator:
@@ -79,7 +74,7 @@ def _split(text: Column, size: int, overlap: int, separators: tuple[str, ...]) -
         zero = state(F.lit(0), F.lit(0), F.lit(0), F.array().cast("array<string>"))
         return F.aggregate(pieces, zero, add, lambda s: F.concat(s["out"], closed(s)))
 
-    return _let(_pieces(text, separators[0]), over)
+    return let(_pieces(text, separators[0]), over)
 
 
 def recursive_chunks(

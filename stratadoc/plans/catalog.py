@@ -118,8 +118,7 @@ def vector_upsert(spark, folder) -> DataFrame:
 
 
 def entity_lookup(spark, folder) -> DataFrame:
-    nodes, _ = inputs.graph(spark, folder)
-    return lookup(inputs.entity_questions(spark, folder), nodes, k=5)
+    return lookup(inputs.entity_questions(spark, folder), inputs.graph_names(spark, folder), k=5)
 
 
 def expand_directed(spark, folder) -> DataFrame:

@@ -209,6 +209,12 @@ def extractions(spark, folder) -> DataFrame:
     return durable(parse_extraction(graph_payloads(spark, folder)).select(*GRAPH_ORDER, "extraction"))
 
 
+def graph_names(spark, folder) -> DataFrame:
+    """Nodes of the merged graph alone."""
+    found = _graph_rows(spark, folder).where(~F.col("broken"))
+    return durable(merge_nodes(explode_nodes(found, GRAPH_ORDER)))
+
+
 def graph(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the merged graph, written to the shared folder since many steps read them."""
     found = _graph_rows(spark, folder).where(~F.col("broken"))
