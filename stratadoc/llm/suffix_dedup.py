@@ -45,9 +45,9 @@ CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 6 << 20
 #: Strings of one segment at most; one bit of an answer each.
 MOST_STRINGS = 32
-#: An anchor is hot if it has so many different segments in one chunk, or so many chunks differ in a byte of them.
-HOT_IN_CHUNK = 32
-HOT_CHUNKS = 64
+#: An anchor is hot if its chunks send so many segments of it, about a megabyte and a half, that are not all the same few.
+HOT_SEGMENTS = 20_000
+HOT_KINDS = 32
 NO_ID = np.iinfo(np.int64).max
 CHUNK = "chunk long, docs long, bytes long, ids binary, named binary, sizes binary, data binary"
 MESSAGE = "bucket int, chunk long, payload binary"
@@ -270,10 +270,11 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
         byte.append(np.frombuffer(payload, np.uint8, n, 5 * n))
     codes, place = np.unique(np.concatenate(held), return_inverse=True)
     several = np.bincount(place) > 1
-    most = np.zeros(len(codes), np.uint8)
-    np.maximum.at(most, place, np.concatenate(number))
-    kinds = np.unique(place << 8 | np.concatenate(byte)) >> 8
-    hot = (most >= HOT_IN_CHUNK) | (np.bincount(kinds, minlength=len(codes)) >= HOT_CHUNKS)
+    number, byte = np.concatenate(number), np.concatenate(byte)
+    hot = np.bincount(place, number) >= HOT_SEGMENTS
+    for code in np.flatnonzero(hot).tolist():
+        own = place == code
+        hot[code] = number[own].max() >= HOT_KINDS or len(np.unique(byte[own])) >= HOT_KINDS
     limits = np.cumsum([len(h) for h in held])[:-1]
     parts = [np.concatenate(p) for p in zip(np.split(several[place], limits), np.split(hot[place], limits))]
     answer = pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())

@@ -438,8 +438,8 @@ def test_suffix_dedup(docs, nothing, monkeypatch):
 def test_suffix_dedup_of_a_hot_passage(spark, monkeypatch, hot):
     """A passage in every document with other neighbours each time, over many chunks; ids at the end of the range."""
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
-    monkeypatch.setattr(suffix_dedup, "HOT_IN_CHUNK", hot)
-    monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_KINDS", min(hot, 3))
     passage = prose(80, 40)
     texts = [(k, f"{prose(900 + k, 4 + k % 9)} {passage} {prose(1100 + k, 4 + k % 7)}") for k in range(90)]
     texts += [(2**63 - 1, passage + " x"), (2**63 - 1, "y " + passage), (-(2**63), "z " + passage)]
