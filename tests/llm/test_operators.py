@@ -470,6 +470,29 @@ def test_suffix_dedup_on_overlapping_mixtures(spark):
     assert found == expected(texts, brute.repeats(texts))
 
 
+def test_toxicity_is_a_regularised_logistic_fit():
+    """Probabilities against Newton's method on the same loss, with and without the counterfactual term."""
+    pick = np.random.default_rng(12)
+    x = (pick.random((300, 6)) < 0.4).astype(np.int8)
+    toxic = (pick.random(300) < 1 / (1 + np.exp(-(x @ np.array([2.0, -1, 1, 0, 0.5, -2]) - 0.3)))).astype(int)
+    weight = np.where(toxic, 1.5, 1.0)
+    pairs = np.zeros((40, 6), np.int8)
+    pairs[:, 0], pairs[:, 1] = 1, -1
+    for own in (pairs[:0], pairs):
+        w, bias = toxicity.fit(x, toxic, weight, own, np.arange(len(own)))
+        a = np.hstack([x, np.ones((300, 1))]).astype(float)
+        share, beta = weight / weight.sum(), np.zeros(7)
+        change = np.zeros((7, 7))
+        change[:6, :6] = toxicity.RIDGE * np.eye(6)
+        if len(own):
+            change[:6, :6] += toxicity.COUNTERFACTUAL * own.T.astype(float) @ own / len(own)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-a @ beta))
+            slope = a.T @ (share * (p - toxic)) + change @ beta
+            beta -= np.linalg.solve((a * (share * p * (1 - p))[:, None]).T @ a + change + 1e-12 * np.eye(7), slope)
+        assert np.abs(1 / (1 + np.exp(-(x @ w + bias))) - 1 / (1 + np.exp(-a @ beta))).max() < 0.03
+
+
 def test_near_copies(spark, docs, nothing):
     pick = random.Random(11)
     texts = [d for d in hard_documents() if d[0] is not None]
