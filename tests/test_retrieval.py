@@ -251,3 +251,48 @@ def test_question_and_document_share_one_space(spark):
     df = spark.createDataFrame([(1, "spark reads parquet")], "question_id long, text string")
     items = df.withColumnRenamed("question_id", "point_id")
     assert vector_topk(embed_hashed(df), embed_hashed(items)).first()["score"] == 1.0
+
+
+def _vectors(rng, name, n):
+    return pa.table({name: [f"{i:05d}" for i in range(n)], "embedding": rng.standard_normal((n, 16)).tolist()})
+
+
+SEARCH = {"question_id": "question_id", "item_id": "point_id", "vector": "embedding", "threshold": None, "skip_same": False, "match_on": None}
+
+
+def test_single_precision_only_chooses_what_is_scored():
+    """Near ties beyond single precision keep their order; copies in crowds go to smaller ids."""
+    rng = np.random.default_rng(5)
+    asked, base = _vectors(rng, "question_id", 40), rng.standard_normal((30, 16))
+    items = np.concatenate([base + 1e-8 * rng.standard_normal((30, 16)) for _ in range(20)] + [np.repeat(base[:1], 900, axis=0)])
+    ids = [f"p{i:05d}" for i in rng.permutation(len(items))]
+    table = pa.table({"point_id": ids, "embedding": items.tolist()})
+    kernel = CosineKernel(asked, k=6, **SEARCH)
+    for batch in table.to_batches(max_chunksize=300):
+        kernel.update(batch)
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    scores = np.floor(unit(np.array(asked["embedding"].to_pylist())) @ unit(items).T * 1e9 + 0.5) / 1e9
+    expected = {(f"{q:05d}", ids[i]) for q in range(40) for i in sorted(range(len(ids)), key=lambda i: (-scores[q, i], ids[i]))[:6]}
+    assert set(zip(*kernel.best()[:2])) == expected
+
+
+def test_cells_hold_no_matrix_of_questions_and_cells():
+    rng = np.random.default_rng(6)
+    asked, sample = _vectors(rng, "question_id", 2_000), _vectors(rng, "point_id", 500)
+    kernel = CosineKernel(asked, k=3, **SEARCH, cells={"sample": sample, "radius": np.full(500, 0.3)})
+    assert all(getattr(v, "size", 0) < 2_000 * 500 for v in vars(kernel).values())
+
+
+def test_blocks_move_packs(spark, monkeypatch):
+    """Rows are copied once per block of the other side, and a block holds as many as its size says, not 8,192."""
+    from stratadoc.operators import ranked_scan
+
+    counts = []
+    real = ranked_scan.durable
+    monkeypatch.setattr(ranked_scan, "durable", lambda df: counts.append(real(df)) or counts[-1])
+    rows = [(i, [float(i % 7), 1.0, float(i % 11)]) for i in range(3_000)]
+    v = spark.createDataFrame(rows, "point_id long, embedding array<double>").coalesce(1)
+    q = v.withColumnRenamed("point_id", "question_id")
+    hits = vector_topk(q, v, k=1, broadcast_bytes=0)
+    assert hits.count() == 3_000
+    assert [(r["n"], r["s"]) for r in counts[0].selectExpr("count(*) n", "sum(rows) s").collect()] == [(3, 3_000)]
