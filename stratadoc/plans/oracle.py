@@ -508,10 +508,15 @@ FROM questions LEFT JOIN (SELECT question_id, answer FROM answered) USING (quest
     "completion_apply": f"""WITH {_TURNS} SELECT question_id, answer AS completion, CASE WHEN answer IS NULL THEN 'no completion' END AS error
 FROM questions LEFT JOIN (SELECT question_id, answer FROM answered) USING (question_id)""",
     "query_rewrite": f"""WITH {_TURNS},
-past AS (SELECT DISTINCT q.question_id FROM questions q JOIN turns t ON t.conv_id = q.conv_id AND t.turn < q.turn)
-SELECT question_id, CASE WHEN p.question_id IS NULL OR answer IS NULL THEN text ELSE trim(answer, {WS}) END AS query
-FROM questions LEFT JOIN (SELECT question_id, answer FROM answered) USING (question_id)
-  LEFT JOIN past p USING (question_id)""",
+past AS (SELECT q.question_id, t.turn, t.role || ': ' || t.content AS line
+  FROM questions q JOIN turns t ON t.conv_id = q.conv_id AND t.turn < q.turn
+  QUALIFY row_number() OVER (PARTITION BY q.question_id ORDER BY t.turn DESC) <= {fv.CHAT_HISTORY_LIMIT}),
+lines AS (SELECT question_id, string_agg(line, chr(10) ORDER BY turn) AS history, count(*) AS n FROM past GROUP BY question_id),
+asked AS (SELECT question_id, text, n, md5({_filled(fv.REWRITE_PROMPT, history="coalesce(history, '')", question='text')}) AS prompt_id
+  FROM questions LEFT JOIN lines USING (question_id)),
+given AS (SELECT prompt_id, min(answer) AS answer FROM asked JOIN answered USING (question_id) GROUP BY prompt_id)
+SELECT question_id, CASE WHEN n IS NULL OR answer IS NULL THEN text ELSE trim(answer, {WS}) END AS query, prompt_id
+FROM asked LEFT JOIN given USING (prompt_id)""",
     "hyde_search": f"""WITH {_TURNS}, {_CHUNKS},
 hq AS (SELECT question_id, coalesce(nullif(answer, ''), text) AS text
   FROM questions LEFT JOIN (SELECT question_id, answer FROM answered) USING (question_id)),

@@ -210,3 +210,20 @@ def test_small_functions(spark):
     ).first()
     assert (row["s"], len(row["u"]), len(row["h"]), row["t"][10], row["m"]) == ("x", 36, 32, "T", {"a": "1", "b": "2"})
     assert row["k"] == "uploads/u/id.pdf"
+
+
+def test_rewrite_sql_reads_every_earlier_turn_of_the_window():
+    """A changed earlier turn changes the prompt that a question's rewriting is checked by; one before the window does not."""
+    import duckdb
+
+    from stratadoc.plans.oracle import ORACLE
+
+    def prompt(changed):
+        rows = [(1, t, "user" if t % 2 == 0 else "assistant", "other" if t == changed else f"text {t}") for t in range(9)]
+        con = duckdb.connect()
+        con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+        return {r[0]: r[2] for r in con.execute(ORACLE["query_rewrite"]).fetchall()}["1-8"]
+
+    same = prompt(None)
+    assert [prompt(t) == same for t in range(8)] == [True, True] + [False] * 6
