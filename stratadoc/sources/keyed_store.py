@@ -90,12 +90,16 @@ class KeyedStore:
 
     def folders_with(self, keys: DataFrame, before: int | None = None) -> list[str]:
         """Bucket folders whose filter knows one of ``keys``; at most one row a folder comes to the driver."""
+        return self._folders_of(keys.select(*self.key).distinct(), before)
+
+    def _folders_of(self, keys: DataFrame, before: int | None) -> list[str]:
+        """The same for distinct keys."""
         manifests = self.manifests(before)
         folders = [(m["batch_id"], m["bitmaps"], int(b)) for m in manifests for b in m["sizes"]]
         if not folders:
             return []
         there = self.spark.createDataFrame(folders, "batch_id long, bitmaps int, bucket int")
-        wanted = keys.select(*self.key).distinct().select("*", self._bucket()).join(there, "bucket")
+        wanted = keys.select("*", self._bucket()).join(there, "bucket")
         wanted = wanted.select("batch_id", "bucket", F.xxhash64(*self.key).alias("id"), F.explode(self._probes(F.col("bitmaps"))).alias("p"))
         filters = self.spark.read.schema("bucket int, number int, bits binary, batch_id long").parquet(f"{self.root}/_filters")
         joined = wanted.select("batch_id", "bucket", "id", "p.number", "p.bit").join(filters, ["batch_id", "bucket", "number"])
@@ -124,6 +128,8 @@ class KeyedStore:
 
     def known(self, keys: DataFrame, before: int | None = None) -> DataFrame:
         """Those of the distinct ``keys`` that are stored, from the folders that may hold them alone."""
+        if not self.manifests(before):
+            return keys.select(*self.key).where(F.lit(False))
         wanted = durable(keys.select(*self.key).distinct())
         folders = self.folders_with(wanted, before)
         if not folders:
@@ -146,5 +152,13 @@ class KeyedStore:
         """Store the rows whose key no earlier batch holds; of rows with one key any is stored."""
         if self.has(batch_id):
             return False
-        rows = durable(rows.dropDuplicates(list(self.key)))
-        return self.append(rows.join(self.known(rows, batch_id), list(self.key), "left_anti").select(*rows.columns), batch_id)
+        rows = rows.dropDuplicates(list(self.key))
+        if not self.manifests(batch_id):
+            return self.append(rows, batch_id)
+        rows = durable(rows)
+        # Written and without copies, so the keys need no pass of their own.
+        folders = self._folders_of(rows.select(*self.key), batch_id)
+        if folders:
+            stored = self._read(folders, self.manifests()[-1]).select(*self.key)
+            rows = rows.join(stored, list(self.key), "left_anti").select(*rows.columns)
+        return self.append(rows, batch_id)
