@@ -37,7 +37,7 @@ def hashed_vector(text, dim: int = fv.EMBED_DIM, unit: bool = True) -> Column:
                 counts = np.bincount(np.array(buckets, dtype=np.int64), minlength=dim).astype(np.float64)
                 length = np.sqrt((counts * counts).sum()) if unit else 1.0
                 out.append(counts / length if length > 0 else counts)
-            bucket_of.trim()
+                bucket_of.trim()
             yield pd.Series(out, dtype=object)
 
     return embed(col(text))
@@ -50,9 +50,9 @@ def hashed_counts(text: str, dim: int = fv.EMBED_DIM) -> np.ndarray:
 
 
 class _Buckets(dict):
-    """Bucket per token, remembered while a task runs."""
+    """Bucket per token, remembered while a task runs; a table of new words may not fill a worker's memory."""
 
-    LARGEST = 1_000_000
+    LARGEST = 50_000
 
     def __init__(self, dim: int) -> None:
         super().__init__()

@@ -167,3 +167,29 @@ def test_row_files_of_a_stream(spark, tmp_path):
         )
         query.awaitTermination()
         assert len(list((tmp_path / "out").glob("[01]/*.txt"))) == 5 * (k + 1)
+
+
+def test_batches_of_python_workers_are_bounded(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": [batch.num_rows]})
+
+    assert max(r["id"] for r in spark.range(3_000).coalesce(1).mapInArrow(sizes, "id long").collect()) <= 1_000
+    assert max(r["id"] for r in spark.range(30).selectExpr("id", "repeat('x', 2000000) AS text").coalesce(1).mapInArrow(sizes, "id long").collect()) < 30
+
+
+def test_new_rows_of_a_store_are_written_once(spark, tmp_path, monkeypatch):
+    """The first batch is stored as it comes; a later one is kept once while its keys are looked up."""
+    from stratadoc.sources import keyed_store
+
+    kept = []
+    real = keyed_store.durable
+    monkeypatch.setattr(keyed_store, "durable", lambda df: kept.append(1) or real(df))
+    store = keyed_store.KeyedStore(spark, f"file://{tmp_path}/edges", ("a", "b"))
+    rows = lambda *r: spark.createDataFrame(list(r), "a string, b long")
+    assert store.append_new(rows(("x", 1), ("x", 1), ("y", 2), (None, 3)), 0) and len(kept) == 0
+    assert store.append_new(rows(("x", 1), ("z", 4), ("z", 4), (None, 3)), 1) and len(kept) == 1
+    stored = sorted(map(tuple, store.rows().collect()), key=str)
+    assert stored == sorted([("x", 1, 0), ("y", 2, 0), (None, 3, 0), ("z", 4, 1), (None, 3, 1)], key=str)
