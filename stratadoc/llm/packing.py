@@ -168,7 +168,7 @@ def encode_tails(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> D
         full = 0
         for whole in batches:
             for batch in slices(whole, "text", ENCODE_BYTES):
-                ids, counts = encoder.encode(batch.column("text").to_pylist(), end_id)
+                ids, counts = encoder.encode(batch.column("text"), end_id)
                 data = ids.astype(f"<u{encoder.width}").tobytes()
                 ends = np.cumsum(counts) * encoder.width
                 tails = counts % window

@@ -258,7 +258,7 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
 
         for whole in batches:
             for batch in slices(whole, "text", ENCODE_BYTES):
-                held.append(encoder.encode(batch.column("text").to_pylist(), end_id))
+                held.append(encoder.encode(batch.column("text"), end_id))
                 names += batch.column("doc_id").to_pylist()
                 if sum(len(x) for x, _ in held) >= shard_ids:
                     yield close()

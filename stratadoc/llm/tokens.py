@@ -6,9 +6,11 @@ import gc
 import re
 import sys
 import types
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from stratadoc.llm.common import ragged
 
@@ -17,11 +19,13 @@ _MARKS = r"!-&(-/:-@\[-`{-~"
 #: Pieces that hold only these characters split into words in a known way; apostrophes are left out, as
 #: they may begin a contraction, and so is all else, which the library itself splits.
 _RUN = rf"(?:[{_LETTERS}]++|[0-9]++|[{_MARKS}]++)"
-_PLAIN = {"lead": re.compile(rf" ?{_RUN}(?:\n?{_RUN})*+"), "drop": re.compile(rf"\n?{_RUN}(?:\n?{_RUN})*+")}
+_PLAIN = {"lead": re.compile(rf"[ \n]?{_RUN}(?:\n?{_RUN})*+"), "drop": re.compile(rf"\n?{_RUN}(?:\n?{_RUN})*+")}
 _WORD = {
     "lead": re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n"),
     "drop": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+"),
 }
+#: A word ends between a letter and one of these, whatever stands before or after.
+_WORD_END = f"([{_LETTERS}])([.,;:!?\n])"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -35,19 +39,12 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(others)}
 
 
-class _Numbers(dict):
-    """Numbers the keys in the order in which they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        return number
-
-
 class WordwiseEncoder:
     """Ids of texts, worked out once per distinct word.
 
     The tokenizers named below split a text into words before they merge anything, so a text's ids are
-    those of its pieces, one after the other. Texts are cut at single spaces only. A new piece of plain
+    those of its pieces, one after the other. Texts are cut at single spaces and between a letter and a
+    punctuation mark or line end, by Arrow, which also finds the distinct pieces. A new piece of plain
     letters, digits and marks is cut into words here, and the library's model merges each distinct word;
     any other piece is encoded by the whole library. A text in which a cut at a space could change the
     words is encoded as a whole.
@@ -70,7 +67,7 @@ class WordwiseEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known = _Numbers()
+        self._known = pa.array([], pa.large_string())
         self._pool = [np.zeros(0, np.uint32)]
         self._lengths = [np.zeros(0, np.int64)]
         self._unsafe = [np.zeros(0, bool)]
@@ -107,36 +104,46 @@ class WordwiseEncoder:
             out[number] = e.ids
         return out
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of pieces, each new one encoded first."""
-        before = len(self._known)
-        numbers = np.fromiter(map(self._known.__getitem__, pieces), np.int64, len(pieces))
-        new = list(islice(self._known, before, None))
-        if new:
-            # With leading spaces, the first piece of a text is marked as the one without a space.
-            ids = self._ids([x[1:] if x[:1] == "\0" else " " + x for x in new] if self._lead else new)
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces, each new one encoded first."""
+        numbers = pc.index_in(pieces, value_set=self._known)
+        new = pieces.filter(pc.is_null(numbers))
+        numbers = numbers.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            numbers[numbers < 0] = len(self._known) + np.arange(len(new))
+            self._known = pa.concat_arrays([self._known, new])
+            # With leading spaces, a piece that follows none is marked.
+            shown = new.to_pylist()
+            ids = self._ids([x[1:] if x[:1] == "\0" else " " + x for x in shown] if self._lead else shown)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self._pool.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
             self._lengths.append(lengths)
             if self._lead:
-                self._unsafe.append(np.array([x in ("", "\0") or x[-1].isspace() or "\0" in x[1:] for x in new]))
+                self._unsafe.append(np.array([x in ("", "\0") or x[-1].isspace() for x in shown]))
         return numbers
 
-    def _cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all pieces, and the number of pieces of each text."""
-        mark = "\0" if self._lead else ""
-        cut = [(mark + (text or "")).split(" ") for text in texts]
-        counts = np.array([len(c) for c in cut], np.int64)
-        numbers = self._numbers(list(chain.from_iterable(cut)))
+        if self._lead:
+            mark, nothing = pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())
+            marked = pc.binary_join_element_wise(mark, texts, nothing)
+            cut = pc.replace_substring_regex(marked, _WORD_END, "\\1 \0\\2")
+        else:
+            cut = pc.replace_substring_regex(texts, _WORD_END, "\\1 \\2")
+        cut = pc.split_pattern(cut, " ")
+        counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        numbers = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         if not self._lead:
             return numbers, counts
         # A piece that ends in white space, or an empty one, may be part of a run that was cut.
-        unsafe = np.concatenate(self._unsafe)
-        self._unsafe = [unsafe]
-        doubtful = np.flatnonzero(np.bincount(np.repeat(np.arange(len(cut)), counts), unsafe[numbers], len(cut)))
+        self._unsafe = [np.concatenate(self._unsafe)]
+        unsafe = np.bincount(np.repeat(np.arange(len(counts)), counts), self._unsafe[0][numbers], len(counts)) > 0
+        # The mark may stand in a text itself.
+        doubtful = np.flatnonzero(unsafe | pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False))
         if len(doubtful) == 0:
             return numbers, counts
-        whole = [self._library.encode(texts[t] or "", add_special_tokens=False).ids for t in doubtful.tolist()]
+        whole = [self._library.encode(texts[t].as_py(), add_special_tokens=False).ids for t in doubtful.tolist()]
         # Such a text is one piece for this call only.
         first = len(self._known) + len(self._extra)
         self._extra += whole
@@ -146,24 +153,28 @@ class WordwiseEncoder:
         counts[doubtful] = 1
         return np.concatenate(parts), counts
 
-    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text. ``end_id`` follows every text."""
-        if not texts:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        column = column.cast(pa.large_string()).fill_null("")
         if len(self._known) > self._most:
             self._forget()
         self._extra: list[list[int]] = []
         collecting = gc.isenabled()
         gc.disable()  # millions of short-lived strings, no cycles
         try:
-            word, pieces = self._cut(texts)
+            word, pieces = self._cut(column)
         finally:
             if collecting:
                 gc.enable()
         self._pool, self._lengths = [np.concatenate(self._pool)], [np.concatenate(self._lengths)]
-        extra = np.array([len(x) for x in self._extra], np.int64)
-        pool = np.concatenate([self._pool[0], np.fromiter(chain.from_iterable(self._extra), np.uint32, int(extra.sum()))])
-        lengths = np.concatenate([self._lengths[0], extra])
+        pool, lengths = self._pool[0], self._lengths[0]
+        if self._extra:
+            extra = np.array([len(x) for x in self._extra], np.int64)
+            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(self._extra), np.uint32, int(extra.sum()))])
+            lengths = np.concatenate([lengths, extra])
         starts = np.cumsum(lengths) - lengths
         ids = pool[ragged(starts[word], lengths[word])]
         ends = np.concatenate([[0], np.cumsum(lengths[word])])[np.cumsum(pieces)]

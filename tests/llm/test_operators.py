@@ -6,6 +6,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,20 @@ def test_wordwise_encoding_is_the_library(path, spaces, name):
     assert found == brute.encoded(texts, name)
 
 
+@pytest.mark.parametrize(("path", "spaces", "name"), [(BYTE, "lead", "byte_bpe_50k.json"), (WORD, "drop", "word_bpe_49k.json")])
+def test_encoding_cuts_arrow_texts_at_the_ends_of_words(path, spaces, name):
+    pick = random.Random(5)
+    words = ["tree", "Été", "x", "don't", "7", "?!", "a.b", "\0", ""]
+    joints = [" ", "  ", ". ", ", ", ".\n", "\n", "\n ", "\n\n", ":", "; ", "! "]
+    texts = [None, "", *["".join(pick.choice(words) + pick.choice(joints) for _ in range(pick.randint(0, 9))) for _ in range(3000)]]
+    ids, counts = WordwiseEncoder(path, spaces).encode(pa.array(texts).slice(1), 2)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == brute.encoded(texts[1:], name)
+    # A word is one piece, whatever follows it.
+    encoder = WordwiseEncoder(path, spaces)
+    encoder.encode(pa.array([f"of {a}{m} {a}{m}" for a in ("tree", "wood", "leaf") for m in ".,;:!?"]), 2)
+    assert len(encoder._known) <= 1 + 3 + 6
+
+
 def test_token_files(spark, docs, nothing):
     texts = sorted(hard_documents(), key=lambda d: (d[0] is not None, d[0] or 0))
     ids = brute.encoded([t for _, t in texts], "byte_bpe_50k.json")
