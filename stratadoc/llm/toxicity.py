@@ -39,7 +39,8 @@ LEAST_Z = 4.0
 RIDGE = 1e-4
 COUNTERFACTUAL = 1.0
 STEPS = 300
-SLICE_BYTES = 2 << 20
+#: Bytes of text whose n-grams a worker holds at a time; they take about a hundred times as much memory.
+SLICE_BYTES = 1 << 19
 
 #: Terms of one line may stand for each other. A parameter; languages can be added line by line.
 IDENTITY_TERMS = (
@@ -67,7 +68,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(at)
     # Every text stands between spaces, and eight bytes from each place are read as one number.
     data = np.full(len(flat) + 2 * len(sizes) + 8, 0x20, np.uint8)
-    row = np.repeat(np.arange(len(sizes)), sizes + 2)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 2)
     places = np.arange(len(flat)) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1
     data[places] = _PLAIN[flat]
     wide = np.ndarray((len(row),), "<u8", data.data, strides=(1,))

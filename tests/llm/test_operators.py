@@ -1,6 +1,7 @@
 """Every operator on small tables with hard cases, against plain versions."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import brute
@@ -22,7 +23,7 @@ from stratadoc.llm import (
     toxicity,
     url_rules,
 )
-from stratadoc.llm.common import ready
+from stratadoc.llm.common import ready, slices
 from stratadoc.llm.tokens import WordwiseEncoder
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -601,3 +602,14 @@ def test_shared_counts(monkeypatch):
     monkeypatch.setattr(minmax_dups, "COLUMNS", 64)
     assert minmax_dups.shared_counts(sets, x, y).tolist() == want
     assert minmax_dups.shared_counts([sets[0], sets[0] + np.uint64(1)], x[:1], y[:1]).tolist() == [0]
+
+
+def test_toxicity_holds_few_ngrams_at_a_time():
+    texts = pa.RecordBatch.from_arrays([pa.array(["some words of a text, and more of them. " * 50] * 1000)], names=["text"])
+    lookup = np.full(1 << toxicity.HASH_BITS, -1, np.int16)
+    tracemalloc.start()
+    for part in slices(texts, "text", toxicity.SLICE_BYTES):
+        toxicity.presence(part.column("text"), lookup, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
