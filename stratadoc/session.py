@@ -18,6 +18,8 @@ SQL_SETTINGS = {
     # Splits hot join keys at run time, even where the split costs a further shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Files named one by one are listed by so many tasks, not by one task a file.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A batch of texts, vectors or files in a Python worker, whichever is reached first.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratadoc import fixed_values as fv
 from stratadoc.functions.html import clean_text, page_title
 from stratadoc.functions.text import col, extension, filename
 from stratadoc.schemas import DOC_META, NOTIFICATION, RAW_FILE
+from stratadoc.sources.row_files import file_system
 
 
 #: A scan with as many tasks, a few GB, is left as it is however many cores there are.
@@ -56,22 +63,62 @@ def accepted(name: str, suffixes: tuple[str, ...] = fv.ACCEPTED_SUFFIXES) -> Col
     return F.lower(extension(filename(F.col(name), F.lit(0)))).isin(*suffixes)
 
 
+#: Characters that make a path a pattern of paths.
+PATTERN = re.compile(r"[{}\[\]*?\\]")
+
+
+def look_up(keys: DataFrame, folder: str) -> DataFrame:
+    """``key, there``: whether each key is a file below a folder, asked by the tasks; null where that cannot be told."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            store, root = file_system(folder)
+        except (pa.ArrowException, OSError):  # a store that Spark alone reaches
+            store, root = None, ""
+
+        def there(name: str) -> bool | None:
+            try:
+                return store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound if store else None
+            except (pa.ArrowException, OSError, ValueError):
+                return None
+
+        for batch in batches:
+            found = pa.array([there(n) for n in batch.column("key").to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), found], names=["key", "there"])
+
+    spread_out = keys.select("key").distinct().repartition(keys.sparkSession.sparkContext.defaultParallelism)
+    return spread_out.mapInArrow(look, "key string, there boolean")
+
+
+def _exists(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    """Those of the names that are files below a folder, asked one by one by Spark's own file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [n for n in names if store.exists(path(f"{folder}/{n}"))]
+
+
 def read_keys(spark: SparkSession, folder: str, keys: DataFrame) -> tuple[DataFrame | None, list[str]]:
     """Files of exactly the given keys below a folder, and keys without a file; nothing is listed.
 
     The names of a batch of keys come to the driver, since a scan is planned there; the batch bounds them.
     """
-    jvm = spark.sparkContext._jvm
-    names = [r["key"] for r in keys.select("key").distinct().orderBy("key").collect()]
-    base = jvm.org.apache.hadoop.fs.Path(folder)
-    store = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = [n for n in names if store.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}"))]
-    missing = sorted(set(names) - set(there))
+    looked = look_up(keys, folder).collect()
+    untold = [r["key"] for r in looked if r["there"] is None]
+    there = [r["key"] for r in looked if r["there"]]
+    there = sorted(there + (_exists(spark, folder, untold) if untold else []))
+    missing = sorted({r["key"] for r in looked}.difference(there))
     if not there:
         return None, missing
-    # Names are taken as they are: a star or bracket in a key is no pattern.
-    reader = spark.read.format("binaryFile").schema(RAW_FILE).option("__globPaths__", "false")
-    return reader.load([f"{folder}/{n}" for n in there]), missing
+    paths = [f"{folder}/{n}" for n in there]
+    parts = []
+    # Names are taken as they are: a star or bracket in a key is no pattern. Where patterns are switched off, Spark
+    # reads a path that is none twice, so only the others are read that way.
+    for odd in (False, True):
+        chosen = [p for p in paths if bool(PATTERN.search(p)) is odd]
+        if chosen:
+            reader = spark.read.format("binaryFile").schema(RAW_FILE)
+            parts.append((reader.option("__globPaths__", "false") if odd else reader).load(chosen))
+    return reduce(DataFrame.unionByName, parts), missing
 
 
 PARSED = ("html", "htm", "txt")

@@ -193,3 +193,24 @@ def test_new_rows_of_a_store_are_written_once(spark, tmp_path, monkeypatch):
     assert store.append_new(rows(("x", 1), ("z", 4), ("z", 4), (None, 3)), 1) and len(kept) == 1
     stored = sorted(map(tuple, store.rows().select("a", "b", "batch_id").collect()), key=str)
     assert stored == sorted([("x", 1, 0), ("y", 2, 0), (None, 3, 0), ("z", 4, 1), (None, 3, 1)], key=str)
+
+
+def test_keys_are_looked_up_by_tasks(spark, tmp_path, monkeypatch):
+    names = ["a.html", "b [1]*.txt", "deep/c.txt"]
+    (tmp_path / "deep").mkdir()
+    for name in names:
+        (tmp_path / name).write_text(name)
+    keys = spark.createDataFrame([(n,) for n in [*names, *names, "gone.txt"]], "key string")
+    asked = []
+    own = readers._exists
+    monkeypatch.setattr(readers, "_exists", lambda session, folder, untold: asked.extend(untold) or own(session, folder, untold))
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        files, missing = readers.read_keys(spark, folder, keys)
+        assert sorted(bytes(r["content"]).decode() for r in files.collect()) == sorted(names) and missing == ["gone.txt"]
+    assert asked == []
+    # What tasks cannot tell the driver asks: a name that is too long, a store that Spark alone reaches.
+    files, missing = readers.read_keys(spark, str(tmp_path), spark.createDataFrame([("x" * 300,), ("a.html",)], "key string"))
+    assert files.count() == 1 and missing == ["x" * 300] == asked
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.keys.link./in", f"file://{tmp_path}")
+    files, missing = readers.read_keys(spark, "viewfs://keys/in", keys)
+    assert files.count() == len(names) and missing == ["gone.txt"] and len(asked) == 1 + len(names) + 1
