@@ -31,6 +31,16 @@ def test_last_type_wins_and_merge_is_idempotent(spark):
     assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
 
 
+def test_merge_holds_numbers_while_it_reads(spark):
+    """Rows meet in a hash aggregation first, not sorted by name; the order is that of whole structs."""
+    rows = [("a", "X", 2, 0, 1), ("a", "Y", 2, 1, 0), ("a", "X", 1, 9, 9), ("b", None, 5, 0, 0), ("b", "X", None, 9, 0), ("c", "X", None, None, 0)]
+    new = spark.createDataFrame(rows, "name string, type string, d long, c int, p int").selectExpr("name", "type", "struct(d, c, p) seq")
+    merged = g.merge_nodes(new)
+    assert sorted(map(str, pairs(merged, "name", "type"))) == sorted(map(str, [("a", "Y"), ("b", None), ("c", "X")]))
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "partial_max(" in plan
+
+
 def test_edges_need_both_ends_and_are_kept_once(spark):
     nodes = spark.createDataFrame([("a", "t"), ("b", "t")], "name string, type string")
     new = spark.createDataFrame([("a", "b", "R"), ("a", "b", "R"), ("a", "x", "R"), ("y", "a", "R"), ("a", "a", "S")], EDGES)

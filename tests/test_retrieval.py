@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions.vectors import dot, normalise
 from stratadoc.operators.embedding import embed_hashed, embed_with, hashed_vector
+from stratadoc.operators import fulltext
 from stratadoc.operators.fulltext import entity_lookup
 from stratadoc.operators.retrieval import citations, documents_per_question, graph_contexts, merge_contexts, vector_contexts
 from stratadoc.operators.kernels import CosineKernel
@@ -213,6 +214,29 @@ def bm25(questions, names):
                 yield qid, name, math.floor(score * 1e6 + 0.5) / 1e6
 
 
+def test_lookup_reads_index_and_searchable_names_once(spark, monkeypatch):
+    """Only rows of asked tokens go on, so later steps do not grow with all names."""
+    nodes = spark.createDataFrame([(f"thing {i}",) for i in range(40)] + [("lone star",)], "name string")
+    some = fulltext.durable(nodes.where("name <> 'thing 7'"))
+    index = fulltext.name_index(nodes, 5)
+    q = spark.createDataFrame([(1, "thing 3"), (2, "thing 7")], "question_id int, text string")
+    read, real = [], fulltext.durable
+
+    def seen(df):
+        read.append(set(df.inputFiles()))
+        out = real(df)
+        if "add" in df.columns:
+            assert {r["token"] for r in out.collect()} == {"thing", "3"}
+        return out
+
+    monkeypatch.setattr(fulltext, "durable", seen)
+    got = entity_lookup(q, nodes, k=1, index=index, searchable=some)
+    read.append(set(got.inputFiles()))
+    assert sorted((r["question_id"], r["name"]) for r in got.collect()) == [(1, "thing 3"), (2, "thing 0")]
+    for files in (index.postings.inputFiles(), some.inputFiles()):
+        assert sum(bool(one & set(files)) for one in read) == 1
+
+
 @pytest.mark.parametrize("hot_names", [1, 12, 40, 10_000])
 def test_entity_lookup_is_exact(spark, hot_names):
     """Rare tokens alone, hot tokens alone, and both; the limit moves tokens from one way to the other."""
