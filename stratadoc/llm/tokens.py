@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from stratadoc.llm.common import ragged
+from stratadoc.llm.common import ragged, text_bytes
 
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _MARKS = r"!-&(-/:-@\[-`{-~"
@@ -39,6 +39,20 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(others)}
 
 
+def _hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit polynomial hashes of the strings' bytes."""
+    flat, at = text_bytes(strings)
+    if len(flat) == 0:
+        return np.zeros(len(strings), np.uint64)
+    sizes = np.diff(at)
+    factor = np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64)
+    values = np.multiply.accumulate(factor)[np.arange(len(flat)) - np.repeat(at[:-1], sizes)]
+    values *= flat + np.uint64(1)
+    # Sums wrap around, differences as well.
+    sums = np.append(np.uint64(0), np.cumsum(values))
+    return sums[at[1:]] - sums[at[:-1]]
+
+
 class WordwiseEncoder:
     """Ids of texts, worked out once per distinct word.
 
@@ -68,6 +82,9 @@ class WordwiseEncoder:
 
     def _forget(self) -> None:
         self._known = pa.array([], pa.large_string())
+        #: Hashes of the known pieces in order, and the number of each. Looking pieces up among them costs
+        #: what the pieces of a batch cost; Arrow's own lookup hashes all known ones again for every batch.
+        self._hashes, self._places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._pool = [np.zeros(0, np.uint32)]
         self._lengths = [np.zeros(0, np.int64)]
         self._unsafe = [np.zeros(0, bool)]
@@ -106,12 +123,26 @@ class WordwiseEncoder:
 
     def _numbers(self, pieces: pa.Array) -> np.ndarray:
         """Numbers of distinct pieces, each new one encoded first."""
-        numbers = pc.index_in(pieces, value_set=self._known)
-        new = pieces.filter(pc.is_null(numbers))
-        numbers = numbers.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(new):
-            numbers[numbers < 0] = len(self._known) + np.arange(len(new))
+        hashes = _hashes(pieces)
+        rising = np.argsort(hashes)
+        place = np.empty(len(hashes), np.int64)
+        place[rising] = np.searchsorted(self._hashes, hashes[rising])
+        found = place < len(self._hashes)
+        found[found] = self._hashes[place[found]] == hashes[found]
+        numbers = np.full(len(pieces), -1)
+        numbers[found] = self._places[place[found]]
+        # Equal hashes are no proof; a piece that shares its hash with an earlier one is new every time.
+        same = pc.equal(self._known.take(pa.array(numbers[found])), pieces.filter(pa.array(found)))
+        numbers[np.flatnonzero(found)[~same.to_numpy(zero_copy_only=False)]] = -1
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            new = pieces.take(pa.array(fresh))
+            numbers[fresh] = len(self._known) + np.arange(len(fresh))
             self._known = pa.concat_arrays([self._known, new])
+            order = np.argsort(hashes[fresh])
+            at = place[fresh][order]
+            self._hashes = np.insert(self._hashes, at, hashes[fresh][order])
+            self._places = np.insert(self._places, at, numbers[fresh][order])
             # With leading spaces, a piece that follows none is marked.
             shown = new.to_pylist()
             ids = self._ids([x[1:] if x[:1] == "\0" else " " + x for x in shown] if self._lead else shown)

@@ -123,6 +123,19 @@ def test_encoding_cuts_arrow_texts_at_the_ends_of_words(path, spaces, name):
     assert len(encoder._known) <= 1 + 3 + 6
 
 
+def test_pieces_that_share_a_hash_stay_apart(monkeypatch):
+    from stratadoc.llm import tokens
+
+    texts = ["one two three", "two three four", "four one two", "", "three"]
+    monkeypatch.setattr(tokens, "_hashes", lambda pieces: np.zeros(len(pieces), np.uint64))
+    encoder = WordwiseEncoder(BYTE, "lead")
+    found = []
+    for first in range(len(texts)):
+        ids, counts = encoder.encode(texts[first : first + 1], 2)
+        found += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert found == brute.encoded(texts, "byte_bpe_50k.json")
+
+
 def test_token_files(spark, docs, nothing):
     texts = sorted(hard_documents(), key=lambda d: (d[0] is not None, d[0] or 0))
     ids = brute.encoded([t for _, t in texts], "byte_bpe_50k.json")
