@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratadoc import fixed_values as fv
@@ -22,23 +24,11 @@ def hashed_vector(text, dim: int = fv.EMBED_DIM, unit: bool = True) -> Column:
     of the token's md5, modulo the dimension. Built-in functions can say this only by passing over all
     tokens once per bucket, which took about twenty times as long, hence Arrow batches.
     """
-    token = re.compile(r"[^\W_]+")
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bucket_of = _Buckets(dim)
         for texts in batches:
-            out = []
-            for value in texts:
-                if value is None:
-                    out.append(None)
-                    continue
-                buckets = [bucket_of[t] for t in token.findall(value.lower())]
-                counts = np.bincount(np.array(buckets, dtype=np.int64), minlength=dim).astype(np.float64)
-                length = np.sqrt((counts * counts).sum()) if unit else 1.0
-                out.append(counts / length if length > 0 else counts)
-                bucket_of.trim()
-            yield pd.Series(out, dtype=object)
+            yield _hashed_rows(texts, bucket_of, unit)
 
     return embed(col(text))
 
@@ -49,6 +39,26 @@ def hashed_counts(text: str, dim: int = fv.EMBED_DIM) -> np.ndarray:
     return np.bincount(np.array(buckets, dtype=np.int64), minlength=dim).astype(np.float64)
 
 
+def _hashed_rows(texts: pa.Array, bucket_of: _Buckets, unit: bool) -> pa.Array:
+    """Vectors of a batch of texts; the buckets of all texts are counted in one pass."""
+    tokens, dim = re.compile(r"[^\W_]+").findall, bucket_of.dim
+    found, sizes = array("q"), []
+    for value in texts.to_pylist():
+        buckets = [] if value is None else list(map(bucket_of.__getitem__, tokens(value.lower())))
+        found.extend(buckets)
+        sizes.append(len(buckets))
+        bucket_of.trim()
+    rows = len(sizes)
+    place = np.repeat(np.arange(rows) * dim, sizes) + np.array(found, np.int64)
+    counts = np.bincount(place, minlength=rows * dim).astype(np.float64).reshape(rows, dim)
+    if unit:
+        length = np.sqrt((counts * counts).sum(axis=1))
+        length[length == 0] = 1.0
+        counts /= length[:, None]
+    limits = pa.array(np.arange(rows + 1) * dim, pa.int32())
+    return pa.ListArray.from_arrays(limits, pa.array(counts.ravel()), mask=texts.is_null() if texts.null_count else None)
+
+
 class _Buckets(dict):
     """Bucket per token, remembered while a task runs; a table of new words may not fill a worker's memory."""
 
@@ -59,7 +69,7 @@ class _Buckets(dict):
         self.dim = dim
 
     def __missing__(self, token: str) -> int:
-        value = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        value = self[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % self.dim
         return value
 
     def trim(self) -> None:

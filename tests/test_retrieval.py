@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions.vectors import dot, normalise
 from stratadoc.operators.embedding import embed_hashed, embed_with, hashed_vector
-from stratadoc.operators import fulltext
+from stratadoc.operators import embedding, fulltext, kernels
 from stratadoc.operators.fulltext import entity_lookup
 from stratadoc.operators.retrieval import citations, documents_per_question, graph_contexts, merge_contexts, vector_contexts
 from stratadoc.operators.kernels import CosineKernel
@@ -152,6 +152,18 @@ def test_hashed_vectors(spark):
     assert abs(sum(x * x for x in unit) - 1) < 1e-12
 
 
+def test_hashed_rows_are_counted_together(monkeypatch):
+    texts = pa.array(["b a B", None, "", "a c"], pa.string())
+    passes, count = [], np.bincount
+    monkeypatch.setattr(embedding.np, "bincount", lambda *a, **k: (passes.append(1), count(*a, **k))[1])
+    found = embedding._hashed_rows(texts, embedding._Buckets(16), False).to_pylist()
+    assert len(passes) == 1 and found[1] is None
+    plain = [embedding.hashed_counts(t, 16).tolist() for t in ("b a B", "", "a c")]
+    assert [found[0], *found[2:]] == plain
+    assert embedding._hashed_rows(pa.array([None], pa.string()), embedding._Buckets(16), True).to_pylist() == [None]
+    assert len(embedding._hashed_rows(pa.array([], pa.string()), embedding._Buckets(16), True)) == 0
+
+
 def test_user_model_and_its_failures(spark):
     def make():
         def model(texts):
@@ -300,6 +312,24 @@ def test_single_precision_only_chooses_what_is_scored():
     assert set(zip(*kernel.best()[:2])) == expected
 
 
+def test_tiles_of_a_stretch_are_merged_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    q, v = rng.normal(size=(1_300, 8)), rng.normal(size=(2_500, 8))
+    v[1_500, 0] = np.nan  # hides no other item
+    asked = pa.table({"question_id": pa.array(range(len(q)), pa.int64()), "embedding": pa.array(q.tolist())})
+    items = pa.table({"point_id": pa.array(range(len(v)), pa.int64()), "embedding": pa.array(v.tolist())}).combine_chunks()
+    merges, merge = [], kernels._Best.merge
+    monkeypatch.setattr(kernels._Best, "merge", lambda best, *found: (merges.append(len(found[0])), merge(best, *found)))
+    kernel = CosineKernel(asked, k=6, **SEARCH)
+    kernel.update(items.to_batches()[0])
+    assert len(merges) == 3 and sum(merges) < 100 * len(q)
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    scores = np.floor(unit(q) @ unit(v).T * 1e9 + 0.5) / 1e9
+    scores[:, 1_500] = -2
+    best = {(n, i) for n, row in enumerate(scores) for i in np.lexsort((np.arange(len(v)), -row))[:6].tolist()}
+    assert set(zip(*(part.tolist() for part in kernel.best()[:2]))) == best
+
+
 def test_cells_hold_no_matrix_of_questions_and_cells():
     rng = np.random.default_rng(6)
     asked, sample = _vectors(rng, "question_id", 2_000), _vectors(rng, "point_id", 500)
