@@ -38,10 +38,14 @@ DOCUMENT_SCHEMA = "part int, seq int, doc_id long, before long, n_tokens long, i
 
 def _kinds(first: np.ndarray, second: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different pairs in order, how often each occurs, and the places of all pairs in that order."""
+    first = first.astype(np.int64)
     bits, low = symbols.bit_length(), len(first).bit_length()
     if 2 * bits + low <= 63:
         # Pair and place in one number sort several times faster than places by their pairs.
-        packed = (first << bits + low) | (second << low)
+        packed = first
+        packed <<= bits
+        packed |= second
+        packed <<= low
         packed |= np.arange(len(first))
         packed.sort()
         order = packed & ((1 << low) - 1)
@@ -60,10 +64,14 @@ def _kinds(first: np.ndarray, second: np.ndarray, symbols: int) -> tuple[np.ndar
 
 def _alternate(at: np.ndarray, after: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Truth values: every second place within runs of one symbol, whose pairs overlap, is false."""
-    same = np.zeros(len(at), bool)
-    same[1:] = (kind[1:] == kind[:-1]) & (after[at[:-1]] == at[1:])
-    number = np.arange(len(at))
-    return (number - np.maximum.accumulate(np.where(same, 0, number))) % 2 == 0
+    out = np.ones(len(at), bool)
+    alike = np.flatnonzero(kind[1:] == kind[:-1])
+    same = alike[after[at[alike]] == at[alike + 1]] + 1
+    # Distance to the place before the stretch of such places that each belongs to.
+    opens = np.diff(same, prepend=-1) != 1
+    distance = same - np.maximum.accumulate(np.where(opens, same, 0)) + 1
+    out[same[distance % 2 == 1]] = False
+    return out
 
 
 def repair(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,12 +82,13 @@ def repair(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, least: int = 4
     and ``after`` and ``before`` lead to its neighbours in the document.
     """
     n = len(ids)
-    symbols = np.append(ids.astype(np.int64), -1)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    # Four bytes each, so that most of what a round looks up stays in a core's cache.
+    symbols = np.append(ids.astype(np.int32), np.int32(-1))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     full = lengths[lengths > 0]
     ends = np.cumsum(full)
     after[ends - 1] = after[n] = before[ends - full] = n
-    gone, marked, strength = np.zeros(n + 1, bool), np.zeros(n + 1, bool), np.zeros(n + 1, np.int64)
+    gone, marked, strength = np.zeros(n + 1, bool), np.zeros(n + 1, bool), np.zeros(n + 1, np.int32)
     left, right, total = [], [], vocabulary
     known, rules = np.zeros(0, np.int64), np.zeros(0, np.int64)
     at, whole = np.flatnonzero(after[:n] < n), True
@@ -106,16 +115,18 @@ def repair(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, least: int = 4
         single = _alternate(at, after, kind)
         # Different for different pairs, so that of two that overlap one is always the stronger.
         spread = (np.arange(len(kinds), dtype=np.int64) * 0x9E3779B1) & 0xFFFFFFFF
-        strength[at] = np.where(single, ((counts << 32) | spread)[kind] + 1, 0)
+        rank = np.empty(len(kinds), np.int32)
+        rank[np.argsort((counts << 32) | spread)] = np.arange(1, len(kinds) + 1, dtype=np.int32)
         taken, open_ = [], np.flatnonzero(single)
+        own, value = at[open_], rank[kind[open_]]
+        strength[own] = value
+        back, next_ = before[own], after[own]
         while len(open_):
-            own = at[open_]
-            value = strength[own]
-            won = (value > strength[before[own]]) & (value > strength[after[own]])
-            winners = own[won]
+            won = np.flatnonzero((value > strength[back]) & (value > strength[next_]))
             taken.append(open_[won])
-            strength[before[winners]] = strength[after[winners]] = strength[winners] = 0
-            open_ = open_[strength[own] > 0]
+            strength[back[won]] = strength[next_[won]] = strength[own[won]] = 0
+            stay = np.flatnonzero(strength[own])
+            open_, own, value, back, next_ = open_[stay], own[stay], value[stay], back[stay], next_[stay]
         strength[at] = strength[n] = 0
         taken = np.concatenate(taken)
         # Half of the places of a symbol's pair with itself may overlap.
@@ -144,14 +155,20 @@ def repair(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, least: int = 4
     sizes = np.zeros(len(lengths), np.int64)
     sizes[lengths > 0] = np.diff(np.flatnonzero(first[stay]), append=len(stay))
     join = lambda parts: np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
-    return join(left), join(right), symbols[stay], sizes
+    return join(left), join(right), symbols[stay].astype(np.int64), sizes
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, vocabulary: int) -> np.ndarray:
     """Number of ids that each rule stands for. A rule refers to earlier rules only."""
-    out = np.ones(vocabulary + len(left), np.int64)
-    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        out[vocabulary + k] = out[a] + out[b]
+    out = np.zeros(vocabulary + len(left), np.int64)
+    out[:vocabulary] = 1
+    rest = np.arange(len(left))
+    while len(rest):
+        # The first rule left is known now, and with it all rules of its round.
+        a, b = out[left[rest]], out[right[rest]]
+        sound = (a > 0) & (b > 0)
+        out[vocabulary + rest[sound]] = (a + b)[sound]
+        rest = rest[~sound]
     return out[vocabulary:].astype(np.uint32)
 
 

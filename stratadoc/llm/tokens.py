@@ -6,6 +6,7 @@ import gc
 import re
 import sys
 import types
+from codecs import charmap_decode
 from itertools import chain
 
 import numpy as np
@@ -28,15 +29,16 @@ _WORD = {
 _WORD_END = f"([{_LETTERS}])([.,;:!?\n])"
 
 
-def _byte_letters() -> dict[int, int]:
-    """The printable character that stands for each byte in byte-level vocabularies.
+def _byte_letters() -> str:
+    """The 256 printable characters that stand for the bytes in byte-level vocabularies.
 
     Printable bytes of Latin-1 stand for themselves, the others are numbered from 256 on; so a space is
     U+0120 and a line end U+010A.
     """
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in printable]
-    return {b: 256 + n for n, b in enumerate(others)}
+    shown = {b: 256 + n for n, b in enumerate(others)}
+    return "".join(chr(shown.get(b, b)) for b in range(256))
 
 
 def _hashes(strings: pa.Array) -> np.ndarray:
@@ -94,7 +96,7 @@ class WordwiseEncoder:
         out: list[list[int]] = []
         other: list[int] = []
         merged: dict[str, list[int]] = {}
-        lead = self._lead
+        lead, letters = self._lead, self._letters
         known, merge, words, plain = merged.get, self._library.model.tokenize, self._word.findall, self._plain.fullmatch
         for number, piece in enumerate(pieces):
             if piece.isascii() and piece.strip(" ").isalpha():
@@ -112,7 +114,7 @@ class WordwiseEncoder:
                     if word.isascii():
                         shown = "\u0120" + word[1:] if word[0] == " " else "\u010a" if word == "\n" else word
                     else:
-                        shown = word.encode().decode("latin-1").translate(self._letters)
+                        shown = charmap_decode(word.encode(), "strict", letters)[0]
                     found = merged[word] = [token.id for token in merge(shown)]
                 ids = ids + found if ids else found
             out.append(ids)
@@ -150,7 +152,13 @@ class WordwiseEncoder:
             self._pool.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
             self._lengths.append(lengths)
             if self._lead:
-                self._unsafe.append(np.array([x in ("", "\0") or x[-1].isspace() for x in shown]))
+                # A piece whose last byte is a visible ASCII character is safe; only the others are looked at.
+                flat, at = text_bytes(new)
+                last = np.append(flat, np.uint8(0))[np.maximum(at[1:] - 1, 0)]
+                unsafe = (at[1:] == at[:-1]) | (last <= 0x20) | (last >= 0x7F)
+                for n in np.flatnonzero(unsafe).tolist():
+                    unsafe[n] = shown[n] in ("", "\0") or shown[n][-1].isspace()
+                self._unsafe.append(unsafe)
         return numbers
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

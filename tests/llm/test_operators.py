@@ -136,6 +136,40 @@ def test_pieces_that_share_a_hash_stay_apart(monkeypatch):
     assert found == brute.encoded(texts, "byte_bpe_50k.json")
 
 
+def test_grammar_holds_narrow_arrays():
+    """Same grammar as ever, at most 85 bytes an id; overlapping runs, one rule within another."""
+    rng = np.random.default_rng(3)
+    ids = (rng.zipf(1.3, 200_000) % 5_000).astype(np.uint32)
+    lengths = np.full(200, 1_000)
+    tracemalloc.start()
+    left, right, symbols, sizes = token_files.repair(ids, lengths, 5_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 85 * len(ids)
+    spans = [1] * 5_000
+    for a, b in zip(left.tolist(), right.tolist()):
+        spans.append(spans[a] + spans[b])
+    assert token_files.expansion_lengths(left, right, 5_000).tolist() == spans[5_000:] and max(spans) > 4
+    shard = token_files.TokenShard(token_files.pack_shard(list(range(200)), ids, lengths, 5_000))
+    assert np.array_equal(shard.all_ids(), ids) and sizes.sum() == len(symbols)
+
+
+def test_every_second_place_of_a_run_gives_way():
+    after = np.arange(1, 31)
+    at = np.array([0, 1, 2, 4, 5, 9, 10, 11, 12, 20, 22])
+    kind = np.array([7, 7, 7, 7, 7, 7, 7, 3, 3, 3, 3])
+    expected = [True, False, True, True, False, True, False, True, False, True, True]
+    assert token_files._alternate(at, after, kind).tolist() == expected
+
+
+@pytest.mark.parametrize("end", ["\x00", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\n", "\x7f", "é", "a", ""])
+def test_pieces_that_end_in_white_space(end):
+    texts = [f"one{end} two{end}  three{end}", f" {end}", f"x{end}{end} y", end]
+    encoder = WordwiseEncoder(BYTE, "lead")
+    ids, counts = encoder.encode(texts, 2)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == brute.encoded(texts, "byte_bpe_50k.json")
+
+
 def test_token_files(spark, docs, nothing):
     texts = sorted(hard_documents(), key=lambda d: (d[0] is not None, d[0] or 0))
     ids = brute.encoded([t for _, t in texts], "byte_bpe_50k.json")
