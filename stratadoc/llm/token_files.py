@@ -218,25 +218,29 @@ class TokenShard:
         symbols = symbols.astype(np.int64)
         span = self._spans(symbols)
         at = np.cumsum(span) - span
+        part = start > 0 or stop is not None
         stop = int(span.sum()) if stop is None else stop
         out = np.empty(max(stop - start, 0), np.uint32)
         while len(symbols):
-            inside = (at < stop) & (at + span > start)
-            if not inside.all():
-                symbols, at = symbols[inside], at[inside]
+            if part:
+                inside = (at < stop) & (at + span > start)
+                if not inside.all():
+                    symbols, at = symbols[inside], at[inside]
             rule = symbols >= self.vocabulary
-            out[at[~rule] - start] = symbols[~rule]
+            plain, rule = np.flatnonzero(~rule), np.flatnonzero(rule)
+            out[at[plain] - start] = symbols[plain]
             number, at = symbols[rule] - self.vocabulary, at[rule]
             left = self.left[number].astype(np.int64)
             size = self._spans(left)
             symbols, at = np.concatenate([left, self.right[number].astype(np.int64)]), np.concatenate([at, at + size])
-            span = np.concatenate([size, self.spans[number].astype(np.int64) - size])
+            if part:
+                span = np.concatenate([size, self.spans[number].astype(np.int64) - size])
         return out
 
     def _spans(self, symbols: np.ndarray) -> np.ndarray:
         """Number of ids that each symbol stands for."""
         out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.vocabulary
+        rule = np.flatnonzero(symbols >= self.vocabulary)
         out[rule] = self.spans[symbols[rule] - self.vocabulary]
         return out
 

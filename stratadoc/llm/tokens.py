@@ -7,7 +7,7 @@ import re
 import sys
 import types
 from codecs import charmap_decode
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ _WORD = {
     "lead": re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n"),
     "drop": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+"),
 }
+#: One word; where spaces lead, the mark may stand before it.
+_SINGLE = {"lead": rf"\A\x00?[{_LETTERS}]+\z", "drop": rf"\A[{_LETTERS}]+\z"}
 #: A word ends between a letter and one of these, whatever stands before or after.
 _WORD_END = f"([{_LETTERS}])([.,;:!?\n])"
 
@@ -77,7 +79,7 @@ class WordwiseEncoder:
         #: Bytes that any id of the vocabulary fits in.
         self.width = 2 if self._library.get_vocab_size() <= 1 << 16 else 4
         self._lead = spaces == "lead"
-        self._plain, self._word = _PLAIN[spaces], _WORD[spaces]
+        self._plain, self._word, self._single = _PLAIN[spaces], _WORD[spaces], _SINGLE[spaces]
         self._letters = _byte_letters()
         self._most = most_words
         self._forget()
@@ -91,17 +93,22 @@ class WordwiseEncoder:
         self._lengths = [np.zeros(0, np.int64)]
         self._unsafe = [np.zeros(0, bool)]
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces as they stand in a text."""
+    def _ids(self, pieces: list[str], single: list[bool]) -> list[list[int]]:
+        """Ids of distinct pieces as they stand in a text; ``single`` ones are one word of letters."""
         out: list[list[int]] = []
         other: list[int] = []
         merged: dict[str, list[int]] = {}
         lead, letters = self._lead, self._letters
         known, merge, words, plain = merged.get, self._library.model.tokenize, self._word.findall, self._plain.fullmatch
+        joined = "\n".join(compress(pieces, single))
+        shown = charmap_decode((joined if lead else joined.lower()).encode(), "strict", letters)[0]
+        # Most pieces are such words; they are shown together and need not be looked up.
+        of_words = iter([[token.id for token in merge(word)] for word in shown.split(letters[10])] if joined else [])
         for number, piece in enumerate(pieces):
-            if piece.isascii() and piece.strip(" ").isalpha():
-                parts = (piece,) if lead else (piece.lower(),)
-            elif plain(piece):
+            if single[number]:
+                out.append(next(of_words))
+                continue
+            if plain(piece):
                 parts = words(piece if lead else piece.lower())
             else:
                 other.append(number)
@@ -147,7 +154,8 @@ class WordwiseEncoder:
             self._places = np.insert(self._places, at, numbers[fresh][order])
             # With leading spaces, a piece that follows none is marked.
             shown = new.to_pylist()
-            ids = self._ids([x[1:] if x[:1] == "\0" else " " + x for x in shown] if self._lead else shown)
+            single = pc.match_substring_regex(new, self._single).to_pylist()
+            ids = self._ids([x[1:] if x[:1] == "\0" else " " + x for x in shown] if self._lead else shown, single)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self._pool.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
             self._lengths.append(lengths)
@@ -177,7 +185,8 @@ class WordwiseEncoder:
             return numbers, counts
         # A piece that ends in white space, or an empty one, may be part of a run that was cut.
         self._unsafe = [np.concatenate(self._unsafe)]
-        unsafe = np.bincount(np.repeat(np.arange(len(counts)), counts), self._unsafe[0][numbers], len(counts)) > 0
+        unsafe = np.zeros(len(counts), bool)
+        unsafe[np.searchsorted(np.cumsum(counts), np.flatnonzero(self._unsafe[0][numbers]), "right")] = True
         # The mark may stand in a text itself.
         doubtful = np.flatnonzero(unsafe | pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False))
         if len(doubtful) == 0:

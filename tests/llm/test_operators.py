@@ -162,6 +162,19 @@ def test_every_second_place_of_a_run_gives_way():
     assert token_files._alternate(at, after, kind).tolist() == expected
 
 
+@pytest.mark.parametrize("path, spaces, name", [(BYTE, "lead", "byte_bpe_50k.json"), (WORD, "drop", "word_bpe_49k.json")])
+def test_whole_words_are_shown_together(path, spaces, name, monkeypatch):
+    from stratadoc.llm import tokens
+
+    texts = ["Élan \0abc abc", "ÀB \u00aa \u00b5x año a\nb É", "\0", "", "one, Two3 don't naïve"]
+    sizes, plain = [], tokens.charmap_decode
+    monkeypatch.setattr(tokens, "charmap_decode", lambda data, *rest: (sizes.append(len(data)), plain(data, *rest))[1])
+    encoder = WordwiseEncoder(path, spaces)
+    ids, counts = encoder.encode(texts, 2)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == brute.encoded(texts, name)
+    assert max(sizes) > 30
+
+
 @pytest.mark.parametrize("end", ["\x00", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\n", "\x7f", "é", "a", ""])
 def test_pieces_that_end_in_white_space(end):
     texts = [f"one{end} two{end}  three{end}", f" {end}", f"x{end}{end} y", end]
