@@ -14,6 +14,7 @@ from stratadoc import fixed_values as fv
 from stratadoc.functions.html import clean_text, page_title
 from stratadoc.functions.text import col, extension, filename
 from stratadoc.schemas import DOC_META, NOTIFICATION, RAW_FILE
+from stratadoc.sources import folders
 from stratadoc.sources.row_files import file_system
 
 
@@ -32,7 +33,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = fv.ACCEPTED_SUFFIXES) -> DataFrame:
-    """Every file below a path, as ``path, modificationTime, length, content``."""
+    """Every file below a path, as ``path, modificationTime, length, content``; tasks list a folder where they can."""
+    root = folders.walkable(spark, path)
+    if root is not None:
+        return folders.contents(folders.list_files(spark, root, suffixes), root)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -46,8 +50,19 @@ def stream_files(
     path: str,
     suffixes: tuple[str, ...] = fv.ACCEPTED_SUFFIXES,
     files_per_batch: int = 10_000,
+    listing: str | None = None,
 ) -> DataFrame:
-    """Files as they arrive, each once per checkpoint."""
+    """Files as they arrive, each once per checkpoint.
+
+    Spark's source holds the state of every file on the driver. For large folders name a folder ``listing``, which
+    belongs to the checkpoint and is kept as long: this call adds the names not listed yet, which tasks find, and the
+    stream follows the listing, ``files_per_batch`` names at most a batch. A stream that stays up meets later
+    arrivals when this, or ``folders.list_new``, is called again.
+    """
+    root = folders.walkable(spark, path) if listing is not None else None
+    if root is not None:
+        folders.list_new(spark, root, listing, suffixes, files_per_batch)
+        return folders.stream_listed(spark, root, listing)
     return (
         spark.readStream.format("binaryFile")
         .schema(RAW_FILE)

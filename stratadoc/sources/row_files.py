@@ -11,6 +11,7 @@ that is committed already is dropped, so a replay changes nothing.
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -28,9 +29,10 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Files of one task: where they are, and their names."""
+    """Files of one task: their folder, with a list of their names, and how many. No name is sent to the driver."""
 
-    files: list[tuple[str, str]]
+    folder: str
+    count: int
 
 
 class _Files:
@@ -43,19 +45,21 @@ class _Files:
         store, root = file_system(self.path)
         own = f"{root}/_pending/{self.run}/{uuid.uuid4().hex}"
         store.create_dir(own, recursive=True)
-        out = []
-        for number, row in enumerate(rows):
-            if row["name"] is None or row["content"] is None:
-                continue
-            content = row["content"].encode() if isinstance(row["content"], str) else bytes(row["content"])
-            with store.open_output_stream(f"{own}/{number}") as sink:
-                sink.write(content)
-            out.append((f"{own}/{number}", row["name"]))
+        count = 0
+        with store.open_output_stream(f"{own}/names") as names:
+            for row in rows:
+                if row["name"] is None or row["content"] is None:
+                    continue
+                content = row["content"].encode() if isinstance(row["content"], str) else bytes(row["content"])
+                with store.open_output_stream(f"{own}/{count}") as sink:
+                    sink.write(content)
+                names.write(json.dumps(row["name"]).encode() + b"\n")
+                count += 1
         # Other tasks may still run when the batch is given up: either they see the mark, or the abort sees their files.
         if store.get_file_info(f"{root}/_aborted/{self.run}").type != fs.FileType.NotFound:
             store.delete_dir(own)
             raise RuntimeError("the batch was aborted")
-        return Written(out)
+        return Written(own, count)
 
     def _clear(self) -> None:
         store, root = file_system(self.path)
@@ -73,15 +77,16 @@ class _Files:
         store, root = file_system(self.path)
         mark = f"{root}/_commits/{batch}.json"
         if store.get_file_info(mark).type == fs.FileType.NotFound:
-            names = []
-            for at, name in (f for m in messages if m is not None for f in m.files):
-                target = f"{root}/{name}"
-                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                store.move(at, target)
-                names.append(name)
+            written = [m for m in messages if m is not None]
+            for message in written:
+                with store.open_input_stream(f"{message.folder}/names") as names:
+                    for number, name in enumerate(io.TextIOWrapper(names, "utf-8")):
+                        target = f"{root}/{json.loads(name)}"
+                        store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                        store.move(f"{message.folder}/{number}", target)
             store.create_dir(f"{root}/_commits", recursive=True)
             with store.open_output_stream(f"{mark}.new") as sink:
-                sink.write(json.dumps({"batch": batch, "files": len(names)}).encode())
+                sink.write(json.dumps({"batch": batch, "files": sum(m.count for m in written)}).encode())
             store.move(f"{mark}.new", mark)
         self._clear()
 
